@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.skew import salted_join
+from obsforge.operators.skew import hot_keys, salted_join
 
 GRID_SIZE = 7  # fixed values: cells per side, and (name, first day back, last day back) of the periods
 PERIODS = (("30", 1, 30), ("60", 31, 60), ("90", 61, 90))
+HOME_SHARE = 512  # a bin with more than 1/512 of the samples is divided; fewer than 512 bins can be
 COUNT_CLASSES = {"presence": "PRESENT", "absence": "ABSENT"}
 
 
@@ -55,54 +56,84 @@ def context_counts(
     Cells are half open, so a report on a shared edge counts once. The sample's
     own day is outside every period. Reports at one position, day and class are
     counted into a single row before they meet any sample. Positions and days
-    are then binned; a sample reads the bins its grid and its longest period
-    touch, two per axis and a few in time. Counting is partial on the join's own
-    task, so matches are never written out. A bin with a large part of the
-    samples is divided over tasks.
+    are then binned, in bins as wide as the grid and as long as the periods
+    together; a sample reads two bins per axis. Counting is partial on the
+    join's own task, so matches are never written out. The samples of a bin that
+    holds a large part of them are divided over tasks.
     """
     reach = max(last for _, _, last in periods)
-    days_per_bin = max(1, reach // 2)
-    span = float(size * step)
-    half = size / 2.0
+    span, side, half = float(size * step), float(step), size / 2.0
+    low = F.lit(half * step)
     known = list(COUNT_CLASSES.values())
+    place = {"bx": F.floor(F.col("lon") / span), "by": F.floor(F.col("lat") / span), "bt": F.floor(F.col("day") / reach)}
 
-    packed = (
-        reports.where(F.col(presence).isin(known))
-        .select(F.col(lon).alias("r_lon"), F.col(lat).alias("r_lat"), day_number(F.col(day)).alias("r_day"), F.col(presence).alias("r_class"))
-        .groupBy("r_lon", "r_lat", "r_day")
-        .agg(*[F.count_if(F.col("r_class") == c).alias(f"r_{k}") for k, c in COUNT_CLASSES.items()])
-        .withColumns(
-            {
-                "bx": F.floor(F.col("r_lon") / span),
-                "by": F.floor(F.col("r_lat") / span),
-                "bt": F.floor(F.col("r_day") / days_per_bin),
-            }
+    def located(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(
+            F.col(lon).alias("lon"), F.col(lat).alias("lat"), day_number(F.col(day)).alias("day"), *more
         )
+
+    packed = (
+        located(reports.where(F.col(presence).isin(known)), presence)
+        .groupBy("lon", "lat", "day")
+        .agg(*[F.count_if(F.col(presence) == c).alias(f"r_{k}") for k, c in COUNT_CLASSES.items()])
+        .withColumns(place)
+        .withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "day": "r_day"})
     )
-    low = F.lit(half * step)
+    homes, touched = _hot_homes(located(samples).withColumns(place), reach)
+
+    def touches(first: Column, last: Column, width: float) -> Column:
+        return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+
     targets = (
-        samples.select(F.col(sample_id).alias("s_id"), F.col(lon).alias("s_lon"), F.col(lat).alias("s_lat"), day_number(F.col(day)).alias("s_day"))
-        .withColumn("bx", F.explode(F.sequence(F.floor((F.col("s_lon") - low) / span), F.floor((F.col("s_lon") + low) / span))))
-        .withColumn("by", F.explode(F.sequence(F.floor((F.col("s_lat") - low) / span), F.floor((F.col("s_lat") + low) / span))))
-        .withColumn(
-            "bt",
-            F.explode(F.sequence(F.floor((F.col("s_day") - reach) / days_per_bin), F.floor((F.col("s_day") - 1) / days_per_bin))),
-        )
+        located(samples, sample_id)
+        .withColumns(place)
+        .join(F.broadcast(homes), ["bx", "by", "bt"], "left")
+        .withColumn("bx", touches(F.col("lon") - low, F.col("lon") + low, span))
+        .withColumn("by", touches(F.col("lat") - low, F.col("lat") + low, span))
+        .withColumn("bt", touches(F.col("day") - reach, F.col("day") - 1, reach))
+        .withColumnsRenamed({sample_id: "s_id", "lon": "s_lon", "lat": "s_lat", "day": "s_day"})
     )
-    row = F.floor((F.col("r.r_lat") - F.col("l.s_lat")) / F.lit(float(step)) + half)
-    col = F.floor((F.col("r.r_lon") - F.col("l.s_lon")) / F.lit(float(step)) + half)
-    back = F.col("l.s_day") - F.col("r.r_day")
-    near = back.between(1, reach) & row.between(0, size - 1) & col.between(0, size - 1)
-    met = salted_join(targets, packed, ["bx", "by", "bt"], "inner", near, spread=["s_id"])
-    cell_row = F.floor((F.col("r_lat") - F.col("s_lat")) / F.lit(float(step)) + half).cast("int")
-    cell_col = F.floor((F.col("r_lon") - F.col("s_lon")) / F.lit(float(step)) + half).cast("int")
-    ago = F.col("s_day") - F.col("r_day")
+
+    def grid(axis: str, s: str = "", r: str = "") -> Column:
+        return F.floor((F.col(f"{r}r_{axis}") - F.col(f"{s}s_{axis}")) / F.lit(side) + half)
+
+    def apart(axis: str) -> Column:
+        return F.abs(F.col(f"r.r_{axis}") - F.col(f"l.s_{axis}"))
+
+    ago = F.col("l.s_day") - F.col("r.r_day")
+    # cheap comparisons first; the exact cell decides
+    near = (ago >= 1) & (ago <= reach) & (apart("lat") <= low + side) & (apart("lon") <= low + side)
+    exact = grid("lat", "l.", "r.").between(0, size - 1) & grid("lon", "l.", "r.").between(0, size - 1)
+    met = salted_join(
+        targets, packed, ["bx", "by", "bt"], "inner", near & exact, hot=touched, hot_left="__home", spread=["s_id"]
+    )
+    back = F.col("s_day") - F.col("r_day")
     counts = [
-        F.sum(F.when(ago.between(first, last), F.col(f"r_{k}")).otherwise(F.lit(0))).alias(f"{k}_{name}")
+        F.sum(F.when(back.between(first, last), F.col(f"r_{k}")).otherwise(F.lit(0))).alias(f"{k}_{name}")
         for name, first, last in periods
         for k in COUNT_CLASSES
     ]
-    return met.groupBy(F.col("s_id").alias(sample_id), cell_row.alias("row"), cell_col.alias("col")).agg(*counts)
+    return met.groupBy(
+        F.col("s_id").alias(sample_id), grid("lat").cast("int").alias("row"), grid("lon").cast("int").alias("col")
+    ).agg(*counts)
+
+
+def _hot_homes(homes: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Bins that many samples lie in, and the bins those samples read: both lists are short by construction."""
+    hot = hot_keys(homes, ["bx", "by", "bt"], HOME_SHARE).withColumnRenamed("__hot", "__home")
+
+    def around(column: str, first: int, last: int) -> Column:
+        return F.explode(F.sequence(F.col(column) + first, F.col(column) + last))
+
+    touched = (
+        hot.withColumn("bx", around("bx", -1, 1))
+        .withColumn("by", around("by", -1, 1))
+        .withColumn("bt", around("bt", -1, 0))
+        .select("bx", "by", "bt")
+        .distinct()
+        .withColumn("__hot", F.lit(True))
+    )
+    return hot, touched
 
 
 def count_columns(periods=PERIODS) -> list[str]:

@@ -59,6 +59,19 @@ def _framed(band: Band, suffix: str, frame, on_missing: str) -> dict[str, Column
     return {f"{band.name}_{suffix}": value, f"n_{band.name}_{suffix}": n}
 
 
+def _wanted(samples: DataFrame, place: list[str], day: str) -> DataFrame:
+    """Distinct (place, day) with the number of samples there."""
+    return samples.groupBy(*place, day_number(F.col(day)).alias("__day")).agg(F.count(F.lit(1)).alias("__rows"))
+
+
+def _attach(samples: DataFrame, values: DataFrame, wanted: DataFrame, place: list[str], day: str, how: str) -> DataFrame:
+    """Join values per (place, day) back to the samples; a day with a large part of them is salted."""
+    total = wanted.agg(F.sum("__rows")).scalar()
+    hot = wanted.where(F.col("__rows") * HOT_SHARE > total).select(*place, "__day", F.lit(True).alias("__hot"))
+    keyed = samples.withColumn("__day", day_number(F.col(day)))
+    return salted_join(keyed, values, [*place, "__day"], how, hot=hot).drop("__day")
+
+
 def frame_features(
     samples: DataFrame,
     measurements: DataFrame,
@@ -69,17 +82,20 @@ def frame_features(
     frames: Mapping[str, tuple[int, int]],
     on_missing: str = "null",
     keep_counts: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Append `<band>_<frame>` for each band and day frame to every sample.
 
     A frame (a, b) covers the days d+a .. d+b, both included. With on_missing
     ``zero`` an empty frame gives 0; with ``drop`` a sample with any empty frame
     is removed. `keep_counts` keeps `n_<band>_<frame>`.
+
+    `base` is a table with the places and days of all samples, for samples that
+    already went through costly steps: places are then read from it instead.
     """
     bands = list(bands)
     partial = measurements.groupBy(*place, day_number(F.col(measured_day)).alias("__day")).agg(*_daily(bands))
-    keyed = samples.withColumn("__day", day_number(F.col(sample_day)))
-    wanted = keyed.groupBy(*place, "__day").agg(F.count(F.lit(1)).alias("__rows"))
+    wanted = _wanted(samples if base is None else base, place, sample_day)
     line = wanted.unionByName(partial, allowMissingColumns=True)
     order = Window.partitionBy(*place).orderBy("__day")
     added: dict[str, Column] = {}
@@ -87,21 +103,13 @@ def frame_features(
         frame = order.rangeBetween(first, last)
         for band in bands:
             added.update(_framed(band, suffix, frame, on_missing))
-    values = (
-        line.withColumns(added).where(F.col("__rows").isNotNull()).select(*place, "__day", "__rows", *added)
-    )
+    values = line.withColumns(added).where(F.col("__rows").isNotNull()).select(*place, "__day", *added)
     counts = [f"n_{band.name}_{suffix}" for suffix in frames for band in bands]
     if on_missing == "drop":
         for c in counts:
             values = values.where(F.col(c) > 0)
-    share = values.select(*place, "__day", "__rows")
-    total = share.agg(F.sum("__rows")).scalar()
-    hot = share.where(F.col("__rows") * HOT_SHARE > total).select(*place, "__day", F.lit(True).alias("__hot"))
-    joined = salted_join(
-        keyed, values.drop("__rows"), [*place, "__day"], "inner" if on_missing == "drop" else "left", hot=hot
-    )
-    dropped = ["__day"] if keep_counts else ["__day", *counts]
-    return joined.drop(*dropped)
+    joined = _attach(samples, values, wanted, place, sample_day, "inner" if on_missing == "drop" else "left")
+    return joined if keep_counts else joined.drop(*counts)
 
 
 def lag_features(
@@ -114,11 +122,12 @@ def lag_features(
     lags: Iterable[int] = LAGS,
     on_missing: str = "zero",
     keep_counts: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative windows [d - lag, d): the sample's own day is not part of them."""
     frames = {str(lag): (-lag, -1) for lag in lags}
     return frame_features(
-        samples, measurements, place, sample_day, measured_day, bands, frames, on_missing, keep_counts
+        samples, measurements, place, sample_day, measured_day, bands, frames, on_missing, keep_counts, base
     )
 
 
@@ -156,6 +165,7 @@ def best_in_window(
     carry: list[str],
     frame: tuple[int, int] = (-15, 14),
     name: str = "best",
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Append the struct of `rank` + `carry` of the best scene within the frame; NULL without one.
 
@@ -165,8 +175,7 @@ def best_in_window(
     """
     best = F.min(F.struct(*rank, *carry))
     daily = scenes.groupBy(*place, day_number(F.col(scene_day)).alias("__day")).agg(best.alias("__best"))
-    keyed = samples.withColumn("__day", day_number(F.col(sample_day)))
-    wanted = keyed.groupBy(*place, "__day").agg(F.count(F.lit(1)).alias("__rows"))
+    wanted = _wanted(samples if base is None else base, place, sample_day)
     window = Window.partitionBy(*place).orderBy("__day").rangeBetween(*frame)
     found = (
         wanted.unionByName(daily, allowMissingColumns=True)
@@ -174,7 +183,7 @@ def best_in_window(
         .where(F.col("__rows").isNotNull())
         .select(*place, "__day", name)
     )
-    return salted_join(keyed, found, [*place, "__day"], "left").drop("__day")
+    return _attach(samples, found, wanted, place, sample_day, "left")
 
 
 def window_values(
@@ -219,11 +228,12 @@ def window_median(
     measured_day: str,
     values: list[str],
     frame: tuple[int, int],
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Append `<value>_median`, the exact median of each value within the frame; NULL when it is empty."""
-    rows = window_values(samples, measurements, place, sample_day, measured_day, values, frame)
+    source = samples if base is None else base
+    rows = window_values(source, measurements, place, sample_day, measured_day, values, frame)
     medians = rows.groupBy(*place, "__day").agg(
         *[F.percentile(v, F.lit(0.5), F.col("times")).alias(f"{v}_median") for v in values]
     )
-    keyed = samples.withColumn("__day", day_number(F.col(sample_day)))
-    return salted_join(keyed, medians, [*place, "__day"], "left").drop("__day")
+    return _attach(samples, medians, _wanted(source, place, sample_day), place, sample_day, "left")

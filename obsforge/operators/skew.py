@@ -31,6 +31,7 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     hot: DataFrame | None = None,
+    hot_left: str | None = None,
     spread: list[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -40,6 +41,8 @@ def salted_join(
     `spread` (all columns unless given); the right rows of that key are repeated
     once per sub-key. Every other key is joined as is. `hot` defaults to the hot
     keys of the left side, a list whose length is bounded, hence the broadcast.
+    `hot_left` names a boolean column that already marks the left rows to divide;
+    `hot` must then hold every key such a row may have.
     Use with how in inner, left, left_semi, left_anti: all of them look at left
     rows one by one, so the division does not change the result.
     """
@@ -47,9 +50,11 @@ def salted_join(
         raise ValueError(how)
     hot = F.broadcast(hot_keys(left, keys) if hot is None else hot)
     pick = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
-    divided = (
-        left.join(hot, keys, "left").withColumn(_SALT, F.when(F.col(_HOT), pick).otherwise(F.lit(0))).drop(_HOT)
-    )
+    if hot_left:
+        divided = left.withColumn(_SALT, F.when(F.col(hot_left), pick).otherwise(F.lit(0)))
+    else:
+        marked = left.join(hot, keys, "left")
+        divided = marked.withColumn(_SALT, F.when(F.col(_HOT), pick).otherwise(F.lit(0))).drop(_HOT)
     copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(_HOT)
     on = [*keys, _SALT]
@@ -66,6 +71,16 @@ def salted_join(
     return joined.select(*kept)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Attach the columns of `right`, which has one row per key, to every left row."""
-    return salted_join(left, right, keys, how)
+def lookup(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", base: DataFrame | None = None
+) -> DataFrame:
+    """Attach the columns of `right`, which has one row per key, to every left row.
+
+    Without `base` this is a plain join, and a hot key is left to adaptive
+    execution. `base` is a cheap table with the key columns of the left rows,
+    usually the table the left side was made from: its hot keys are salted. The
+    left side itself is planned once, so lookups can be chained.
+    """
+    if base is None:
+        return left.join(right, keys, how)
+    return salted_join(left, right, keys, how, hot=hot_keys(base, keys))

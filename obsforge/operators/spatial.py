@@ -139,13 +139,18 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, lon: str, lat: str,
 
 
 def polygon_attribute(
-    points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, attribute: str, strip: float
+    points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, attribute: str, strip: float,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Append the attribute of the first polygon (smallest id) around each point; NULL outside all of them."""
-    inside = point_polygon_hits(points, edges, lon, lat, poly_id, strip)
+    """Append the attribute of the first polygon (smallest id) around each point; NULL outside all of them.
+
+    `base` is a table with the positions of all points, see operators.skew.lookup.
+    """
+    source = points if base is None else base
+    inside = point_polygon_hits(source, edges, lon, lat, poly_id, strip)
     known = edges.groupBy(poly_id).agg(F.min(attribute).alias(attribute))
     first = inside.join(known, poly_id).groupBy(lon, lat).agg(F.min_by(attribute, poly_id).alias(attribute))
-    return lookup(points, first, [lon, lat], "left")
+    return lookup(points, first, [lon, lat], "left", source)
 
 
 # --- cells -----------------------------------------------------------------------------------------------------------
@@ -159,7 +164,7 @@ def sample_cells(
     wanted = cells.select(F.col("cell_x").cast("bigint"), F.col("cell_y").cast("bigint"), *bands)
     if drop_null:
         wanted = wanted.dropna(subset=bands)
-    return lookup(placed, wanted, ["cell_x", "cell_y"], "inner" if drop_null else "left")
+    return lookup(placed, wanted, ["cell_x", "cell_y"], "inner" if drop_null else "left", placed)
 
 
 def rasterise(cells: DataFrame, points: DataFrame, lon: Column, lat: Column, step: float, name: str = "label") -> DataFrame:

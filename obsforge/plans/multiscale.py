@@ -47,12 +47,14 @@ def coarse_features(
     return wide.withColumns({"seasonal_cos": cosine, "seasonal_sin": sine})
 
 
-def with_biome(samples: DataFrame, edges: DataFrame, lon: str, lat: str, strip: float, attribute: str = "biome_id") -> DataFrame:
-    return polygon_attribute(samples, edges, lon, lat, "poly_id", attribute, strip)
+def with_biome(
+    samples: DataFrame, edges: DataFrame, lon: str, lat: str, strip: float, attribute: str = "biome_id", base: DataFrame | None = None
+) -> DataFrame:
+    return polygon_attribute(samples, edges, lon, lat, "poly_id", attribute, strip, base)
 
 
 def fine_indices(
-    samples: DataFrame, first: DataFrame, second: DataFrame, place: list[str], sample_id: str, day: str, ts: str
+    samples: DataFrame, first: DataFrame, second: DataFrame, place: list[str], day: str, ts: str, base: DataFrame | None = None
 ) -> DataFrame:
     """Append fine_ndvi, fine_ndwi and fine_rededge: ratios of the medians of the last 30 days.
 
@@ -61,8 +63,8 @@ def fine_indices(
     """
     one, two = FINE_FIRST, FINE_SECOND
     clear = first.where(F.col("cloud") < FINE_CLOUD)
-    a = window_median(samples, clear, place, day, ts, list(one.values()), FINE_FRAME)
-    both = window_median(a, second, place, day, ts, list(two.values()), FINE_FRAME)
+    a = window_median(samples, clear, place, day, ts, list(one.values()), FINE_FRAME, base or samples)
+    both = window_median(a, second, place, day, ts, list(two.values()), FINE_FRAME, base or samples)
 
     def m(band: str):
         return F.col(f"{band}_median")
@@ -84,9 +86,11 @@ def fine_indices(
     return both.withColumns(added).drop(*[f"{b}_median" for b in (*one.values(), *two.values())])
 
 
-def attach_cells(samples: DataFrame, cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def attach_cells(
+    samples: DataFrame, cells: DataFrame, keys: list[str], columns: list[str], base: DataFrame | None = None
+) -> DataFrame:
     """Cell-level features (texture, landscape, climate) for each sample; zero where the cell has none."""
-    joined = lookup(samples, cells.select(*keys, *columns), keys, "left")
+    joined = lookup(samples, cells.select(*keys, *columns), keys, "left", base)
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 

@@ -54,7 +54,13 @@ def with_ndwi_rows(measurements: DataFrame, names: Columns, sources=SOURCES) ->
 
 
 def environment(
-    samples: DataFrame, measurements: DataFrame, names: Columns = Columns(), lags=LAGS, critical=CRITICAL, sources=SOURCES
+    samples: DataFrame,
+    measurements: DataFrame,
+    names: Columns = Columns(),
+    lags=LAGS,
+    critical=CRITICAL,
+    sources=SOURCES,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Samples with 11 variables per lag, `missing` (names without any source) and `critical_missing`."""
     wide = lag_features(
@@ -67,6 +73,7 @@ def environment(
         lags,
         on_missing="zero",
         keep_counts=True,
+        base=base,
     )
 
     def n(band: str, lag: int) -> Column:
@@ -123,7 +130,8 @@ def build_training_table(
     if on_missing == "drop":
         kept = kept.where(F.size("missing") == 0)
     kept = kept.drop("missing", "critical_missing")
-    placed = lookup(kept, static.select(*(static_place or names.place), *STATIC), list(static_place or names.place))
+    cell = list(static_place or names.place)
+    placed = lookup(kept, static.select(*cell, *STATIC), cell, "left", samples)
     indexed = add_lag_indices(placed)
     counts = context_counts(
         samples, reports, names.sample_id, names.lon, names.lat, names.day, names.presence, grid_step

@@ -233,7 +233,7 @@ def _nd(a: str, b: str) -> str:
 )
 def fine_indices(spark, sf):
     s = X.scenes(spark, sf)
-    out = multiscale.fine_indices(X.scene_samples(spark, sf), s, s, ["scene_site"], "object_id", "obs_date", "ts")
+    out = multiscale.fine_indices(X.scene_samples(spark, sf), s, s, ["scene_site"], "obs_date", "ts")
     return out.select("object_id", *[r6(c).alias(c) for c in ("fine_ndvi", "fine_ndwi", "fine_rededge")])
 
 
@@ -244,20 +244,21 @@ def multiscale_table(spark, sf):
     from obsforge.operators.landscape import glcm, landscape_metrics
 
     samples = _cells_of(X.valid(spark, sf))
-    coarse = multiscale.coarse_features(samples, era_rows(spark, sf), ["site"], "obs_date", "ts")
-    coarse = multiscale.with_biome(coarse, X.edges(spark), "lon_m", "lat_m", X.STRIP)
-    medium = training.environment(coarse, X.environment_rows(spark, sf), NAMES).where(~F.col("critical_missing"))
-    medium = add_lag_indices(medium.drop("missing", "critical_missing"))
+    cell = ["cell_x", "cell_y"]
+    rows = multiscale.coarse_features(samples, era_rows(spark, sf), ["site"], "obs_date", "ts")
+    rows = multiscale.with_biome(rows, X.edges(spark), "lon_m", "lat_m", X.STRIP, base=samples)
+    rows = training.environment(rows, X.environment_rows(spark, sf), NAMES, base=samples)
+    rows = add_lag_indices(rows.where(~F.col("critical_missing")).drop("missing", "critical_missing"))
     climate = X.cells(spark, sf).select(
-        "cell_x", "cell_y", *[(F.col("elevation") * i).alias(c) for i, c in enumerate(multiscale.CLIMATE, 1)]
+        *cell, *[(F.col("elevation") * i).alias(c) for i, c in enumerate(multiscale.CLIMATE, 1)], "elevation", "landcover"
     )
-    layers = static_layers(spark, sf).select("cell_x", "cell_y", "elevation", "landcover")
-    located = multiscale.attach_cells(medium, climate, ["cell_x", "cell_y"], list(multiscale.CLIMATE))
-    located = multiscale.attach_cells(located, layers, ["cell_x", "cell_y"], ["elevation", "landcover"])
-    s = X.scenes(spark, sf)
-    fine = multiscale.fine_indices(located, s, s, ["scene_site"], "object_id", "obs_date", "ts")
+    rows = multiscale.attach_cells(rows, climate, cell, [*multiscale.CLIMATE, "elevation", "landcover"], samples)
+    scenes = X.scenes(spark, sf)
+    moved = X.scene_samples(spark, sf)
+    fine = multiscale.fine_indices(moved.select("object_id", "scene_site", "obs_date"), scenes, scenes, ["scene_site"], "obs_date", "ts")
+    rows = rows.join(fine.drop("scene_site", "obs_date"), "object_id", "left")
     texture = glcm(levels(spark, sf), ["file_key"], "row", "col", "g").withColumnRenamed("file_key", "scene_site")
-    fine = multiscale.attach_cells(fine, texture, ["scene_site"], [c for c in multiscale.FINE if c.startswith("texture_")])
-    cover = landscape_metrics(samples.join(layers, ["cell_x", "cell_y"]), ["site"], "landcover")
-    fine = multiscale.attach_cells(fine, cover, ["site"], ["patch_density", "shannon_diversity"])
-    return multiscale.integrate(fine, "obs_date", "landcover", "presence")
+    rows = multiscale.attach_cells(rows, texture, ["scene_site"], [c for c in multiscale.FINE if c.startswith("texture_")], samples)
+    cover = landscape_metrics(samples.join(climate.select(*cell, "landcover"), cell), ["site"], "landcover")
+    rows = multiscale.attach_cells(rows, cover, ["site"], ["patch_density", "shannon_diversity"], samples)
+    return multiscale.integrate(rows, "obs_date", "landcover", "presence")

@@ -251,7 +251,7 @@ def region_min_tvdi(spark, sf):
     rows = _indexed(spark, sf)
     lows = rows.groupBy("country").agg(F.min("LST_Day_1km_30").alias("low"))
     value = I.tvdi_region(F.col("LST_Day_1km_30"), F.col("NDVI_30"), F.col("low"))
-    return lookup(rows, lows, ["country"]).select("object_id", r6(value).alias("tvdi_30"))
+    return lookup(rows, lows, ["country"], base=X.observations(spark, sf).select("country")).select("object_id", r6(value).alias("tvdi_30"))
 
 
 @query(
