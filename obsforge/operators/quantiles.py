@@ -2,60 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.operators.ranking import BUCKETS, bucket_of, cut_points
 from obsforge.operators.skew import HOT_SHARE, hot_keys
 
 
+def hot_condition(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> Column | None:
+    """A filter for the hot keys of a table, None when it has none.
+
+    Runs one aggregate over the key columns; fewer than `share` keys come to the driver.
+    """
+    found = hot_keys(df, keys, share).select(*keys).collect()
+    tests = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in found]
+    return reduce(lambda a, b: a | b, tests) if tests else None
+
+
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", hot_share: int = HOT_SHARE, buckets: int = BUCKETS
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    name: str = "median",
+    times: str | None = None,
+    hot: Column | None | bool = True,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per group that has a non-NULL value, with the interpolated median.
 
-    Equal values are counted first, which already spreads a group over tasks.
-    Ordinary groups then go through the built-in percentile. A group with more
-    than 1/hot_share of the counted rows is never brought together: its values
-    are counted by value bucket, and only the bucket that holds the middle is
-    sorted.
+    `times` names a column that says how often each row counts. An ordinary
+    group is sorted in one task. A hot group is never brought together: its
+    values are counted by value bucket, and only the bucket that holds the
+    middle is sorted. `hot` is a filter for the rows of such groups; by default
+    it is found by counting rows per group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("times"))
-    hot = hot_keys(counted, keys, hot_share)  # fewer than hot_share rows
-    ordinary = (
-        counted.join(F.broadcast(hot), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.percentile(value, F.lit(0.5), F.col("times")).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, *([times] if times else []))
+    if hot is True:
+        hot = hot_condition(rows, keys)
+    ordinary = rows if hot is None else rows.where(~hot)
+    weight = F.col(times) if times else F.lit(1)
+    group = Window.partitionBy(*keys)
+    ranked = ordinary.withColumn("__times", weight).withColumns(
+        {
+            "__last": F.sum("__times").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)),
+            "__total": F.sum("__times").over(group),
+        }
     )
-    heavy = counted.join(F.broadcast(hot.select(*keys)), keys)
-    return ordinary.unionByName(_select_middle(heavy, keys, value, name, buckets))
+    plain = _middle(ranked, keys, value, name)
+    if hot is None:
+        return plain
+    heavy = rows.where(hot).groupBy(*keys, value).agg(F.sum(weight).alias("__times"))
+    return plain.unionByName(_select_middle(heavy, keys, value, name, buckets))
+
+
+def _middle(ranked: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Mean of the lower and the upper middle value, from rows that know the rank they end at and the group's total."""
+    first = F.col("__last") - F.col("__times")
+    lower, upper = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank > first) & (rank <= F.col("__last")), F.col(value).cast("double")))
+
+    near = ranked.where((upper > first) & (lower <= F.col("__last")))
+    return near.groupBy(*keys).agg(((at(lower) + at(upper)) / 2.0).alias(name))
 
 
 def _select_middle(counted: DataFrame, keys: list[str], value: str, name: str, buckets: int) -> DataFrame:
     cuts = cut_points(counted, value, buckets)
     rows = counted.withColumn("__bucket", bucket_of(F.col(value), cuts))
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*keys)  # of bucket totals: at most `buckets` rows per group
     before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
+    lower, upper = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
+    end = F.col("__start") + F.col("__in")
+    holding = (
         rows.groupBy(*keys, "__bucket")
-        .agg(F.sum("times").alias("in_bucket"))
-        .withColumn("start", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-        .withColumn("total", F.sum("in_bucket").over(group))
-        .withColumn("lower", F.floor((F.col("total") + 1) / 2))
-        .withColumn("upper", F.floor(F.col("total") / 2) + 1)
-    )
-
-    def holds(rank: str):
-        return (F.col(rank) > F.col("start")) & (F.col(rank) <= F.col("start") + F.col("in_bucket"))
-
-    middle = totals.where(holds("lower") | holds("upper")).drop("in_bucket", "total")  # two rows per hot group at most
+        .agg(F.sum("__times").alias("__in"))
+        .withColumn("__start", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+        .withColumn("__total", F.sum("__in").over(group))
+        .where((upper > F.col("__start")) & (lower <= end))
+        .drop("__in")
+    )  # two buckets per group at most
     run = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.join(F.broadcast(middle), [*keys, "__bucket"]).withColumn(
-        "last", F.col("start") + F.sum("times").over(run)
-    )
-
-    def at(rank: str):
-        here = (F.col(rank) <= F.col("last")) & (F.col(rank) > F.col("last") - F.col("times"))
-        return F.max(F.when(here, F.col(value).cast("double")))
-
-    return near.groupBy(*keys).agg(((at("lower") + at("upper")) / 2.0).alias(name))
+    ranked = rows.join(holding, [*keys, "__bucket"]).withColumn("__last", F.col("__start") + F.sum("__times").over(run))
+    return _middle(ranked, keys, value, name)
