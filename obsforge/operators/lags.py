@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
 from obsforge.operators.quantiles import exact_median, hot_condition
-from obsforge.operators.skew import HOT_SHARE, salted_join
+from obsforge.operators.skew import HOT_SHARE, hot_keys, salted_join
 
 LAGS = (30, 60, 90)  # fixed values: days looked back
 
@@ -45,18 +45,42 @@ def _daily(bands: Iterable[Band]) -> list[Column]:
     return out
 
 
-def _framed(band: Band, suffix: str, frame, on_missing: str) -> dict[str, Column]:
-    n = F.coalesce(F.sum(f"{band.name}__n").over(frame), F.lit(0))
+def _pieces(frames: Mapping[str, tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
+    """Disjoint day ranges that the frames are unions of, each with the frames it belongs to.
+
+    Nested windows then read every day once instead of once per window.
+    """
+    edges = sorted({first for first, _ in frames.values()} | {last + 1 for _, last in frames.values()})
+    parts = {}
+    for low, high in zip(edges, edges[1:]):
+        members = [name for name, (first, last) in frames.items() if first <= low and high - 1 <= last]
+        if members:
+            parts[(low, high - 1)] = members
+    return parts
+
+
+def _combine(reducer: str, parts: list[Column]) -> Column:
+    """One value from those of disjoint ranges; NULL when all are."""
+    if reducer in ("min", "max"):
+        return parts[0] if len(parts) == 1 else (F.least if reducer == "min" else F.greatest)(*parts)
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + F.coalesce(p, F.lit(0.0))
+    return F.when(F.coalesce(*parts).isNotNull(), total)
+
+
+def _finished(band: Band, suffix: str, pieces: list[int], on_missing: str) -> dict[str, Column]:
+    n = F.lit(0)
+    for i in pieces:
+        n = n + F.coalesce(F.col(f"{band.name}__n{i}"), F.lit(0))
     if band.reducer == "count":
         value = n
-    elif band.reducer in ("min", "max"):
-        value = getattr(F, band.reducer)(f"{band.name}__v").over(frame)
     else:
-        value = F.sum(f"{band.name}__v").over(frame)
+        value = _combine(band.reducer, [F.col(f"{band.name}__v{i}") for i in pieces])
         if band.reducer == "mean":
             value = F.try_divide(value, n)
-    if on_missing == "zero" and band.reducer != "count":
-        value = F.when(n > 0, value).otherwise(F.lit(0.0))
+        if on_missing == "zero":
+            value = F.coalesce(value, F.lit(0.0))
     return {f"{band.name}_{suffix}": value, f"n_{band.name}_{suffix}": n}
 
 
@@ -99,12 +123,25 @@ def frame_features(
     wanted = _wanted(samples if base is None else base, place, sample_day)
     line = wanted.unionByName(partial, allowMissingColumns=True)
     order = Window.partitionBy(*place).orderBy("__day")
+    parts = _pieces(frames)
+    summed: dict[str, Column] = {}
+    for i, ends in enumerate(parts):
+        frame = order.rangeBetween(*ends)
+        for band in bands:
+            summed[f"{band.name}__n{i}"] = F.sum(f"{band.name}__n").over(frame)
+            if band.reducer != "count":
+                fold = getattr(F, band.reducer if band.reducer in ("min", "max") else "sum")
+                summed[f"{band.name}__v{i}"] = fold(f"{band.name}__v").over(frame)
     added: dict[str, Column] = {}
-    for suffix, (first, last) in frames.items():
-        frame = order.rangeBetween(first, last)
+    for suffix in frames:
+        pieces = [i for i, members in enumerate(parts.values()) if suffix in members]
         for band in bands:
-            added.update(_framed(band, suffix, frame, on_missing))
-    values = line.withColumns(added).where(F.col("__rows").isNotNull()).select(*place, "__day", *added)
+            added.update(_finished(band, suffix, pieces, on_missing))
+    values = (
+        line.withColumns(summed)
+        .where(F.col("__rows").isNotNull())
+        .select(*place, "__day", *[c.alias(k) for k, c in added.items()])
+    )
     counts = [f"n_{band.name}_{suffix}" for suffix in frames for band in bands]
     if on_missing == "drop":
         for c in counts:
@@ -212,13 +249,14 @@ def window_values(
             "__bin", F.explode(F.sequence(F.floor((day + first) / width), F.floor((day + last) / width)))
         )
     )
-    counted = (
-        measurements.groupBy(*place, day_number(F.col(measured_day)).alias("__m"), *values)
-        .agg(F.count(F.lit(1)).alias("times"))
-        .withColumn("__bin", F.floor(F.col("__m") / width))
+    dated = measurements.select(*place, day_number(F.col(measured_day)).alias("__m"), *values).withColumn(
+        "__bin", F.floor(F.col("__m") / width)
     )
+    counted = dated.groupBy(*place, "__bin", "__m", *values).agg(F.count(F.lit(1)).alias("times"))
     inside = (F.col("l.__m") >= F.col("r.__day") + first) & (F.col("l.__m") <= F.col("r.__day") + last)
-    return salted_join(counted, keyed, [*place, "__bin"], "inner", inside).select(*place, "__day", *values, "times")
+    hot = hot_keys(dated, [*place, "__bin"])
+    met = salted_join(counted, keyed, [*place, "__bin"], "inner", inside, hot=hot)
+    return met.select(*place, "__day", *values, "times")
 
 
 def window_median(
