@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.skew import hot_keys, salted_join
+from obsforge.operators.skew import HOT_SHARE, fan_out, hot_keys, salted_join
 
 GRID_SIZE = 7  # fixed values: cells per side, and (name, first day back, last day back) of the periods
 PERIODS = (("30", 1, 30), ("60", 31, 60), ("90", 61, 90))
@@ -54,8 +54,9 @@ def context_counts(
     """Presence and absence counts per grid cell and period: one row per cell with any report.
 
     Cells are half open, so a report on a shared edge counts once. The sample's
-    own day is outside every period. Reports at one position, day and class are
-    counted into a single row before they meet any sample. Positions and days
+    own day is outside every period. Reports at one position and day are counted
+    into a single row, and samples at one position and day are looked up once,
+    so copies on either side do not multiply. Positions and days
     are then binned, in bins as wide as the grid and as long as the periods
     together; a sample reads two bins per axis. Counting is partial on the
     join's own task, so matches are never written out. The samples of a bin that
@@ -79,19 +80,20 @@ def context_counts(
         .withColumns(place)
         .withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "day": "r_day"})
     )
-    homes, touched = _hot_homes(located(samples).withColumns(place), reach)
+    copies = located(samples).groupBy("lon", "lat", "day").agg(F.count(F.lit(1)).alias("__rows"))
+    spots = copies.drop("__rows").withColumns(place)
+    homes, touched = _hot_homes(spots)
 
     def touches(first: Column, last: Column, width: float) -> Column:
         return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
 
     targets = (
-        located(samples, sample_id)
-        .withColumns(place)
+        fan_out(spots, "lon", "lat", "day")
         .join(F.broadcast(homes), ["bx", "by", "bt"], "left")
         .withColumn("bx", touches(F.col("lon") - low, F.col("lon") + low, span))
         .withColumn("by", touches(F.col("lat") - low, F.col("lat") + low, span))
         .withColumn("bt", touches(F.col("day") - reach, F.col("day") - 1, reach))
-        .withColumnsRenamed({sample_id: "s_id", "lon": "s_lon", "lat": "s_lat", "day": "s_day"})
+        .withColumnsRenamed({"lon": "s_lon", "lat": "s_lat", "day": "s_day"})
     )
 
     def grid(axis: str, s: str = "", r: str = "") -> Column:
@@ -105,7 +107,15 @@ def context_counts(
     near = (ago >= 1) & (ago <= reach) & (apart("lat") <= low + side) & (apart("lon") <= low + side)
     exact = grid("lat", "l.", "r.").between(0, size - 1) & grid("lon", "l.", "r.").between(0, size - 1)
     met = salted_join(
-        targets, packed, ["bx", "by", "bt"], "inner", near & exact, hot=touched, hot_left="__home", spread=["s_id"]
+        targets,
+        packed,
+        ["bx", "by", "bt"],
+        "inner",
+        near & exact,
+        hot=touched,
+        hot_left="__home",
+        spread=["s_lon", "s_lat", "s_day"],
+        strategy="merge",
     )
     back = F.col("s_day") - F.col("r_day")
     counts = [
@@ -113,12 +123,20 @@ def context_counts(
         for name, first, last in periods
         for k in COUNT_CLASSES
     ]
-    return met.groupBy(
-        F.col("s_id").alias(sample_id), grid("lat").cast("int").alias("row"), grid("lon").cast("int").alias("col")
+    found = met.groupBy(
+        F.col("s_lon").alias("lon"),
+        F.col("s_lat").alias("lat"),
+        F.col("s_day").alias("day"),
+        grid("lat").cast("int").alias("row"),
+        grid("lon").cast("int").alias("col"),
     ).agg(*counts)
+    total = copies.agg(F.sum("__rows")).scalar()
+    crowded = copies.where(F.col("__rows") * HOT_SHARE > total).select("lon", "lat", "day", F.lit(True).alias("__hot"))
+    joined = salted_join(located(samples, sample_id), found, ["lon", "lat", "day"], "inner", hot=crowded)
+    return joined.select(sample_id, "row", "col", *count_columns(periods))
 
 
-def _hot_homes(homes: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+def _hot_homes(homes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bins that many samples lie in, and the bins those samples read: both lists are short by construction."""
     hot = hot_keys(homes, ["bx", "by", "bt"], HOME_SHARE).withColumnRenamed("__hot", "__home")
 
@@ -140,7 +158,17 @@ def count_columns(periods=PERIODS) -> list[str]:
     return [f"{k}_{name}" for name, _, _ in periods for k in COUNT_CLASSES]
 
 
-def centre_counts(counts: DataFrame, sample_id: str, size: int = GRID_SIZE) -> DataFrame:
-    """The counts of the cell the sample itself lies in, one row per sample that has any."""
-    middle = size // 2
-    return counts.where((F.col("row") == middle) & (F.col("col") == middle)).select(sample_id, *count_columns())
+def centre_counts(
+    samples: DataFrame,
+    reports: DataFrame,
+    sample_id: str,
+    lon: str,
+    lat: str,
+    day: str,
+    presence: str,
+    step: float,
+    periods=PERIODS,
+) -> DataFrame:
+    """The counts of the grid cell the sample itself lies in, one row per sample that has any."""
+    one = context_counts(samples, reports, sample_id, lon, lat, day, presence, step, 1, periods)
+    return one.select(sample_id, *count_columns(periods))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
 from obsforge.operators.quantiles import exact_median, hot_condition
-from obsforge.operators.skew import HOT_SHARE, hot_keys, salted_join
+from obsforge.operators.skew import HOT_SHARE, fan_out, hot_keys, salted_join
 
 LAGS = (30, 60, 90)  # fixed values: days looked back
 
@@ -242,9 +242,9 @@ def window_values(
     first, last = frame
     width = last - first + 1
     day = F.col("__day")
+    distinct = samples.select(*place, day_number(F.col(sample_day)).alias("__day")).distinct()
     keyed = (
-        samples.select(*place, day_number(F.col(sample_day)).alias("__day"))
-        .distinct()
+        fan_out(distinct, *place, "__day")
         .withColumn(
             "__bin", F.explode(F.sequence(F.floor((day + first) / width), F.floor((day + last) / width)))
         )

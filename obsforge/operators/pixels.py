@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.hashing import coin
 from obsforge.functions.values import binarise, finite_or_zero
-from obsforge.operators.skew import lookup
+from obsforge.operators.skew import fan_out, lookup
 
 TARGET = 41  # fixed values: side of a sample tile and number of input bands (the label band follows them)
 INPUT_BANDS = 59
@@ -41,8 +41,7 @@ def crop_pad(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> Da
     one shuffle on the pixel key.
     """
     frame = (
-        pixels.select("file_key", "band")
-        .distinct()
+        fan_out(pixels.select("file_key", "band").distinct(), "file_key", "band")
         .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
         .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
         .withColumn("value", F.lit(0.0))
@@ -61,7 +60,7 @@ def binary_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
 def centre_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
     """The 0/1 label of each file from the middle pixel (h // 2, w // 2) of its label band."""
     band = pixels.where(F.col("band") == label_band)
-    centred = lookup(band, dimensions(band), ["file_key"], "inner").where(
+    centred = lookup(band, dimensions(band), ["file_key"], "inner", band).where(
         (F.col("row") == F.floor(F.col("h") / 2)) & (F.col("col") == F.floor(F.col("w") / 2))
     )
     return centred.select("file_key", "h", "w", binarise(F.col("value")).alias("label"))
@@ -86,7 +85,8 @@ def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET
     """
     bands = pixels.groupBy("file_key", "band").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
     wanted = (
-        bands.withColumn("t_row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+        fan_out(bands, "file_key", "band")
+        .withColumn("t_row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
         .withColumn("t_col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
         .withColumn("r", F.explode(_axis(F.col("t_row"), F.col("h"), height)))
         .withColumn("c", F.explode(_axis(F.col("t_col"), F.col("w"), width)))
@@ -105,7 +105,7 @@ def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET
 
 def patchify(pixels: DataFrame, size: int) -> DataFrame:
     """Each pixel with its patch number (row-major) and its place in the patch."""
-    wide = lookup(pixels, dimensions(pixels).select("file_key", "w"), ["file_key"], "inner")
+    wide = lookup(pixels, dimensions(pixels).select("file_key", "w"), ["file_key"], "inner", pixels)
     across = F.ceil(F.col("w") / size)
     return wide.withColumns(
         {
@@ -123,8 +123,7 @@ def patch_vectors(pixels: DataFrame, size: int) -> DataFrame:
     """
     placed = patchify(pixels, size).select("file_key", "patch", "band", "in_row", "in_col", "value")
     frame = (
-        placed.select("file_key", "patch", "band")
-        .distinct()
+        fan_out(placed.select("file_key", "patch", "band").distinct(), "file_key", "patch", "band")
         .withColumn("in_row", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
         .withColumn("in_col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
         .withColumn("value", F.lit(0.0))
@@ -147,7 +146,7 @@ def patch_means(pixels: DataFrame, size: int) -> DataFrame:
 
 def flip(pixels: DataFrame, seed: int = 42) -> DataFrame:
     """Mirror each file left-right and top-bottom, each by a coin the file key decides; all bands alike."""
-    sized = lookup(pixels, dimensions(pixels), ["file_key"], "inner")
+    sized = lookup(pixels, dimensions(pixels), ["file_key"], "inner", pixels)
     across, down = coin(F.col("file_key"), seed), coin(F.col("file_key"), seed + 1)
     return sized.withColumns(
         {

@@ -34,6 +34,7 @@ def salted_join(
     hot_left: str | None = None,
     spread: list[str] | None = None,
     salts: int = SALTS,
+    strategy: str | None = None,
 ) -> DataFrame:
     """Equi-join on `keys` in which no task gets all left rows of a hot key.
 
@@ -42,7 +43,9 @@ def salted_join(
     once per sub-key. Every other key is joined as is. `hot` defaults to the hot
     keys of the left side, a list whose length is bounded, hence the broadcast.
     `hot_left` names a boolean column that already marks the left rows to divide;
-    `hot` must then hold every key such a row may have.
+    `hot` must then hold every key such a row may have. `strategy` is a join hint:
+    a join whose rows are few but meet many others should be shuffled ("merge")
+    even where its bytes would fit a broadcast, so that all cores take part.
     Use with how in inner, left, left_semi, left_anti: all of them look at left
     rows one by one, so the division does not change the result.
     """
@@ -57,6 +60,8 @@ def salted_join(
         divided = marked.withColumn(_SALT, F.when(F.col(_HOT), pick).otherwise(F.lit(0))).drop(_HOT)
     copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(_HOT)
+    if strategy:
+        repeated = repeated.hint(strategy)
     on = [*keys, _SALT]
     if condition is None:
         return divided.join(repeated, on, how).drop(_SALT)
@@ -84,3 +89,16 @@ def lookup(
     if base is None:
         return left.join(right, keys, how)
     return salted_join(left, right, keys, how, hot=hot_keys(base, keys))
+
+
+def fan_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a table over all cores before its rows multiply.
+
+    Adaptive execution sizes partitions by the bytes they hold and cannot see
+    that each row is about to become many. Only for tables already reduced to
+    distinct keys, so that no key is hot.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # on a hash of the keys: repartitioning on the keys themselves is dropped right after grouping by them
+    return df.repartition(parts, F.xxhash64(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.indices import add_lag_indices, ndwi_proxy
 from obsforge.functions.values import as_float, class_label
-from obsforge.operators.context import centre_counts, context_counts, count_columns
+from obsforge.operators.context import centre_counts, count_columns
 from obsforge.operators.lags import LAGS, Band, critical_gate, lag_features, missing_list, with_fallback
 from obsforge.operators.skew import lookup
 from obsforge.sources.catalogue import CRITICAL, DYNAMIC, SOURCES, STATIC, band_for, pair_as_ratio
@@ -133,10 +133,9 @@ def build_training_table(
     cell = list(static_place or names.place)
     placed = lookup(kept, static.select(*cell, *STATIC), cell, "left", samples)
     indexed = add_lag_indices(placed)
-    counts = context_counts(
+    middle = centre_counts(
         samples, reports, names.sample_id, names.lon, names.lat, names.day, names.presence, grid_step
     )
-    middle = centre_counts(counts, names.sample_id)
     full = indexed.join(middle, names.sample_id, "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in count_columns()}
     )

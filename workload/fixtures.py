@@ -235,7 +235,7 @@ LABEL_BAND = 59
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as tiles of one input band and a label band; the last input pixels hold NaN and NULL."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
-    value = F.round(F.col("v").cast("double"), 6)
+    value = F.col("v").cast("double")
     at = [F.floor(F.col("i") / PIX_SIDE).cast("int").alias("row"), (F.col("i") % PIX_SIDE).cast("int").alias("col")]
     dirty = F.when(F.col("i") == 61, F.lit(float("nan"))).when(F.col("i") == 62, F.lit(float("inf"))).when(F.col("i") == 63, F.lit(None)).otherwise(value)
     bands = F.array(
@@ -251,7 +251,7 @@ PIX = """raw AS (
   SELECT vec_id AS file_key, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 pix AS (
   SELECT file_key, 0 AS band, CAST(i // 8 AS INTEGER) AS "row", CAST(i % 8 AS INTEGER) AS col,
-         CASE WHEN i IN (61, 62, 63) THEN 0.0::DOUBLE ELSE round(CAST(v AS DOUBLE), 6) END AS value, label FROM raw
+         CASE WHEN i IN (61, 62, 63) THEN 0.0::DOUBLE ELSE CAST(v AS DOUBLE) END AS value, label FROM raw
   UNION ALL
   SELECT file_key, 59, CAST(i // 8 AS INTEGER), CAST(i % 8 AS INTEGER),
          CASE WHEN label > 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, label FROM raw)"""

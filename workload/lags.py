@@ -322,12 +322,12 @@ def scale_weights(spark, sf):
 @query(
     "suitability",
     f"""WITH {INDEX_SQL}, e AS (SELECT w.*, obs.obs_date, obs.price FROM w JOIN obs USING (object_id))
-        SELECT object_id, {s6("least(greatest((ndvi_30 + ndvi_60 + ndvi_90) / 3 * 0.3::DOUBLE * 0.00137::DOUBLE + (lst_30 + lst_60 + lst_90) / 3 * 0.2::DOUBLE * 0.00137::DOUBLE + price * 0.0000001::DOUBLE * 0.01::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)")} AS hsi,
-        {s6(f"ndvi_30 * 0.00137::DOUBLE * {MEDIUM}")} AS "NDVI_30_w" FROM e""",
+        SELECT object_id, {s6("least(greatest((ndvi_30 + ndvi_60 + ndvi_90) / 3 * 0.3::DOUBLE * 0.00137193::DOUBLE + (lst_30 + lst_60 + lst_90) / 3 * 0.2::DOUBLE * 0.00137193::DOUBLE + price * 0.0000001::DOUBLE * 0.01::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)")} AS hsi,
+        {s6(f"ndvi_30 * 0.00137193::DOUBLE * {MEDIUM}")} AS "NDVI_30_w" FROM e""",
 )
 def suitability(spark, sf):
     rows = _indexed(spark, sf)
-    scaled = rows.withColumns({c: F.col(c) * 0.00137 for c in rows.columns if c.startswith(("NDVI_", "LST_"))})
+    scaled = rows.withColumns({c: F.col(c) * 0.00137193 for c in rows.columns if c.startswith(("NDVI_", "LST_"))})
     scaled = scaled.withColumn("elevation", F.col("price") * 0.0000001)
     weights = I.scale_weights(season(F.col("obs_date")), F.lit(0))
     out = I.weighted_groups(scaled.withColumn("hsi", I.suitability(scaled)), weights)
