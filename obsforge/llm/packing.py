@@ -7,12 +7,16 @@ is left over is packed greedily, a document being cut where a window ends.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,32 +24,81 @@ from pyspark.sql import types as T
 from .common import written
 
 END = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
+#: Characters that composing leaves alone and that Python and the tokenizer lower-case and split alike.
+PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
+
+
+def plain_class(kind: str) -> str:
+    """The plain characters of a Unicode category, as they stand inside brackets of a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(0x20C0) if unicodedata.category(chr(c))[0] == kind and PLAIN.fullmatch(chr(c)))
 
 
 class WordTokens:
-    """Token ids of texts as little-endian 32-bit bytes. No token spans a blank, so words are encoded once and remembered."""
+    """Token ids of texts as little-endian 32-bit bytes, with the end id behind them.
+
+    Where the tokenizer lower-cases, splits into words and marks a word's last token, words of plain texts are encoded once
+    and remembered; other texts and other tokenizers are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        steps = [x["type"] for x in (layout["normalizer"] or {}).get("normalizers", [])]
+        splits = (layout["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.known: dict[str, bytes] = {}
+        self.words = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and layout["model"].get("end_of_word_suffix"):
+            pattern = splits[0]["pattern"]["Regex"].replace(r"\p{L}", plain_class("L")).replace(r"\p{N}", plain_class("N"))
+            self.words = re.compile(pattern)  # the same on plain characters, and faster
+            self.special = [x["content"] for x in layout["added_tokens"]]
+            self.bare = Tokenizer(self.whole.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.whole.get_vocab_size(), bool)
+            suffix = layout["model"]["end_of_word_suffix"]
+            self.last[[k for token, k in layout["model"]["vocab"].items() if token.endswith(suffix)]] = True
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        if len(self.known) + len(words) > CACHED_WORDS:
+            self.known.clear()
+        into = self.known if len(words) <= CACHED_WORDS else {}
+        for start in range(0, len(words), 500):
+            part = words[start : start + 500]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            raw = ids.tobytes()
+            for word, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                into[word] = raw[4 * a : 4 * b]
+        return into
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        extra = self.known
+        end = END.to_bytes(4, "little")
+        if not text:
+            return end
+        if self.words is None or not PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes() + end
+        words = self.words.findall(text.lower())
+        known, distinct = self.known, set(words)
+        new = [w for w in distinct if w not in known]
         if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = extra = {}
-                new = list(set(words))
-            if len(new) > CACHED_WORDS:
-                extra = {}
-            for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                extra[w] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(extra.__getitem__, words)) + END.to_bytes(4, "little")
+            if len(known) + len(new) > CACHED_WORDS:
+                new = list(distinct)
+            known = self._learn(new)
+        return b"".join(map(known.__getitem__, words)) + end
+
+
+def _narrow(raw: bytes) -> bytes:
+    """Ids in two bytes each where all fit, and a byte that says so."""
+    ids = np.frombuffer(raw, "<u4")
+    return b"2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"4" + raw
+
+
+def _wide(packed: bytes) -> bytes:
+    return np.frombuffer(packed, "<u2", offset=1).astype("<u4").tobytes() if packed[:1] == b"2" else packed[1:]
 
 
 class Slots(NamedTuple):
@@ -143,59 +196,58 @@ def pack_documents(
     """One row per piece: id, start, length, payload, doc_tokens, sequence_id, offset.
 
     payload is (column, type, function of the piece's ids as little-endian 32-bit bytes); as given it is the ids themselves.
-    Only the last greedy sequence is not full. Null and empty texts are the end id alone. Every row is packed, also rows
-    that repeat an id or a whole row; a null id stays null. An empty table gives no piece.
+    Only the last greedy sequence is not full. Null and empty texts are the end id alone. Every row is packed by itself,
+    also rows that repeat an id or a whole row; a null id stays null. An empty table gives no piece.
     """
-    source = docs.select(F.col(id).alias("doc"), F.col(text).alias("text")).withColumn("part", F.xxhash64("text"))
+    source = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, press = WordTokens(tokenizer), zstandard.ZstdCompressor()
         for batch in batches:
-            sizes = [len(tokens(x)) // 4 for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64())], names=["doc", "part", "tokens"])
-
-    kind = T.StructType([source.schema["doc"], T.StructField("part", T.LongType()), T.StructField("tokens", T.LongType())])
-    sizes = written(source.mapInArrow(measure, kind)).withColumn("rest", F.col("tokens") % window)
-    found = sizes.groupBy("rest").count().collect()
+            found = [tokens(x) for x in batch.column(1).to_pylist()]
+            sizes = pa.array([len(x) // 4 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([press.compress(_narrow(x)) for x in found], pa.binary())], names=["doc", "tokens", "packed"])
+
+    kind = T.StructType([source.schema["doc"]]).add("tokens", "long").add("packed", "binary")
+    # Rows get a number of their own, which the table keeps, so that rows may repeat ids and texts.
+    encoded = written(source.mapInArrow(encode, kind).withColumn("row", F.monotonically_increasing_id()))
+    sizes = encoded.select("row", "tokens", (F.col("tokens") % window).alias("rest"))
     histogram = np.zeros(window, np.int64)
-    for rest, n in found:
+    for rest, n in sizes.groupBy("rest").count().collect():
         histogram[rest] = n
     slots = plan_slots(histogram, window, columns)
 
-    # A document's rank among those of its length, and the whole windows before it: counts of hash buckets, then inside a bucket.
-    buckets = max(1, int(histogram.sum()) // 50_000)
-    placed = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc", "part"), F.lit(buckets)))
+    # A row's rank among those of its length, and the whole windows before it: counts of hash buckets, then inside a bucket.
+    buckets = max(1, int(histogram.sum()) // 5_000)
+    placed = sizes.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     whole = F.expr(f"tokens div {window}")
     ranks = placed.groupBy("rest", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("rest").orderBy("bucket")) - F.col("count"))
     wholes = placed.groupBy("bucket").agg(F.sum(whole).alias("n")).withColumn("whole_before", F.sum("n").over(Window.orderBy("bucket")) - F.col("n"))
-    inside = Window.partitionBy("bucket").orderBy("doc", "part").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "rest").orderBy("doc", "part")) - 1)
+        placed.repartition("bucket")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "rest").orderBy("row")) - 1)
         .withColumn("wholes", F.sum(whole).over(inside) - whole)
-        .join(ranks.drop("count"), ["rest", "bucket"]).join(wholes.drop("n"), ["bucket"])
-        .groupBy("doc", "part")
-        .agg(F.collect_list(F.struct((F.col("rank") + F.col("before")).alias("rank"), (F.col("wholes") + F.col("whole_before")).alias("whole"))).alias("turns"))
+        .join(wholes.drop("n"), ["bucket"]).join(ranks.drop("count"), ["rest", "bucket"])
+        .select("row", (F.col("rank") + F.col("before")).alias("rank"), (F.col("wholes") + F.col("whole_before")).alias("whole"))
     )
-    once = source.dropDuplicates(["doc", "part"])
-    joined = once.join(ranked.withColumnsRenamed({"doc": "d", "part": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("part") == F.col("p"))).select("doc", "text", "turns")
+    joined = encoded.select("row", "doc", "packed").join(ranked, "row").select("doc", "packed", "rank", "whole")
     name, type_, made = payload
     out = T.StructType([source.schema["doc"]]).add("start", "long").add("length", "long").add(name, T._parse_datatype_string(type_)).add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out)
+        arrow, opened = to_arrow_schema(out), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, value, turns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = tokens(value)
+            for doc, packed, rank, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = _wide(opened.decompress(packed))
                 n = len(raw) // 4
-                for turn in turns:
-                    parts = [(k * window, window, slots.whole + turn["whole"] + k, 0) for k in range(n // window)]
-                    if n % window:
-                        parts += [(n - n % window + a, b, c, d) for a, b, c, d in slots.pieces(n % window, turn["rank"])]
-                    rows += [(doc, a, b, made(raw[4 * a : 4 * (a + b)]), n, c, d) for a, b, c, d in parts]
+                parts = [(k * window, window, slots.whole + before + k, 0) for k in range(n // window)]
+                if n % window:
+                    parts += [(n - n % window + a, b, c, d) for a, b, c, d in slots.pieces(n % window, rank)]
+                rows += [(doc, a, b, made(raw[4 * a : 4 * (a + b)]), n, c, d) for a, b, c, d in parts]
             columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
