@@ -53,7 +53,7 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def buffers(texts: list[bytes], length: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts put end to end up to a bound: bytes, and of each part its text's number, its place there and its end here.
 
     A text beyond the bound comes in parts that overlap, so that each of its windows lies in exactly one.
@@ -66,21 +66,21 @@ def buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         return np.frombuffer(b"".join(p[2] for p in parts), np.uint8), np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), ends
 
     for number, text in enumerate(texts):
-        for start in range(0, len(text) - length + 1, BUFFER):
-            parts.append((number, start, text[start : start + BUFFER + length - 1]))
+        for start in range(0, len(text) - length + 1, bound):
+            parts.append((number, start, text[start : start + bound + length - 1]))
             size += len(parts[-1][2])
-            if size >= BUFFER:
+            if size >= bound:
                 yield out()
                 parts, size = [], 0
     if parts:
         yield out()
 
 
-def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def segments(texts: list[bytes], length: int, bound: int = BUFFER) -> Iterator[tuple[np.ndarray, ...]]:
     """Per buffer: its bytes, and of each segment the minimizer's hash, the text's number, the first window's place in the
     text and in the buffer, the number of windows, and how far behind the first window the minimizer lies."""
     width = length - GRAM + 1
-    for data, number, place, ends in buffers(texts, length):
+    for data, number, place, ends in buffers(texts, length, bound):
         hashes = gram_hashes(data)
         keys = (hashes & np.uint64(~0xFFFFFF & 0xFFFFFFFFFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)  # the first of equals
         at = (window_minima(keys, width) & np.uint64(0xFFFFFF)).astype(np.int64)
@@ -96,13 +96,13 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
         yield data, hashes[at[first]], number[p], place[p] + first - begins[p], first, windows, at[first] - first
 
 
-def minimizers(docs: DataFrame, length: int) -> DataFrame:
+def minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
     """(m, hints): per buffer and minimizer hash, 32-bit hashes of the documents that have it, and twice if one has it twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hint = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
-            for _, m, number, *_ in segments([(x or "").encode() for x in batch.column(1).to_pylist()], length):
+            for _, m, number, *_ in segments([(x or "").encode() for x in batch.column(1).to_pylist()], length, bound):
                 order = np.lexsort((number, m))
                 m, h = m[order], hint[number[order]]
                 first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
@@ -113,43 +113,32 @@ def minimizers(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("hint", "text").mapInArrow(emit, "m long, hints binary")
 
 
-def repeated_minimizers(docs: DataFrame, length: int) -> DataFrame:
+def repeated_minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
     """(hint, known): sorted minimizer hashes that occur more than once, by document hash. Extra documents do no harm."""
-    found = minimizers(docs, length).repartition("m").sortWithinPartitions("m")
+    found = minimizers(docs, length, bound).repartition("m").sortWithinPartitions("m")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def chosen(table: pa.Table) -> pa.RecordBatch:
-            m = table.column(0).to_numpy()
-            hints = table.column(1).combine_chunks()
-            sizes = np.array(pa.compute.binary_length(hints), np.int64) // 4
-            fresh = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-            total = np.repeat(np.add.reduceat(sizes, fresh), np.diff(np.concatenate([fresh, [len(m)]])))
-            every = np.frombuffer(b"".join(hints.to_pylist()), np.int32)
-            stay = np.repeat(total > 1, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(every[stay]), pa.array(np.repeat(m, sizes)[stay])], names=["hint", "m"])
-
+        last, held = None, []  # the hash the batch before ended with, and its hint if it has occurred once so far
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            m = table.column(0).to_numpy()
-            cut = int(np.searchsorted(m, m[-1])) if len(m) else 0
-            if cut == 0 and len(m) > 100_000:  # one hash fills the batch: it is repeated, whatever follows
-                two = pa.table({"m": m[:1], "hints": pa.array([b""], pa.binary())}, schema=table.schema)
-                yield chosen(table)
-                rest = pa.concat_tables([two.set_column(1, "hints", pa.array([np.zeros(0, np.int32).tobytes()], pa.binary())), table.slice(len(m) - 1)])
+            m = batch.column(0).to_numpy()
+            if not len(m):
                 continue
-            if cut:
-                yield chosen(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield chosen(rest)
+            packed = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 4 for x in packed])
+            fresh = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            total = np.add.reduceat(sizes, fresh)
+            before = held if m[0] == last else []
+            total[0] += m[0] == last
+            runs = np.diff(np.concatenate([fresh, [len(m)]]))
+            stay = np.repeat(np.repeat(total > 1, runs), sizes)
+            every = np.frombuffer(b"".join(packed), np.int32)
+            last, held = m[-1], [] if total[-1] > 1 else [every[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(before, np.int32), every[stay]])), pa.array(np.concatenate([m[: len(before)], np.repeat(m, sizes)[stay]]))], names=["hint", "m"])
 
     return found.mapInArrow(keep, "hint int, m long").groupBy("hint").agg(F.collect_set("m").alias("known"))
 
 
-def repeated_segments(packed: DataFrame, hints: DataFrame, length: int) -> DataFrame:
+def repeated_segments(packed: DataFrame, hints: DataFrame, length: int, bound: int) -> DataFrame:
     """(m, content, doc, part, start, windows, raw): every segment whose minimizer is known to be repeated."""
     joined = packed.join(hints, "hint").select("doc", "part", "packed", "known")
 
@@ -158,7 +147,7 @@ def repeated_segments(packed: DataFrame, hints: DataFrame, length: int) -> DataF
         for batch in batches:
             known = [np.sort(np.array(x, np.int64)) for x in batch.column(3).to_pylist()]
             texts = [opened.decompress(x) for x in batch.column(2).to_pylist()]
-            for data, m, number, start, first, windows, _ in segments(texts, length):
+            for data, m, number, start, first, windows, _ in segments(texts, length, bound):
                 m, stay = m.view(np.int64), np.zeros(len(m), bool)
                 cuts = np.flatnonzero(np.diff(number)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(number)], strict=True):
@@ -210,9 +199,12 @@ def repeats_in_shard(rows: list[tuple], length: int) -> Iterator[tuple]:
         yield row[0], row[1], row[2] + int(offset[a]), int(b - a) + length
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, part, start, size): byte runs to remove, overlapping ones among them. docs: doc, part, hint, text, packed."""
-    found = written(repeated_segments(docs.select("hint", "doc", "part", "packed"), repeated_minimizers(docs, length), length))
+def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
+    """(doc, part, start, size): byte runs to remove, overlapping ones among them.
+
+    docs: doc, part, hint (a hash of both) and text; packed: the same once each, with the text compressed.
+    """
+    found = written(repeated_segments(packed, repeated_minimizers(docs, length, buffer), length, buffer))
     order = F.struct("doc", "part", "start")
     distinct = found.groupBy("m", "content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.max("windows").alias("windows"), F.first("raw").alias("raw"))
     distinct = written(distinct)
@@ -244,7 +236,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shared: int = SHARED, sh
     return copies.unionByName(dealt.mapInArrow(compare, kind)).unionByName(late)
 
 
-def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
     """One row per row of docs: id, n_bytes, spans (start and size of each maximal removed run), kept (the bytes left).
 
     A byte goes if a run of `length` bytes around it also starts earlier: in a document of smaller id, or earlier in its own
@@ -262,7 +254,7 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     kind = base.schema["doc"].dataType.simpleString()
     packed = base.mapInArrow(pack, f"doc {kind}, part long, hint int, packed binary")
     once = packed.dropDuplicates(["hint", "doc", "part"])
-    found = _found(base, once, length, shared, shard_bytes).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late"))
+    found = find_repeats(base, once, length, shared, shard_bytes, buffer).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late"))
     joined = packed.join(found.withColumnsRenamed({"doc": "d", "part": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("part") == F.col("p")), "left").select("doc", "packed", "late")
     span = T.ArrayType(T.StructType().add("start", "long").add("size", "long"))
     out = T.StructType([T.StructField(id, base.schema["doc"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
@@ -286,8 +278,3 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, shape), pa.array(kept, pa.binary())], names=out.names)
 
     return joined.mapInArrow(cut, out)
-
-
-def _found(base: DataFrame, once: DataFrame, length: int, shared: int, shard_bytes: int) -> DataFrame:
-    plain = base.select("doc", "part", "hint", "text")
-    return find_repeats(plain, once, length, shared, shard_bytes)
