@@ -25,6 +25,7 @@ from .common import written
 
 END = 1
 CACHED_WORDS = 600_000
+OUT_TOKENS = 500_000  # of the pieces that are handed on at once
 #: Characters that composing leaves alone and that Python and the tokenizer lower-case and split alike.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
 
@@ -191,7 +192,7 @@ def plan_slots(histogram: np.ndarray, window: int, columns: int = 4000) -> Slots
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = 2048, columns: int = 4000,
-    payload: tuple[str, str, Callable[[bytes], object]] = ("ids", "array<int>", lambda raw: np.frombuffer(raw, "<u4").tolist()),
+    payload: tuple[str, str, Callable[[bytes], object]] = ("ids", "array<int>", lambda raw: np.frombuffer(raw, "<i4")),
 ) -> DataFrame:
     """One row per piece: id, start, length, payload, doc_tokens, sequence_id, offset.
 
@@ -239,8 +240,14 @@ def pack_documents(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, opened = to_arrow_schema(out), zstandard.ZstdDecompressor()
+        rows: list[tuple] = []
+        held = 0
+
+        def full() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
-            rows = []
             for doc, packed, rank, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = _wide(opened.decompress(packed))
                 n = len(raw) // 4
@@ -248,7 +255,10 @@ def pack_documents(
                 if n % window:
                     parts += [(n - n % window + a, b, c, d) for a, b, c, d in slots.pieces(n % window, rank)]
                 rows += [(doc, a, b, made(raw[4 * a : 4 * (a + b)]), n, c, d) for a, b, c, d in parts]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+                held += n
+                if held > OUT_TOKENS:
+                    yield full()
+                    rows, held = [], 0
+        yield full()
 
     return joined.mapInArrow(cut, out).withColumnRenamed("doc", id)
