@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, texts
+from .common import mix, slices, texts
 
 WINDOW = 13
 #: Bytes of test text up to which the windows are sent to every task.
@@ -134,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id"
     at = base.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for value in batch.column(at).to_pylist():
                 words = words_of(value)
@@ -151,7 +151,7 @@ def _joined(base: DataFrame, tests: DataFrame, id: str, text: str, window: int,
 
     def windows(lengths: list[int] | None = None):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 for owner, value in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                     ids = np.array([xxhash.xxh3_64_intdigest(w) for w in words_of(value)], np.uint64)
                     for length in lengths or ([min(window, len(ids))] if len(ids) else []):
@@ -182,7 +182,7 @@ def _joined(base: DataFrame, tests: DataFrame, id: str, text: str, window: int,
     at, n = base.columns.index(text), len(base.columns)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for value, runs, owners in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 rows.append(report(value, words_of(value), [(r["start"], r["length"]) for r in runs or []], owners or [], spans))

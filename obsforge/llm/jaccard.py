@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import mix, slices, written
 from .components import connected_components, forest
 from .decontaminate import words_of
 
@@ -113,7 +113,7 @@ def sketch_texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     source = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = []
             for value in batch.column(2).to_pylist():
                 found = shingles_of(value)
@@ -177,7 +177,7 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", t
     ready = ready.select("root", "set", "copies", "blocks", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles_of(x).tobytes() for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["root", "set", "copies", "blocks", "shingles"])
 

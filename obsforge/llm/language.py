@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_share, texts
+from .common import hash_share, slices, texts
 
 UNDETERMINED = "und"
 CLASSES, OWN = 128, 96  # symbols of the normalised alphabet; those below OWN belong to one character each
@@ -140,7 +140,7 @@ def predict_language(docs: DataFrame, model: KernelModel, text: str = "text", pr
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(model.alphabet)
-        for batch in batches:
+        for batch in slices(batches):
             found: list[str] = [UNDETERMINED] * batch.num_rows
             scores = np.zeros(batch.num_rows)
             values = texts(batch.column(at))

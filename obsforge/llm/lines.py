@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SIZE = 3
 
 
@@ -55,7 +57,7 @@ def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, counts, removed = [], [], []
             for value, starts in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True):
                 lines = [] if value is None else value.split("\n")

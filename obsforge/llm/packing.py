@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 
 END = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 OUT_TOKENS = 500_000  # of the pieces that are handed on at once
 #: Characters that composing leaves alone and that Python and the tokenizer lower-case and split alike.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
@@ -204,7 +204,7 @@ def pack_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, press = WordTokens(tokenizer), zstandard.ZstdCompressor()
-        for batch in batches:
+        for batch in slices(batches):
             found = [tokens(x) for x in batch.column(1).to_pylist()]
             sizes = pa.array([len(x) // 4 for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([press.compress(_narrow(x)) for x in found], pa.binary())], names=["doc", "tokens", "packed"])

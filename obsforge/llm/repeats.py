@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, written
+from .common import mix, slices, written
 from .jaccard import groups
 from .suffix_array import permuted_common_prefixes, suffix_array
 
@@ -103,19 +103,27 @@ def minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
         for batch in batches:
             hint = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
             for _, m, number, *_ in segments([(x or "").encode() for x in batch.column(1).to_pylist()], length, bound):
-                order = np.lexsort((number, m))
-                m, h = m[order], hint[number[order]]
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-                offsets = np.concatenate([first, [len(m)]]).astype(np.int32) * 4
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), packed], names=["m", "hints"])
+                yield pack_hints(m, hint[number])
 
     return docs.select("hint", "text").mapInArrow(emit, "m long, hints binary")
 
 
-def repeated_minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
-    """(hint, known): sorted minimizer hashes that occur more than once, by document hash. Extra documents do no harm."""
-    found = minimizers(docs, length, bound).repartition("m").sortWithinPartitions("m")
+def pack_hints(m: np.ndarray, hints: np.ndarray) -> pa.RecordBatch:
+    """(m, hints): each hash once, with all its document hashes as bytes."""
+    order = np.lexsort((hints, m))
+    m, hints = m[order], hints[order]
+    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
+    offsets = np.concatenate([first, [len(m)]]).astype(np.int32) * 4
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(hints)])
+    return pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), packed], names=["m", "hints"])
+
+
+def known_by_document(found: DataFrame) -> DataFrame:
+    """(hint, known): hashes that occur more than once, by document hash. Extra documents do no harm.
+
+    found: (m, hints), where a hash has one row for each buffer of documents, however often it occurs in it.
+    """
+    found = found.repartition("m").sortWithinPartitions("m")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []  # the hash the batch before ended with, and its hint if it has occurred once so far
@@ -199,12 +207,26 @@ def repeats_in_shard(rows: list[tuple], length: int) -> Iterator[tuple]:
         yield row[0], row[1], row[2] + int(offset[a]), int(b - a) + length
 
 
+def keyed_texts(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, part, hint, text) and the same with the text compressed; null texts are empty."""
+    base = docs.select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base.select("doc", F.xxhash64("text").alias("part"), F.hash("doc", "text").alias("hint"), "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([press.compress(x.encode()) for x in batch.column(3).to_pylist()], pa.binary())], names=["doc", "part", "hint", "packed"])
+
+    kind = base.schema["doc"].dataType.simpleString()
+    return base, base.mapInArrow(pack, f"doc {kind}, part long, hint int, packed binary")
+
+
 def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
     """(doc, part, start, size): byte runs to remove, overlapping ones among them.
 
     docs: doc, part, hint (a hash of both) and text; packed: the same once each, with the text compressed.
     """
-    found = written(repeated_segments(packed, repeated_minimizers(docs, length, buffer), length, buffer))
+    found = written(repeated_segments(packed, known_by_document(minimizers(docs, length, buffer)), length, buffer))
     order = F.struct("doc", "part", "start")
     distinct = found.groupBy("m", "content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.max("windows").alias("windows"), F.first("raw").alias("raw"))
     distinct = written(distinct)
@@ -243,26 +265,22 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     document. Runs are judged on the input, as UTF-8, and never cross documents. A null text is empty, a null id smallest.
     Rows that agree in id and text are one document; rows that agree in id only are ordered by a hash of the text.
     """
-    base = docs.select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select("doc", F.xxhash64("text").alias("part"), F.hash("doc", "text").alias("hint"), "text")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([press.compress(x.encode()) for x in batch.column(3).to_pylist()], pa.binary())], names=["doc", "part", "hint", "packed"])
-
-    kind = base.schema["doc"].dataType.simpleString()
-    packed = base.mapInArrow(pack, f"doc {kind}, part long, hint int, packed binary")
+    base, packed = keyed_texts(docs, id, text)
     once = packed.dropDuplicates(["hint", "doc", "part"])
     found = find_repeats(base, once, length, shared, shard_bytes, buffer).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late"))
+    return cut_spans(packed, found, id)
+
+
+def cut_spans(packed: DataFrame, found: DataFrame, id: str) -> DataFrame:
+    """(id, n_bytes, spans, kept) of all documents, found being (doc, part, late): byte runs to remove."""
     joined = packed.join(found.withColumnsRenamed({"doc": "d", "part": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("part") == F.col("p")), "left").select("doc", "packed", "late")
     span = T.ArrayType(T.StructType().add("start", "long").add("size", "long"))
-    out = T.StructType([T.StructField(id, base.schema["doc"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    out = T.StructType([T.StructField(id, packed.schema["doc"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
         shape = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             sizes, spans, kept = [], [], []
             for raw, late in zip((opened.decompress(x) for x in batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
                 runs: list[list[int]] = []
