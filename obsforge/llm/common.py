@@ -33,11 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and read again when an executor is lost."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: computed once, and read again when an executor is lost.
+
+    The shuffles it took are of no further use, so their files go when the table is there.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
