@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, packing, repeats, secret_scan
+from . import decontaminate, jaccard, language, lines, packing, paragraphs, repeats, secret_scan
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@query("op9_paragraph_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = paragraphs.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["size"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.decode("kept", "UTF-8").alias("text"))
+
+
 @query("op10_decontamination", f"""
     WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {WORDS} AS w FROM benchmark),
     bw AS (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS win

@@ -53,11 +53,12 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def buffers(texts: list[bytes], length: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def buffers(texts: list[bytes], length: int, bound: int, overlap: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts put end to end up to a bound: bytes, and of each part its text's number, its place there and its end here.
 
-    A text beyond the bound comes in parts that overlap, so that each of its windows lies in exactly one.
+    A text beyond the bound comes in parts that overlap, so that each of its windows lies in exactly one, or by more.
     """
+    overlap = length - 1 if overlap is None else overlap
     parts: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -67,7 +68,7 @@ def buffers(texts: list[bytes], length: int, bound: int) -> Iterator[tuple[np.nd
 
     for number, text in enumerate(texts):
         for start in range(0, len(text) - length + 1, bound):
-            parts.append((number, start, text[start : start + bound + length - 1]))
+            parts.append((number, start, text[start : start + bound + overlap]))
             size += len(parts[-1][2])
             if size >= bound:
                 yield out()
