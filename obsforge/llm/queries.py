@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, packing, paragraphs, repeats, secret_scan
+from . import decontaminate, jaccard, language, lines, packing, paragraphs, quality, repeats, secret_scan
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = remainder("doc_id", 3) == 1
+    machine = quality.fit_machine(quality.sample_features(docs, table(spark, sf_dir, "labels"), ~held_out))
+    scored = quality.score_quality(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
