@@ -30,27 +30,52 @@ SHARD_BYTES = 1 << 20
 SHARED = 500
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 24 bytes from each place on."""
-    h, width, power = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the 24 bytes from each place on."""
+    h, width, power = data.astype(np.uint32) + np.uint32(1), 1, 0x9E3779B1
     eight = h
     while width < 16:
-        h = h[:-width] * np.uint64(power) + h[width:]
-        power = power * power % (1 << 64)
+        h = h[:-width] * np.uint32(power) + h[width:]
+        power = power * power % (1 << 32)
         width *= 2
         if width == 8:
             eight = h
     n = len(data) - GRAM + 1
-    return mix(h[:n] * np.uint64(0xD6E8FEB86659FD93) + eight[16 : 16 + n])
+    key = h[:n] * np.uint32(0x85EBCA77) + eight[16 : 16 + n]
+    key ^= key >> np.uint32(15)
+    key *= np.uint32(0x2C1B3C6D)
+    return key ^ (key >> np.uint32(13))
 
 
-def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
-    low, reach = keys, 1
+def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the 24 bytes from the given places on."""
+    total = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        total = total * np.uint64(0x100000001B3) + data[at + k]
+    return mix(total)
+
+
+def sliding(best, values: np.ndarray, width: int) -> np.ndarray:
+    """best of each run of `width` values."""
+    reach = 1
     while reach * 2 <= width:
-        low = np.minimum(low[:-reach], low[reach:])
+        values = best(values[:-reach], values[reach:])
         reach *= 2
     rest = width - reach
-    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    return best(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def minimizer_runs(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are the first least key of some window of `width` keys, and the first window of each."""
+    low = sliding(np.minimum, keys, width)
+    edge = np.full(width - 1, 0, keys.dtype)
+    high = sliding(np.maximum, np.concatenate([edge, low, edge]), width)
+    at = np.flatnonzero(high == keys)  # some window around it has no lesser key
+    a, b = at[:-1], at[1:]
+    begin = np.minimum(np.concatenate([[0], np.where(keys[b] < keys[a], b - width + 1, a + 1)]), len(low))
+    begin = np.minimum.accumulate(begin[::-1])[::-1]  # of equals, some are the first in no window
+    stay = np.diff(np.concatenate([begin, [len(low)]])) > 0
+    return at[stay], begin[stay]
 
 
 def buffers(texts: list[bytes], length: int, bound: int, overlap: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,9 +107,8 @@ def segments(texts: list[bytes], length: int, bound: int = BUFFER) -> Iterator[t
     text and in the buffer, the number of windows, and how far behind the first window the minimizer lies."""
     width = length - GRAM + 1
     for data, number, place, ends in buffers(texts, length, bound):
-        hashes = gram_hashes(data)
-        keys = (hashes & np.uint64(~0xFFFFFF & 0xFFFFFFFFFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)  # the first of equals
-        at = (window_minima(keys, width) & np.uint64(0xFFFFFF)).astype(np.int64)
+        places, opening = minimizer_runs(gram_keys(data), width)
+        at = np.repeat(places, np.diff(np.concatenate([opening, [len(data) - length + 1]])))
         begins = ends - np.diff(np.concatenate([[0], ends]))
         part = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[: len(at)]
         valid = np.arange(len(at)) + length <= ends[part]
@@ -94,7 +118,7 @@ def segments(texts: list[bytes], length: int, bound: int = BUFFER) -> Iterator[t
         run = np.cumsum(valid & fresh)[valid] - 1
         windows = np.bincount(run, minlength=len(first))
         p = part[first]
-        yield data, hashes[at[first]], number[p], place[p] + first - begins[p], first, windows, at[first] - first
+        yield data, gram_hashes(data, at[first]), number[p], place[p] + first - begins[p], first, windows, at[first] - first
 
 
 def minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
@@ -148,7 +172,7 @@ def known_by_document(found: DataFrame) -> DataFrame:
 
 
 def repeated_segments(packed: DataFrame, hints: DataFrame, length: int, bound: int) -> DataFrame:
-    """(m, content, doc, part, start, windows, raw): every segment whose minimizer is known to be repeated."""
+    """(m, content, doc, part, start, windows, behind, raw): every segment whose minimizer is known to be repeated."""
     joined = packed.join(hints, "hint").select("doc", "part", "packed", "known")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +180,7 @@ def repeated_segments(packed: DataFrame, hints: DataFrame, length: int, bound: i
         for batch in batches:
             known = [np.sort(np.array(x, np.int64)) for x in batch.column(3).to_pylist()]
             texts = [opened.decompress(x) for x in batch.column(2).to_pylist()]
-            for data, m, number, start, first, windows, _ in segments(texts, length, bound):
+            for data, m, number, start, first, windows, behind in segments(texts, length, bound):
                 m, stay = m.view(np.int64), np.zeros(len(m), bool)
                 cuts = np.flatnonzero(np.diff(number)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(number)], strict=True):
@@ -167,16 +191,52 @@ def repeated_segments(packed: DataFrame, hints: DataFrame, length: int, bound: i
                 content = [xxhash.xxh3_128_digest(x) for x in raw]
                 rows = number[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m[at]), pa.array(content, pa.binary()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(start[at]), pa.array(windows[at]), pa.array(raw, pa.binary())],
-                    names=["m", "content", "doc", "part", "start", "windows", "raw"],
+                    [pa.array(m[at]), pa.array(content, pa.binary()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(start[at]), pa.array(windows[at]), pa.array(behind[at]), pa.array(raw, pa.binary())],
+                    names=["m", "content", "doc", "part", "start", "windows", "behind", "raw"],
                 )
 
     kind = packed.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(emit, f"m long, content binary, doc {kind}, part long, start long, windows long, raw binary")
+    return joined.mapInArrow(emit, f"m long, content binary, doc {kind}, part long, start long, windows long, behind long, raw binary")
+
+
+def shared_with_next(groups_: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Of each row, the most leading bytes that its context shares with that of another row of its group."""
+    whole = np.concatenate([groups_.astype(">u8")[:, None].view(np.uint8).reshape(len(contexts), 8), contexts], 1)
+    order = np.argsort(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), kind="stable")
+    equal = (whole[order[1:]] == whole[order[:-1]]).cumprod(1, dtype=np.uint8).sum(1, dtype=np.int64) - 8
+    best = np.zeros(len(contexts), np.int64)
+    best[order[1:]] = np.maximum(equal, 0)
+    best[order[:-1]] = np.maximum(best[order[:-1]], equal)
+    return best
+
+
+def trimmed(rows: list[tuple], length: int) -> list[tuple]:
+    """Rows without the windows that no other segment can share: (doc, part, start, windows, raw).
+
+    rows: (m, behind, doc, part, start, windows, raw). Segments of one minimizer are laid over each other at it; a window
+    needs as many equal bytes before and behind it as it covers there.
+    """
+    reach = length - GRAM
+    left, right = np.zeros((2, len(rows), reach + 1), np.uint8)
+    for k, (_, behind, *_, raw) in enumerate(rows):
+        before, after = raw[:behind][::-1], raw[behind + GRAM :]
+        left[k, : len(before)], left[k, reach] = np.frombuffer(before, np.uint8), len(before)
+        right[k, : len(after)], right[k, reach] = np.frombuffer(after, np.uint8), len(after)
+    m = np.array([r[0] for r in rows])
+    before = np.minimum(shared_with_next(m, left), reach)
+    after = np.minimum(shared_with_next(m, right), reach)
+    out = []
+    for (_, behind, doc, part, start, windows, raw), b, a in zip(rows, before.tolist(), after.tolist(), strict=True):
+        low, high = max(0, behind - b), min(windows - 1, behind - reach + a)
+        if low <= high:
+            out.append((doc, part, start + low, high - low + 1, raw[low : high + length]))
+    return out
 
 
 def repeats_in_shard(rows: list[tuple], length: int) -> Iterator[tuple]:
     """rows: (doc, part, start, windows, raw). Yields (doc, part, start, bytes) of windows that also start earlier."""
+    if not rows:
+        return
     data = np.frombuffer(b"".join(r[4] + b"\0" for r in rows), np.uint8).astype(np.int64) + 2
     sizes = np.array([len(r[4]) + 1 for r in rows])
     begin = np.cumsum(sizes) - sizes
@@ -223,40 +283,40 @@ def keyed_texts(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
-    """(doc, part, start, size): byte runs to remove, overlapping ones among them.
+    """(doc, part, late): byte runs to remove, overlapping ones among them.
 
     docs: doc, part, hint (a hash of both) and text; packed: the same once each, with the text compressed.
     """
     found = written(repeated_segments(packed, known_by_document(minimizers(docs, length, buffer)), length, buffer))
     order = F.struct("doc", "part", "start")
-    distinct = found.groupBy("m", "content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.max("windows").alias("windows"), F.first("raw").alias("raw"))
-    distinct = written(distinct)
+    distinct = found.groupBy("m", "content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first(F.struct("windows", "behind", "raw")).alias("segment"))
+    distinct = written(distinct.select("m", "content", "first", "n", "segment.*"))
     copies = found.select("m", "content", "doc", "part", "start", "windows").join(distinct.where("n > 1").select("m", "content", "first"), ["m", "content"])
-    copies = copies.where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", (F.col("windows") + length - 1).alias("size"))
+    copies = written(copies.where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", (F.col("windows") + length - 1).alias("size")))
 
     several = distinct.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")).where("n > 1")
-    several = written(several)
-    total = several.where(F.col("n") <= shared).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    ready = distinct.select("m", "behind", "first.doc", "first.part", "first.start", "windows", "raw").join(several.withColumnsRenamed({"n": "segments", "bytes": "all"}), "m")
+    ready = written(ready)
+    cold, hot = ready.where(F.col("segments") <= shared), ready.where(F.col("segments") > shared)
+    total = cold.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    ready = distinct.select("m", "first.doc", "first.part", "first.start", "windows", "raw").join(several.select("m", F.col("n").alias("segments")), "m")
-    dealt = ready.where(F.col("segments") <= shared).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    dealt = dealt.select("shard", "doc", "part", "start", "windows", "raw").repartition("shard").sortWithinPartitions("shard")
+    dealt = cold.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "behind", "doc", "part", "start", "windows", "raw")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     kind = f"doc {docs.schema['doc'].dataType.simpleString()}, part long, start long, size long"
     types = (docs.schema["doc"].dataType, T.LongType(), T.LongType(), T.LongType())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for _, rows in groups(batches, 1):
-            late = list(zip(*repeats_in_shard(rows, length), strict=True)) or [[]] * 4
+        for _, rows in groups(slices(batches, 2000), 1):
+            late = list(zip(*repeats_in_shard(trimmed(rows, length), length), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(x), to_arrow_type(t)) for x, t in zip(late, types, strict=True)], names=["doc", "part", "start", "size"])
 
-    hot = ready.where(F.col("segments") > shared)
     places = F.expr(f"transform(sequence(0, int(windows) - 1), i -> named_struct('h1', xxhash64(substring(raw, i + 1, {length})), 'h2', xxhash64(m, substring(raw, i + 1, {length})), 'start', start + i))")
     windows = hot.select("doc", "part", F.inline(places))
     first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = windows.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", F.lit(length).cast("long").alias("size"))
-    return copies.unionByName(dealt.mapInArrow(compare, kind)).unionByName(late)
+    return written(copies.unionByName(dealt.mapInArrow(compare, kind)).unionByName(late).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late")))
 
 
 def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
@@ -268,8 +328,7 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     """
     base, packed = keyed_texts(docs, id, text)
     once = packed.dropDuplicates(["hint", "doc", "part"])
-    found = find_repeats(base, once, length, shared, shard_bytes, buffer).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late"))
-    return cut_spans(packed, found, id)
+    return cut_spans(packed, find_repeats(base, once, length, shared, shard_bytes, buffer), id)
 
 
 def cut_spans(packed: DataFrame, found: DataFrame, id: str) -> DataFrame:
