@@ -7,12 +7,13 @@ documents' paragraphs that share a MinHash value with another one, and only they
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ LEAST_WORDS = 20
 SIEVE = 3  # values of which one must be shared; all differ at similarity 0.8 with probability 0.2**3
 FOLDS = np.frombuffer(FOLD, np.uint8)
 ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
+FEW = 8  # members up to which sets are met one by one
 APART = 3  # words before a sentence's end without a mark, so that paragraphs in sequence differ enough
 SOFT = 32  # a word in so many ends a sentence by its hash, for texts without marks
 
@@ -38,6 +40,13 @@ def tune_bands(threshold: float, miss: float, most: int = 64, rows: int = 2) ->
     return next(b for b in range(1, most + 1) if (1 - threshold**rows) ** b <= miss or b == most)
 
 
+@lru_cache(maxsize=2)
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    base = 0x100000001B3
+    return tuple(np.cumprod(np.full(size, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+
+
 class Paragraphs(NamedTuple):
     number: np.ndarray  # of the text, in its batch
     start: np.ndarray  # bytes of the text
@@ -60,8 +69,7 @@ def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = B
         at, to = np.sort(np.concatenate([at, inner])), np.sort(np.concatenate([to, inner]))
         if not len(at):
             continue
-        powers = np.cumprod(np.full(len(data) + 1, 0x100000001B3, np.uint64))
-        inverse = np.cumprod(np.full(len(data) + 1, pow(0x100000001B3, -1, 1 << 64), np.uint64))
+        powers, inverse = (x[: len(data) + 1] for x in power_tables(1 << int(len(data) + 1).bit_length()))
         total = np.concatenate([[np.uint64(0)], np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
         word = mix((total[to] - total[at]) * inverse[at] + (to - at).astype(np.uint64))
         part = np.searchsorted(ends, at, "right")
@@ -93,6 +101,17 @@ def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = B
         yield mix(runs), Paragraphs(number[p], place[p] + at[head] - begins[p], stop - at[head], tail - head, head, tail - SHINGLE + 1)
 
 
+def gather_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    sizes = last - first
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow column of the bytes between the offsets."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def minima(shingles: np.ndarray, paragraphs: Paragraphs, lane: int) -> np.ndarray:
     """One MinHash value of each paragraph."""
     values = np.append(mix(shingles * np.uint64(2 * lane + 1) + np.uint64(lane)), np.uint64(0))
@@ -119,7 +138,7 @@ def sieve_values(docs: DataFrame, least: int) -> DataFrame:
 
 
 def sieved_paragraphs(packed: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """(set, doc, part, start, size, n, shingles) of the paragraphs that share a value with another one."""
+    """(set, doc, part, start, size, shingles) of the paragraphs that share a value with another one."""
     joined = packed.join(known, "hint").select("doc", "part", "packed", "known")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,31 +152,37 @@ def sieved_paragraphs(packed: DataFrame, known: DataFrame, least: int) -> DataFr
                 for a, b in zip([0, *cuts], [*cuts, len(stay)], strict=True):
                     stay[a:b] = np.isin(lows[:, a:b], seen[found.number[a]]).any(0)
                 at = np.flatnonzero(stay)
-                sets = [np.unique(shingles[a:b]) for a, b in zip(found.first[at], found.last[at], strict=True)]
-                raw = [x.tobytes() for x in sets]
-                rows = pa.array(found.number[at])
+                first, last = found.first[at], found.last[at]
+                runs = gather_runs(first, last)
+                own, rows = shingles[runs], pa.array(found.number[at])
+                offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+                # A set is named by two sums over its hashes; of each hash four bytes are kept, enough among a few dozen.
+                ends = offsets[:-1]
+                names = np.stack([np.add.reduceat(mix(own + np.uint64(k)), ends) if len(at) else own for k in (11, 12)], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.start[at]), pa.array(found.size[at]), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary())],
-                    names=["set", "doc", "part", "start", "size", "n", "shingles"],
+                    [binary(names, np.arange(0, 16 * len(at) + 1, 16)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.start[at]), pa.array(found.size[at]), binary((own >> np.uint64(32)).astype(np.uint32), 4 * offsets)],
+                    names=["set", "doc", "part", "start", "size", "shingles"],
                 )
 
     kind = packed.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(emit, f"set binary, doc {kind}, part long, start long, size long, n int, shingles binary")
+    return joined.mapInArrow(emit, f"set binary, doc {kind}, part long, start long, size long, shingles binary")
 
 
 def linked_classes(classes: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """(node, root): classes of equal paragraphs, joined where they share a band and their exact similarity is high enough."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lanes = np.arange(100, 100 + bands * rows, dtype=np.uint64)[:, None]
         for batch in slices(batches, 2000):
-            keys = []
-            for raw in batch.column(2).to_pylist():
-                low = mix(np.frombuffer(raw, np.uint64)[None, :] * (2 * lanes + np.uint64(1)) + lanes).min(1)
-                keys.append([xxhash.xxh3_64_intdigest(low[b * rows : b * rows + rows].tobytes() + bytes([b])) - (1 << 63) for b in range(bands)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["set", "n", "shingles", "bands"])
-
-    banded = written(classes.select("set", "n", "shingles").mapInArrow(band, "set binary, n int, shingles binary, bands array<long>"))
+            raw = batch.column(1).to_pylist()
+            starts = np.cumsum([0] + [len(x) // 4 for x in raw])[:-1]
+            values = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
+            keys = np.zeros((len(raw), bands), np.uint64)
+            for b in range(bands):
+                for lane in range(b * rows, b * rows + rows):
+                    keys[:, b] = mix(keys[:, b] + np.minimum.reduceat(mix(values * np.uint64(2 * lane + 201) + np.uint64(lane)), starts) + np.uint64(b))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["set", "shingles", "bands"])
+
+    banded = written(classes.select("set", "shingles").mapInArrow(band, "set binary, shingles binary, bands array<long>"))
     keys = banded.select("set", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set")).alias("x"), F.sum(F.hash("set").cast("long")).alias("y")).where("size > 1")
     distinct = shared.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
@@ -165,19 +190,27 @@ def linked_classes(classes: DataFrame, threshold: float, bands: int, rows: int)
     pairs = in_block_pairs(members, "bucket", F.ceil(F.col("size") / BLOCK), "set", "shingles")
     limit = round(threshold * 1000)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), found in groups(batches, 3):
-            block, sets = np.array([r[0] for r in found]), [np.frombuffer(r[2], np.uint64) for r in found]
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(left) or not len(right):
-                continue
-            shared = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+    def links(found: list[tuple], i: int, j: int) -> Iterator[tuple[bytes, bytes]]:
+        if len(found) <= FEW:
+            own = [set(memoryview(r[2]).cast("I")) for r in found]
+            for x, y in itertools.combinations(range(len(found)), 2):
+                both = len(own[x] & own[y])
+                if 1000 * both >= limit * (len(own[x]) + len(own[y]) - both):
+                    yield found[x][1], found[y][1]
+            return
+        block, sets = np.array([r[0] for r in found]), [np.unique(np.frombuffer(r[2], np.uint32)) for r in found]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if len(left) and len(right):
             sizes = np.array([len(x) for x in sets])
-            a, b = np.nonzero(1000 * shared >= limit * (sizes[left][:, None] + sizes[right][None, :] - shared))
+            both = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+            a, b = np.nonzero(1000 * both >= limit * (sizes[left][:, None] + sizes[right][None, :] - both))
             label = forest(len(found), left[a], right[b])
-            moved = np.flatnonzero(label != np.arange(len(found)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array([found[k][1] for k in moved], pa.binary()), pa.array([found[k][1] for k in label[moved]], pa.binary())], names=["a", "b"])
+            yield from ((found[k][1], found[label[k]][1]) for k in np.flatnonzero(label != np.arange(len(found))))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (pair for (_, i, j), found in groups(slices(batches, 2000), 3) for pair in links(found, i, j))
+        while some := list(itertools.islice(every, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.binary()), pa.array([b for _, b in some], pa.binary())], names=["a", "b"])
 
     return connected_components(pairs.mapInArrow(verify, "a binary, b binary"))
 
@@ -194,7 +227,7 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     once = packed.dropDuplicates(["hint", "doc", "part"])
     found = written(sieved_paragraphs(once, known_by_document(sieve_values(base, least)), least))
     order = F.struct("doc", "part", "start", "size")
-    classes = written(found.groupBy("set").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    classes = written(found.groupBy("set").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("shingles").alias("shingles")))
     roots = linked_classes(classes, threshold, tune_bands(threshold, miss), 2)
     labelled = classes.select("set", "first", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     heads = labelled.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1").select("root", "head")
@@ -202,4 +235,4 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     itself = F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("part") == F.col("head.part"))
     over = (F.col("start") < F.col("head.start") + F.col("head.size")) & (F.col("head.start") < F.col("start") + F.col("size"))
     late = members.where(~(itself & over)).groupBy("doc", "part").agg(F.collect_set(F.struct("start", "size")).alias("late"))
-    return cut_spans(packed, late, id)
+    return cut_spans(packed, written(late), id)
