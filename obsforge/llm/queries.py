@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, packing, paragraphs, quality, repeats, secret_scan
+from . import decontaminate, jaccard, language, lines, neighbours, packing, paragraphs, quality, repeats, secret_scan
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.drop_repeats(table(spark, sf_dir, "documents"))
