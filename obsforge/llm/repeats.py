@@ -26,7 +26,7 @@ LENGTH = 100
 GRAM = 24  # 16 + 8, so that hashes double
 BUFFER = 2 << 20
 SHARD_BYTES = 1 << 20
-#: Distinct segments of one minimizer up to which they share a shard; the windows of more are compared by hash, over all tasks.
+#: Distinct segments of one minimizer up to which they share a shard; those of more are cut up, and what still is too many compared by hash, over all tasks.
 SHARED = 500
 
 
@@ -282,28 +282,25 @@ def keyed_texts(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
     return base, base.mapInArrow(pack, f"doc {kind}, part long, hint int, packed binary")
 
 
-def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
-    """(doc, part, late): byte runs to remove, overlapping ones among them.
+def compare_segments(found: DataFrame, length: int, shared: int, shard_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Byte runs to remove, and the distinct segments of groups too large for a shard, if there are any.
 
-    docs: doc, part, hint (a hash of both) and text; packed: the same once each, with the text compressed.
+    found: (m, content, doc, part, start, windows, behind, raw). Of equal segments all but the first go whole.
     """
-    found = written(repeated_segments(packed, known_by_document(minimizers(docs, length, buffer)), length, buffer))
     order = F.struct("doc", "part", "start")
     distinct = found.groupBy("m", "content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first(F.struct("windows", "behind", "raw")).alias("segment"))
     distinct = written(distinct.select("m", "content", "first", "n", "segment.*"))
     copies = found.select("m", "content", "doc", "part", "start", "windows").join(distinct.where("n > 1").select("m", "content", "first"), ["m", "content"])
     copies = written(copies.where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", (F.col("windows") + length - 1).alias("size")))
-
-    several = distinct.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("bytes")).where("n > 1")
-    ready = distinct.select("m", "behind", "first.doc", "first.part", "first.start", "windows", "raw").join(several.withColumnsRenamed({"n": "segments", "bytes": "all"}), "m")
-    ready = written(ready)
-    cold, hot = ready.where(F.col("segments") <= shared), ready.where(F.col("segments") > shared)
-    total = cold.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    several = distinct.groupBy("m").agg(F.count("*").alias("segments")).where("segments > 1")
+    ready = written(distinct.select("m", "behind", "first.doc", "first.part", "first.start", "windows", "raw").join(several, "m"))
+    small = F.col("segments") <= shared
+    total, large = ready.agg(F.coalesce(F.sum(F.when(small, F.octet_length("raw"))), F.lit(0)), F.count_if(~small)).first()
     shards = max(1, -(-total // shard_bytes))
-    dealt = cold.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "behind", "doc", "part", "start", "windows", "raw")
+    dealt = ready.where(small).select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "m", "behind", "doc", "part", "start", "windows", "raw")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
-    kind = f"doc {docs.schema['doc'].dataType.simpleString()}, part long, start long, size long"
-    types = (docs.schema["doc"].dataType, T.LongType(), T.LongType(), T.LongType())
+    kind = f"doc {found.schema['doc'].dataType.simpleString()}, part long, start long, size long"
+    types = (found.schema["doc"].dataType, T.LongType(), T.LongType(), T.LongType())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -312,11 +309,49 @@ def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, share
             late = list(zip(*repeats_in_shard(trimmed(rows, length), length), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(x), to_arrow_type(t)) for x, t in zip(late, types, strict=True)], names=["doc", "part", "start", "size"])
 
+    return copies.unionByName(dealt.mapInArrow(compare, kind)), ready.where(~small).drop("segments") if large else None
+
+
+def parts_of_segments(segments: DataFrame, length: int, step: int = 8) -> DataFrame:
+    """The same windows, a few to a segment, grouped by the bytes that all of them cover beside their minimizer.
+
+    Windows that cover as much before their minimizer, up to the step, come together, so equal windows do.
+    """
+    parts = F.expr(f"""
+        transform(sequence((behind - windows + 1) div {step}, behind div {step}), t -> named_struct(
+            't', t, 'low', greatest(0, behind - {step} * t - {step - 1}), 'high', least(windows - 1, behind - {step} * t)))""")
+    cut = segments.select("m", "doc", "part", "start", "behind", "raw", F.inline(parts)).where("low <= high")
+    raw = F.expr(f"substring(raw, int(low) + 1, int(high - low) + {length})")
+    core = F.expr(f"substring(raw, int(behind - {step} * t) + 1, {length - step + 1})")
+    return cut.select(
+        F.xxhash64("m", "t", core).alias("m"), F.unhex(F.md5(raw)).alias("content"), "doc", "part", (F.col("start") + F.col("low")).alias("start"),
+        (F.col("high") - F.col("low") + 1).alias("windows"), (F.col("behind") - F.col("low")).alias("behind"), raw.alias("raw"),
+    )
+
+
+def compare_windows(segments: DataFrame, length: int) -> DataFrame:
+    """Byte runs to remove: every window but the first of equal ones, met by two hashes over all tasks."""
+    order = F.struct("doc", "part", "start")
     places = F.expr(f"transform(sequence(0, int(windows) - 1), i -> named_struct('h1', xxhash64(substring(raw, i + 1, {length})), 'h2', xxhash64(m, substring(raw, i + 1, {length})), 'start', start + i))")
-    windows = hot.select("doc", "part", F.inline(places))
+    windows = segments.select("doc", "part", F.inline(places))
     first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = windows.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", F.lit(length).cast("long").alias("size"))
-    return written(copies.unionByName(dealt.mapInArrow(compare, kind)).unionByName(late).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late")))
+    late = windows.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
+    return late.select("doc", "part", "start", F.lit(length).cast("long").alias("size"))
+
+
+def find_repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:
+    """(doc, part, late): byte runs to remove, overlapping ones among them.
+
+    docs: doc, part, hint (a hash of both) and text; packed: the same once each, with the text compressed.
+    """
+    found = written(repeated_segments(packed, known_by_document(minimizers(docs, length, buffer)), length, buffer))
+    late, large = compare_segments(found, length, shared, shard_bytes)
+    if large:  # a minimizer with very many surroundings
+        more, large = compare_segments(written(parts_of_segments(large, length)), length, shared, shard_bytes)
+        late = late.unionByName(more)
+    if large:
+        late = late.unionByName(compare_windows(large, length))
+    return written(late.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("late")))
 
 
 def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, buffer: int = BUFFER) -> DataFrame:

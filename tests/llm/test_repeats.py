@@ -39,7 +39,7 @@ def test_query_matches_brute_force(spark, small):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, sum(s[1] for s in spans), len(spans), hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("shared", [0, 3, 500])  # windows by hash only, both ways, shards only
+@pytest.mark.parametrize("shared", [0, 2, 500])  # windows by hash only, all ways, shards only
 def test_ways_agree_with_brute_force(documents, shared):
     rng = random.Random(shared)
     words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(60)]
