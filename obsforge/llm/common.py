@@ -52,6 +52,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, so that no name of theirs meets one of the operator's."""
+    return df.toDF(*[f"column_{k}" for k in range(len(df.columns))])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that Python's copies of long texts stay few."""
     for batch in batches:

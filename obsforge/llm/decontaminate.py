@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, texts
+from .common import mix, numbered, slices, texts
 
 WINDOW = 13
 #: Bytes of test text up to which the windows are sent to every task.
@@ -106,11 +106,14 @@ def report(text: str | None, words: list[bytes], runs: list[tuple[int, int]], it
     hit = covered(len(words), starts, lengths)
     kept = None
     if spans:
-        raw, kept_bytes, done = (text or "").encode(), [], 0
+        # A run of hit words goes with what stands between them.
+        raw, kept_bytes, done, before = (text or "").encode(), [], 0, False
         for at, word in zip(hit, WORD.finditer(raw.translate(FOLD)), strict=True):
             if at:
-                kept_bytes.append(raw[done : word.start()])
+                if not before:
+                    kept_bytes.append(raw[done : word.start()])
                 done = word.end()
+            before = at
         kept = b"".join([*kept_bytes, raw[done:]]).decode()
     return len(words), int(hit.sum()), sorted(items), kept
 
@@ -171,15 +174,16 @@ def _joined(base: DataFrame, tests: DataFrame, id: str, text: str, window: int,
     kind = "owner string, length int, start long, h1 long, h2 long"
     items = tests.select("item", "text").mapInArrow(windows(), kind).select("length", "h1", "h2", F.col("owner").alias("item")).distinct()
     lengths = [r[0] for r in items.select("length").distinct().collect()]
-    key = F.sha2(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("\u0000")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256)
-    keyed = base.withColumn("__key", key)
+    at, n, plain = base.columns.index(text), len(base.columns), numbered(base)
+    one, other = (F.col(plain.columns[base.columns.index(x)]) for x in (id, text))
+    key = F.sha2(F.concat(F.coalesce(one.cast("string"), F.lit("\u0000")), F.lit("\n"), F.coalesce(other, F.lit(""))), 256)
+    keyed = plain.withColumn("key", key)
     found = (
-        keyed.select("__key", F.col(text).alias("__text")).dropDuplicates(["__key"]).mapInArrow(windows(lengths or [1 << 40]), kind)
+        keyed.select("key", other.alias("text")).dropDuplicates(["key"]).mapInArrow(windows(lengths or [1 << 40]), kind)
         .join(items, ["length", "h1", "h2"])
-        .groupBy("owner").agg(F.collect_set(F.struct("start", "length")).alias("__runs"), F.collect_set("item").alias("__items"))
+        .groupBy("owner").agg(F.collect_set(F.struct("start", "length")).alias("runs"), F.collect_set("item").alias("items"))
     )
-    joined = keyed.join(found, keyed["__key"] == found["owner"], "left").drop("__key", "owner")
-    at, n = base.columns.index(text), len(base.columns)
+    joined = keyed.join(found, F.col("key") == F.col("owner"), "left").drop("key", "owner")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

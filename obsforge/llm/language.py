@@ -32,7 +32,6 @@ class KernelModel(NamedTuple):
     grams: np.ndarray  # n-gram codes that occur in a landmark
     landmarks: np.ndarray  # grams x landmarks, 1 where the landmark has the n-gram, divided by the landmark's norm
     weights: np.ndarray  # landmarks x languages
-    offset: np.ndarray  # per language
 
 
 @lru_cache(maxsize=1)
@@ -85,7 +84,7 @@ def fit_kernel_model(rows: list[tuple[str, str]], landmarks: int = 128, ridge: f
     counts = Counter(c for text, _ in rows for c in text.lower() if c.isalpha())
     alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[: OWN - 1]))
     if not rows:
-        return KernelModel("", [], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+        return KernelModel("", [], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     table = symbol_table(alphabet)
     sets = [np.unique(gram_codes(text, table)) for text, _ in rows]
     each = max(1, landmarks // len(languages))
@@ -104,14 +103,12 @@ def fit_kernel_model(rows: list[tuple[str, str]], landmarks: int = 128, ridge: f
     whiten = vectors[:, good] / np.sqrt(values[good])  # Nystroem map: kernel rows to features
     features = kernel @ whiten
     names = np.array([lang for _, lang in rows])
-    target = np.where(names[:, None] == np.array(languages), 1.0, -1.0)
+    target = (names[:, None] == np.array(languages)).astype(float)
     weight = np.array([1 / np.count_nonzero(names == lang) for lang in names])
     weight *= len(rows) / weight.sum()  # each language counts alike
-    mean = np.average(features, axis=0, weights=weight)
-    offset = np.average(target, axis=0, weights=weight)
-    centred = features - mean
-    solved = np.linalg.solve((centred * weight[:, None]).T @ centred + ridge * np.eye(len(mean)), (centred * weight[:, None]).T @ (target - offset))
-    return KernelModel(alphabet, languages, grams, marks, whiten @ solved, offset - mean @ solved)
+    # No offset: a text that shares no n-gram with any landmark scores 0 for every language.
+    solved = np.linalg.solve((features * weight[:, None]).T @ features + ridge * np.eye(features.shape[1]), (features * weight[:, None]).T @ target)
+    return KernelModel(alphabet, languages, grams, marks, whiten @ solved)
 
 
 def sample_languages(docs: DataFrame, condition, per_language: int = 300, max_languages: int = 128, text: str = "text", lang: str = "lang", order: str = "doc_id") -> list[tuple[str, str]]:
@@ -152,9 +149,9 @@ def predict_language(docs: DataFrame, model: KernelModel, text: str = "text", pr
                 for k, i in enumerate(part):
                     rows[k], norms[k] = presence(values[i], model.grams)
                 kernel = (rows @ model.landmarks) / np.sqrt(norms)[:, None]
-                margins = kernel @ model.weights + model.offset
+                margins = kernel @ model.weights
                 best = margins.argmax(1)
-                scores[part] = np.clip((margins[np.arange(len(part)), best] + 1) / 2, 0, 1)
+                scores[part] = np.clip(margins[np.arange(len(part)), best], 0, 1)
                 for i, k in zip(part, best, strict=True):
                     found[i] = model.languages[k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(scores)], names=[f.name for f in fields])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import numbered, slices
 
 SIZE = 3
 
@@ -51,9 +51,10 @@ def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text")
     result; rows that agree in id only are told apart by a hash of the text. Columns of the new names are replaced.
     """
     base = docs.drop("n_lines", "n_removed")
-    found = repeated_windows(base, id, text).withColumnRenamed("doc", "__doc").withColumnRenamed("part", "__part").withColumnRenamed("starts", "__starts")
-    joined = base.join(found, F.col("__doc").eqNullSafe(F.col(id)) & (F.col("__part") == F.hash(text)), "left").drop("__doc", "__part")
-    at, n = base.columns.index(text), len(base.columns)
+    at, n, plain = base.columns.index(text), len(base.columns), numbered(base)
+    key, value = (plain.columns[base.columns.index(x)] for x in (id, text))
+    found = repeated_windows(plain, key, value)
+    joined = plain.join(found, F.col("doc").eqNullSafe(F.col(key)) & (F.col("part") == F.hash(value)), "left").drop("doc", "part")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
