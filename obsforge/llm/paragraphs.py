@@ -1,6 +1,6 @@
 """Removal of repeated passages: overlapping paragraphs meet by MinHash bands, and are linked by exact Jaccard similarity.
 
-A paragraph is a run of whole sentences of at least twenty words, and one begins at every sentence, so that a passage that
+A paragraph is a run of whole sentences of at least sixteen words, and one begins at every sentence, so that a passage that
 is copied into the middle of other text still has paragraphs of its own. Most paragraphs occur once: a first pass keeps the
 documents' paragraphs that share a MinHash value with another one, and only they are banded, joined and verified.
 """
@@ -26,12 +26,12 @@ from .jaccard import BLOCK, groups, in_block_pairs, shared_counts
 from .repeats import BUFFER, buffers, cut_spans, keyed_texts, known_by_document, pack_hints
 
 SHINGLE = 5
-LEAST_WORDS = 20
+LEAST_WORDS = 16
 SIEVE = 3  # values of which one must be shared; all differ at similarity 0.8 with probability 0.2**3
 FOLDS = np.frombuffer(FOLD, np.uint8)
 ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 FEW = 8  # members up to which sets are met one by one
-APART = 3  # words before a sentence's end without a mark, so that paragraphs in sequence differ enough
+APART = 6  # words before a sentence's end without a mark, so that paragraphs in sequence differ enough
 SOFT = 32  # a word in so many ends a sentence by its hash, for texts without marks
 
 
@@ -180,13 +180,13 @@ def linked_classes(classes: DataFrame, threshold: float, bands: int, rows: int)
             for b in range(bands):
                 for lane in range(b * rows, b * rows + rows):
                     keys[:, b] = mix(keys[:, b] + np.minimum.reduceat(mix(values * np.uint64(2 * lane + 201) + np.uint64(lane)), starts) + np.uint64(b))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["set", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["set", "bands"])
 
-    banded = written(classes.select("set", "shingles").mapInArrow(band, "set binary, shingles binary, bands array<long>"))
+    banded = written(classes.select("set", "shingles").mapInArrow(band, "set binary, bands array<long>"))
     keys = banded.select("set", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set")).alias("x"), F.sum(F.hash("set").cast("long")).alias("y")).where("size > 1")
     distinct = shared.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = keys.join(distinct, "bucket").join(banded.select("set", "shingles"), "set")
+    members = written(keys.join(distinct, "bucket")).join(classes.select("set", "shingles"), "set")
     pairs = in_block_pairs(members, "bucket", F.ceil(F.col("size") / BLOCK), "set", "shingles")
     limit = round(threshold * 1000)
 
