@@ -78,6 +78,9 @@ def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = B
         marked = marks[following] > marks[to]
         before = np.concatenate([np.zeros(APART, bool), marked])
         close = marked & ~np.any([before[k : k + len(marked)] for k in range(APART)], 0) | (word % np.uint64(SOFT) == 0)
+        # What stands before a part is not known, so its first words end no sentence; the part before has them too.
+        lead = np.arange(len(at)) - np.searchsorted(part, part, "left")
+        close &= (place[part] == 0) | (lead >= APART)
         close[:-1] |= part[1:] != part[:-1]
         close[-1] = True
         past = np.flatnonzero(close) + 1  # past-last words of sentences
