@@ -30,9 +30,19 @@ def iso(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
 
+def utc_date(moment: Column) -> Column:
+    """The calendar day of a DATE or TIMESTAMP_NTZ, and the day in UTC of a TIMESTAMP, whatever the session's time zone.
+
+    The type of the column decides when the plan is made, so nothing is tested per row.
+    """
+    micros = F.unix_micros(moment.cast("timestamp"))
+    utc = F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int"))
+    return F.when(F.typeof(moment) == "timestamp", utc).otherwise(moment.cast("date"))
+
+
 def day_number(day: Column) -> Column:
     """Days since 1970-01-01, the integer every window frame runs on."""
-    return F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date"))
+    return F.datediff(utc_date(day), F.lit("1970-01-01").cast("date"))
 
 
 def season(day: Column) -> Column:

@@ -71,11 +71,11 @@ def _stem(name: Column) -> Column:
 
 
 def label_from_name(name: Column) -> Column:
-    """The integer after the token `label`; NULL without one."""
+    """The integer after the token `label`; NULL without one, or when an INT cannot hold it."""
     tokens = F.split(_stem(name), "_")
     at = F.array_position(tokens, F.lit("label"))
     token = F.when(at > 0, F.get(tokens, at.cast("int")))
-    return F.when(token.rlike("^-?[0-9]{1,9}$"), token.cast("int"))
+    return F.when(token.rlike("^-?[0-9]+$"), token.try_cast("int"))
 
 
 def flag_from_name(name: Column) -> Column:
@@ -85,6 +85,6 @@ def flag_from_name(name: Column) -> Column:
 
 
 def index_from_name(name: Column) -> Column:
-    """The last token, when it is a number."""
+    """The last token, when it is a number that a BIGINT holds."""
     token = F.element_at(F.split(_stem(name), "_"), -1)
-    return F.when(token.rlike("^[0-9]{1,18}$"), token.cast("bigint"))
+    return F.when(token.rlike("^[0-9]+$"), token.try_cast("bigint"))

@@ -75,6 +75,13 @@ def in_window(ts: Column, start: Column, end: Column) -> Column:
     return (ts >= start) & (ts < end)
 
 
+def in_days(ts: Column, start: str, end: str) -> Column:
+    """Times from the start of one UTC day to that of another, for TIMESTAMP and TIMESTAMP_NTZ alike."""
+    zoned = (ts >= F.lit(f"{start} 00:00:00Z").cast("timestamp")) & (ts < F.lit(f"{end} 00:00:00Z").cast("timestamp"))
+    plain = (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
+    return F.when(F.typeof(ts) == "timestamp", zoned).otherwise(plain)
+
+
 def reject_reason(
     day: Column, lon: Column, lat: Column, presence: Column, max_year: int, extra: Mapping[str, Column] | None = None
 ) -> Column:

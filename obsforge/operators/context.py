@@ -172,3 +172,11 @@ def centre_counts(
     """The counts of the grid cell the sample itself lies in, one row per sample that has any."""
     one = context_counts(samples, reports, sample_id, lon, lat, day, presence, step, 1, periods)
     return one.select(sample_id, *count_columns(periods))
+
+
+def dense_counts(samples: DataFrame, sparse: DataFrame, sample_id: str, size: int = GRID_SIZE, periods=PERIODS) -> DataFrame:
+    """Every cell of every sample's grid, with zeros where `sparse` (see context_counts) has no row."""
+    axis = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = samples.select(sample_id, F.explode(axis).alias("row")).select(sample_id, "row", F.explode(axis).alias("col"))
+    names = count_columns(periods)
+    return grid.join(sparse, [sample_id, "row", "col"], "left").fillna(0, names)

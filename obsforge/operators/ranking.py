@@ -68,16 +68,17 @@ def running_totals(
     )
 
 
-def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", buckets: int = BUCKETS) -> DataFrame:
-    """0-based position of each row in the order (day with NULL last, row_id).
+def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", buckets: int = BUCKETS, descending: bool = False) -> DataFrame:
+    """0-based position of each row in the order (day with NULL last, row_id); `descending` turns the days round.
 
     Rows are numbered inside (day, id bucket). A bucket holds about 1/buckets of
     all ids, so even a day with most of the rows is split. `row_id` is a unique
     number.
     """
     cuts = cut_points(df, row_id, buckets)
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     rows = df.withColumn(_BUCKET, bucket_of(F.col(row_id), cuts)).withColumn(
-        "__day", F.coalesce(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), F.lit(2147483647))
+        "__day", F.coalesce(-number if descending else number, F.lit(2147483647))
     )
     cells = rows.groupBy("__day", _BUCKET).agg(F.count(F.lit(1)).alias("n"))
     days = _starts(cells.groupBy("__day").agg(F.sum("n").alias("n")), [], [F.col("__day")], ["n"]).select(

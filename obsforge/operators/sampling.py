@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.functions.hashing import order_key
@@ -16,10 +16,23 @@ def take_first(df: DataFrame, row_id: str, n: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if there are fewer) in an order that only the ids and the seed decide."""
+    """Exactly n rows (all, if there are fewer) in an order that only the rows and the seed decide.
+
+    Rows that share an id share a key; where the cut falls among them, a hash of
+    the whole row decides.
+    """
     keyed = df.withColumn("__key", order_key(F.col(row_id), seed))
     cut = order_cut(keyed, "__key", {"last": lambda total: F.lit(n)}).scalar()
-    return keyed.where(F.col("__key") <= cut).drop("__key")
+    below = keyed.agg(F.count_if(F.col("__key") < cut)).scalar()
+    ties = Window.partitionBy("__key").orderBy(F.xxhash64(*df.columns))  # rows of one id
+    last = keyed.where(F.col("__key") == cut).withColumn("__turn", F.row_number().over(ties))
+    last = last.where(F.col("__turn") <= F.lit(n) - below).drop("__turn")
+    return keyed.where(F.col("__key") < cut).unionByName(last).drop("__key")
+
+
+def cap_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The first n rows by a unique numeric id, for any n: the n-th id is found, and rows are only filtered."""
+    return first_n_per_class(df.withColumn("__all", F.lit("all")), row_id, "__all", {"all": lambda size: F.lit(n)}).drop("__all")
 
 
 def _per_class(size: dict[str, Column], most: int | None) -> Column:
@@ -36,7 +49,7 @@ def balance_first(df: DataFrame, row_id: str, class_col: str, most: int | None =
 def balance_random(
     df: DataFrame, row_id: str, class_col: str, seed: int = 42, most: int | None = None, order: str = "shuffle_key"
 ) -> DataFrame:
-    """A random N per class, N as in balance_first, with the key that shuffles the result."""
+    """A random N per class, N as in balance_first, with the key that shuffles the result. Ids must be unique."""
     keyed = df.where(F.col(class_col).isin(*CLASSES)).withColumn(order, order_key(F.col(row_id), seed))
     sizes = keyed.agg(F.struct(*[F.count_if(F.col(class_col) == c).alias(f"c{i}") for i, c in enumerate(CLASSES)])).scalar()
     n = _per_class({c: sizes[f"c{i}"] for i, c in enumerate(CLASSES)}, most)
@@ -50,7 +63,10 @@ def balance_random(
 def split_exact(
     df: DataFrame, row_id: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42, name: str = "split"
 ) -> DataFrame:
-    """Append train, val or test: int(a N) rows, int(b N) rows and the rest, at random by id."""
+    """Append train, val or test: int(a N) rows, int(b N) rows and the rest, at random by id.
+
+    Rows that share an id share a part, so the counts are exact for unique ids.
+    """
     first, second = shares
     keyed = df.withColumn("__key", order_key(F.col(row_id), seed))
     cuts = order_cut(

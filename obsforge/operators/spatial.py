@@ -21,14 +21,28 @@ def bounding_box(df: DataFrame, lon: str, lat: str) -> DataFrame:
 
 def _reached_bins(points: DataFrame, lon: str, lat: str, metres: float, size: float) -> DataFrame:
     """Each point once per bin that its circle touches."""
-    dy, dx = F.lit(reach_lat(metres)), reach_lon(metres, F.col(lat))
-    return points.withColumn(
-        "by", F.explode(F.sequence(F.floor((F.col(lat) - dy) / size), F.floor((F.col(lat) + dy) / size)))
-    ).withColumn("bx", F.explode(F.sequence(F.floor((F.col(lon) - dx) / size), F.floor((F.col(lon) + dx) / size))))
+    dy, dx = F.lit(reach_lat(metres)), F.least(reach_lon(metres, F.col(lat)), F.lit(180.0))
+    east = _around(F.col(lon))
+
+    def bins(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / size), F.floor(high / size))
+
+    inside = bins(F.greatest(east - dx, F.lit(0.0)), F.least(east + dx, F.lit(360.0)))
+    west = F.when(east - dx < 0, bins(east - dx + 360.0, F.lit(360.0)))
+    over = F.when(east + dx > 360, bins(F.lit(0.0), east + dx - 360.0))
+    none = F.slice(inside, 1, 0)
+    return points.withColumn("by", F.explode(bins(F.col(lat) - dy, F.col(lat) + dy))).withColumn(
+        "bx", F.explode(F.array_distinct(F.concat(inside, F.coalesce(west, none), F.coalesce(over, none))))
+    )
+
+
+def _around(lon: Column) -> Column:
+    """Degrees east of the 180th meridian, from 0 up to 360: one number for each meridian."""
+    return F.pmod(lon + F.lit(180.0), F.lit(360.0))
 
 
 def _with_bin(points: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
-    return points.withColumn("bx", F.floor(F.col(lon) / size)).withColumn("by", F.floor(F.col(lat) / size))
+    return points.withColumn("bx", F.floor(_around(F.col(lon)) / size)).withColumn("by", F.floor(F.col(lat) / size))
 
 
 def within_distance(
@@ -36,8 +50,8 @@ def within_distance(
 ) -> DataFrame:
     """Pairs of a centre and a point at most `metres` apart, with `distance_m`.
 
-    The column names of the two tables must differ. Meant for coordinates away
-    from the 180th meridian.
+    The column names of the two tables must differ. Circles may cross the 180th
+    meridian and hold a pole.
     """
     size = reach_lat(metres) * 2
     distance = haversine(F.col(f"l.{centre_lon}"), F.col(f"l.{centre_lat}"), F.col(f"r.{lon}"), F.col(f"r.{lat}"))

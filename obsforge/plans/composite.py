@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsforge.functions.indices import evi, lst_celsius, normalised_difference, relative_humidity
+from obsforge.operators.cleaning import in_days
 from obsforge.operators.quantiles import exact_median
 from obsforge.operators.spatial import pixel_coordinates, rasterise, sample_cells
 from obsforge.sources.catalogue import TRAINING_CSV
@@ -60,8 +61,7 @@ def composite_cells(
 
     All median bands go through one exact median keyed by cell and band.
     """
-    inside = (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp"))
-    seen, measured = scenes.where(inside), measurements.where(inside)
+    seen, measured = (df.where(in_days(F.col("ts"), start, end)) for df in (scenes, measurements))
     stored = measured.where(F.col("band").isin(*MEDIAN_BANDS)).select(
         *CELL,
         F.create_map(*[F.lit(x) for pair in MEDIAN_BANDS.items() for x in pair])[F.col("band")].alias("band"),

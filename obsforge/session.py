@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,13 +18,6 @@ RUNTIME_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply RUNTIME_CONF to an existing session and return it."""
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def build_session(app: str = "obsforge", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session; extra settings use `__` for the dots in their names."""
     builder = SparkSession.builder.appName(app)
@@ -39,20 +31,10 @@ def build_session(app: str = "obsforge", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for tables and stream checkpoints that must outlive an executor.
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Only a local
-    session may fall back to the machine's own temporary folder.
+    Its parent is what the session names in ``spark.checkpoint.dir``, else its
+    warehouse: folders that every executor reaches.
     """
-    parent = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not parent:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        parent = tempfile.mkdtemp(prefix="obsforge-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{parent.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df):
-    """Reliable checkpoint of `df`, in the folder `spark.checkpoint.dir` names."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsforge.functions.dates import utc_date
 from obsforge.operators.cleaning import conform, in_window
 from obsforge.sources.catalogue import OBSERVATION_SCHEMA, REPORT_RENAMES
 
@@ -46,7 +47,7 @@ def read_measurements(
     """
     df = spark.read.parquet(path).where(F.col("source").isin(*collections)).where(in_window(F.col(ts), start, end))
     if "month" in df.columns:
-        months = F.date_format(start, "yyyy-MM"), F.date_format(end, "yyyy-MM")
+        months = F.date_format(utc_date(start), "yyyy-MM"), F.date_format(utc_date(end), "yyyy-MM")
         df = df.where(F.col("month").cast("string").between(*months))
     return df.where(F.col("band").isin(*bands)) if bands else df
 

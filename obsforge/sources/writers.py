@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsforge.functions.dates import utc_date
 from obsforge.functions.values import as_float
 from obsforge.operators.manifest import new_or_changed
 
@@ -17,7 +18,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_batches(df: DataFrame, path: str, selectors: Iterable[str], batch: str = "batch") -> None:
     """CSV with the columns in the given order, one folder per batch."""
-    df.select(*selectors, batch).write.mode("overwrite").option("header", True).partitionBy(batch).csv(path)
+    df.select(*selectors, batch).hint("rebalance", batch).write.mode("overwrite").option("header", True).partitionBy(batch).csv(path)
 
 
 def write_features(df: DataFrame, path: str, bands: list[str], label: str = "label") -> None:
@@ -31,7 +32,7 @@ def write_features(df: DataFrame, path: str, bands: list[str], label: str = "lab
 
 def write_measurements(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Long measurements in folders by source and month, the layout read_measurements prunes."""
-    with_month = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
+    with_month = df.withColumn("month", F.date_format(utc_date(F.col(ts)), "yyyy-MM"))
     with_month.hint("rebalance", "source", "month").write.mode("overwrite").partitionBy("source", "month").parquet(path)
 
 

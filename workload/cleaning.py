@@ -155,12 +155,12 @@ def inspect_page(spark, sf):
 
 @query(
     "clean_values",
-    f"""WITH {X.PIX} SELECT file_key, count(*) AS n, {s6("sum(value)")} AS total,
-        CAST(sum(CASE WHEN value > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS above FROM pix WHERE band = 0 GROUP BY file_key""",
+    f"""WITH {X.PIX} SELECT file_key, band, count(*) AS n, {s6("sum(value)")} AS total,
+        CAST(sum(CASE WHEN value > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS above FROM pix GROUP BY file_key, band""",
 )
 def clean_values(spark, sf):
-    pix = X.pixels(spark, sf).where(F.col("band") == 0).withColumn("v", finite_or_zero(F.col("value")))
-    return pix.groupBy("file_key").agg(
+    pix = X.pixels(spark, sf).withColumn("v", finite_or_zero(F.col("value")))
+    return pix.groupBy("file_key", "band").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("v")).alias("total"), F.sum(binarise(F.col("v"), 0.05)).alias("above")
     )
 

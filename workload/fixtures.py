@@ -104,7 +104,7 @@ def environment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("site"),
         source.alias("source"),
         # the line's own time of day keeps two reflectance pairs of one day apart
-        F.expr("timestampadd(MICROSECOND, l_orderkey % 1000000000 * 8 + l_linenumber, l_shipdate)").alias("ts"),
+        F.expr("timestampadd(MICROSECOND, l_orderkey * 8 + l_linenumber, l_shipdate)").alias("ts"),
         F.explode(F.when(kind == MEASURED - 1, pair).otherwise(single)).alias("b"),
     ).select("site", "source", "ts", "b.band", "b.value")
 
@@ -115,7 +115,7 @@ ENV = """env AS (
   UNION ALL
   SELECT site, 13, day, (a - b) / (a + b) FROM (
     SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS a, max(floor(l_extendedprice / 1000)) AS b
-    FROM lineitem WHERE l_partkey % 13 = 12 GROUP BY l_suppkey, l_shipdate, l_orderkey % 1000000000 * 8 + l_linenumber))"""
+    FROM lineitem WHERE l_partkey % 13 = 12 GROUP BY l_suppkey, l_shipdate, l_orderkey * 8 + l_linenumber))"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

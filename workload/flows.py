@@ -129,7 +129,7 @@ def composite_measurements(spark, sf):
     return li.select(
         (F.lit(132) + k % 60).alias("cell_x"),
         (F.lit(12) + F.floor(k / 60)).alias("cell_y"),
-        F.expr("timestampadd(MICROSECOND, l_orderkey % 1000000000 * 8 + l_linenumber, l_shipdate)").alias("ts"),
+        F.expr("timestampadd(MICROSECOND, l_orderkey * 8 + l_linenumber, l_shipdate)").alias("ts"),
         F.explode(single).alias("b"),
     ).select("cell_x", "cell_y", "ts", "b.band", "b.value")
 
@@ -257,7 +257,7 @@ def multiscale_table(spark, sf):
     moved = X.scene_samples(spark, sf)
     fine = multiscale.fine_indices(moved.select("object_id", "scene_site", "obs_date"), scenes, scenes, ["scene_site"], "obs_date", "ts")
     rows = rows.join(fine.drop("scene_site", "obs_date"), "object_id", "left")
-    texture = glcm(levels(spark, sf), ["file_key"], "row", "col", "g").withColumnRenamed("file_key", "scene_site")
+    texture = glcm(levels(spark, sf).where(F.col("band") == 0), ["file_key"], "row", "col", "g").withColumnRenamed("file_key", "scene_site")
     rows = multiscale.attach_cells(rows, texture, ["scene_site"], [c for c in multiscale.FINE if c.startswith("texture_")], samples)
     cover = landscape_metrics(samples.join(climate.select(*cell, "landcover"), cell), ["site"], "landcover")
     rows = multiscale.attach_cells(rows, cover, ["site"], ["patch_density", "shannon_diversity"], samples)

@@ -11,7 +11,7 @@ from workload.registry import query, r6, s6
 
 
 def _input(spark, sf):
-    return P.clean_pixels(X.pixels(spark, sf).where(F.col("band") == 0))
+    return P.clean_pixels(X.pixels(spark, sf))
 
 
 @query(
@@ -57,7 +57,7 @@ def label_mask(spark, sf):
         ends AS (SELECT t, CAST(least(floor(pos), 7) AS INTEGER) AS lo, CAST(least(least(floor(pos), 7) + 1, 7) AS INTEGER) AS hi, pos - least(floor(pos), 7) AS part FROM axis),
         w AS (SELECT t, lo AS i, 1 - part AS w FROM ends UNION ALL SELECT t, hi, part FROM ends)
         SELECT file_key, band, CAST(r.t AS INTEGER) AS "row", CAST(c.t AS INTEGER) AS col, {s6("sum(r.w * c.w * value)")} AS value
-        FROM pix JOIN w r ON r.i = pix."row" JOIN w c ON c.i = pix.col WHERE band = 0 GROUP BY file_key, band, r.t, c.t""",
+        FROM pix JOIN w r ON r.i = pix."row" JOIN w c ON c.i = pix.col GROUP BY file_key, band, r.t, c.t""",
 )
 def bilinear_resize(spark, sf):
     out = P.bilinear_resize(_input(spark, sf), 5, 5)
@@ -66,11 +66,11 @@ def bilinear_resize(spark, sf):
 
 @query(
     "patchify",
-    f"""WITH {X.PIX} SELECT file_key, "row", col, CAST("row" // 3 * 3 + col // 3 AS INTEGER) AS patch, CAST("row" % 3 AS INTEGER) AS in_row,
-        CAST(col % 3 AS INTEGER) AS in_col FROM pix WHERE band = 0""",
+    f"""WITH {X.PIX} SELECT file_key, band, "row", col, CAST("row" // 3 * 3 + col // 3 AS INTEGER) AS patch, CAST("row" % 3 AS INTEGER) AS in_row,
+        CAST(col % 3 AS INTEGER) AS in_col FROM pix""",
 )
 def patchify(spark, sf):
-    return P.patchify(_input(spark, sf), 3).select("file_key", "row", "col", "patch", "in_row", "in_col")
+    return P.patchify(_input(spark, sf), 3).select("file_key", "band", "row", "col", "patch", "in_row", "in_col")
 
 
 @query(
@@ -85,10 +85,10 @@ def patch_means(spark, sf):
 
 @query(
     "patch_vectors",
-    f"""WITH {X.PIX}, f AS (SELECT DISTINCT file_key FROM pix), g AS (SELECT file_key, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM f, range(9) a(r), range(9) b(c)),
-        v AS (SELECT g.file_key, g."row" // 3 * 3 + g.col // 3 AS patch, g."row", g.col, coalesce(value, 0.0::DOUBLE) AS value FROM g LEFT JOIN (SELECT * FROM pix WHERE band = 0) pix
-          ON pix.file_key = g.file_key AND pix."row" = g."row" AND pix.col = g.col)
-        SELECT file_key, CAST(patch AS INTEGER) AS patch, string_agg(CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY "row", col) AS milli FROM v GROUP BY file_key, patch""",
+    f"""WITH {X.PIX}, f AS (SELECT DISTINCT file_key, band FROM pix), g AS (SELECT file_key, band, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM f, range(9) a(r), range(9) b(c)),
+        v AS (SELECT g.file_key, g.band, g."row" // 3 * 3 + g.col // 3 AS patch, g."row", g.col, coalesce(value, 0.0::DOUBLE) AS value FROM g LEFT JOIN pix
+          ON pix.file_key = g.file_key AND pix.band = g.band AND pix."row" = g."row" AND pix.col = g.col)
+        SELECT file_key, CAST(patch AS INTEGER) AS patch, string_agg(CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY band, "row", col) AS milli FROM v GROUP BY file_key, patch""",
 )
 def patch_vectors(spark, sf):
     out = P.patch_vectors(_input(spark, sf), 3)
@@ -118,12 +118,12 @@ def band_stats(spark, sf):
 
 @query(
     "standardise",
-    f"""WITH {X.PIX}, m AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM pix WHERE band = 0)
-        SELECT file_key, "row", col, {s6("(value - m) / (s + 1e-8)")} AS value FROM pix, m WHERE band = 0""",
+    f"""WITH {X.PIX}, m AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM pix)
+        SELECT file_key, band, "row", col, {s6("(value - m) / (s + 1e-8)")} AS value FROM pix, m""",
 )
 def standardise(spark, sf):
     out = P.standardise(_input(spark, sf))
-    return out.select("file_key", "row", "col", r6("value").alias("value"))
+    return out.select("file_key", "band", "row", "col", r6("value").alias("value"))
 
 
 @query(

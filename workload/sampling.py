@@ -38,6 +38,17 @@ def index_on_few_days(spark, sf):
     return global_index(rows, "d", "object_id").select("object_id", "index")
 
 
+@query(
+    "index_descending_years",
+    f"""WITH {X.OBS} SELECT object_id, row_number() OVER (ORDER BY year(obs_date) DESC, object_id) - 1 AS "index" FROM obs""",
+)
+def index_descending_years(spark, sf):
+    from obsforge.operators.ranking import global_index
+
+    rows = X.observations(spark, sf).select("object_id", F.trunc("obs_date", "year").alias("d"))
+    return global_index(rows, "d", "object_id", descending=True).select("object_id", "index")
+
+
 @query("sample_n", f"WITH {X.OBS} SELECT object_id, country FROM obs ORDER BY {_key(42)} LIMIT 500")
 def sample_n(spark, sf):
     return S.sample_n(X.observations(spark, sf), "object_id", 500).select("object_id", "country")
@@ -55,7 +66,7 @@ def take_first(spark, sf):
 )
 def capped_pending(spark, sf):
     rest = M.pending(X.valid(spark, sf), X.manifest(spark, sf), statuses=("completed", "skipped"))
-    return S.take_first(rest, "object_id", 200).select("object_id")
+    return S.cap_rows(rest, "object_id", 200).select("object_id")
 
 
 N_SQL = "(SELECT least(count(*) FILTER (presence = 'PRESENT'), count(*) FILTER (presence = 'ABSENT')) FROM obs)"

@@ -29,6 +29,58 @@ def context_counts(spark, sf):
     return K.context_counts(obs, obs, "object_id", "lon_m", "lat_m", "obs_date", "presence", X.GRID_STEP)
 
 
+@query(
+    "context_grid_dense",
+    f"""WITH {X.VALID}, met AS (SELECT a.object_id,
+        CAST(floor((b.lat_m - a.lat_m) / {X.GRID_STEP}.0::DOUBLE + 3.5::DOUBLE) AS INTEGER) AS "row",
+        CAST(floor((b.lon_m - a.lon_m) / {X.GRID_STEP}.0::DOUBLE + 3.5::DOUBLE) AS INTEGER) AS col, a.obs_date - b.obs_date AS back, b.presence
+        FROM obs a JOIN valid b ON b.obs_date < a.obs_date AND b.obs_date >= a.obs_date - 90
+          AND b.lat_m >= a.lat_m - 875 AND b.lat_m < a.lat_m + 875 AND b.lon_m >= a.lon_m - 875 AND b.lon_m < a.lon_m + 875)
+        SELECT o.object_id, CAST(i AS INTEGER) AS "row", CAST(j AS INTEGER) AS col,
+        {", ".join(f"count(*) FILTER (back BETWEEN {lo} AND {hi} AND m.presence = '{p}') AS {k}_{n}"
+          for n, lo, hi in K.PERIODS for k, p in K.COUNT_CLASSES.items())}
+        FROM obs o CROSS JOIN range(7) r(i) CROSS JOIN range(7) c(j)
+        LEFT JOIN met m ON m.object_id = o.object_id AND m."row" = i AND m.col = j GROUP BY ALL""",
+)
+def context_grid_dense(spark, sf):
+    """All 49 cells of every sample, with zeros where nothing was reported."""
+    obs = X.observations(spark, sf)
+    sparse = K.context_counts(obs, obs, "object_id", "lon_m", "lat_m", "obs_date", "presence", X.GRID_STEP)
+    return K.dense_counts(obs, sparse, "object_id")
+
+
+DISTANCE = "2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+MERIDIAN = """c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 179.9 - c_custkey % 40 / 500.0::DOUBLE ELSE c_custkey % 40 / 500.0::DOUBLE - 179.9 END::DOUBLE AS lon,
+  (c_custkey % 97 / 100.0::DOUBLE - 0.4)::DOUBLE AS lat FROM customer),
+  s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 180.0 - s_suppkey % 7 / 100.0::DOUBLE ELSE s_suppkey % 7 / 100.0::DOUBLE - 180.0 END::DOUBLE AS lon,
+  (s_suppkey % 89 / 100.0::DOUBLE - 0.4)::DOUBLE AS lat FROM supplier)"""
+
+
+def _meridian(spark, sf, name, key, far, modulo, share, lat):
+    k = F.col(key)
+    near = (k % modulo).cast("double") / share
+    lon = F.when(k % 2 == 0, F.lit(far) - near).otherwise(near - F.lit(far))
+    return X.table(spark, sf, name).select(k, lon.alias("lon"), ((k % lat).cast("double") / 100.0 - 0.4).alias("lat"))
+
+
+@query("pairs_across_meridian", f"WITH {MERIDIAN} SELECT a.c_custkey, b.s_suppkey FROM c a JOIN s b ON {DISTANCE} <= 9000")
+def pairs_across_meridian(spark, sf):
+    """Customers and suppliers on both sides of the 180th meridian."""
+    centres = _meridian(spark, sf, "customer", "c_custkey", 179.9, 40, 500.0, 97).toDF("c_custkey", "c_lon", "c_lat")
+    points = _meridian(spark, sf, "supplier", "s_suppkey", 180.0, 7, 100.0, 89)
+    return P.within_distance(centres, points, 9000.0, "c_lon", "c_lat", "lon", "lat").select("c_custkey", "s_suppkey")
+
+
+@query(
+    "absence_across_meridian",
+    f"WITH {MERIDIAN} SELECT c_custkey FROM c a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE {DISTANCE} <= 9000)",
+)
+def absence_across_meridian(spark, sf):
+    centres = _meridian(spark, sf, "customer", "c_custkey", 179.9, 40, 500.0, 97)
+    points = _meridian(spark, sf, "supplier", "s_suppkey", 180.0, 7, 100.0, 89)
+    return P.drop_near(centres, points, 9000.0, "lon", "lat").select("c_custkey")
+
+
 @query(
     "grid_cells",
     """SELECT c_custkey, CAST(i + 3 AS INTEGER) AS "row", CAST(j + 3 AS INTEGER) AS col, c_custkey % 15000 + j * 250.0::DOUBLE AS center_lon,
@@ -207,9 +259,9 @@ def landscape_metrics(spark, sf):
     return m.select("c_nationkey", *[r6(c).alias(c) for c in ("patch_density", "shannon_diversity")])
 
 
-LEVELS = """lev AS (SELECT file_key, "row", col, CAST(floor((value + 1) * 4) AS INTEGER) AS g FROM pix WHERE band = 0)"""
+LEVELS = """lev AS (SELECT file_key, band, "row", col, CAST(floor((value + 1) * 4) AS INTEGER) AS g FROM pix)"""
 PAIRS = " UNION ALL ".join(
-    f"""SELECT a.file_key, {x}.g AS i, {y}.g AS j FROM lev a JOIN lev b ON b.file_key = a.file_key AND b.col = a.col + {dx} AND b."row" = a."row" + {dy}"""
+    f"""SELECT a.file_key, a.band, {x}.g AS i, {y}.g AS j FROM lev a JOIN lev b ON b.file_key = a.file_key AND b.band = a.band AND b.col = a.col + {dx} AND b."row" = a."row" + {dy}"""
     for dx, dy in S.TEXTURE_OFFSETS.values()
     for x, y in (("a", "b"), ("b", "a"))
 )
@@ -218,23 +270,23 @@ PAIRS = " UNION ALL ".join(
 def levels(spark, sf):
     from obsforge.operators.pixels import clean_pixels
 
-    pix = clean_pixels(X.pixels(spark, sf).where(F.col("band") == 0))
+    pix = clean_pixels(X.pixels(spark, sf))
     return pix.withColumn("g", F.floor((F.col("value") + 1) * 4).cast("int"))
 
 
 @query(
     "glcm_texture",
-    f"""WITH {X.PIX}, {LEVELS}, pairs AS ({PAIRS}), q AS (SELECT file_key, i, j, count(*) AS n FROM pairs GROUP BY ALL),
-        t AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY file_key) AS DOUBLE) AS p FROM q),
-        m AS (SELECT *, sum(p * i) OVER (PARTITION BY file_key) AS mu FROM t),
-        s AS (SELECT file_key, sum(p * (i - j) * (i - j)) AS contrast, sum(p * (i - mu) * (j - mu)) AS cov,
-              -sum(p * ln(p)) AS entropy, sum(p * (i - mu) * (i - mu)) AS var FROM m GROUP BY file_key)
-        SELECT file_key, {s6("contrast")} AS texture_contrast, {s6("CASE WHEN var > 1e-12 THEN cov / var END")} AS texture_correlation,
+    f"""WITH {X.PIX}, {LEVELS}, pairs AS ({PAIRS}), q AS (SELECT file_key, band, i, j, count(*) AS n FROM pairs GROUP BY ALL),
+        t AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY file_key, band) AS DOUBLE) AS p FROM q),
+        m AS (SELECT *, sum(p * i) OVER (PARTITION BY file_key, band) AS mu FROM t),
+        s AS (SELECT file_key, band, sum(p * (i - j) * (i - j)) AS contrast, sum(p * (i - mu) * (j - mu)) AS cov,
+              -sum(p * ln(p)) AS entropy, sum(p * (i - mu) * (i - mu)) AS var FROM m GROUP BY file_key, band)
+        SELECT file_key, band, {s6("contrast")} AS texture_contrast, {s6("CASE WHEN var > 1e-12 THEN cov / var END")} AS texture_correlation,
           {s6("entropy")} AS texture_entropy, {s6("var")} AS texture_variance FROM s""",
 )
 def glcm_texture(spark, sf):
-    t = S.glcm(levels(spark, sf), ["file_key"], "row", "col", "g")
-    return t.select("file_key", *[r6(c).alias(c) for c in t.columns if c != "file_key"])
+    t = S.glcm(levels(spark, sf), ["file_key", "band"], "row", "col", "g")
+    return t.select("file_key", "band", *[r6(c).alias(c) for c in t.columns if c not in ("file_key", "band")])
 
 
 @query(
