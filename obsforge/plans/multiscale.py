@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import season, seasonal_cycle
-from obsforge.functions.indices import normalised_difference, scale_weights, suitability, weighted_groups
+from obsforge.functions.indices import add_lag_indices, normalised_difference, scale_weights, suitability, weighted_groups
 from obsforge.functions.values import class_label
-from obsforge.operators.lags import Band, frame_features, window_median
+from obsforge.operators.context import centre_counts, count_columns
+from obsforge.operators.lags import Band, critical_gate, frame_features, window_median
+from obsforge.operators.landscape import LANDSCAPE_RADIUS_M, landscape_metrics
 from obsforge.operators.skew import lookup
-from obsforge.operators.spatial import polygon_attribute
+from obsforge.operators.spatial import polygon_attribute, within_distance
+from obsforge.plans.training import Columns, environment
+from obsforge.sources.catalogue import MULTISCALE_CRITICAL, MULTISCALE_MOST_MISSING, STATIC
 
 # Climate bands of the coarse scale, their output prefix, and its two windows.
 COARSE_BANDS = {
@@ -94,6 +100,67 @@ def attach_cells(
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
+def landscape_around(
+    samples: DataFrame, cells: DataFrame, lon: str, lat: str, cell_lon: str, cell_lat: str, landcover: str, metres: float = LANDSCAPE_RADIUS_M
+) -> DataFrame:
+    """Patch density and Shannon diversity of the land-cover cells whose centre lies in a circle around each sample.
+
+    Every position is looked up once, however many samples it has; a circle without cells has zeros.
+    Coordinates are degrees. The cell columns must have names that the samples lack.
+    """
+    places = samples.select(F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct()
+    inside = within_distance(places, cells.select(cell_lon, cell_lat, landcover), metres, "__lon", "__lat", cell_lon, cell_lat)
+    found = landscape_metrics(inside, ["__lon", "__lat"], landcover, metres)
+    renamed = found.withColumnsRenamed({"__lon": lon, "__lat": lat})
+    return attach_cells(samples, renamed, [lon, lat], ["patch_density", "shannon_diversity"], samples)
+
+
+@dataclass(frozen=True)
+class Scales:
+    """The tables of the three scales.
+
+    climate: long climate measurements by place; measured: long measurements by place; edges: polygon edges with a
+    biome_id; static: one row per cell with CLIMATE and STATIC; cover: land-cover cells with centres in degrees;
+    scenes: the two fine sources; texture: one row of texture per scene place; reports: what is counted around a sample.
+    """
+
+    climate: DataFrame
+    measured: DataFrame
+    edges: DataFrame
+    static: DataFrame
+    cover: DataFrame
+    first: DataFrame
+    second: DataFrame
+    texture: DataFrame
+    reports: DataFrame
+
+
+def multiscale_features(
+    samples: DataFrame, scales: Scales, names: Columns, cell: list[str], scene_place: list[str], scene_day: str, degrees: tuple[str, str], grid_step: float, strip: float
+) -> DataFrame:
+    """One row per sample that passes the gate: coarse, medium, fine and context features, side by side.
+
+    The gate is MULTISCALE_CRITICAL, with the static layers among the names, and MULTISCALE_MOST_MISSING.
+    """
+    rows = coarse_features(samples, scales.climate, list(names.place), names.day, names.ts)
+    rows = with_biome(rows, scales.edges, names.lon, names.lat, strip, base=samples)
+    rows = environment(rows, scales.measured, names, critical=(), base=samples, split_wind=True).drop("critical_missing")
+    layers = [c for c in (*CLIMATE, *STATIC) if c in scales.static.columns]
+    rows = lookup(rows, scales.static.select(*cell, *layers), cell, "left", samples)
+    lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in STATIC if c in layers]))
+    rows = rows.withColumn("missing", F.concat("missing", lost))
+    rows = rows.where(~critical_gate(F.col("missing"), MULTISCALE_CRITICAL, MULTISCALE_MOST_MISSING)).drop("missing")
+    rows = add_lag_indices(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in CLIMATE if c in layers}))
+    dated = samples.select(names.sample_id, *scene_place, F.col(scene_day).alias("fine_day"))
+    fine = fine_indices(dated, scales.first, scales.second, scene_place, "fine_day", names.ts)
+    rows = rows.join(fine.drop(*scene_place, "fine_day"), names.sample_id, "left")
+    textures = [c for c in FINE if c.startswith("texture_")]
+    rows = attach_cells(rows, scales.texture, scene_place, textures, samples)
+    rows = landscape_around(rows, scales.cover, *degrees, "cover_lon", "cover_lat", "cover")
+    middle = centre_counts(samples, scales.reports, names.sample_id, names.lon, names.lat, names.day, names.presence, grid_step)
+    return rows.join(middle, names.sample_id, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in count_columns()})
+
+
 def integrate(features: DataFrame, day: str, landcover: str, presence: str) -> DataFrame:
     """Append the weighted copies, the suitability index and the label."""
     weights = scale_weights(season(F.col(day)), F.col(landcover))

@@ -61,8 +61,14 @@ def environment(
     critical=CRITICAL,
     sources=SOURCES,
     base: DataFrame | None = None,
+    most_missing: int | None = None,
+    split_wind: bool = False,
 ) -> DataFrame:
-    """Samples with 11 variables per lag, `missing` (names without any source) and `critical_missing`."""
+    """Samples with 11 variables per lag, `missing` (names without any source) and `critical_missing`.
+
+    Missing wind is one name per lag, or with `split_wind` one per component and lag. More than
+    `most_missing` names also count as critical.
+    """
     wide = lag_features(
         samples,
         with_ndwi_rows(measurements, names, sources),
@@ -90,11 +96,12 @@ def environment(
         second = n(WIND[0] + "_alt", lag) + n(WIND[1] + "_alt", lag)
         for w in WIND:
             values[f"{w}_{lag}"] = with_fallback(first, F.col(f"{w}_{lag}"), second, F.col(f"{w}_alt_{lag}"))
-        absent[f"Wind_{lag}"] = first + second
+        for w in WIND if split_wind else ("Wind",):
+            absent[f"{w}_{lag}"] = first + second
         proxy = ndwi_proxy(values[f"EVI_{lag}"], values[f"NDVI_{lag}"])
         values[f"NDWI_{lag}"] = F.when(n(NDWI_BAND, lag) > 0, F.col(f"NDWI_{lag}")).otherwise(proxy)
     marked = wide.select(*samples.columns, *[c.alias(k) for k, c in values.items()], missing_list(absent))
-    return marked.withColumn("critical_missing", critical_gate(F.col("missing"), critical))
+    return marked.withColumn("critical_missing", critical_gate(F.col("missing"), critical, most_missing))
 
 
 def feature_columns(lags=LAGS) -> list[str]:

@@ -9,7 +9,7 @@ from obsforge.plans import composite, multiscale, training
 from obsforge.sources.catalogue import STATIC, TRAINING_CSV
 from workload import fixtures as X
 from workload.registry import query, r6, s6
-from workload.spatial import CROSSINGS, levels
+from workload.spatial import CROSSINGS, DISTANCE, levels
 
 LAGS = (30, 60, 90)
 # position of each variable's band among the fixture's bands; wind has two sources, NDWI is band 13
@@ -237,28 +237,90 @@ def fine_indices(spark, sf):
     return out.select("object_id", *[r6(c).alias(c) for c in ("fine_ndvi", "fine_ndwi", "fine_rededge")])
 
 
-@query("multiscale_table")
-def multiscale_table(spark, sf):
-    """Coarse, medium and fine features with weights, index and label; the parts have SQL of their own."""
-    from obsforge.functions.indices import add_lag_indices
-    from obsforge.operators.landscape import glcm, landscape_metrics
+def _degrees(df):
+    """Samples with their metre coordinates as degrees, so that circles of metres are circles of metres."""
+    return df.withColumns({"lon_d": F.col("lon_m") / 111000.0, "lat_d": F.col("lat_m") / 111000.0})
 
-    samples = _cells_of(X.valid(spark, sf))
-    cell = ["cell_x", "cell_y"]
-    rows = multiscale.coarse_features(samples, era_rows(spark, sf), ["site"], "obs_date", "ts")
-    rows = multiscale.with_biome(rows, X.edges(spark), "lon_m", "lat_m", X.STRIP, base=samples)
-    rows = training.environment(rows, X.environment_rows(spark, sf), NAMES, base=samples)
-    rows = add_lag_indices(rows.where(~F.col("critical_missing")).drop("missing", "critical_missing"))
-    climate = X.cells(spark, sf).select(
-        *cell, *[(F.col("elevation") * i).alias(c) for i, c in enumerate(multiscale.CLIMATE, 1)], "elevation", "landcover"
-    )
-    rows = multiscale.attach_cells(rows, climate, cell, [*multiscale.CLIMATE, "elevation", "landcover"], samples)
+
+def _cover(spark, sf):
+    centre = [((F.col(c) + 0.5) * 250.0 / 111000.0).alias(n) for c, n in (("cell_x", "cover_lon"), ("cell_y", "cover_lat"))]
+    return X.cells(spark, sf).select(*centre, F.col("landcover").alias("cover"))
+
+
+COVER = f"""{X.CELLS}, cov AS (SELECT (cell_x + 0.5::DOUBLE) * 250.0::DOUBLE / 111000.0::DOUBLE AS lon, (cell_y + 0.5::DOUBLE) * 250.0::DOUBLE / 111000.0::DOUBLE AS lat, landcover FROM cells),
+  spots AS (SELECT DISTINCT lon_m, lat_m, lon_m / 111000.0::DOUBLE AS lon, lat_m / 111000.0::DOUBLE AS lat FROM obs),
+  circle AS (SELECT lon_m, lat_m, landcover, count(*) AS n FROM spots a JOIN cov b ON abs(b.lat - a.lat) < 0.02 AND abs(b.lon - a.lon) < 0.02 AND {DISTANCE} <= 2000 GROUP BY ALL),
+  parts AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY lon_m, lat_m) AS DOUBLE) AS p FROM circle),
+  land AS (SELECT lon_m, lat_m, count(*) / (pi() * 4000000.0::DOUBLE) * 1000000.0::DOUBLE AS patch_density, -sum(p * ln(p)) AS shannon_diversity FROM parts GROUP BY ALL)"""
+
+
+@query(
+    "landscape_around_samples",
+    f"""WITH {X.OBS}, {COVER} SELECT object_id, {s6("coalesce(patch_density, 0.0::DOUBLE)")} AS patch_density, {s6("coalesce(shannon_diversity, 0.0::DOUBLE)")} AS shannon_diversity
+        FROM obs LEFT JOIN land USING (lon_m, lat_m)""",
+)
+def landscape_around_samples(spark, sf):
+    """Land cover of the cells in a circle of two kilometres around each observation."""
+    out = multiscale.landscape_around(_degrees(X.observations(spark, sf)), _cover(spark, sf), "lon_d", "lat_d", "cover_lon", "cover_lat", "cover")
+    return out.select("object_id", r6("patch_density").alias("patch_density"), r6("shannon_diversity").alias("shannon_diversity"))
+
+
+def _scales(spark, sf):
+    k = F.col("p_partkey")
+    static = X.cells(spark, sf).select(
+        "cell_x", "cell_y", *[(F.col("elevation") * i).alias(c) for i, c in enumerate(multiscale.CLIMATE, 1)],
+        "elevation", (k % 30 * 1.5).alias("slope"), (k % 360 * 1.0).alias("aspect"), "landcover", (k % 12).cast("int").alias("soil_texture"),
+    )
     scenes = X.scenes(spark, sf)
-    moved = X.scene_samples(spark, sf)
-    fine = multiscale.fine_indices(moved.select("object_id", "scene_site", "obs_date"), scenes, scenes, ["scene_site"], "obs_date", "ts")
-    rows = rows.join(fine.drop("scene_site", "obs_date"), "object_id", "left")
+    from obsforge.operators.landscape import glcm
+
     texture = glcm(levels(spark, sf).where(F.col("band") == 0), ["file_key"], "row", "col", "g").withColumnRenamed("file_key", "scene_site")
-    rows = multiscale.attach_cells(rows, texture, ["scene_site"], [c for c in multiscale.FINE if c.startswith("texture_")], samples)
-    cover = landscape_metrics(samples.join(climate.select(*cell, "landcover"), cell), ["site"], "landcover")
-    rows = multiscale.attach_cells(rows, cover, ["site"], ["patch_density", "shannon_diversity"], samples)
-    return multiscale.integrate(rows, "obs_date", "landcover", "presence")
+    return multiscale.Scales(
+        era_rows(spark, sf), X.environment_rows(spark, sf), X.edges(spark), static, _cover(spark, sf), scenes, scenes, texture, X.valid(spark, sf)
+    )
+
+
+def _multiscale(spark, sf):
+    moved = X.scene_samples(spark, sf).select("object_id", "scene_site", F.col("obs_date").alias("scene_date"))
+    samples = _cells_of(_degrees(X.valid(spark, sf))).drop("scene_site").join(moved, "object_id")
+    return multiscale.multiscale_features(samples, _scales(spark, sf), NAMES, ["cell_x", "cell_y"], ["scene_site"], "scene_date", ("lon_d", "lat_d"), X.GRID_STEP, X.STRIP)
+
+
+COARSE_NAMES = [f"{o}_{lag}" for o in multiscale.COARSE_BANDS.values() for lag in multiscale.COARSE_LAGS]
+LOST = " + ".join(
+    f"CAST({f'n_{v}_{lag}' if v != 'Wind' else f'n_u_{lag} + n_v_{lag} + n_u2_{lag} + n_v2_{lag}'} = 0 AS INTEGER)" + (" * 2" if v == "Wind" else "")
+    for lag in LAGS for v in ("NDVI", "EVI", "LST_Day_1km", "precipitation", "sm_surface", "ET", "aet", "pet", "Wind")
+)
+MULTI_GATE = f"""n_NDVI_30 = 0 OR n_LST_Day_1km_30 = 0 OR n_sm_surface_30 = 0 OR n_precipitation_30 = 0 OR n_u_30 + n_v_30 + n_u2_30 + n_v2_30 = 0
+  OR c.elevation IS NULL OR {LOST} > 5"""
+
+
+@query(
+    "multiscale_features",
+    f"""WITH {WINDOWS}, {X.EDGES}, {COVER}, {CENTRE}, {FINE_SQL.removeprefix(X.OBS + ",")},
+        coarse AS (SELECT o.object_id, {COARSE_SQL} FROM valid o LEFT JOIN lineitem ON l_suppkey = o.site AND l_shipdate >= o.obs_date - 90 AND l_shipdate < o.obs_date GROUP BY o.object_id),
+        hit AS (SELECT object_id, poly_id, any_value(biome_id) AS biome_id FROM valid JOIN edges ON {CROSSINGS} GROUP BY object_id, poly_id HAVING count(*) % 2 = 1),
+        b AS (SELECT object_id, arg_min(biome_id, poly_id) AS biome_id FROM hit GROUP BY object_id),
+        v AS (SELECT w.object_id, {", ".join(f'{e} AS "{k}"' for k, e in VARIABLES.items())}, c.* FROM w JOIN valid o USING (object_id)
+          LEFT JOIN cells c ON c.cell_x = o.lon_m // 250 AND c.cell_y = o.lat_m // 250 WHERE NOT ({MULTI_GATE}))
+        SELECT v.object_id, {", ".join(f"{s6(n)} AS {n}" for n in COARSE_NAMES)}, biome_id, {", ".join(f'{s6(f"""v."{k}" """)} AS "{k}"' for k in VARIABLES)},
+          {", ".join(f"{s6(f'elevation * {i}.0::DOUBLE')} AS {n}" for i, n in enumerate(multiscale.CLIMATE, 1))}, p_partkey % 30 * 1.5::DOUBLE AS slope, landcover,
+          {", ".join(_indices_sql(lag) for lag in LAGS)},
+          {s6(f"CASE WHEN one.B8 IS NOT NULL THEN {_nd('one.B8', 'one.B4')} WHEN two.SR_B5 IS NOT NULL THEN {_nd('SR_B5', 'SR_B4')} ELSE 0.0::DOUBLE END")} AS fine_ndvi,
+          {s6("coalesce(patch_density, 0.0::DOUBLE)")} AS patch_density, {s6("coalesce(shannon_diversity, 0.0::DOUBLE)")} AS shannon_diversity,
+          {", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTS)}
+        FROM v JOIN valid o USING (object_id) JOIN coarse USING (object_id) LEFT JOIN b USING (object_id) LEFT JOIN one USING (object_id) LEFT JOIN two USING (object_id)
+          LEFT JOIN land ON land.lon_m = o.lon_m AND land.lat_m = o.lat_m LEFT JOIN near USING (object_id)""",
+)
+def multiscale_features(spark, sf):
+    """The features of all scales behind the documented gate; texture has SQL of its own."""
+    out = _multiscale(spark, sf)
+    indices = [f"{v}_{lag}" for lag in LAGS for v in ("TCI", "VHI", "TVDI")]
+    rounded = [*COARSE_NAMES, *VARIABLES, *multiscale.CLIMATE, *indices, "fine_ndvi", "patch_density", "shannon_diversity"]
+    return out.select("object_id", *[r6(c).alias(c) for c in rounded], "biome_id", "slope", "landcover", *COUNTS)
+
+
+@query("multiscale_table")
+def multiscale_table(spark, sf):
+    """The features with weighted copies, index and label; the features and the weights have SQL of their own."""
+    return multiscale.integrate(_multiscale(spark, sf), "obs_date", "landcover", "presence")
