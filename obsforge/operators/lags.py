@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.quantiles import exact_median, hot_condition
+from obsforge.operators.quantiles import exact_median
 from obsforge.operators.skew import HOT_SHARE, fan_out, hot_keys, salted_join
 
 LAGS = (30, 60, 90)  # fixed values: days looked back
@@ -275,7 +275,7 @@ def window_median(
     cells = F.array(*[F.struct(F.lit(i).alias("which"), F.col(v).cast("double").alias("value")) for i, v in enumerate(values)])
     long = rows.select(*place, "__day", F.explode(cells).alias("c"), "times").select(*place, "__day", "c.which", "c.value", "times")
     # a group is at most as large as its place, so only a hot place can hold a hot group
-    hot = hot_condition(measurements, place)
+    hot = hot_keys(measurements, place)
     medians = exact_median(long, [*place, "__day", "which"], "value", times="times", hot=hot)
     wide = medians.groupBy(*place, "__day").agg(
         *[F.max(F.when(F.col("which") == i, F.col("median"))).alias(f"{v}_median") for i, v in enumerate(values)]

@@ -7,18 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsforge.operators.ranking import BUCKETS, bucket_of, cut_points
-from obsforge.operators.skew import HOT_SHARE, hot_keys
+from obsforge.operators.skew import hot_keys
 
 
-def hot_condition(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> Column | None:
-    """A filter for the hot keys of a table, None when it has none.
-
-    Runs one aggregate over the key columns; fewer than `share` keys come to the driver.
-    """
-    found = hot_keys(df, keys, share).select(*keys).collect()
-    tests = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in found]
-    return reduce(lambda a, b: a | b, tests) if tests else None
+BUCKETS = 1024  # of the range of a hot group's values
 
 
 def exact_median(
@@ -27,22 +19,28 @@ def exact_median(
     value: str,
     name: str = "median",
     times: str | None = None,
-    hot: Column | None | bool = True,
+    hot: DataFrame | None | bool = True,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per group that has a non-NULL value, with the interpolated median.
 
     `times` names a column that says how often each row counts. An ordinary
     group is sorted in one task. A hot group is never brought together: its
-    values are counted by value bucket, and only the bucket that holds the
-    middle is sorted. `hot` is a filter for the rows of such groups; by default
-    it is found by counting rows per group.
+    values are counted by buckets of its own range, and only the bucket that
+    holds the middle is sorted. `hot` is a table of such groups by some of the
+    key columns, shorter than HOT_SHARE as operators.skew.hot_keys gives it and
+    broadcast on that ground; by default rows are counted per group, None means
+    that there are none. Nothing runs before the result is asked for.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value, *([times] if times else []))
     if hot is True:
-        hot = hot_condition(rows, keys)
-    ordinary = rows if hot is None else rows.where(~hot)
+        hot = hot_keys(rows, keys)
     weight = F.col(times) if times else F.lit(1)
+    ordinary = rows
+    if hot is not None:
+        marks = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in hot.columns if k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(c.removeprefix("__hot_")).eqNullSafe(F.col(c)) for c in marks.columns])
+        ordinary = rows.join(F.broadcast(marks), same, "left_anti")
     group = Window.partitionBy(*keys)
     ranked = ordinary.withColumn("__times", weight).withColumns(
         {
@@ -53,7 +51,7 @@ def exact_median(
     plain = _middle(ranked, keys, value, name)
     if hot is None:
         return plain
-    heavy = rows.where(hot).groupBy(*keys, value).agg(F.sum(weight).alias("__times"))
+    heavy = rows.join(F.broadcast(marks), same, "left_semi").groupBy(*keys, value).agg(F.sum(weight).alias("__times"))
     return plain.unionByName(_select_middle(heavy, keys, value, name, buckets))
 
 
@@ -70,8 +68,14 @@ def _middle(ranked: DataFrame, keys: list[str], value: str, name: str) -> DataFr
 
 
 def _select_middle(counted: DataFrame, keys: list[str], value: str, name: str, buckets: int) -> DataFrame:
-    cuts = cut_points(counted, value, buckets)
-    rows = counted.withColumn("__bucket", bucket_of(F.col(value), cuts))
+    low, high = F.col("__range.low"), F.col("__range.high")
+    spans = counted.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(
+        F.struct(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high")).alias("__range")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    share = (F.col(value).cast("double") - low) / (high - low)
+    bucket = F.when(high > low, F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    rows = counted.join(spans, same).withColumn("__bucket", F.coalesce(bucket, F.lit(0))).drop("__range", *[f"__of_{k}" for k in keys])
     group = Window.partitionBy(*keys)  # of bucket totals: at most `buckets` rows per group
     before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     lower, upper = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
@@ -85,5 +89,5 @@ def _select_middle(counted: DataFrame, keys: list[str], value: str, name: str, b
         .drop("__in")
     )  # two buckets per group at most
     run = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.join(holding, [*keys, "__bucket"]).withColumn("__last", F.col("__start") + F.sum("__times").over(run))
+    ranked = rows.join(holding.withColumnsRenamed({c: f"__of_{c}" for c in [*keys, "__bucket"]}), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in [*keys, "__bucket"]])).withColumn("__last", F.col("__start") + F.sum("__times").over(run))
     return _middle(ranked, keys, value, name)
