@@ -52,6 +52,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_split(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a table that was grouped by the same keys, so that a hot key's rows can be split.
+
+    Grouping leaves the table dealt out by its keys, and a join that makes use of that is one adaptive execution can't
+    split. A second key that is 0 for all rows gives both sides an exchange of their own.
+    """
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
+    return rows.withColumn("zero", zero).join(counted.withColumn("zero", zero), [*keys, "zero"]).drop("zero")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named by place, so that no name of theirs meets one of the operator's."""
     return df.toDF(*[f"column_{k}" for k in range(len(df.columns))])

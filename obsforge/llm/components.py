@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_split, written
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -23,23 +23,26 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def with_low(pairs: DataFrame) -> DataFrame:
+    """(node, root, low): each pair with the least root of its node; minima combine on the map side."""
+    return join_split(pairs, pairs.groupBy("node").agg(F.min("root").alias("low")), ["node"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node reachable from node. Nodes that are their own root have no row.
 
     Each round links every node to the smallest of its neighbours, first from smaller to larger nodes, then the other way;
-    rounds grow with the logarithm of the graph's size. Minima combine on the map side, and the joins bring one row per
-    edge, so a node with very many links is in no single task. Rounds are tables in the shared folder.
+    rounds grow with the logarithm of the graph's size and are tables in the shared folder.
     """
     now = written(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node != root").distinct())
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")))
     seen = now.agg(mark).first()[0]
     while seen[0]:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.min("root").alias("low"))
-        large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.least("low", "node").alias("root")).distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(low, "node").where("root != low").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        now = written(small.unionByName(low.select("node", F.col("low").alias("root"))).distinct())
+        large = with_low(both).where("root > node").select(F.col("root").alias("node"), F.least("low", "node").alias("root")).distinct()
+        found = with_low(large)
+        small = found.where("root != low").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        now = written(small.unionByName(found.select("node", F.col("low").alias("root"))).distinct())
         last, seen = seen, now.agg(mark).first()[0]
         if seen == last:
             break

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, written
+from .common import join_split, mix, slices, written
 from .components import connected_components, forest
 from .decontaminate import words_of
 
@@ -170,7 +170,7 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", t
     grouped = written(rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()))
     sizes = grouped.join(classes.select(F.col("set").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    wanted = grouped.join(sizes, "root").join(classes.select(F.col("set").alias("node"), "first", "copies"), "node")
+    wanted = join_split(grouped, sizes, ["root"]).join(classes.select(F.col("set").alias("node"), "first", "copies"), "node")
     wanted = wanted.select("root", F.col("node").alias("set"), "copies", blocks.alias("blocks"), "first.doc", "first.part")
     whole = docs.select(F.col(id).alias("d"), F.xxhash64(text).alias("p"), F.col(text).alias("text"))
     ready = whole.join(wanted, F.col("d").eqNullSafe(F.col("doc")) & (F.col("p") == F.col("part"))).dropDuplicates(["set"])
@@ -211,7 +211,7 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", t
     roots = connected_components(checked).withColumnRenamed("node", "set")
     per_class = classes.select("set", "first", "class_id", "copies", "n").join(links, "set", "left").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     components = per_class.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("first").alias("head"))
-    named = per_class.join(components, "root").select("set", "class_id", "component_id", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = join_split(per_class, components, ["root"]).select("set", "class_id", "component_id", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     worded = F.col("n") > 0
     return sketches.select("doc", "part", "set", "n").join(named, "set").select(
         F.col("doc").alias(id),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, slices
+from .common import join_split, numbered, slices
 
 SIZE = 3
 
@@ -38,7 +38,7 @@ def repeated_windows(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     windows = line_windows(docs, id, text)
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(~F.struct("doc", "place").eqNullSafe(F.col("first")))
+    later = join_split(windows, first.select("h1", "h2", "first"), ["h1", "h2"]).where(~F.struct("doc", "place").eqNullSafe(F.col("first")))
     return later.groupBy("doc", F.shiftright("place", 32).cast("int").alias("part")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("starts"))
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, slices, written
+from .common import hash_share, join_split, slices, written
 from .components import connected_components, forest
 from .jaccard import groups
 
@@ -161,7 +161,7 @@ def link_classes(classes: DataFrame, centres: np.ndarray, overlap: int, threshol
     """(a, b, links): a vector, one that it reaches by links, and how many vectors it is linked to, in parts to be added up."""
     members = written(in_clusters(classes, centres, overlap))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    members = join_split(members, sizes, ["cluster"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     keys = ["cluster", "block"]
     dealt = members.select(*keys, "set", "unit").repartition(*keys).sortWithinPartitions(*keys)
 
@@ -270,7 +270,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     roots = connected_components(linked).withColumnRenamed("node", "set")
     named = classes.select("set", "copies", "low").join(links, "set", "left").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     lowest = named.groupBy("root").agg(F.min("low").alias("lowest"))
-    named = named.join(lowest, "root").select("set", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "lowest")
+    named = join_split(named, lowest, ["root"]).select("set", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "lowest")
     usable_ = units.where(F.col("dim") == dim).select("vec", "set").join(named, "set").select("vec", "links", "lowest")
     rest = units.where(F.coalesce(F.col("dim") != dim, F.lit(True))).select("vec", F.lit(0).cast("long").alias("links"), F.col("vec").alias("lowest"))
     return usable_.unionByName(rest).select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, written
+from .common import join_split, mix, slices, written
 from .components import connected_components, forest
 from .decontaminate import FOLD
 from .jaccard import BLOCK, groups, in_block_pairs, shared_counts
@@ -234,7 +234,7 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     roots = linked_classes(classes, threshold, tune_bands(threshold, miss), 2)
     labelled = classes.select("set", "first", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     heads = labelled.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1").select("root", "head")
-    members = found.select("set", "doc", "part", "start", "size").join(labelled.select("set", "root").join(heads, "root").select("set", "head"), "set")
+    members = found.select("set", "doc", "part", "start", "size").join(join_split(labelled.select("set", "root"), heads, ["root"]).select("set", "head"), "set")
     itself = F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("part") == F.col("head.part"))
     over = (F.col("start") < F.col("head.start") + F.col("head.size")) & (F.col("head.start") < F.col("start") + F.col("size"))
     late = members.where(~(itself & over)).groupBy("doc", "part").agg(F.collect_set(F.struct("start", "size")).alias("late"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, written
+from .common import join_split, mix, slices, written
 from .jaccard import groups
 from .suffix_array import permuted_common_prefixes, suffix_array
 
@@ -293,7 +293,7 @@ def compare_segments(found: DataFrame, length: int, shared: int, shard_bytes: in
     copies = found.select("m", "content", "doc", "part", "start", "windows").join(distinct.where("n > 1").select("m", "content", "first"), ["m", "content"])
     copies = written(copies.where(~order.eqNullSafe(F.col("first"))).select("doc", "part", "start", (F.col("windows") + length - 1).alias("size")))
     several = distinct.groupBy("m").agg(F.count("*").alias("segments")).where("segments > 1")
-    ready = written(distinct.select("m", "behind", "first.doc", "first.part", "first.start", "windows", "raw").join(several, "m"))
+    ready = written(distinct.select("m", "behind", "first.doc", "first.part", "first.start", "windows", "raw").transform(join_split, several, ["m"]))
     small = F.col("segments") <= shared
     total, large = ready.agg(F.coalesce(F.sum(F.when(small, F.octet_length("raw"))), F.lit(0)), F.count_if(~small)).first()
     shards = max(1, -(-total // shard_bytes))
@@ -335,7 +335,7 @@ def compare_windows(segments: DataFrame, length: int) -> DataFrame:
     places = F.expr(f"transform(sequence(0, int(windows) - 1), i -> named_struct('h1', xxhash64(substring(raw, i + 1, {length})), 'h2', xxhash64(m, substring(raw, i + 1, {length})), 'start', start + i))")
     windows = segments.select("doc", "part", F.inline(places))
     first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = windows.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
+    late = join_split(windows, first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
     return late.select("doc", "part", "start", F.lit(length).cast("long").alias("size"))
 
 
