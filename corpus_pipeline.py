@@ -10,8 +10,8 @@ from obsforge.llm import decontaminate, jaccard, language, lines, packing
 from obsforge.llm.common import remainder, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: What a text without any known n-gram scores among four languages; clean texts score near 1.
-LEAST_SCORE = 0.25
+#: A text that shares no n-gram with a landmark scores 0; a single word of a learned language scores about 0.3.
+LEAST_SCORE = 0.1
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
