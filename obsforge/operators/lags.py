@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +120,8 @@ def frame_features(
     already went through costly steps: places are then read from it instead.
     """
     bands = list(bands)
-    partial = measurements.groupBy(*place, day_number(F.col(measured_day)).alias("__day")).agg(*_daily(bands))
+    used = measurements.where(reduce(lambda a, b: a | b, [b.rows for b in bands]))  # reaches the scan
+    partial = used.groupBy(*place, day_number(F.col(measured_day)).alias("__day")).agg(*_daily(bands))
     wanted = _wanted(samples if base is None else base, place, sample_day)
     line = wanted.unionByName(partial, allowMissingColumns=True)
     order = Window.partitionBy(*place).orderBy("__day")

@@ -182,8 +182,10 @@ def threshold_sweep(df: DataFrame, twentieths=THRESHOLD_TWENTIETHS) -> DataFrame
 
 def score_histogram(df: DataFrame, bins: int = SCORE_BINS) -> DataFrame:
     """Counts of scores per class in `bins` equal bins between the class's own extremes; bins from 1."""
-    ends = df.groupBy("y_true").agg(F.min("y_prob").alias("low"), F.max("y_prob").alias("high"))  # one row per class
-    placed = df.join(F.broadcast(ends), "y_true").withColumn(
+    of = {c: F.when(F.col("y_true") == c, F.col("y_prob")) for c in (0, 1)}
+    ends = df.agg(F.struct(*[f(v).alias(f"{n}{c}") for c, v in of.items() for n, f in (("low", F.min), ("high", F.max))])).scalar()
+    low, high = (F.when(F.col("y_true") == 1, ends[f"{n}1"]).otherwise(ends[f"{n}0"]) for n in ("low", "high"))
+    placed = df.where(F.col("y_true").isin(0, 1)).withColumns({"low": low, "high": high}).withColumn(
         "bin",
         F.when(F.col("high") > F.col("low"), F.least(F.width_bucket("y_prob", "low", "high", F.lit(bins)), F.lit(bins)))
         .otherwise(F.lit(bins // 2 + 1))

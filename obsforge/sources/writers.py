@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import utc_date
@@ -39,27 +41,40 @@ def write_measurements(df: DataFrame, path: str, ts: str = "ts") -> None:
 def update_tile_cache(pixels: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """Append the pixels of new or changed files to the cache; returns the files that were added.
 
-    The cache keeps (file_key, md5) on every row, so a changed file adds a new
-    version and `read_tile_cache` picks the version that `files` names.
+    Pixels keep (file_key, md5), so a changed file adds a new version and `read_tile_cache` picks the version that
+    `files` names. A table beside them has one row per version, written after the pixels: a run that breaks off leaves a
+    version out of it, and the next run adds that version's pixels anew.
     """
-    spark = pixels.sparkSession
-    known = known_tiles(spark, path)
+    known = known_tiles(pixels.sparkSession, path)
     fresh = files if known is None else new_or_changed(files, known)
-    pixels.join(fresh.select("file_key", "md5"), "file_key").hint("rebalance").write.mode("append").parquet(path)
-    return fresh
-
-
-def known_tiles(spark, path: str) -> DataFrame | None:
-    """(file_key, md5) pairs in the cache; None when there is no cache yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    versions = fresh.select("file_key", "md5")
+    run = uuid.uuid4().hex
+    tagged = pixels.join(versions, "file_key").withColumn("run", F.lit(run))
+    tagged.hint("rebalance").write.mode("append").parquet(f"{path}/pixels")
+    versions.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/files")
+    done = pixels.sparkSession.read.parquet(f"{path}/files").where(F.col("run") == run)
+    return done.drop("run")
+
+
+def known_tiles(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file_key, md5) of the versions in the cache; None when there is no cache yet."""
+    files = _versions(spark, path)
+    return None if files is None else files.select("file_key", "md5")
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("file_key STRING, md5 STRING, run STRING").parquet(f"{path}/files")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(path).select("file_key", "md5").distinct()
 
 
-def read_tile_cache(spark, path: str, files: DataFrame) -> DataFrame:
-    """Pixels of the listed versions."""
-    return spark.read.parquet(path).join(files.select("file_key", "md5"), ["file_key", "md5"], "left_semi")
+def read_tile_cache(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Pixels of the listed versions; what a run that broke off has left is not read."""
+    wanted = _versions(spark, path).join(files.select("file_key", "md5"), ["file_key", "md5"], "left_semi")
+    return spark.read.parquet(f"{path}/pixels").join(wanted, ["file_key", "md5", "run"], "left_semi").drop("run")
 
 
 def write_metrics(long: DataFrame, path: str) -> None:

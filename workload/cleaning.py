@@ -72,6 +72,12 @@ def filter_strict_years(spark, sf):
     return kept.select("object_id", "obs_date")
 
 
+@query("filter_countries", f"WITH {X.OBS} SELECT object_id, country FROM obs WHERE country IN ('KENYA', 'ETHIOPIA', 'EGYPT')")
+def filter_countries(spark, sf):
+    kept = C.filter_observations(X.observations(spark, sf), countries=("KENYA", "ETHIOPIA", "EGYPT"))
+    return kept.select("object_id", "country")
+
+
 @query(
     "iso_range",
     f"WITH {X.OBS} SELECT object_id, strftime(obs_date, '%Y-%m-%d') AS iso FROM obs WHERE obs_date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'",

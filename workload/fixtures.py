@@ -9,22 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsforge.sources.catalogue import SOURCES
+
 GRID_STEP = 250  # milli-degrees
 MEASURED = 13  # bands dealt out over the measurements
-BANDS = (
-    ("MODIS/061/MOD13Q1", "NDVI"),
-    ("MODIS/061/MOD13Q1", "EVI"),
-    ("MODIS/061/MOD11A2", "LST_Day_1km"),
-    ("UCSB-CHG/CHIRPS/DAILY", "precipitation"),
-    ("ECMWF/ERA5/DAILY", "u_component_of_wind_10m"),
-    ("ECMWF/ERA5/DAILY", "v_component_of_wind_10m"),
-    ("NCEP_DOE_II/daily_averages", "uwnd_10m"),
-    ("NCEP_DOE_II/daily_averages", "vwnd_10m"),
-    ("NASA/SMAP/SPL4SMGP/007", "sm_surface"),
-    ("MODIS/061/MOD16A2", "ET"),
-    ("IDAHO_EPSCOR/TERRACLIMATE", "aet"),
-    ("IDAHO_EPSCOR/TERRACLIMATE", "pet"),
-    ("MODIS/061/MOD09GA", "sur_refl"),
+# the catalogue's bands in its order, with the reflectance pair as one at the end
+BANDS = tuple((s.collection, s.band) for s in SOURCES if s.variable != "NDWI_pair") + tuple(
+    sorted({(s.collection, "sur_refl") for s in SOURCES if s.variable == "NDWI_pair"})
 )
 
 
