@@ -108,6 +108,24 @@ def glcm(df: DataFrame, keys: list[str], row: str, col: str, level: str) -> Data
     )
 
 
+def glcm_pixels(df: DataFrame, keys: list[str], row: str, col: str, level: str, size: int = 3) -> DataFrame:
+    """Texture of the size x size window around each pixel, as `glcm` defines it; windows are cut off at the tile's edge.
+
+    Each pixel goes to the size * size windows it is part of, so no window is larger than that and one shuffle by window
+    brings it together. A window of one level has NULL correlation.
+    """
+    half = size // 2
+    offsets = F.sequence(F.lit(-half), F.lit(half))
+    centres = df.select(*keys, row, col, level, F.explode(offsets).alias("__dy")).withColumn("__dx", F.explode(offsets))
+    windows = centres.select(
+        *keys, (F.col(row) + F.col("__dy")).alias("__row"), (F.col(col) + F.col("__dx")).alias("__col"), row, col, level
+    )
+    found = glcm(windows, [*keys, "__row", "__col"], row, col, level)
+    own = df.select(*keys, F.col(row).alias("__row"), F.col(col).alias("__col"))
+    return own.join(found, [*keys, "__row", "__col"]).withColumnsRenamed({"__row": row, "__col": col})
+
+
+
 def terrain(df: DataFrame, keys: list[str], x: str, y: str, elevation: str, cell_m: float) -> DataFrame:
     """Slope and aspect in degrees from the four neighbours; NULL at the rim.
 

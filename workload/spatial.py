@@ -289,6 +289,32 @@ def glcm_texture(spark, sf):
     return t.select("file_key", "band", *[r6(c).alias(c) for c in t.columns if c not in ("file_key", "band")])
 
 
+NEAR_PAIRS = " UNION ALL ".join(
+    f"""SELECT a.file_key, a.band, a.y, a.x, {p}.g AS i, {q}.g AS j FROM win a JOIN win b ON b.file_key = a.file_key AND b.band = a.band AND b.y = a.y AND b.x = a.x
+        AND b.col = a.col + {dx} AND b."row" = a."row" + {dy}"""
+    for dx, dy in S.TEXTURE_OFFSETS.values()
+    for p, q in (("a", "b"), ("b", "a"))
+)
+
+
+@query(
+    "glcm_pixels",
+    f"""WITH {X.PIX}, {LEVELS}, win AS (SELECT l.*, "row" + dy AS y, col + dx AS x FROM lev l, range(-1, 2) r(dy), range(-1, 2) c(dx)
+          WHERE "row" + dy BETWEEN 0 AND 7 AND col + dx BETWEEN 0 AND 7),
+        pairs AS ({NEAR_PAIRS}), q AS (SELECT file_key, band, y, x, i, j, count(*) AS n FROM pairs GROUP BY ALL),
+        t AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY file_key, band, y, x) AS DOUBLE) AS p FROM q),
+        m AS (SELECT *, sum(p * i) OVER (PARTITION BY file_key, band, y, x) AS mu FROM t),
+        s AS (SELECT file_key, band, y, x, sum(p * (i - j) * (i - j)) AS contrast, sum(p * (i - mu) * (j - mu)) AS cov,
+              -sum(p * ln(p)) AS entropy, sum(p * (i - mu) * (i - mu)) AS var FROM m GROUP BY ALL)
+        SELECT file_key, band, CAST(y AS INTEGER) AS "row", CAST(x AS INTEGER) AS col, {s6("contrast")} AS texture_contrast,
+          {s6("CASE WHEN var > 1e-9 THEN cov / var END")} AS texture_correlation, {s6("entropy")} AS texture_entropy, {s6("var")} AS texture_variance FROM s""",
+)
+def glcm_pixels(spark, sf):
+    """Texture in a 3 x 3 window around every pixel."""
+    t = S.glcm_pixels(levels(spark, sf), ["file_key", "band"], "row", "col", "g")
+    return t.select("file_key", "band", "row", "col", *[r6(c).alias(c) for c in t.columns if c.startswith("texture_")])
+
+
 @query(
     "terrain",
     f"""WITH {X.CELLS}, g AS (SELECT c.cell_x, c.cell_y, (e.elevation - w.elevation) / 500.0::DOUBLE AS dx, (n.elevation - s.elevation) / 500.0::DOUBLE AS dy
