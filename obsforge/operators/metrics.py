@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsforge.operators.ranking import BUCKETS, cut_points, running_totals
+from obsforge.operators.ranking import ROWS_PER_BUCKET, running_totals
 
 # Thresholds 0.10, 0.15 .. 0.95, as twentieths.
 THRESHOLD_TWENTIETHS = range(2, 20)
@@ -79,14 +79,14 @@ def threshold_metrics(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[st
     }
 
 
-def score_steps(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def score_steps(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Distinct scores from high to low with positives and negatives at the score and at or above it."""
     steps = (
         df.where(F.col("y_prob").isNotNull())
         .groupBy("y_prob")
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
     )
-    return running_totals(steps, "y_prob", ["pos", "neg"], descending=True, cuts=cut_points(df, "y_prob", buckets))
+    return running_totals(steps, "y_prob", ["pos", "neg"], descending=True, rows_per_bucket=rows_per_bucket)
 
 
 def ranking_metrics(df: DataFrame) -> DataFrame:

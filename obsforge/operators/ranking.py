@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+ROWS_PER_BUCKET = 50_000
 
 _BUCKET = "__bucket"
 
@@ -46,23 +47,31 @@ def _starts(totals: DataFrame, partition: list[str], order: list[Column], sums:
     return totals.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
 
 
-def running_totals(
-    df: DataFrame, order: str, sums: list[str], descending: bool = False, buckets: int = BUCKETS, cuts: list | None = None
-) -> DataFrame:
+def even_bucket(df: DataFrame, column: str, rows: int = ROWS_PER_BUCKET) -> Column:
+    """Number of the equal part of the column's range that a value lies in; there are as many parts as rows ask for.
+
+    Lowest, highest and count come from a subquery of the query itself, so nothing runs when the plan is made.
+    """
+    value = F.col(column).cast("double")
+    seen = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.count(column).alias("n"))).scalar()
+    parts = F.greatest(F.lit(1), F.ceil(seen["n"] / F.lit(rows)))
+    place = F.floor((value - seen["low"]) / (seen["high"] - seen["low"]) * parts)
+    return F.when(seen["high"] > seen["low"], F.least(place, parts - 1)).otherwise(F.lit(0)).cast("bigint")
+
+
+def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Append `<c>_cum`: the sum of c over all rows up to this one in the order of `order`.
 
-    `order` must be unique and not NULL. The table of bucket totals has at most
-    `buckets` rows, whatever the data, and is broadcast on that ground.
+    `order` must be unique, finite and not NULL, such as distinct scores. Buckets follow the number of rows.
     """
-    cuts = cut_points(df, order, buckets) if cuts is None else cuts
-    rows = df.withColumn(_BUCKET, bucket_of(F.col(order), cuts))
+    rows = df.withColumn(_BUCKET, even_bucket(df, order, rows_per_bucket))
     totals = rows.groupBy(_BUCKET).agg(*[F.sum(c).alias(c) for c in sums])
     sort = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     starts = _starts(totals, [], [sort], sums).select(_BUCKET, *[f"{c}_before" for c in sums])
     key = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(_BUCKET).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(F.broadcast(starts), _BUCKET)
+        rows.join(starts, _BUCKET)
         .withColumns({f"{c}_cum": F.col(f"{c}_before") + F.sum(c).over(inside) for c in sums})
         .drop(_BUCKET, *[f"{c}_before" for c in sums])
     )

@@ -66,7 +66,7 @@ def test_running_totals_both_ways(spark):
     df = spark.range(200).select((F.col("id") * F.col("id") % 1009).alias("k")).distinct().withColumn("v", F.col("k") % 5)
     values = sorted((r["k"], r["v"]) for r in df.collect())
     for descending in (False, True):
-        out = {r["k"]: r["v_cum"] for r in R.running_totals(df, "k", ["v"], descending, buckets=6).collect()}
+        out = {r["k"]: r["v_cum"] for r in R.running_totals(df, "k", ["v"], descending, rows_per_bucket=6).collect()}
         total, expected = 0, {}
         for k, v in reversed(values) if descending else values:
             total += v
