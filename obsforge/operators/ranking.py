@@ -13,35 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
 ROWS_PER_BUCKET = 50_000
 
 _BUCKET = "__bucket"
 
 
-def cut_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
-    """About evenly filled cut points of a numeric column.
-
-    Runs one aggregate and brings at most `buckets` numbers to the driver, so
-    that every later pass over the data sees the same literal cuts.
-    """
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(column, shares, 20 * buckets).alias("c")).first()["c"]
-    return sorted(set(cuts or []))
-
-
-def bucket_of(value: Column, cuts: list) -> Column:
-    """Number of cut points at or below the value, found by halving."""
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(cuts[middle]), between(low, middle)).otherwise(between(middle + 1, high))
-
-    return between(0, len(cuts))
-
-
 def _starts(totals: DataFrame, partition: list[str], order: list[Column], sums: list[str]) -> DataFrame:
     before = Window.partitionBy(*partition, F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
@@ -77,16 +53,15 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
     )
 
 
-def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", buckets: int = BUCKETS, descending: bool = False) -> DataFrame:
+def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET, descending: bool = False) -> DataFrame:
     """0-based position of each row in the order (day with NULL last, row_id); `descending` turns the days round.
 
-    Rows are numbered inside (day, id bucket). A bucket holds about 1/buckets of
-    all ids, so even a day with most of the rows is split. `row_id` is a unique
-    number.
+    Rows are numbered inside (day, id bucket). Buckets are equal parts of the
+    range of ids, as many as rows ask for, so even a day with most of the rows
+    is split. `row_id` is a unique number.
     """
-    cuts = cut_points(df, row_id, buckets)
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    rows = df.withColumn(_BUCKET, bucket_of(F.col(row_id), cuts)).withColumn(
+    rows = df.withColumn(_BUCKET, even_bucket(df, row_id, rows_per_bucket)).withColumn(
         "__day", F.coalesce(-number if descending else number, F.lit(2147483647))
     )
     cells = rows.groupBy("__day", _BUCKET).agg(F.count(F.lit(1)).alias("n"))
@@ -143,7 +118,7 @@ def first_n_per_class(
     row_id: str,
     class_col: str,
     limits: dict[str, Callable[[dict[str, Column]], Column]],
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Rows among the first N of their class by `row_id`, a unique number.
 
@@ -151,11 +126,10 @@ def first_n_per_class(
     of the N-th row of a class is found from bucket counts and the rows of one
     bucket; the table itself is only filtered, neither sorted nor shuffled.
     """
-    cuts = cut_points(df, row_id, buckets)
     classes = list(limits)
     rows = df.where(F.col(class_col).isin(classes))
     keyed = rows.select(
-        F.col(class_col).alias("__class"), bucket_of(F.col(row_id), cuts).alias(_BUCKET), F.col(row_id).alias("__id")
+        F.col(class_col).alias("__class"), even_bucket(rows, row_id, rows_per_bucket).alias(_BUCKET), F.col(row_id).alias("__id")
     )
     counts = keyed.groupBy("__class", _BUCKET).agg(F.count(F.lit(1)).alias("n"))
     per_class = [

@@ -6,6 +6,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from obsforge.operators import ranking as R
+from obsforge.operators import sampling as S
 from obsforge.operators.quantiles import exact_median
 
 
@@ -39,3 +41,12 @@ def test_no_job_before_the_action(spark):
     out = exact_median(df.withColumn("v", F.col("v") + 1), ["k"], "v")
     assert list(tracker.getJobIdsForGroup("medians")) == []
     assert out.count() > 0
+
+
+def test_no_job_before_the_action_of_global_orders(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("orders", "plan only")
+    df = spark.range(500).select((F.col("id") * 7).alias("id"), F.when(F.col("id") % 3 == 0, "PRESENT").otherwise("ABSENT").alias("c"), F.lit("2020-01-01").cast("date").alias("d"))
+    planned = [S.page(df, "d", "id", 8), S.balance_first(df, "id", "c"), S.cap_rows(df, "id", 10), R.running_totals(df.withColumn("v", F.lit(1)), "id", ["v"])]
+    assert list(tracker.getJobIdsForGroup("orders")) == []
+    assert [p.count() for p in planned] == [500, 334, 10, 500]

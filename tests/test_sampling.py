@@ -52,7 +52,7 @@ def test_sample_n_has_exactly_n(spark, n, k):
 
 def test_index_with_one_hot_day(spark):
     df = observations(spark, 500).withColumn("day", F.when(F.col("object_id") % 2 == 0, F.col("day")))
-    out = {r["object_id"]: r["index"] for r in R.global_index(df, "day", "object_id", buckets=8).collect()}
+    out = {r["object_id"]: r["index"] for r in R.global_index(df, "day", "object_id", rows_per_bucket=8).collect()}
     rows = sorted(((r["day"] or dt.date(9999, 1, 1)), r["object_id"]) for r in df.collect())
     assert out == {i: k for k, (_, i) in enumerate(rows)}
 
