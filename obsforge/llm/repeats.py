@@ -25,7 +25,7 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 LENGTH = 100
 GRAM = 24  # 16 + 8, so that hashes double
 BUFFER = 2 << 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 19
 #: Distinct segments of one minimizer up to which they share a shard; those of more are cut up, and what still is too many compared by hash, over all tasks.
 SHARED = 500
 
@@ -135,7 +135,7 @@ def minimizers(docs: DataFrame, length: int, bound: int) -> DataFrame:
 
 def pack_hints(m: np.ndarray, hints: np.ndarray) -> pa.RecordBatch:
     """(m, hints): each hash once, with all its document hashes as bytes."""
-    order = np.lexsort((hints, m))
+    order = np.argsort(m, kind="stable")
     m, hints = m[order], hints[order]
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
     offsets = np.concatenate([first, [len(m)]]).astype(np.int32) * 4
@@ -156,15 +156,16 @@ def known_by_document(found: DataFrame) -> DataFrame:
             m = batch.column(0).to_numpy()
             if not len(m):
                 continue
-            packed = batch.column(1).to_pylist()
-            sizes = np.array([len(x) // 4 for x in packed])
+            hints = batch.column(1)
+            offsets = np.frombuffer(hints.buffers()[1], np.int32)[hints.offset : hints.offset + len(hints) + 1] // 4
+            sizes = np.diff(offsets)
             fresh = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
             total = np.add.reduceat(sizes, fresh)
             before = held if m[0] == last else []
             total[0] += m[0] == last
             runs = np.diff(np.concatenate([fresh, [len(m)]]))
             stay = np.repeat(np.repeat(total > 1, runs), sizes)
-            every = np.frombuffer(b"".join(packed), np.int32)
+            every = np.frombuffer(hints.buffers()[2], np.int32, offsets[-1])[offsets[0] :]
             last, held = m[-1], [] if total[-1] > 1 else [every[-1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(before, np.int32), every[stay]])), pa.array(np.concatenate([m[: len(before)], np.repeat(m, sizes)[stay]]))], names=["hint", "m"])
 
@@ -185,7 +186,8 @@ def repeated_segments(packed: DataFrame, hints: DataFrame, length: int, bound: i
                 cuts = np.flatnonzero(np.diff(number)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(number)], strict=True):
                     if b > a:
-                        stay[a:b] = np.isin(m[a:b], known[number[a]])
+                        seen = known[number[a]]
+                        stay[a:b] = seen[np.minimum(np.searchsorted(seen, m[a:b]), len(seen) - 1)] == m[a:b]
                 at = np.flatnonzero(stay)
                 raw = [data[a:b].tobytes() for a, b in zip(first[at], first[at] + windows[at] + length - 1, strict=True)]
                 content = [xxhash.xxh3_128_digest(x) for x in raw]
