@@ -1,8 +1,10 @@
 """Removal of repeated passages: overlapping paragraphs meet by MinHash bands, and are linked by exact Jaccard similarity.
 
-A paragraph is a run of whole sentences of at least sixteen words, and one begins at every sentence, so that a passage that
-is copied into the middle of other text still has paragraphs of its own. Most paragraphs occur once: a first pass keeps the
-documents' paragraphs that share a MinHash value with another one, and only they are banded, joined and verified.
+A paragraph is a run of whole sentences of at least sixteen words, and one begins at every sentence. Where sentences end is
+not the same in every text that a passage is copied into, and some texts have no marks. So there also are fixed runs of 26
+words that begin where a hash is the least of 26 in sequence: any 51 words hold one that depends on nothing else. Fixed runs
+meet if they are equal. Most paragraphs occur once: a first pass keeps the documents' paragraphs that share a MinHash value
+(fixed runs: all words) with another one, and of them the sentences are banded, joined and verified.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import join_split, mix, slices, written
 from .components import connected_components, forest
 from .decontaminate import FOLD
 from .jaccard import BLOCK, groups, in_block_pairs, shared_counts
-from .repeats import BUFFER, buffers, cut_spans, keyed_texts, known_by_document, pack_hints
+from .repeats import BUFFER, buffers, cut_spans, keyed_texts, known_by_document, pack_hints, sliding
 
 SHINGLE = 5
 LEAST_WORDS = 16
@@ -33,6 +35,7 @@ ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 FEW = 8  # members up to which sets are met one by one
 APART = 6  # words before a sentence's end without a mark, so that paragraphs in sequence differ enough
 SOFT = 32  # a word in so many ends a sentence by its hash, for texts without marks
+FIXED = 26  # words of a fixed run, and hashes of which the least begins one: those in sequence leave no gap
 
 
 def tune_bands(threshold: float, miss: float, most: int = 64, rows: int = 2) -> int:
@@ -54,10 +57,20 @@ class Paragraphs(NamedTuple):
     words: np.ndarray
     first: np.ndarray  # first and past-last shingle in the buffer
     last: np.ndarray
+    fixed: np.ndarray  # a fixed run, not whole sentences; these come last
+
+
+def fixed_heads(shingles: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """First words of fixed runs: the least shingles of any FIXED in sequence. whole: of each such window, if it counts."""
+    if not len(whole):
+        return np.zeros(0, np.int64)
+    low = np.where(whole, sliding(np.minimum, shingles, FIXED), np.uint64(0))
+    edge = np.zeros(FIXED - 1, np.uint64)
+    return np.flatnonzero(sliding(np.maximum, np.concatenate([edge, low, edge]), FIXED) == shingles)
 
 
 def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = BUFFER, overlap: int = 1 << 14) -> Iterator[tuple[np.ndarray, Paragraphs]]:
-    """Per buffer: hashes of runs of five words, and the paragraphs. A text beyond the bound is read in parts that overlap."""
+    """Per buffer: hashes of runs of five words, and the paragraphs, fixed runs after those of sentences. A text beyond the bound is read in parts that overlap."""
     for data, number, place, ends in buffers(texts, 1, bound, overlap):
         begins = ends - np.diff(np.concatenate([[0], ends]))
         folded = FOLDS[data]
@@ -67,7 +80,7 @@ def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = B
         # Parts are put end to end without a blank: a word never crosses a part's end.
         inner = begins[1:][inside[begins[1:]] & inside[begins[1:] - 1]]
         at, to = np.sort(np.concatenate([at, inner])), np.sort(np.concatenate([to, inner]))
-        if not len(at):
+        if len(at) < SHINGLE:
             continue
         powers, inverse = (x[: len(data) + 1] for x in power_tables(1 << int(len(data) + 1).bit_length()))
         total = np.concatenate([[np.uint64(0)], np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
@@ -88,20 +101,26 @@ def read_paragraphs(texts: list[bytes], least: int = LEAST_WORDS, bound: int = B
         tail = np.searchsorted(past, head + least)
         good = tail < len(past)
         head, tail = head[good], past[tail[good]]
+        runs = np.zeros(len(word) - SHINGLE + 1, np.uint64)
+        for k in range(SHINGLE):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(runs)]
+        runs = mix(runs)
         # In a part, what its edges cut through is left to the parts beside it.
         opens = np.concatenate([[True], part[1:] != part[:-1]]) & (place[part] > 0)
         sizes = np.array([len(x) for x in texts])
         closes = np.concatenate([part[1:] != part[:-1], [True]]) & (place[part] + ends[part] - begins[part] < sizes[number[part]])
+        reach = FIXED + SHINGLE - 1  # words of a window
+        heads = fixed_heads(runs, (part[reach - 1 :] == part[: 1 - reach]) & ~closes[reach - 1 :] & ~opens[: 1 - reach])
+        heads = heads[heads + max(FIXED, least) <= len(word)]
+        fixed = np.repeat([False, True], [len(head), len(heads)])
+        head, tail = np.concatenate([head, heads]), np.concatenate([tail, heads + max(FIXED, least)])
         good = (part[head] == part[tail - 1]) & ~opens[head] & ~closes[tail - 1]
-        head, tail = head[good], tail[good]
-        if not len(head) or len(word) < SHINGLE:
+        head, tail, fixed = head[good], tail[good], fixed[good]
+        if not len(head):
             continue
-        runs = np.zeros(len(word) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            runs = runs * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(runs)]
         p = part[head]
         stop = np.minimum(np.where(tail < len(at), at[np.minimum(tail, len(at) - 1)], len(data)), ends[p])
-        yield mix(runs), Paragraphs(number[p], place[p] + at[head] - begins[p], stop - at[head], tail - head, head, tail - SHINGLE + 1)
+        yield runs, Paragraphs(number[p], place[p] + at[head] - begins[p], stop - at[head], tail - head, head, tail - SHINGLE + 1, fixed)
 
 
 def gather_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -122,15 +141,32 @@ def minima(shingles: np.ndarray, paragraphs: Paragraphs, lane: int) -> np.ndarra
     return np.minimum.reduceat(values, bounds)[::2]
 
 
+def fixed_values(shingles: np.ndarray, paragraphs: Paragraphs) -> np.ndarray:
+    """One hash of all words of each fixed run."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(shingles)])
+    own = paragraphs.fixed
+    return mix(total[paragraphs.last[own]] - total[paragraphs.first[own]])
+
+
+def split_fixed(paragraphs: Paragraphs) -> tuple[Paragraphs, Paragraphs]:
+    """Paragraphs of sentences, and fixed runs."""
+    n = len(paragraphs.fixed) - int(paragraphs.fixed.sum())
+    return Paragraphs(*[x[:n] for x in paragraphs]), Paragraphs(*[x[n:] for x in paragraphs])
+
+
 def sieve_values(docs: DataFrame, least: int) -> DataFrame:
-    """(m, hints): MinHash values, with the documents they come from. Paragraphs in sequence that share one count once."""
+    """(m, hints): MinHash values of sentences and hashes of fixed runs, with the documents they come from.
+
+    Paragraphs of sentences in sequence that share a value count once.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             hint = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
             for shingles, found in read_paragraphs([(x or "").encode() for x in batch.column(1).to_pylist()], least):
-                values, numbers = [], []
-                for lane in range(SIEVE):
+                found, runs = split_fixed(found)
+                values, numbers = [fixed_values(shingles, runs)], [runs.number]
+                for lane in range(SIEVE if len(found.number) else 0):
                     low = minima(shingles, found, lane)
                     fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (found.number[1:] != found.number[:-1])])
                     values.append(low[fresh])
@@ -141,7 +177,7 @@ def sieve_values(docs: DataFrame, least: int) -> DataFrame:
 
 
 def sieved_paragraphs(packed: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """(set, doc, part, start, size, shingles) of the paragraphs that share a value with another one."""
+    """(set, doc, part, start, size, shingles) of the paragraphs that share a value with another one; fixed runs without shingles."""
     joined = packed.join(known, "hint").select("doc", "part", "packed", "known")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +185,9 @@ def sieved_paragraphs(packed: DataFrame, known: DataFrame, least: int) -> DataFr
         for batch in slices(batches):
             seen = [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
             for shingles, found in read_paragraphs([opened.decompress(x) for x in batch.column(2).to_pylist()], least):
-                lows = np.stack([minima(shingles, found, lane) for lane in range(SIEVE)]).view(np.int64)
+                sentences, own = split_fixed(found)
+                lows = [minima(shingles, sentences, lane) if len(sentences.number) else np.zeros(0, np.uint64) for lane in range(SIEVE)]
+                lows = np.concatenate([np.stack(lows), np.tile(fixed_values(shingles, own), (SIEVE, 1))], 1).view(np.int64)
                 stay = np.zeros(len(found.number), bool)
                 cuts = np.flatnonzero(np.diff(found.number)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(stay)], strict=True):
@@ -160,10 +198,13 @@ def sieved_paragraphs(packed: DataFrame, known: DataFrame, least: int) -> DataFr
                 own, rows = shingles[runs], pa.array(found.number[at])
                 offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
                 # A set is named by two sums over its hashes; of each hash four bytes are kept, enough among a few dozen.
-                ends = offsets[:-1]
+                ends, fixed = offsets[:-1], found.fixed[at]
                 names = np.stack([np.add.reduceat(mix(own + np.uint64(k)), ends) if len(at) else own for k in (11, 12)], 1)
+                names[:, 0] ^= fixed.astype(np.uint64)  # a fixed run is never of the class of whole sentences
+                kept = gather_runs(first[~fixed], last[~fixed])
+                offsets = np.concatenate([[0], np.cumsum(np.where(fixed, 0, last - first))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [binary(names, np.arange(0, 16 * len(at) + 1, 16)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.start[at]), pa.array(found.size[at]), binary((own >> np.uint64(32)).astype(np.uint32), 4 * offsets)],
+                    [binary(names, np.arange(0, 16 * len(at) + 1, 16)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.start[at]), pa.array(found.size[at]), binary((shingles[kept] >> np.uint64(32)).astype(np.uint32), 4 * offsets)],
                     names=["set", "doc", "part", "start", "size", "shingles"],
                 )
 
@@ -221,7 +262,7 @@ def linked_classes(classes: DataFrame, threshold: float, bands: int, rows: int)
 def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, least: int = LEAST_WORDS, miss: float = 0.003) -> DataFrame:
     """One row per row of docs: id, n_bytes, spans (start and size of each maximal removed run, in bytes), kept (bytes left).
 
-    Paragraphs are linked at the threshold; of each component the first, by id and then place, stays with those of the same
+    Paragraphs of whole sentences are linked at the threshold, fixed runs if they are equal; of each component the first, by id and then place, stays with those of the same
     document that overlap it, and all others go with the blanks behind them. Words are folded as in decontamination. A null
     text is empty, a null id smallest; texts below `least` words have no paragraph. Rows that agree in id and text are one
     document; rows that agree in id only are ordered by a hash of the text.
@@ -231,7 +272,7 @@ def drop_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "tex
     found = written(sieved_paragraphs(once, known_by_document(sieve_values(base, least)), least))
     order = F.struct("doc", "part", "start", "size")
     classes = written(found.groupBy("set").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("shingles").alias("shingles")))
-    roots = linked_classes(classes, threshold, tune_bands(threshold, miss), 2)
+    roots = linked_classes(classes.where(F.length("shingles") > 0), threshold, tune_bands(threshold, miss), 2)
     labelled = classes.select("set", "first", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     heads = labelled.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1").select("root", "head")
     members = found.select("set", "doc", "part", "start", "size").join(join_split(labelled.select("set", "root"), heads, ["root"]).select("set", "head"), "set")

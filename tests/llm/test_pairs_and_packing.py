@@ -152,6 +152,26 @@ def test_passages_inside_other_text_are_removed(documents):
     assert all(sum(s["size"] for s in r.spans) == r.n_bytes - len(r.kept) for r in found.values())
 
 
+def test_passages_without_marks_or_with_short_lines_cut_anywhere(documents):
+    """Any 51 words copied into other text lose a run of 26; the first copy stays whole."""
+    rng = random.Random(12)
+    rows, passages = [], {}
+    for k in range(120):
+        gap = [lambda n: " ", lambda n: "\n" if n % 5 == 4 else " ", lambda n: " | "][k % 3]
+
+        def words(n, gap=gap):
+            return "".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) + gap(i) for i in range(n))
+
+        passages[k] = words(51)
+        rows += [(1000 * copy + k, f"{words(rng.randint(0, 40))}{passages[k]}{words(rng.randint(0, 40))}") for copy in (0, 1)]
+    found = {r.doc_id: r for r in paragraphs.drop_repeated_passages(documents(rows)).collect()}
+    for (a, text), (b, other) in zip(rows[::2], rows[1::2], strict=True):
+        assert bytes(found[a].kept) == text.encode()
+        at = other.index(passages[a])
+        gone = {i for s in found[b].spans for i in range(s.start, s.start + s["size"])} & set(range(at, at + len(passages[a])))
+        assert len(other[min(gone) : max(gone) + 1].replace("|", " ").split()) >= 26, b
+
+
 def test_passages_of_long_texts_in_parts():
     rng = random.Random(1)
     text = ". ".join(" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 20))) for _ in range(400)).encode()
