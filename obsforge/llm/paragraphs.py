@@ -154,10 +154,18 @@ def split_fixed(paragraphs: Paragraphs) -> tuple[Paragraphs, Paragraphs]:
     return Paragraphs(*[x[:n] for x in paragraphs]), Paragraphs(*[x[n:] for x in paragraphs])
 
 
+def counted(low: np.ndarray, paragraphs: Paragraphs) -> np.ndarray:
+    """Whether a paragraph's value counts: it is not that of the one before, or some before it that share it end where this begins."""
+    fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (paragraphs.number[1:] != paragraphs.number[:-1])])[: len(low)]
+    run = np.cumsum(fresh) << 33  # each run's ends lie below those of the one before, so that the least starts anew
+    least = np.minimum.accumulate(paragraphs.start + paragraphs.size - run)
+    return fresh | np.concatenate([[False], paragraphs.start[1:] - run[1:] >= least[:-1]])[: len(low)]
+
+
 def sieve_values(docs: DataFrame, least: int) -> DataFrame:
     """(m, hints): MinHash values of sentences and hashes of fixed runs, with the documents they come from.
 
-    Paragraphs of sentences in sequence that share a value count once.
+    Paragraphs of sentences in sequence that share a value count once as long as they overlap.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +176,7 @@ def sieve_values(docs: DataFrame, least: int) -> DataFrame:
                 values, numbers = [fixed_values(shingles, runs)], [runs.number]
                 for lane in range(SIEVE if len(found.number) else 0):
                     low = minima(shingles, found, lane)
-                    fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (found.number[1:] != found.number[:-1])])
+                    fresh = counted(low, found)
                     values.append(low[fresh])
                     numbers.append(found.number[fresh])
                 yield pack_hints(np.concatenate(values), hint[np.concatenate(numbers)])

@@ -172,6 +172,19 @@ def test_passages_without_marks_or_with_short_lines_cut_anywhere(documents):
         assert len(other[min(gone) : max(gone) + 1].replace("|", " ").split()) >= 26, b
 
 
+def test_a_sentence_repeated_in_one_document_alone(documents):
+    rng = random.Random(13)
+    sentence = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(20)) + ". "
+    twice = [" ".join("w%d" % (100 * d + k) for k in range(18)) + ". " for d in range(12)]  # too short for a fixed run to come back
+    lines = "one line of five words\nand five words after it\n"
+    rows = [(1, sentence * 40), (2, lines * 200), (3, "once only, " + sentence[::-1])] + [(10 + d, x * 2) for d, x in enumerate(twice)]
+    found = {r.doc_id: bytes(r.kept) for r in paragraphs.drop_repeated_passages(documents(rows)).collect()}
+    assert found[1].startswith(sentence.encode()) and len(found[1]) < 4 * len(sentence)
+    assert found[2].startswith(lines.encode()) and len(found[2]) < 20 * len(lines)
+    assert [found[10 + d].decode() for d in range(12)] == twice
+    assert found[3] == rows[2][1].encode()
+
+
 def test_passages_of_long_texts_in_parts():
     rng = random.Random(1)
     text = ". ".join(" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 20))) for _ in range(400)).encode()
