@@ -29,6 +29,9 @@ BLOCK = 2000  # vectors of a block, at most about
 DEGREE = 24  # edges of a vector in one block
 SLACK = 1.2  # an edge goes if a kept neighbour is nearer to its end by this factor
 BEAM = 48
+AUDITS = (400, 1600, 6400)  # vectors compared with all others, until enough of them have a partner
+PARTNERED = 60  # vectors with a partner that are enough to tell the recall
+CAUTION = 4  # so many times the overlap where too few are seen to tell
 STRAY = 0.15  # how far below the range a search still goes on
 
 
@@ -158,7 +161,8 @@ def in_clusters(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFr
 
 
 def link_classes(classes: DataFrame, centres: np.ndarray, overlap: int, threshold: float) -> DataFrame:
-    """(a, b, links): a vector, one that it reaches by links, and how many vectors it is linked to, in parts to be added up."""
+    """(a, b, links, peers): a vector, one that it reaches by links, and how many vectors it is linked to, with copies and
+    without, in parts to be added up."""
     members = written(in_clusters(classes, centres, overlap))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     members = join_split(members, sizes, ["cluster"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
@@ -181,26 +185,26 @@ def link_classes(classes: DataFrame, centres: np.ndarray, overlap: int, threshol
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cluster, i, j), rows in groups(slices(batches, 1000), 3):
-            found, links = search_blocks(rows, cluster, i, j, threshold)
+            found, links, peers = search_blocks(rows, cluster, i, j, threshold)
             sets = [r[1] for r in rows]
             label = forest(len(rows), found[:, 0], found[:, 1])
             some = np.flatnonzero(links | (label != np.arange(len(rows))))
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([sets[k] for k in some], pa.binary()), pa.array([sets[k] for k in label[some]], pa.binary()), pa.array(links[some])], names=["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array([sets[k] for k in some], pa.binary()), pa.array([sets[k] for k in label[some]], pa.binary()), pa.array(links[some]), pa.array(peers[some])], names=["a", "b", "links", "peers"])
 
-    return pairs.mapInArrow(search, "a binary, b binary, links long")
+    return pairs.mapInArrow(search, "a binary, b binary, links long, peers long")
 
 
-def search_blocks(rows: list[tuple], cluster: int, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a cluster's blocks i and j, and each row's links. rows: (block, set, unit, copies, homes, edges).
+def search_blocks(rows: list[tuple], cluster: int, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs of a cluster's blocks i and j, and each row's links with copies and without. rows: (block, set, unit, copies, homes, edges).
 
     A pair that meets in several clusters counts in the first of them.
     """
     block, copies = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    links = np.zeros(len(rows), np.int64)
+    links, peers = np.zeros((2, len(rows)), np.int64)
     if not len(left) or not len(right):
-        return np.zeros((0, 2), np.int64), links
+        return np.zeros((0, 2), np.int64), links, peers
     vectors = stacked([r[2] for r in rows])
     place = {rows[k][1]: n for n, k in enumerate(right)}
     edges = padded([np.array([place[x] for x in rows[k][5] if x in place], np.int64) for k in right])
@@ -218,27 +222,39 @@ def search_blocks(rows: list[tuple], cluster: int, i: int, j: int, threshold: fl
     once = found[first == cluster]
     np.add.at(links, once[:, 0], copies[once[:, 1]])
     np.add.at(links, once[:, 1], copies[once[:, 0]])
-    return found, links
-
-
-def audit_recall(classes: DataFrame, linked: DataFrame, threshold: float, queries: int = 200) -> float:
-    """Share of the links of some vectors, drawn by hash, that were found; their true links are counted over all rows."""
-    drawn = classes.orderBy(F.xxhash64("set"), "set").limit(queries).select("set", "unit").collect()
-    if not drawn:
+    peers += np.bincount(once.ravel(), minlength=len(rows))
+    return found, links, peers
+
+
+def true_partners(classes: DataFrame, threshold: float, n: int, draws: tuple[int, ...] = AUDITS, needed: int = PARTNERED) -> tuple[dict[bytes, int], bool]:
+    """{vector: other distinct vectors in range} of vectors drawn by hash that have any, counted over all rows, and whether
+    they are enough to tell: so many, or all there are."""
+    for queries in draws:
+        drawn = classes.orderBy(F.xxhash64("set"), "set").limit(queries).select("set", "unit").collect()
+        if not drawn:
+            return {}, True
+        asked = stacked([r[1] for r in drawn])
+
+        def count(batches: Iterator[pa.RecordBatch], asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1000):
+                near = (stacked(batch.column(0).to_pylist()) @ asked.T >= threshold).sum(0)
+                some = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(near[some])], names=["query", "n"])
+
+        counted = classes.select("unit").mapInArrow(count, "query long, n long").groupBy("query").sum("n").collect()
+        partners = {bytes(drawn[q][0]): total - 1 for q, total in counted if total > 1}  # one is the vector itself
+        if len(partners) >= needed or queries >= n:
+            return partners, True
+    return partners, False
+
+
+def found_share(partners: dict[bytes, int], linked: DataFrame) -> float:
+    """Mean share of these vectors' partners that were found, every vector alike, without copies."""
+    if not partners:
         return 1.0
-    asked = stacked([r[1] for r in drawn])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            near = stacked(batch.column(0).to_pylist()) @ asked.T >= threshold
-            copies = batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked))), pa.array((near * copies[:, None]).sum(0))], names=["query", "n"])
-
-    true = classes.select("unit", "copies").mapInArrow(count, "query long, n long").groupBy("query").sum("n").collect()
-    own = {r[0]: r[1] for r in classes.join(F.broadcast(classes.sparkSession.createDataFrame([(r[0],) for r in drawn], "set binary")), "set").select("set", "copies").collect()}
-    found = {r[0]: r[1] for r in linked.groupBy(F.col("a").alias("set")).agg(F.sum("links")).join(F.broadcast(classes.sparkSession.createDataFrame([(r[0],) for r in drawn], "set binary")), "set").collect()}
-    wanted = sum(r[1] for r in true) - sum(own.values())
-    return sum(found.values()) / wanted if wanted else 1.0
+    asked = linked.sparkSession.createDataFrame([(x,) for x in partners], "a binary")
+    found = linked.join(F.broadcast(asked), "a").groupBy("a").agg(F.sum("peers")).collect()
+    return sum(n / partners[bytes(x)] for x, n in found) / len(partners)
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, overlap: int = OVERLAP, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
@@ -246,8 +262,9 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     links reach, its own included) and kept, whether that is its own.
 
     Equal directions are one vector with copies. Centres are fitted on at most `sample` vectors, drawn by hash; every vector
-    is indexed and searched. If an audit of 200 vectors against all finds a smaller share of their links than `recall`, the
-    search is done again with twice the overlap. Null and zero vectors, vectors with null or non-finite components, and those
+    is indexed and searched. Some vectors, more until 60 of them have partners or 6,400 are drawn, are compared with all. If
+    the search finds a smaller share of their partners than `recall` on average, it is done again with twice the overlap; if
+    fewer had partners, it begins with four times the overlap. Null and zero vectors, vectors with null or non-finite components, and those
     of another length than most link with nothing. A null id is no name: its component's is the smallest other, if there is one.
     """
     units = written(unit_vectors(vectors, id, vector))
@@ -261,9 +278,13 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
         drawn = drawn or classes.select("unit").limit(1).collect()
         found = stacked([r[0] for r in drawn])
         centres = fit_centres(found, max(1, min(CENTRES, math.ceil(n / PER_CLUSTER), len(found))))
+    partners: dict[bytes, int] = {}
+    if overlap < len(centres):
+        partners, enough = true_partners(classes, threshold, n)
+        overlap *= 1 if enough else CAUTION
     while True:
         linked = written(link_classes(classes, centres, overlap, threshold))
-        if overlap >= len(centres) or audit_recall(classes, linked, threshold) >= recall:
+        if overlap >= len(centres) or found_share(partners, linked) >= recall:
             break
         overlap *= 2
     links = linked.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))

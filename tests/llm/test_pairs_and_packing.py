@@ -120,6 +120,22 @@ def test_a_cluster_of_several_blocks(spark, monkeypatch):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_is_told_by_vectors_that_have_partners(spark):
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(1000, 32))
+    units[20:40] = units[:20] + 0.05 * rng.normal(size=(20, 32))  # scattered pairs
+    units[40:44] = units[44] + 0.05 * rng.normal(size=(4, 32))  # a group with many copies
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows = [(b"%d" % k, x.tobytes(), 1000 if 40 <= k < 45 else 1) for k, x in enumerate(units)]
+    classes = spark.createDataFrame(rows, "set binary, unit binary, copies long").repartition(3)
+    partners, enough = neighbours.true_partners(classes, 0.9, len(rows))
+    assert partners == {b"%d" % k: 1 if k < 40 else 4 for k in range(45)} and enough
+    assert not neighbours.true_partners(classes, 0.9, len(rows), (50, 100))[1]
+    group = [(b"%d" % k, b"40", 4000, 4) for k in range(40, 45)]  # all links of the group, and none of the pairs'
+    linked = spark.createDataFrame(group, "a binary, b binary, links long, peers long")
+    assert neighbours.found_share(partners, linked) == pytest.approx(5 / 45)
+
+
 def test_vector_query_returns_every_row(spark, small):
     rows = queries.op1(spark, SF).collect()
     assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in small("embeddings").collect())
