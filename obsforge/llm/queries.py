@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, neighbours, packing, paragraphs, quality, repeats, secret_scan
+from . import backoff, collocations, decontaminate, jaccard, language, lines, neighbours, packing, paragraphs, quality, repeats, secret_scan, whitening
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,37 @@ def contamination_digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
+@query("op13_collocations", r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size),
+    f AS (SELECT lang, w[i : i + size - 1] AS gram, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    inside AS (SELECT lang, gram[i : j] AS gram, max(f) AS longer
+               FROM (SELECT lang, gram, f, i, unnest(range(i + 1, len(gram) + 1)) AS j FROM (SELECT lang, gram, f, unnest(range(1, len(gram))) AS i FROM f))
+               WHERE j - i + 1 < len(gram) GROUP BY ALL),
+    kept AS (SELECT lang, gram, f.f AS a FROM f LEFT JOIN inside USING (lang, gram) WHERE len(gram) > 1 AND (longer IS NULL OR 100 * longer < 100 * f.f)),
+    cuts AS (SELECT c.lang, c.gram, a, k, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+             FROM (SELECT lang, gram, a, unnest(range(1, len(gram))) AS k FROM kept) c JOIN total ON total.lang = c.lang
+             JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1 : k] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1 : len(c.gram)]),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(gram, ' ')) AS rank, array_to_string(gram, ' ') AS phrase, a, l, r, n, score
+    FROM best QUALIFY rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find_collocations(table(spark, sf_dir, "documents"))
