@@ -76,7 +76,7 @@ def build_automaton(levels: list[Level], totals: list[np.ndarray], first: np.nda
     one, two, three = levels
     p2 = (pair + weights[0] * first[two.last]) / (single[two.parent] + weights[0])
     # The pair that a triple's last two words make: it is there, as the triple holds it.
-    tail = np.searchsorted(two.key, two.last[three.parent] * words + three.last)
+    tail = np.searchsorted(two.key, two.last[three.parent].astype(np.int64) * words + three.last)
     p3 = (triple + weights[1] * p2[tail]) / (pair[three.parent] + weights[1])
     seen2, seen3 = pair > 0, triple > 0
     fail_weight = np.concatenate([np.log10(weights[0] / (single + weights[0])), np.log10(weights[1] / (pair + weights[1]))])
@@ -89,7 +89,7 @@ def build_automaton(levels: list[Level], totals: list[np.ndarray], first: np.nda
         np.log10(first),
         np.where(single > 0, one.key, 0),
         fail_weight,
-        np.concatenate([np.zeros(words, np.int64), np.where(single[two.last] > 0, two.last, 0)]),
+        np.concatenate([np.zeros(words, np.int64), np.where(single[two.last] > 0, two.last, 0).astype(np.int64)]),
     )
 
 

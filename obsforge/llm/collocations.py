@@ -41,7 +41,7 @@ def read_pieces(text: bytes) -> list[bytes]:
 def frequent_edges(block: Block, levels: list[Level], totals: list[np.ndarray], least: int) -> list[tuple[Level, np.ndarray]]:
     """Of each size, the level and how often a longest edge of that size starts, of the block's own grams."""
     words, tokens = len(block.words), block.tokens
-    frequent = [np.where(level.at >= 0, total[level.at], 0) >= least for level, total in zip(levels, totals, strict=True)]
+    frequent = [np.append(total, 0)[level.at] >= least for level, total in zip(levels, totals, strict=True)]  # place -1: none
     size = frequent[0].astype(np.int8)
     for k in range(2, SIEVED + 1):
         size[(size == k - 1) & frequent[k - 1]] = k

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import mix, slices, written
 
 BLOCK_TOKENS = 1_500_000
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 1_000_000
 #: Stands between sequences; a byte that no UTF-8 text holds.
 BREAK = b"\xff"
 LEVEL_BITS = 3  # of a hash: how many words the gram has
@@ -144,16 +145,16 @@ class Level(NamedTuple):
 
 def next_level(before: Level, tokens: np.ndarray, words: int, k: int, places: np.ndarray) -> Level:
     """Level of k words from the level before it, for the grams that start at the given places."""
-    key, which = np.unique(before.at[places] * words + tokens[places + k - 1], return_inverse=True)
-    at = np.full(len(tokens), -1, np.int64)
+    key, which = np.unique(before.at[places].astype(np.int64) * words + tokens[places + k - 1], return_inverse=True)
+    at = np.full(len(tokens), -1, np.int32)
     at[places] = which
-    return Level(at, key // words, key % words, key)
+    return Level(at, (key // words).astype(np.int32), (key % words).astype(np.int32), key)
 
 
 def gram_levels(tokens: np.ndarray, words: int, levels: int) -> list[Level]:
     """Levels of 1, 2, ... words. The grams of level 1 are the words themselves, the break among them with no place."""
     own = np.arange(words, dtype=np.int64)
-    found = [Level(np.where(tokens > 0, tokens, -1).astype(np.int64), np.zeros(words, np.int64), own, own)]
+    found = [Level(np.where(tokens > 0, tokens, -1).astype(np.int32), np.zeros(words, np.int32), own.astype(np.int32), own)]
     for k in range(2, levels + 1):
         starts = max(0, len(tokens) - k + 1)
         places = np.flatnonzero((found[-1].at[:starts] >= 0) & (tokens[len(tokens) - starts :] > 0))
@@ -161,14 +162,13 @@ def gram_levels(tokens: np.ndarray, words: int, levels: int) -> list[Level]:
     return found
 
 
-def gram_hashes(levels: list[Level], hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the grams of all levels in sequence."""
-    plain, out = [mix(hashes)], []
-    for level in levels[1:]:
-        plain.append(mix(plain[-1][level.parent] * np.uint64(0x9E3779B97F4A7C15) + hashes[level.last]))
-    for k, x in enumerate(plain):
-        out.append((x & ~np.uint64((1 << LEVEL_BITS) - 1)) | np.uint64(k + 1))
-    return np.concatenate(out)
+def gram_hashes(levels: list[Level], hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the grams of each level in turn."""
+    plain = mix(hashes)
+    for k, level in enumerate(levels, 1):
+        if k > 1:
+            plain = mix(plain[level.parent] * np.uint64(0x9E3779B97F4A7C15) + hashes[level.last])
+        yield (plain & ~np.uint64((1 << LEVEL_BITS) - 1)) | np.uint64(k)
 
 
 def shard(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -190,17 +190,17 @@ def count_grams(blocks: DataFrame, levels: int) -> DataFrame:
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = opened(row)
                 found = gram_levels(block.tokens, len(block.words), levels)
-                hashes = gram_hashes(found, block.hashes())
-                counts = gram_totals(found, np.repeat(block.counted, block.sizes))
-                order = np.argsort(hashes)
-                hashes, counts = hashes[order], counts[order]
-                ends = np.searchsorted(shard(hashes, buckets), np.arange(buckets + 1))
-                asked = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-                cut = [(hashes[ends[b] : ends[b + 1]], counts[ends[b] : ends[b + 1]]) for b in asked]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["block"]] * len(asked), pa.int64()), pa.array(asked, pa.int64()),
-                    pa.array([pack(np.diff(h, prepend=np.uint64(0))) for h, _ in cut], pa.binary()), pa.array([pack(c) for _, c in cut], pa.binary()),
-                ], names=["block", "bucket", "hashes", "counts"])
+                counted = np.repeat(block.counted, block.sizes)
+                for level, (grams, hashes) in enumerate(zip(found, gram_hashes(found, block.hashes()), strict=True), 1):
+                    order = np.argsort(hashes)
+                    hashes, counts = hashes[order], gram_totals(grams, counted)[order]
+                    ends = np.searchsorted(shard(hashes, buckets), np.arange(buckets + 1))
+                    asked = np.flatnonzero(np.diff(ends)).tolist()
+                    cut = [slice(ends[b], ends[b + 1]) for b in asked]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["block"]] * len(asked), pa.int64()), pa.array([level] * len(asked), pa.int32()), pa.array(asked, pa.int64()),
+                        pa.array([pack(np.diff(hashes[x], prepend=np.uint64(0))) for x in cut], pa.binary()), pa.array([pack(counts[x]) for x in cut], pa.binary()),
+                    ], names=["block", "level", "bucket", "hashes", "counts"])
 
     def answer(asked: pa.Table) -> pa.Table:
         block = asked.column("block").to_pylist()
@@ -213,37 +213,39 @@ def count_grams(blocks: DataFrame, levels: int) -> DataFrame:
         single = (distinct & np.uint64((1 << LEVEL_BITS) - 1)) == 1
         sent = [pack(totals[which[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({
-            "block": pa.array([*block, -1], pa.int64()), "bucket": pa.array([*asked.column("bucket").to_pylist(), asked.column("bucket")[0].as_py()], pa.int64()),
+            "block": pa.array([*block, -1], pa.int64()), "level": pa.array([*asked.column("level").to_pylist(), 0], pa.int32()),
+            "bucket": pa.array([*asked.column("bucket").to_pylist(), asked.column("bucket")[0].as_py()], pa.int64()),
             "totals": pa.array([*sent, None], pa.binary()), "words": pa.array([0] * len(block) + [int((totals[single] > 0).sum())], pa.int64()),
             "tokens": pa.array([0] * len(block) + [int(totals[single].sum())], pa.int64()),
         })
 
-    asked = blocks.mapInArrow(ask, "block long, bucket long, hashes binary, counts binary")
-    return written(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, totals binary, words long, tokens long"))
+    asked = blocks.mapInArrow(ask, "block long, level int, bucket long, hashes binary, counts binary")
+    return written(asked.groupBy("bucket").applyInArrow(answer, "block long, level int, bucket long, totals binary, words long, tokens long"))
 
 
-def gram_totals(levels: list[Level], counted: np.ndarray) -> np.ndarray:
-    """How often each gram of each level starts at a counted token."""
-    out = []
-    for level in levels:
-        at = level.at[counted]
-        out.append(np.bincount(at[at >= 0], minlength=len(level.key)))
-    return np.concatenate(out)
+def gram_totals(level: Level, counted: np.ndarray) -> np.ndarray:
+    """How often each gram of a level starts at a counted token."""
+    at = level.at[counted]
+    return np.bincount(at[at >= 0], minlength=len(level.key))
 
 
 def with_totals(blocks: DataFrame, answers: DataFrame, use: Callable[[dict, Block, list[Level], list[np.ndarray]], pa.Table], levels: int, schema: T.StructType | str) -> DataFrame:
     """use(row, block, its levels, the corpus totals of each level's grams) for every block."""
-    both = blocks.unionByName(answers.where("block >= 0").select("block", "bucket", "totals"), allowMissingColumns=True)
+    both = blocks.unionByName(answers.where("block >= 0").select("block", "level", "bucket", "totals"), allowMissingColumns=True)
 
     def meet(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        own = rows.filter(rows.column("tokens").is_valid()).drop_columns(["bucket", "totals"]).to_pylist()[0]
-        given = rows.filter(rows.column("tokens").is_null()).select(["bucket", "totals"]).sort_by("bucket")
+        own = rows.filter(rows.column("tokens").is_valid()).drop_columns(["level", "bucket", "totals"]).to_pylist()[0]
+        given = rows.filter(rows.column("tokens").is_null()).select(["level", "bucket", "totals"]).sort_by("bucket")
         block = opened(own)
         found = gram_levels(block.tokens, len(block.words), levels)
-        order = np.argsort(gram_hashes(found, block.hashes()))
-        totals = np.zeros(len(order), np.int64)
-        totals[order] = np.concatenate([unpack(x) for x in given.column("totals").to_pylist()])
-        return use(own, block, found, np.split(totals, np.cumsum([len(x.key) for x in found])[:-1]))
+        totals = []
+        for level, hashes in enumerate(gram_hashes(found, block.hashes()), 1):
+            answered = given.filter(pc.equal(given.column("level"), level)).column("totals").to_pylist()
+            total = np.zeros(len(hashes), np.int64)
+            if answered:
+                total[np.argsort(hashes)] = np.concatenate([unpack(x) for x in answered])
+            totals.append(total)
+        return use(own, block, found, totals)
 
     return both.groupBy("block").applyInArrow(meet, schema)
