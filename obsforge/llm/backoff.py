@@ -35,10 +35,15 @@ def read_words(text: bytes) -> list[bytes]:
 
 
 class Automaton(NamedTuple):
-    """States are 0, the empty one, words by number, and pairs of words after them."""
+    """States are 0, the empty one, words by number, and pairs of words after them.
+
+    Arcs are numbered by the grams they complete, pairs before triples; `pair` and `triple` give for each place of the block the
+    arc that reads its word from the state of the one or two words before it, -1 where training has none.
+    """
 
     words: int
-    key: np.ndarray  # of each arc, its state * words + its word, ascending
+    pair: np.ndarray
+    triple: np.ndarray
     weight: np.ndarray
     next: np.ndarray
     first_weight: np.ndarray  # of each word, from the empty state
@@ -46,24 +51,19 @@ class Automaton(NamedTuple):
     fail_weight: np.ndarray  # of each state
     fail_next: np.ndarray
 
-    def follow(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weight, next state) of one word for each of many states, over as many failure arcs as it takes."""
+    def follow(self, state: np.ndarray, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of the word at one place for each of many states, over as many failure arcs as it takes."""
         weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
         lane = np.arange(len(state))
         while len(lane):
-            empty = state == 0
-            done = lane[empty]
-            weight[done] += self.first_weight[word[empty]]
-            after[done] = self.first_next[word[empty]]
-            lane, state, word = lane[~empty], state[~empty], word[~empty]
-            if not len(lane):
-                break
-            wanted = state * self.words + word
-            arc = np.searchsorted(self.key, wanted)
-            hit = self.key[np.minimum(arc, len(self.key) - 1)] == wanted if len(self.key) else np.zeros(len(lane), bool)
+            arc = np.where(state >= self.words, self.triple[place], self.pair[place])
+            empty, hit = state == 0, (state > 0) & (arc >= 0)
+            weight[lane[empty]] += self.first_weight[word[empty]]
+            after[lane[empty]] = self.first_next[word[empty]]
             weight[lane[hit]] += self.weight[arc[hit]]
             after[lane[hit]] = self.next[arc[hit]]
-            lane, state, word = lane[~hit], state[~hit], word[~hit]
+            fails = ~(empty | hit)
+            lane, state, place, word = lane[fails], state[fails], place[fails], word[fails]
             weight[lane] += self.fail_weight[state]
             state = self.fail_next[state]
         return weight, after
@@ -74,18 +74,27 @@ def build_automaton(levels: list[Level], totals: list[np.ndarray], first: np.nda
     words = len(first)
     single, pair, triple = totals
     one, two, three = levels
+    # The pair that a triple's last two words make: it starts one place behind it.
+    tail, there = np.zeros(len(triple), np.int64), np.flatnonzero(three.at >= 0)
+    tail[three.at[there]] = two.at[there + 1]
     p2 = (pair + weights[0] * first[two.last]) / (single[two.parent] + weights[0])
-    # The pair that a triple's last two words make: it is there, as the triple holds it.
-    tail = np.searchsorted(two.key, two.last[three.parent].astype(np.int64) * words + three.last)
     p3 = (triple + weights[1] * p2[tail]) / (pair[three.parent] + weights[1])
-    seen2, seen3 = pair > 0, triple > 0
     fail_weight = np.concatenate([np.log10(weights[0] / (single + weights[0])), np.log10(weights[1] / (pair + weights[1]))])
     fail_weight[0] = 0
+
+    def read_at(level: Level, counts: np.ndarray, behind: int, start: int) -> np.ndarray:
+        arcs = np.full(len(level.at), -1, np.int64)
+        begin = np.flatnonzero(level.at >= 0)
+        grams = level.at[begin]
+        arcs[begin + behind] = np.where(counts[grams] > 0, grams + start, -1)
+        return arcs
+
     return Automaton(
         words,
-        np.concatenate([two.key[seen2], words * words + three.key[seen3]]),
-        np.log10(np.concatenate([p2[seen2], p3[seen3]])),
-        np.concatenate([words + np.flatnonzero(seen2), words + tail[seen3]]),
+        read_at(two, pair, 1, 0),
+        read_at(three, triple, 2, len(pair)),
+        np.log10(np.concatenate([p2, p3])),
+        words + np.concatenate([np.arange(len(pair)), tail]),
         np.log10(first),
         np.where(single > 0, one.key, 0),
         fail_weight,
@@ -111,8 +120,9 @@ def traverse(automaton: Automaton, tokens: np.ndarray, begins: np.ndarray, ends:
     total, state = np.zeros(len(text)), np.zeros(len(text), np.int64)
     active = len(text)
     while active:
-        weight, state[:active] = automaton.follow(state[:active], tokens[at[:active]])
-        total[:active] += np.where(at[:active] >= scored[:active], weight, 0)
+        place = at[:active]
+        weight, state[:active] = automaton.follow(state[:active], place, tokens[place])
+        total[:active] += np.where(place >= scored[:active], weight, 0)
         at += 1
         while active and at[active - 1] >= stop[active - 1]:
             active -= 1

@@ -15,23 +15,26 @@ Unary paths are compacted: a node whose whole flow goes on to one neighbour, or
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .grams import BREAK, Block, Level, count_grams, make_blocks, next_level, with_totals
+from .grams import BREAK, Block, Level, count_grams, make_blocks, next_level, pack, unpack, with_totals
 
 LONGEST = 5
 SIEVED = 3
 LEAST = 100
 TOP = 2000
+BUCKET_TOKENS = 4_000_000  # of the corpus, for each bucket of edges
 #: Ends of pieces become line ends, the other white space a space.
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
-EDGE = "lang string, phrase string, size int, times long"
 
 
 def read_pieces(text: bytes) -> list[bytes]:
@@ -57,45 +60,67 @@ def frequent_edges(block: Block, levels: list[Level], totals: list[np.ndarray],
     return [(level, np.bincount(level.at[size == k], minlength=len(level.key))) for k, level in enumerate(found, 1)]
 
 
+def edge_texts(block: Block, counted: list[tuple[Level, np.ndarray]]) -> tuple[list[bytes], list[int]]:
+    """The edges as lines of space, size and phrase, and how often each starts; of size 0, all words of a space."""
+    wanted, needed = [], np.zeros(0, np.int64)
+    for level, n in reversed(counted):  # an edge's text is its parent's and a word
+        wanted.append(np.union1d(np.flatnonzero(n), needed))
+        needed = np.unique(level.parent[wanted[-1]])
+    tokens = np.bincount(block.space[block.tokens[block.tokens > 0]], minlength=len(block.spaces))
+    lines, times = [b"%d 0" % k for k in range(len(tokens))], tokens.tolist()
+    texts: dict[int, bytes] = {}
+    for k, ((level, n), own) in enumerate(zip(counted, reversed(wanted), strict=True), 1):
+        last, own = level.last[own].tolist(), own.tolist()
+        if k == 1:
+            texts = {g: b" " + block.words[g] for g in own}
+            space = block.space
+        else:
+            texts = {g: texts[p] + b" " + block.words[w] for g, p, w in zip(own, level.parent[own].tolist(), last, strict=True)}
+            space = space[level.parent]
+        here = np.flatnonzero(n)
+        lines += [b"%d %d%s" % (s, k, texts[g]) for g, s in zip(here.tolist(), space[here].tolist(), strict=True)]
+        times += n[here].tolist()
+    return lines, times
+
+
 def graph_edges(docs: DataFrame, text: str, lang: str, least: int) -> DataFrame:
     """(lang, phrase, size, times): the longest edge at every place of a frequent word, added up; of size 0, all words of a lang.
 
-    A table in the shared folder.
+    Blocks send their edges in one piece to each bucket of a hash, where equal ones are added up. A table in the shared folder.
     """
     source = docs.select(F.lit(None).cast("int").alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("space"), F.lit(True).alias("counted"), F.col(text).cast("binary").alias("text"))
     blocks = make_blocks(source, read_pieces)
-
-    def edges(row: dict, block: Block, levels: list[Level], totals: list[np.ndarray]) -> pa.Table:
-        space, phrase, size, times = [], [], [], []
-        runs: list[tuple[np.ndarray, list[bytes]]] = []  # of each size, the grams whose text is needed, and their texts
-        counted = frequent_edges(block, levels, totals, least)
-        needed = np.zeros(0, np.int64)
-        wanted = []
-        for level, n in reversed(counted):  # an edge's text is its parent's and a word
-            wanted.append(np.union1d(np.flatnonzero(n), needed))
-            needed = np.unique(level.parent[wanted[-1]])
-        texts = dict.fromkeys([0], b"")
-        for k, ((level, n), own) in enumerate(zip(counted, reversed(wanted), strict=True), 1):
-            last = [block.words[x] for x in level.last[own].tolist()]
-            texts = dict(zip(own.tolist(), last if k == 1 else [texts[p] + b" " + w for p, w in zip(level.parent[own].tolist(), last, strict=True)], strict=True))
-            first = own if k == 1 else first_word[level.parent[own]]
-            starts = np.zeros(len(level.key), np.int64)
-            starts[own] = first
-            first_word = starts
-            here = np.flatnonzero(n)
-            space += block.space[first_word[here]].tolist()
-            phrase += [texts[x] for x in here.tolist()]
-            size += [k] * len(here)
-            times += n[here].tolist()
-        tokens = np.bincount(block.space[block.tokens[block.tokens > 0]], minlength=len(block.spaces))
-        space, phrase = space + list(range(len(tokens))), phrase + [b""] * len(tokens)
-        size, times = size + [0] * len(tokens), times + tokens.tolist()
-        langs = pa.array(block.spaces, pa.string()).take(pa.array(space, pa.int64()))
-        columns = [langs, pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(times, pa.int64())]
+    buckets = max(1, math.ceil(blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / BUCKET_TOKENS))
+
+    def send(row: dict, block: Block, levels: list[Level], totals: list[np.ndarray]) -> pa.Table:
+        lines, times = edge_texts(block, frequent_edges(block, levels, totals, least))
+        press = zstandard.ZstdCompressor()
+        parts: dict[int, list[int]] = {}
+        seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in block.spaces]
+        for k, line in enumerate(lines):
+            space, rest = line.split(b" ", 1)
+            parts.setdefault(xxhash.xxh3_64_intdigest(rest, seeds[int(space)]) % buckets, []).append(k)
+        sent = [(b, block.spaces, press.compress(b"\n".join([lines[k] for k in own])), pack(np.array([times[k] for k in own]))) for b, own in parts.items()]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in sent], kind) for i, kind in enumerate(kinds)], names=["bucket", "spaces", "lines", "times"])
+
+    def add(sent: pa.Table) -> pa.Table:
+        totals: dict[tuple[str, bytes], int] = {}
+        opened = zstandard.ZstdDecompressor()
+        for spaces, lines, times in zip(*(sent.column(c).to_pylist() for c in ("spaces", "lines", "times")), strict=True):
+            for line, n in zip(opened.decompress(lines).split(b"\n"), unpack(times).tolist(), strict=True):
+                space, rest = line.split(b" ", 1)
+                key = (spaces[int(space)], rest)
+                totals[key] = totals.get(key, 0) + n
+        cut = [rest.partition(b" ") for _, rest in totals]
+        columns = [
+            pa.array([k for k, _ in totals], pa.string()), pa.array([c for _, _, c in cut], pa.binary()).cast(pa.string()),
+            pa.array([int(a) for a, _, _ in cut], pa.int32()), pa.array(list(totals.values()), pa.int64()),
+        ]
         return pa.Table.from_arrays(columns, names=["lang", "phrase", "size", "times"])
 
-    found = with_totals(blocks, count_grams(blocks, SIEVED), edges, SIEVED, EDGE)
-    return written(found.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")))
+    sent = with_totals(blocks, count_grams(blocks, SIEVED), send, SIEVED, "bucket long, spaces array<string>, lines binary, times binary")
+    return written(sent.groupBy("bucket").applyInArrow(add, "lang string, phrase string, size int, times long"))
 
 
 def some_words(count: Column) -> Column:

@@ -29,6 +29,7 @@ BUCKET_GRAMS = 1_000_000
 #: Stands between sequences; a byte that no UTF-8 text holds.
 BREAK = b"\xff"
 LEVEL_BITS = 3  # of a hash: how many words the gram has
+SHORTER_BITS = 8  # left out of a hash of several words; of n grams one in 2 ** 56 / n shares its hash with another
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -168,7 +169,8 @@ def gram_hashes(levels: list[Level], hashes: np.ndarray) -> Iterator[np.ndarray]
     for k, level in enumerate(levels, 1):
         if k > 1:
             plain = mix(plain[level.parent] * np.uint64(0x9E3779B97F4A7C15) + hashes[level.last])
-        yield (plain & ~np.uint64((1 << LEVEL_BITS) - 1)) | np.uint64(k)
+        kept = LEVEL_BITS if k == 1 else SHORTER_BITS
+        yield (plain >> np.uint64(kept) << np.uint64(kept)) | np.uint64(k)
 
 
 def shard(hashes: np.ndarray, buckets: int) -> np.ndarray:
