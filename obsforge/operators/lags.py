@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.quantiles import exact_median
-from obsforge.operators.skew import HOT_SHARE, fan_out, hot_keys, salted_join
+from obsforge.operators.skew import HOT_SHARE, salted_join, splittable_join
+from obsforge.operators.window_median import window_medians
 
 LAGS = (30, 60, 90)  # fixed values: days looked back
 
@@ -226,41 +226,6 @@ def best_in_window(
     return _attach(samples, found, wanted, place, sample_day, "left")
 
 
-def window_values(
-    samples: DataFrame,
-    measurements: DataFrame,
-    place: list[str],
-    sample_day: str,
-    measured_day: str,
-    values: list[str],
-    frame: tuple[int, int],
-) -> DataFrame:
-    """Distinct (place, day) of the samples with the measured values in the frame and how often each occurs.
-
-    For reducers that partial sums cannot give. Equal values of a day are
-    counted first. Days meet samples on bins as wide as the frame: a sample
-    touches two of them at most.
-    """
-    first, last = frame
-    width = last - first + 1
-    day = F.col("__day")
-    distinct = samples.select(*place, day_number(F.col(sample_day)).alias("__day")).distinct()
-    keyed = (
-        fan_out(distinct, *place, "__day")
-        .withColumn(
-            "__bin", F.explode(F.sequence(F.floor((day + first) / width), F.floor((day + last) / width)))
-        )
-    )
-    dated = measurements.select(*place, day_number(F.col(measured_day)).alias("__m"), *values).withColumn(
-        "__bin", F.floor(F.col("__m") / width)
-    )
-    counted = dated.groupBy(*place, "__bin", "__m", *values).agg(F.count(F.lit(1)).alias("times"))
-    inside = (F.col("l.__m") >= F.col("r.__day") + first) & (F.col("l.__m") <= F.col("r.__day") + last)
-    hot = hot_keys(dated, [*place, "__bin"])
-    met = salted_join(counted, keyed, [*place, "__bin"], "inner", inside, hot=hot)
-    return met.select(*place, "__day", *values, "times")
-
-
 def window_median(
     samples: DataFrame,
     measurements: DataFrame,
@@ -273,13 +238,6 @@ def window_median(
 ) -> DataFrame:
     """Append `<value>_median`, the exact median of each value within the frame; NULL when it is empty."""
     source = samples if base is None else base
-    rows = window_values(source, measurements, place, sample_day, measured_day, values, frame)
-    cells = F.array(*[F.struct(F.lit(i).alias("which"), F.col(v).cast("double").alias("value")) for i, v in enumerate(values)])
-    long = rows.select(*place, "__day", F.explode(cells).alias("c"), "times").select(*place, "__day", "c.which", "c.value", "times")
-    # a group is at most as large as its place, so only a hot place can hold a hot group
-    hot = hot_keys(measurements, place)
-    medians = exact_median(long, [*place, "__day", "which"], "value", times="times", hot=hot)
-    wide = medians.groupBy(*place, "__day").agg(
-        *[F.max(F.when(F.col("which") == i, F.col("median"))).alias(f"{v}_median") for i, v in enumerate(values)]
-    )
-    return _attach(samples, wide, _wanted(source, place, sample_day), place, sample_day, "left")
+    wanted = source.select(*place, day_number(F.col(sample_day)).alias("__day")).distinct()
+    medians = window_medians(wanted, measurements, place, measured_day, values, frame)
+    return splittable_join(samples.withColumn("__day", day_number(F.col(sample_day))), medians, [*place, "__day"]).drop("__day")

@@ -24,25 +24,26 @@ def exact_median(
 ) -> DataFrame:
     """One row per group that has a non-NULL value, with the interpolated median.
 
-    `times` names a column that says how often each row counts. An ordinary
-    group is sorted in one task. A hot group is never brought together: its
-    values are counted by buckets of its own range, and only the bucket that
-    holds the middle is sorted. `hot` is a table of such groups by some of the
-    key columns, shorter than HOT_SHARE as operators.skew.hot_keys gives it and
-    broadcast on that ground; by default rows are counted per group, None means
+    `times` names a column that says how often each row counts. Equal values of a group are counted first, on the map side;
+    all that follows reads these counts, so the input is read once. An ordinary group is sorted in one task. A hot group
+    is never brought together: its values are counted by buckets of its own range, and only the bucket that
+    holds the middle is sorted. `hot` is a table of such groups by some of the key columns, shorter than HOT_SHARE as
+    operators.skew.hot_keys gives it and broadcast on that ground; by default rows are counted per group, None means
     that there are none. Nothing runs before the result is asked for.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, *([times] if times else []))
-    if hot is True:
-        hot = hot_keys(rows, keys)
     weight = F.col(times) if times else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__times"))
+    if hot is True:
+        hot = hot_keys(rows, keys, weight="__times")
     ordinary = rows
     if hot is not None:
-        marks = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in hot.columns if k in keys])
-        same = reduce(lambda a, b: a & b, [F.col(c.removeprefix("__hot_")).eqNullSafe(F.col(c)) for c in marks.columns])
-        ordinary = rows.join(F.broadcast(marks), same, "left_anti")
+        marks = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in hot.columns if k in keys], F.lit(True).alias("__is_hot"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(c.removeprefix("__hot_"))) for c in marks.columns if c != "__is_hot"])
+        # Marked rather than semi- and anti-joined: those would move below the counting, which then ran for each of them.
+        marked = rows.join(F.broadcast(marks), same, "left")
+        ordinary = marked.where(F.col("__is_hot").isNull()).select(*rows.columns)
     group = Window.partitionBy(*keys)
-    ranked = ordinary.withColumn("__times", weight).withColumns(
+    ranked = ordinary.withColumns(
         {
             "__last": F.sum("__times").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)),
             "__total": F.sum("__times").over(group),
@@ -51,7 +52,7 @@ def exact_median(
     plain = _middle(ranked, keys, value, name)
     if hot is None:
         return plain
-    heavy = rows.join(F.broadcast(marks), same, "left_semi").groupBy(*keys, value).agg(F.sum(weight).alias("__times"))
+    heavy = marked.where("__is_hot").select(*rows.columns)
     return plain.unionByName(_select_middle(heavy, keys, value, name, buckets))
 
 

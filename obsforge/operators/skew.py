@@ -76,6 +76,16 @@ def salted_join(
     return joined.select(*kept)
 
 
+def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join with a table of one row per key, whose hot keys adaptive execution can split on the left.
+
+    A grouped table is dealt out by its keys already, and a join that makes use of that is one that can't be split. A
+    further key that is 0 for all rows gives both sides an exchange of their own.
+    """
+    zero = F.xxhash64(*keys).bitwiseAND(F.lit(0))
+    return left.withColumn(_SALT, zero).join(right.withColumn(_SALT, zero), [*keys, _SALT], how).drop(_SALT)
+
+
 def lookup(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", base: DataFrame | None = None
 ) -> DataFrame:

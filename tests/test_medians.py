@@ -1,6 +1,7 @@
 """Exact medians: both ways agree, hot groups, weights, nothing runs while the plan is made."""
 
 import random
+import re
 import statistics
 
 import pytest
@@ -50,3 +51,82 @@ def test_no_job_before_the_action_of_global_orders(spark):
     planned = [S.page(df, "d", "id", 8), S.balance_first(df, "id", "c"), S.cap_rows(df, "id", 10), R.running_totals(df.withColumn("v", F.lit(1)), "id", ["v"])]
     assert list(tracker.getJobIdsForGroup("orders")) == []
     assert [p.count() for p in planned] == [500, 334, 10, 500]
+
+
+def framed_medians(samples, measured, frame):
+    out = {}
+    for k, place, day in samples:
+        inside = [v for p, d, v in measured if p == place and p is not None and v is not None and day is not None and day + frame[0] <= d <= day + frame[1]]
+        out[k] = statistics.median(inside) if inside else None
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 7, 50, 10_000])
+@pytest.mark.parametrize("frame", [(-7, 6), (-3, -1), (0, 0), (2, 9)])
+def test_window_medians_in_buckets_match_the_definition(spark, monkeypatch, bucket_rows, frame):
+    from datetime import date, timedelta
+
+    from obsforge.operators import lags, window_median
+
+    rng = random.Random(bucket_rows)
+    start = date(2020, 1, 1)
+    values = [rng.choice([5.0, 5.0, rng.gauss(0, 1), -1e12, 1e12, None]) for _ in range(900)]
+    measured = [(rng.choice(["hot", "hot", "hot", "hot", "b", "c", None]), rng.randint(0, 60), v) for v in values]
+    samples = [(k, rng.choice(["hot", "hot", "b", "c", "never", None]), rng.choice([rng.randint(0, 60), rng.randint(0, 60), None])) for k in range(150)]
+    dated = lambda n: None if n is None else start + timedelta(days=n)
+    left = spark.createDataFrame([(k, p, dated(d)) for k, p, d in samples], "id INT, place STRING, day DATE").repartition(3)
+    right = spark.createDataFrame([(p, dated(d), v, -v if v is not None else None) for p, d, v in measured], "place STRING, ts DATE, v DOUBLE, w DOUBLE").repartition(4)
+    plain = window_median.window_medians
+    monkeypatch.setattr(lags, "window_medians", lambda *a: plain(*a, bucket_rows=bucket_rows))
+    found = {r.id: (r.v_median, r.w_median) for r in lags.window_median(left, right, ["place"], "day", "ts", ["v", "w"], frame).collect()}
+    want = framed_medians(samples, measured, frame)
+    assert {k: a for k, (a, _) in found.items()} == want
+    assert {k: b for k, (_, b) in found.items()} == {k: None if v is None else -v for k, v in want.items()}
+
+
+def ran(df):
+    """Nodes of the plan that ran; what an exchange was reused for is there once."""
+    def walk(node):
+        yield node
+        name = node.nodeName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        for child in below:
+            yield from walk(child)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_window_median_reads_each_table_twice_at_most(spark):
+    """Exchanges over a scan that are equal are one at run time; orders are also read where results are attached."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["window_median"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    found = {"l_suppkey": set(), "o_custkey": set()}
+
+    def walk(node, above):
+        if node.nodeName() == "Exchange":
+            above = re.sub(r"plan_id=\d+", "", node.canonicalized().toString())
+        for column, exchanges in found.items():
+            if node.nodeName().startswith("Scan") and column in node.output().mkString():
+                exchanges.add(above)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i), above)
+
+    walk(plan.initialPlan(), None)
+    assert len(found["l_suppkey"]) == 1 and len(found["o_custkey"]) == 2
+
+
+def test_only_the_middle_bucket_of_a_dense_place_is_looked_at(spark):
+    """The join of samples with values makes a small part of what all values of all frames would be."""
+    from datetime import date, timedelta
+
+    from obsforge.operators import window_median
+
+    rows = spark.range(20_000).select(F.lit("x").alias("place"), F.expr("date_add(DATE'2020-01-01', CAST(id % 40 AS INT))").alias("ts"), (F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
+    wanted = spark.createDataFrame([("x", (date(2020, 1, 1) + timedelta(days=k) - date(1970, 1, 1)).days) for k in range(10, 30)], "place STRING, __day INT")
+    df = window_median.window_medians(wanted, rows, ["place"], "ts", ["v"], (-7, 6), 200)
+    assert df.count() == 20
+    df.collect()
+    whole = 20 * 20_000 * 14 // 40
+    made = [n.metrics().apply("numOutputRows").value() for n in ran(df) if n.nodeName().endswith("Join") and n.metrics().contains("numOutputRows")]
+    assert made and max(made) < max(25_000, whole / 5), made
