@@ -121,39 +121,69 @@ def polygon_edges(polygons: DataFrame, poly_id: str, ring: str, attributes: list
     )
 
 
-def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, strip: float) -> DataFrame:
-    """Distinct (lon, lat, poly_id) for points inside polygons, by the parity of a ray to the east.
+def _touched_rows(edges: DataFrame, cell: float, slack: float) -> DataFrame:
+    """Each edge once per row of cells that it touches, as `cy`."""
+    low, high = F.least("y1", "y2") - slack, F.greatest("y1", "y2") + slack
+    return edges.withColumn("cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
 
-    Edges are cut into latitude strips of height `strip`; a position meets the
-    edges of its own strip only, and an edge that the ray does not cross is
-    dropped inside the join. What remains is a few crossings per position.
+
+def polygon_cells(edges: DataFrame, poly_id: str, cell: float) -> DataFrame:
+    """(poly_id, cx, cy, cut): the cells that a polygon covers, `cut` where an edge touches them, else wholly inside.
+
+    Cells are squares of side `cell`; all others lie outside. A cell that no edge touches is inside if its centre is, which the
+    crossings of the polygon with the row's centre line tell.
     """
-    spots = points.select(lon, lat).distinct().withColumn("strip", F.floor(F.col(lat) / strip))
+    slack = cell * 1e-9
+    touched = _touched_rows(edges, cell, slack)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    cut = edges.where(F.col("y1") != F.col("y2")).withColumn(
-        "strip", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip)))
-    )
+
+    def x_at(y: Column) -> Column:
+        inside = F.least(F.greatest(y, low), high)
+        return F.when(F.col("y1") == F.col("y2"), F.lit(None)).otherwise((F.col("x2") - F.col("x1")) * (inside - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+
+    one, two = x_at(F.col("cy") * cell - slack), x_at((F.col("cy") + 1) * cell + slack)
+    west = F.coalesce(F.least(one, two), F.least("x1", "x2")) - slack
+    east = F.coalesce(F.greatest(one, two), F.greatest("x1", "x2")) + slack
+    cut = touched.select(poly_id, "cy", F.explode(F.sequence(F.floor(west / cell), F.floor(east / cell))).alias("cx")).distinct()
+
+    centre = (F.col("cy") + 0.5) * cell
+    crossing = (F.col("x2") - F.col("x1")) * (centre - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    lines = touched.where((F.col("y1") > centre) != (F.col("y2") > centre)).groupBy(poly_id, "cy").agg(F.sort_array(F.collect_list(crossing)).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("a"), F.get("xs", i + 1).alias("b")))
+    first, last = F.ceil(F.col("s.a") / cell - 0.5), F.floor(F.col("s.b") / cell - 0.5)
+    runs = lines.where(F.size("xs") > 1).select(poly_id, "cy", F.explode(spans).alias("s")).where(first <= last)
+    inner = runs.select(poly_id, F.explode(F.sequence(first, last)).alias("cx"), "cy").distinct()
+    return inner.join(cut, [poly_id, "cx", "cy"], "left_anti").withColumn("cut", F.lit(False)).unionByName(cut.withColumn("cut", F.lit(True)))
+
+
+def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, cell: float) -> DataFrame:
+    """Distinct (lon, lat, poly_id) for points inside polygons.
+
+    A position meets the polygons whose cells it shares. In a cell that lies wholly inside, no edge is looked at. In one that an edge
+    cuts, the parity of a ray to the east decides, over the edges of that polygon that pass through the row of cells.
+    `cell` is their side, in the unit of the coordinates: small enough that few cells are cut, large enough that a
+    polygon has thousands of them at most.
+    """
+    spots = points.select(lon, lat).distinct().withColumns({"cx": F.floor(F.col(lon) / cell), "cy": F.floor(F.col(lat) / cell)})
+    near = salted_join(spots, polygon_cells(edges, poly_id, cell), ["cx", "cy"], "inner")
+    rows = _touched_rows(edges.where(F.col("y1") != F.col("y2")).select(poly_id, "x1", "y1", "x2", "y2"), cell, cell * 1e-9)
     px, py = F.col(f"l.{lon}"), F.col(f"l.{lat}")
     x1, y1, x2, y2 = (F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2"))
     spans = (y1 > py) != (y2 > py)
     crosses = spans & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
-    met = salted_join(spots, cut.select(poly_id, "x1", "y1", "x2", "y2", "strip"), ["strip"], "inner", crosses)
-    return (
-        met.groupBy(lon, lat, poly_id)
-        .agg(F.count(F.lit(1)).alias("crossings"))
-        .where(F.col("crossings") % 2 == 1)
-        .select(lon, lat, poly_id)
-    )
+    met = salted_join(near.where("cut").select(lon, lat, poly_id, "cy"), rows, [poly_id, "cy"], "inner", crosses)
+    odd = met.groupBy(lon, lat, poly_id).agg(F.count(F.lit(1)).alias("crossings")).where(F.col("crossings") % 2 == 1)
+    return near.where(~F.col("cut")).select(lon, lat, poly_id).unionByName(odd.select(lon, lat, poly_id))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, strip: float) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, cell: float) -> DataFrame:
     """Points that lie in any of the polygons."""
-    inside = point_polygon_hits(points, edges, lon, lat, poly_id, strip).select(lon, lat).distinct()
+    inside = point_polygon_hits(points, edges, lon, lat, poly_id, cell).select(lon, lat).distinct()
     return salted_join(points, inside, [lon, lat], "left_semi")
 
 
 def polygon_attribute(
-    points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, attribute: str, strip: float,
+    points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, attribute: str, cell: float,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Append the attribute of the first polygon (smallest id) around each point; NULL outside all of them.
@@ -161,7 +191,7 @@ def polygon_attribute(
     `base` is a table with the positions of all points, see operators.skew.lookup.
     """
     source = points if base is None else base
-    inside = point_polygon_hits(source, edges, lon, lat, poly_id, strip)
+    inside = point_polygon_hits(source, edges, lon, lat, poly_id, cell)
     known = edges.groupBy(poly_id).agg(F.min(attribute).alias(attribute))
     first = inside.join(known, poly_id).groupBy(lon, lat).agg(F.min_by(attribute, poly_id).alias(attribute))
     return lookup(points, first, [lon, lat], "left", source)

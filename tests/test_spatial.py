@@ -64,6 +64,43 @@ def test_polygons_from_rings(spark):
     assert ours == {i for i, x, y in pts if inside(x, y)}
 
 
+def inside_ring(x, y, ring):
+    hit = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            hit = not hit
+    return hit
+
+
+@pytest.mark.parametrize("cell", [0.3, 1.0, 2.5, 40.0])
+def test_cells_of_many_polygons_match_the_ray_rule(spark, cell):
+    """Jagged, flat, overlapping and self-crossing rings; points on corners, edges and borders of cells."""
+    rng = random.Random(7)
+    rings = {0: RING, 1: [(2, 2), (8, 2), (8, 6), (2, 6)], 2: [(0, 0), (6, 6), (6, 0), (0, 6)], 3: [(-3, 1), (12, 1), (12, 1.0001), (-3, 1.0001)], 4: [(4, 4), (5, 5)]}
+    for k in range(5, 9):
+        cx, cy = rng.uniform(0, 10), rng.uniform(0, 10)
+        rings[k] = [(cx + rng.uniform(0.5, 4) * math.cos(a / 100), cy + rng.uniform(0.5, 4) * math.sin(a / 100)) for a in range(0, 628, 2)]
+    spots = [(rng.uniform(-4, 14), rng.uniform(-4, 14)) for _ in range(300)] + [(float(rng.randint(-1, 11)), float(rng.randint(-1, 11))) for _ in range(100)]
+    spots += [p for ring in (RING, rings[2], rings[5][:20]) for p in ring] + [(cell * a, cell * b) for a in range(4) for b in range(4)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(9000, None, 1.0), (9001, spots[0][0], spots[0][1])]
+    table = [(k, [(float(x), float(y)) for x, y in ring]) for k, ring in rings.items()]
+    edges = P.polygon_edges(spark.createDataFrame(table, "poly_id INT, ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"), "poly_id", "ring")
+    df = spark.createDataFrame(points, "id INT, lon DOUBLE, lat DOUBLE")
+    found = {(r["lon"], r["lat"], r["poly_id"]) for r in P.point_polygon_hits(df, edges, "lon", "lat", "poly_id", cell).collect()}
+    want = {(x, y, k) for _, x, y in points if x is not None for k, ring in rings.items() if inside_ring(x, y, ring)}
+    assert found == want
+
+
+def test_no_edge_is_looked_at_in_cells_wholly_inside(spark):
+    ring = [(1000 * math.cos(a / 500), 1000 * math.sin(a / 500)) for a in range(3141)]
+    edges = P.polygon_edges(spark.createDataFrame([(1, ring)], "poly_id INT, ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"), "poly_id", "ring")
+    kinds = {r["cut"]: r["count"] for r in P.polygon_cells(edges, "poly_id", 20.0).groupBy("cut").count().collect()}
+    assert kinds[False] > 7000 and kinds[True] < 500
+    points = spark.range(2000).select(F.col("id"), (F.col("id") % 50 * 40.0 - 1000).alias("lon"), (F.floor(F.col("id") / 50) * 50.0 - 1000).alias("lat"))
+    found = {r["id"] for r in P.points_in_polygons(points, edges, "lon", "lat", "poly_id", 20.0).collect()}
+    assert found == {r["id"] for r in points.collect() if inside_ring(r["lon"], r["lat"], ring)}
+
+
 def test_grid_has_49_cells_around_the_point(spark):
     df = spark.createDataFrame([(1, 40.0, 9.0)], "id INT, lon DOUBLE, lat DOUBLE")
     cells = K.grid_cells(df, "lon", "lat", 1000 / 111000).collect()

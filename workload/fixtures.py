@@ -6,6 +6,8 @@ engines put them into the same cell. The number of places grows with the tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,7 +166,8 @@ POLYGONS = {
     1: (14, "west", ((36000, 5000), (46000, 5000), (46000, 14000), (41000, 8000), (36000, 14000))),
     2: (7, "east", ((43000, 4000), (47500, 4000), (47500, 9000), (43000, 9000))),
 }
-STRIP = 500.0
+STRIP = 500.0  # side of the cells of large polygons and of small ones
+AREA_CELL = 100.0
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -189,6 +192,37 @@ EDGES = (
 )
 
 
+CORNERS = 32
+# directions of a polygon's corners from its centre, in thousandths
+DIRECTIONS = [(round(1000 * math.cos(2 * math.pi * i / CORNERS)), round(1000 * math.sin(2 * math.pi * i / CORNERS))) for i in range(CORNERS)]
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon per supplier, with corners at uneven distances around a centre; more suppliers have smaller and more polygons."""
+    k = F.col("s_suppkey")
+    east, north = (F.array(*[F.lit(d[axis]) for d in DIRECTIONS]) for axis in (0, 1))
+
+    def corner(i):
+        reach = F.lit(200) + ((k * 37 + i * 53) % 9) * 60
+        x = F.lit(33000) + (k * 6133) % 15000 + F.get(east, i) * reach / F.lit(1000.0)
+        y = F.lit(3000) + (k * 4099) % 12000 + F.get(north, i) * reach / F.lit(1000.0)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    ring = F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), corner).alias("ring")
+    return table(spark, sf_dir, "supplier").select(k.alias("poly_id"), F.col("s_nationkey").alias("nation"), ring)
+
+
+AREAS = f"""dirs(i, dx, dy) AS (VALUES {", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(DIRECTIONS))}),
+corner AS (
+  SELECT s_suppkey AS poly_id, s_nationkey AS nation, i,
+         33000 + (s_suppkey * 6133) % 15000 + dx * (200 + ((s_suppkey * 37 + i * 53) % 9) * 60) / 1000.0::DOUBLE AS x,
+         3000 + (s_suppkey * 4099) % 12000 + dy * (200 + ((s_suppkey * 37 + i * 53) % 9) * 60) / 1000.0::DOUBLE AS y
+  FROM supplier, dirs),
+areas AS (
+  SELECT a.poly_id, a.nation, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+  FROM corner a JOIN corner b ON a.poly_id = b.poly_id AND b.i = (a.i + 1) % {CORNERS})"""
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     j = k % 12000

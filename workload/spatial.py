@@ -8,11 +8,12 @@ from obsforge.functions.geo import EARTH_RADIUS_M, bounds_of_buffer
 from obsforge.operators import context as K
 from obsforge.operators import landscape as S
 from obsforge.operators import spatial as P
+from obsforge.session import shared_dir
+from obsforge.sources import readers
 from workload import fixtures as X
 from workload.registry import query, r6, s6
 
 
-
 @query(
     "context_counts",
     f"""WITH {X.VALID} SELECT a.object_id,
@@ -122,6 +123,38 @@ def polygon_biome(spark, sf):
     return out.select("object_id", "biome_id")
 
 
+AREA_HITS = f"""hit AS (
+        SELECT s.lon_m, s.lat_m, poly_id, any_value(nation) AS nation FROM (SELECT DISTINCT lon_m, lat_m FROM obs) s JOIN areas ON {CROSSINGS}
+        GROUP BY s.lon_m, s.lat_m, poly_id HAVING count(*) % 2 = 1)"""
+
+
+@query(
+    "area_of_supplier",
+    f"""WITH {X.OBS}, {X.AREAS}, {AREA_HITS}, first AS (SELECT lon_m, lat_m, arg_min(nation, poly_id) AS nation, count(*) AS n FROM hit GROUP BY ALL)
+        SELECT object_id, nation FROM obs LEFT JOIN first USING (lon_m, lat_m)""",
+)
+def area_of_supplier(spark, sf):
+    """J2 with as many polygons as suppliers: the nation of the first area around each observation."""
+    edges = P.polygon_edges(X.areas(spark, sf), "poly_id", "ring", ["nation"])
+    out = P.polygon_attribute(X.observations(spark, sf), edges, "lon_m", "lat_m", "poly_id", "nation", X.AREA_CELL)
+    return out.select("object_id", "nation")
+
+
+@query(
+    "boundary_areas",
+    f"""WITH {X.OBS}, {X.AREAS}, {AREA_HITS} SELECT object_id, country FROM obs SEMI JOIN (SELECT * FROM hit WHERE nation IN (3, 8)) h
+        ON obs.lon_m = h.lon_m AND obs.lat_m = h.lat_m""",
+)
+def boundary_areas(spark, sf):
+    """Areas written as a boundary table, those of two nations read back, observations inside any of them."""
+    path = shared_dir(spark, "areas")
+    X.areas(spark, sf).write.parquet(path)
+    chosen = [readers.read_boundary(spark, path, "nation", value) for value in ("3", "8")]
+    edges = P.polygon_edges(chosen[0].unionByName(chosen[1]), "poly_id", "ring")
+    inside = P.points_in_polygons(X.observations(spark, sf), edges, "lon_m", "lat_m", "poly_id", X.AREA_CELL)
+    return inside.select("object_id", "country")
+
+
 def _haversine(lon1, lat1, lon2, lat2):
     a = f"""pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"""
     return f"2 * {EARTH_RADIUS_M}::DOUBLE * asin(sqrt({a}))"
