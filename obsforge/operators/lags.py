@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.skew import HOT_SHARE, salted_join, splittable_join
+from obsforge.operators.skew import splittable_join
 from obsforge.operators.window_median import window_medians
 
 LAGS = (30, 60, 90)  # fixed values: days looked back
@@ -86,16 +86,14 @@ def _finished(band: Band, suffix: str, pieces: list[int], on_missing: str) -> di
 
 
 def _wanted(samples: DataFrame, place: list[str], day: str) -> DataFrame:
-    """Distinct (place, day) with the number of samples there."""
-    return samples.groupBy(*place, day_number(F.col(day)).alias("__day")).agg(F.count(F.lit(1)).alias("__rows"))
+    """Distinct (place, day) of the samples, marked."""
+    return samples.select(*place, day_number(F.col(day)).alias("__day")).distinct().withColumn("__rows", F.lit(True))
 
 
-def _attach(samples: DataFrame, values: DataFrame, wanted: DataFrame, place: list[str], day: str, how: str) -> DataFrame:
-    """Join values per (place, day) back to the samples; a day with a large part of them is salted."""
-    total = wanted.agg(F.sum("__rows")).scalar()
-    hot = wanted.where(F.col("__rows") * HOT_SHARE > total).select(*place, "__day", F.lit(True).alias("__hot"))
+def _attach(samples: DataFrame, values: DataFrame, place: list[str], day: str, how: str) -> DataFrame:
+    """Join values per (place, day) back to the samples; a day with a large part of them is left to adaptive execution."""
     keyed = samples.withColumn("__day", day_number(F.col(day)))
-    return salted_join(keyed, values, [*place, "__day"], how, hot=hot).drop("__day")
+    return splittable_join(keyed, values, [*place, "__day"], how).drop("__day")
 
 
 def frame_features(
@@ -148,7 +146,7 @@ def frame_features(
     if on_missing == "drop":
         for c in counts:
             values = values.where(F.col(c) > 0)
-    joined = _attach(samples, values, wanted, place, sample_day, "inner" if on_missing == "drop" else "left")
+    joined = _attach(samples, values, place, sample_day, "inner" if on_missing == "drop" else "left")
     return joined if keep_counts else joined.drop(*counts)
 
 
@@ -223,7 +221,7 @@ def best_in_window(
         .where(F.col("__rows").isNotNull())
         .select(*place, "__day", name)
     )
-    return _attach(samples, found, wanted, place, sample_day, "left")
+    return _attach(samples, found, place, sample_day, "left")
 
 
 def window_median(
@@ -238,6 +236,5 @@ def window_median(
 ) -> DataFrame:
     """Append `<value>_median`, the exact median of each value within the frame; NULL when it is empty."""
     source = samples if base is None else base
-    wanted = source.select(*place, day_number(F.col(sample_day)).alias("__day")).distinct()
-    medians = window_medians(wanted, measurements, place, measured_day, values, frame)
-    return splittable_join(samples.withColumn("__day", day_number(F.col(sample_day))), medians, [*place, "__day"]).drop("__day")
+    medians = window_medians(_wanted(source, place, sample_day), measurements, place, measured_day, values, frame)
+    return _attach(samples, medians, place, sample_day, "left")

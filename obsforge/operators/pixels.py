@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.hashing import coin
 from obsforge.functions.values import binarise, finite_or_zero
-from obsforge.operators.skew import fan_out, lookup
+from obsforge.operators.skew import fan_out, splittable_join
 
 TARGET = 41  # fixed values: side of a sample tile and number of input bands (the label band follows them)
 INPUT_BANDS = 59
@@ -60,7 +60,7 @@ def binary_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
 def centre_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
     """The 0/1 label of each file from the middle pixel (h // 2, w // 2) of its label band."""
     band = pixels.where(F.col("band") == label_band)
-    centred = lookup(band, dimensions(band), ["file_key"], "inner", band).where(
+    centred = splittable_join(band, dimensions(band), ["file_key"], "inner").where(
         (F.col("row") == F.floor(F.col("h") / 2)) & (F.col("col") == F.floor(F.col("w") / 2))
     )
     return centred.select("file_key", "h", "w", binarise(F.col("value")).alias("label"))
@@ -105,7 +105,7 @@ def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET
 
 def patchify(pixels: DataFrame, size: int) -> DataFrame:
     """Each pixel with its patch number (row-major) and its place in the patch."""
-    wide = lookup(pixels, dimensions(pixels).select("file_key", "w"), ["file_key"], "inner", pixels)
+    wide = splittable_join(pixels, dimensions(pixels).select("file_key", "w"), ["file_key"], "inner")
     across = F.ceil(F.col("w") / size)
     return wide.withColumns(
         {
@@ -146,7 +146,7 @@ def patch_means(pixels: DataFrame, size: int) -> DataFrame:
 
 def flip(pixels: DataFrame, seed: int = 42) -> DataFrame:
     """Mirror each file left-right and top-bottom, each by a coin the file key decides; all bands alike."""
-    sized = lookup(pixels, dimensions(pixels), ["file_key"], "inner", pixels)
+    sized = splittable_join(pixels, dimensions(pixels), ["file_key"], "inner")
     across, down = coin(F.col("file_key"), seed), coin(F.col("file_key"), seed + 1)
     return sized.withColumns(
         {

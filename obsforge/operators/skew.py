@@ -62,43 +62,32 @@ def salted_join(
     repeated = right.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(_HOT)
     if strategy:
         repeated = repeated.hint(strategy)
-    on = [*keys, _SALT]
+    return _join(divided, repeated, [*keys, _SALT], how, condition).drop(_SALT)
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, condition: Column | None) -> DataFrame:
+    """Equi-join with a further condition on `l.` and `r.` columns; the columns of `on` come from the left."""
     if condition is None:
-        return divided.join(repeated, on, how).drop(_SALT)
-    a, b = divided.alias("l"), repeated.alias("r")
+        return left.join(right, on, how)
     matched = condition
     for key in on:
         matched = (F.col(f"l.{key}") == F.col(f"r.{key}")) & matched
-    joined = a.join(b, matched, how)
+    joined = left.alias("l").join(right.alias("r"), matched, how)
     kept = [F.col(f"l.{c}") for c in left.columns]
     if how in ("inner", "left"):
-        kept += [F.col(f"r.{c}") for c in right.columns if c not in keys]
+        kept += [F.col(f"r.{c}") for c in right.columns if c not in on]
     return joined.select(*kept)
 
 
-def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join with a table of one row per key, whose hot keys adaptive execution can split on the left.
+def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", condition: Column | None = None) -> DataFrame:
+    """Join whose hot keys are left to adaptive execution, also where a side was grouped by the same keys.
 
     A grouped table is dealt out by its keys already, and a join that makes use of that is one that can't be split. A
-    further key that is 0 for all rows gives both sides an exchange of their own.
+    further key that is 0 for all rows gives both sides an exchange of their own. Unlike salted_join it looks for hot keys in
+    the rows that arrive, so no side is planned again to count them. Use with how in inner, left, left_semi, left_anti.
     """
     zero = F.xxhash64(*keys).bitwiseAND(F.lit(0))
-    return left.withColumn(_SALT, zero).join(right.withColumn(_SALT, zero), [*keys, _SALT], how).drop(_SALT)
-
-
-def lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", base: DataFrame | None = None
-) -> DataFrame:
-    """Attach the columns of `right`, which has one row per key, to every left row.
-
-    Without `base` this is a plain join, and a hot key is left to adaptive
-    execution. `base` is a cheap table with the key columns of the left rows,
-    usually the table the left side was made from: its hot keys are salted. The
-    left side itself is planned once, so lookups can be chained.
-    """
-    if base is None:
-        return left.join(right, keys, how)
-    return salted_join(left, right, keys, how, hot=hot_keys(base, keys))
+    return _join(left.withColumn(_SALT, zero), right.withColumn(_SALT, zero), [*keys, _SALT], how, condition).drop(_SALT)
 
 
 def fan_out(df: DataFrame, *columns: str) -> DataFrame:

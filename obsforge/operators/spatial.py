@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.geo import cell_centre, cell_index, haversine, reach_lat, reach_lon
 from obsforge.functions.hashing import uniform
-from obsforge.operators.skew import lookup, salted_join
+from obsforge.operators.skew import salted_join, splittable_join
 
 
 def bounding_box(df: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -165,13 +165,13 @@ def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str,
     polygon has thousands of them at most.
     """
     spots = points.select(lon, lat).distinct().withColumns({"cx": F.floor(F.col(lon) / cell), "cy": F.floor(F.col(lat) / cell)})
-    near = salted_join(spots, polygon_cells(edges, poly_id, cell), ["cx", "cy"], "inner")
+    near = splittable_join(spots, polygon_cells(edges, poly_id, cell), ["cx", "cy"], "inner")
     rows = _touched_rows(edges.where(F.col("y1") != F.col("y2")).select(poly_id, "x1", "y1", "x2", "y2"), cell, cell * 1e-9)
     px, py = F.col(f"l.{lon}"), F.col(f"l.{lat}")
     x1, y1, x2, y2 = (F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2"))
     spans = (y1 > py) != (y2 > py)
     crosses = spans & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
-    met = salted_join(near.where("cut").select(lon, lat, poly_id, "cy"), rows, [poly_id, "cy"], "inner", crosses)
+    met = splittable_join(near.where("cut").select(lon, lat, poly_id, "cy"), rows, [poly_id, "cy"], "inner", crosses)
     odd = met.groupBy(lon, lat, poly_id).agg(F.count(F.lit(1)).alias("crossings")).where(F.col("crossings") % 2 == 1)
     return near.where(~F.col("cut")).select(lon, lat, poly_id).unionByName(odd.select(lon, lat, poly_id))
 
@@ -179,7 +179,7 @@ def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str,
 def points_in_polygons(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, cell: float) -> DataFrame:
     """Points that lie in any of the polygons."""
     inside = point_polygon_hits(points, edges, lon, lat, poly_id, cell).select(lon, lat).distinct()
-    return salted_join(points, inside, [lon, lat], "left_semi")
+    return splittable_join(points, inside, [lon, lat], "left_semi")
 
 
 def polygon_attribute(
@@ -188,13 +188,13 @@ def polygon_attribute(
 ) -> DataFrame:
     """Append the attribute of the first polygon (smallest id) around each point; NULL outside all of them.
 
-    `base` is a table with the positions of all points, see operators.skew.lookup.
+    `base` is a table with the positions of all points, for points that already went through costly steps.
     """
     source = points if base is None else base
     inside = point_polygon_hits(source, edges, lon, lat, poly_id, cell)
     known = edges.groupBy(poly_id).agg(F.min(attribute).alias(attribute))
     first = inside.join(known, poly_id).groupBy(lon, lat).agg(F.min_by(attribute, poly_id).alias(attribute))
-    return lookup(points, first, [lon, lat], "left", source)
+    return splittable_join(points, first, [lon, lat])
 
 
 # --- cells -----------------------------------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ def sample_cells(
     wanted = cells.select(F.col("cell_x").cast("bigint"), F.col("cell_y").cast("bigint"), *bands)
     if drop_null:
         wanted = wanted.dropna(subset=bands)
-    return lookup(placed, wanted, ["cell_x", "cell_y"], "inner" if drop_null else "left", placed)
+    return splittable_join(placed, wanted, ["cell_x", "cell_y"], "inner" if drop_null else "left")
 
 
 def rasterise(cells: DataFrame, points: DataFrame, lon: Column, lat: Column, step: float, name: str = "label") -> DataFrame:

@@ -35,10 +35,10 @@ def counted_values(measurements: DataFrame, place: list[str], day: str, values:
     return _present(flat, [*place, _BIN, _DAY, "__value"]).groupBy(*place, _WHICH, _BIN, _DAY, "__value").agg(F.count(F.lit(1)).alias("__times"))
 
 
-def place_cuts(counted: DataFrame, place: list[str], n_values: int, rows: int) -> DataFrame:
+def place_cuts(measurements: DataFrame, counted: DataFrame, place: list[str], values: list[str], rows: int) -> DataFrame:
     """(place, cuts) of the places with more than `rows` of a value: of each value the cuts between buckets of about that many, ascending."""
-    sizes = counted.groupBy(*place).agg(*[F.sum(F.when(F.col(_WHICH) == i, F.col("__times"))).alias(f"__n{i}") for i in range(n_values)])
-    many = sizes.where(F.greatest(*[F.coalesce(f"__n{i}", F.lit(0)) for i in range(n_values)], F.lit(0)) > rows)
+    sizes = _present(measurements, place).groupBy(*place).agg(*[F.count(v).alias(f"__n{i}") for i, v in enumerate(values)])
+    many = sizes.where(F.greatest(*[F.col(f"__n{i}") for i in range(len(values))], F.lit(0)) > rows)
     shares = F.array(*[F.lit(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS)])
 
     def thinned(i: int) -> Column:
@@ -48,7 +48,7 @@ def place_cuts(counted: DataFrame, place: list[str], n_values: int, rows: int) -
         kept = F.array_distinct(F.filter(found, lambda c, k: (k + 1) % step == 0))
         return F.when(n > rows, kept).otherwise(F.array().cast("array<double>"))
 
-    return splittable_join(counted, many.select(*place), place, "inner").groupBy(*place).agg(F.array(*[thinned(i) for i in range(n_values)]).alias(_CUTS))
+    return splittable_join(counted, many.select(*place), place, "inner").groupBy(*place).agg(F.array(*[thinned(i) for i in range(len(values))]).alias(_CUTS))
 
 
 def window_medians(
@@ -60,7 +60,7 @@ def window_medians(
     day = F.col(_DAY)
     counted = counted_values(measurements, place, measured_day, values, width)
     wanted = _present(wanted.select(*place, _DAY), [*place, _DAY])
-    many = place_cuts(counted, place, len(values), bucket_rows)
+    many = place_cuts(measurements, counted, place, values, bucket_rows)
     own_cuts = F.get(F.coalesce(_CUTS, F.array().cast("array<array<double>>")), F.col(_WHICH))
     bucket = F.coalesce(F.size(F.filter(own_cuts, lambda c: c <= F.col("__value"))), F.lit(0)).alias(_BUCKET)
     stored = splittable_join(counted, many, place, "left").select(*place, _WHICH, bucket, _BIN, _DAY, "__value", "__times")
@@ -77,15 +77,17 @@ def window_medians(
     near = (F.col("r." + _DAY) >= F.col("l." + _DAY) + first) & (F.col("r." + _DAY) <= F.col("l." + _DAY) + last)
     for k in (*place, _WHICH, _BUCKET, _BIN):
         near = (F.col(f"l.{k}") == F.col(f"r.{k}")) & near
-    met = held.withColumn(_BIN, reach).alias("l").join(stored.alias("r"), near)
+    # Few samples meet many values: shuffled even where a side would fit a broadcast, so that all cores take part.
+    met = held.withColumn(_BIN, reach).alias("l").join(stored.hint("merge").alias("r"), near)
     met = met.select(*[F.col(f"l.{c}") for c in [*place, _DAY, _WHICH, "__start", "__total"]], "__value", "__times")
 
     # Both buckets that can hold the middle are neighbours, so ranks go on from the first one's start.
     group = Window.partitionBy(*place, _DAY, _WHICH)
     run = group.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = met.repartition(*place, _DAY).withColumns(
+    ranked = met.repartition(*place, _DAY).withColumn("__run", F.sum("__times").over(run))  # its order serves the next window too
+    ranked = ranked.withColumns(
         {
-            "__end": F.min("__start").over(group) + F.sum("__times").over(run),
+            "__end": F.min("__start").over(group) + F.col("__run"),
             "__all": F.coalesce("__total", F.sum("__times").over(group)),
         }
     )

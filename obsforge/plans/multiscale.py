@@ -13,7 +13,7 @@ from obsforge.functions.values import class_label
 from obsforge.operators.context import centre_counts, count_columns
 from obsforge.operators.lags import Band, critical_gate, frame_features, window_median
 from obsforge.operators.landscape import LANDSCAPE_RADIUS_M, landscape_metrics
-from obsforge.operators.skew import lookup
+from obsforge.operators.skew import splittable_join
 from obsforge.operators.spatial import polygon_attribute, within_distance
 from obsforge.plans.training import Columns, environment
 from obsforge.sources.catalogue import MULTISCALE_CRITICAL, MULTISCALE_MOST_MISSING, STATIC
@@ -96,7 +96,7 @@ def attach_cells(
     samples: DataFrame, cells: DataFrame, keys: list[str], columns: list[str], base: DataFrame | None = None
 ) -> DataFrame:
     """Cell-level features (texture, landscape, climate) for each sample; zero where the cell has none."""
-    joined = lookup(samples, cells.select(*keys, *columns), keys, "left", base)
+    joined = splittable_join(samples, cells.select(*keys, *columns), keys)
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
@@ -146,7 +146,7 @@ def multiscale_features(
     rows = with_biome(rows, scales.edges, names.lon, names.lat, strip, base=samples)
     rows = environment(rows, scales.measured, names, critical=(), base=samples, split_wind=True).drop("critical_missing")
     layers = [c for c in (*CLIMATE, *STATIC) if c in scales.static.columns]
-    rows = lookup(rows, scales.static.select(*cell, *layers), cell, "left", samples)
+    rows = splittable_join(rows, scales.static.select(*cell, *layers), cell)
     lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in STATIC if c in layers]))
     rows = rows.withColumn("missing", F.concat("missing", lost))
     rows = rows.where(~critical_gate(F.col("missing"), MULTISCALE_CRITICAL, MULTISCALE_MOST_MISSING)).drop("missing")

@@ -11,7 +11,7 @@ from obsforge.functions.indices import add_lag_indices, ndwi_proxy
 from obsforge.functions.values import as_float, class_label
 from obsforge.operators.context import centre_counts, count_columns
 from obsforge.operators.lags import LAGS, Band, critical_gate, lag_features, missing_list, with_fallback
-from obsforge.operators.skew import lookup
+from obsforge.operators.skew import splittable_join
 from obsforge.sources.catalogue import CRITICAL, DYNAMIC, SOURCES, STATIC, band_for, pair_as_ratio
 
 WIND = ("u_component_of_wind_10m", "v_component_of_wind_10m")
@@ -138,7 +138,7 @@ def build_training_table(
         kept = kept.where(F.size("missing") == 0)
     kept = kept.drop("missing", "critical_missing")
     cell = list(static_place or names.place)
-    placed = lookup(kept, static.select(*cell, *STATIC), cell, "left", samples)
+    placed = splittable_join(kept, static.select(*cell, *STATIC), cell)
     indexed = add_lag_indices(placed)
     middle = centre_counts(
         samples, reports, names.sample_id, names.lon, names.lat, names.day, names.presence, grid_step

@@ -8,7 +8,7 @@ from obsforge.functions import indices as I
 from obsforge.functions.dates import season, seasonal_cycle
 from obsforge.operators import lags as L
 from obsforge.operators.quantiles import exact_median
-from obsforge.operators.skew import lookup
+from obsforge.operators.skew import splittable_join
 from workload import fixtures as X
 from workload.registry import query, r6, s6
 
@@ -267,7 +267,7 @@ def region_min_tvdi(spark, sf):
     rows = _indexed(spark, sf)
     lows = rows.groupBy("country").agg(F.min("LST_Day_1km_30").alias("low"))
     value = I.tvdi_region(F.col("LST_Day_1km_30"), F.col("NDVI_30"), F.col("low"))
-    return lookup(rows, lows, ["country"], base=X.observations(spark, sf).select("country")).select("object_id", r6(value).alias("tvdi_30"))
+    return splittable_join(rows, lows, ["country"]).select("object_id", r6(value).alias("tvdi_30"))
 
 
 @query(
