@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 50_000
+SAMPLED = 65_536  # values from which cuts are taken
+MOST_PARTS = 4_096
+BLOCK = 64  # cuts that are compared at once
 
 _BUCKET = "__bucket"
 
@@ -23,16 +26,38 @@ def _starts(totals: DataFrame, partition: list[str], order: list[Column], sums:
     return totals.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
 
 
-def even_bucket(df: DataFrame, column: str, rows: int = ROWS_PER_BUCKET) -> Column:
-    """Number of the equal part of the column's range that a value lies in; there are as many parts as rows ask for.
+def range_cuts(df: DataFrame, column: str, rows: int = ROWS_PER_BUCKET) -> Column:
+    """Ascending values that cut a numeric column into parts of about `rows` rows, however its values are spread.
 
-    Lowest, highest and count come from a subquery of the query itself, so nothing runs when the plan is made.
+    They are even ranks of about SAMPLED values, drawn by a hash of the value: the same ones whenever the query or a task runs
+    again, and never more than a task holds. Any cuts give right results, so that the sample decides evenness alone. There are
+    MOST_PARTS parts at most; beyond, parts grow with the table. The array comes from a subquery of the query itself,
+    so nothing runs when the plan is made.
     """
+    n = df.agg(F.count(column)).scalar()
+    share = F.greatest(F.lit(1), F.ceil(n / F.lit(SAMPLED)))
     value = F.col(column).cast("double")
-    seen = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.count(column).alias("n"))).scalar()
-    parts = F.greatest(F.lit(1), F.ceil(seen["n"] / F.lit(rows)))
-    place = F.floor((value - seen["low"]) / (seen["high"] - seen["low"]) * parts)
-    return F.when(seen["high"] > seen["low"], F.least(place, parts - 1)).otherwise(F.lit(0)).cast("bigint")
+    drawn = df.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), share) == 0)).agg(
+        F.sort_array(F.collect_list(value)).alias("v"), F.first(n, ignorenulls=True).alias("n")
+    )
+    parts = F.least(F.ceil(F.col("n") / F.lit(rows)), F.lit(MOST_PARTS), F.size("v")).cast("int")
+    at = F.transform(F.sequence(F.lit(1), parts - 1), lambda k: F.get("v", F.floor(k * F.size("v") / parts).cast("int")))
+    return drawn.select(F.when(parts > 1, F.array_distinct(at)).otherwise(F.array().cast("array<double>"))).scalar()
+
+
+def with_part(df: DataFrame, column: str, rows: int = ROWS_PER_BUCKET, name: str = _BUCKET) -> DataFrame:
+    """Append the number of the part of about `rows` rows, ascending, that a value lies in; 0 for NULL."""
+    value, cuts, ends = F.col(column).cast("double"), F.col("__cuts"), F.col("__ends")
+
+    def below(part: Column) -> Column:
+        return F.size(F.filter(part, lambda c: c <= value))
+
+    # How many cuts are not above the value: whole blocks of them first, then those of one block.
+    both = df.withColumn("__cuts", range_cuts(df, column, rows))
+    both = both.withColumn("__ends", F.when(F.size(cuts) < BLOCK, F.slice(cuts, 1, 0)).otherwise(F.filter(cuts, lambda c, i: (i + 1) % BLOCK == 0)))
+    blocks = both.withColumn("__blocks", below(ends) * BLOCK)
+    found = F.col("__blocks") + below(F.slice(cuts, F.col("__blocks") + 1, F.lit(BLOCK)))
+    return blocks.withColumn(name, F.coalesce(found, F.lit(0)).cast("bigint")).drop("__cuts", "__ends", "__blocks")
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -40,7 +65,7 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
 
     `order` must be unique, finite and not NULL, such as distinct scores. Buckets follow the number of rows.
     """
-    rows = df.withColumn(_BUCKET, even_bucket(df, order, rows_per_bucket))
+    rows = with_part(df, order, rows_per_bucket)
     totals = rows.groupBy(_BUCKET).agg(*[F.sum(c).alias(c) for c in sums])
     sort = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     starts = _starts(totals, [], [sort], sums).select(_BUCKET, *[f"{c}_before" for c in sums])
@@ -56,14 +81,11 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
 def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET, descending: bool = False) -> DataFrame:
     """0-based position of each row in the order (day with NULL last, row_id); `descending` turns the days round.
 
-    Rows are numbered inside (day, id bucket). Buckets are equal parts of the
-    range of ids, as many as rows ask for, so even a day with most of the rows
-    is split. `row_id` is a unique number.
+    Rows are numbered inside (day, id bucket). Buckets are ranges of ids with about
+    the same number of rows, so even a day with most of the rows is split. `row_id` is a unique number.
     """
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    rows = df.withColumn(_BUCKET, even_bucket(df, row_id, rows_per_bucket)).withColumn(
-        "__day", F.coalesce(-number if descending else number, F.lit(2147483647))
-    )
+    rows = with_part(df, row_id, rows_per_bucket).withColumn("__day", F.coalesce(-number if descending else number, F.lit(2147483647)))
     cells = rows.groupBy("__day", _BUCKET).agg(F.count(F.lit(1)).alias("n"))
     days = _starts(cells.groupBy("__day").agg(F.sum("n").alias("n")), [], [F.col("__day")], ["n"]).select(
         "__day", F.col("n_before").alias("__day_start")
@@ -92,24 +114,25 @@ def order_cut(df: DataFrame, order: str, ranks: dict[str, Callable[[Column], Col
     """
     head = F.substring(F.col(order), 1, prefix)
     counts = df.groupBy(head.alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    rank = {name: of(total).cast("bigint") for name, of in ranks.items()}
-    offers = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("name"), (r - F.col("n_before")).alias("at")) for k, r in rank.items()])
-    )
+    all_rows = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0))), F.lit(0))  # over bucket counts
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), of(F.col("__all")).cast("bigint").alias("rank")) for k, of in ranks.items()]))
     holding = (
         _starts(counts, [], [F.col(_BUCKET)], ["n"])
-        .select(_BUCKET, "n", offers.alias("o"))
-        .where(F.col("o.at").between(F.lit(1), F.col("n")))
-        .select(_BUCKET, F.col("o.name").alias("name"), F.col("o.at").alias("__at"))
+        .withColumn("__all", all_rows)
+        .select(_BUCKET, "n", "n_before", wanted.alias("o"))
+        .select(_BUCKET, "n", F.col("o.name").alias("name"), (F.col("o.rank") - F.col("n_before")).alias("__at"))
+        .where(F.col("__at").between(F.lit(1), F.col("n")))
     )  # at most one bucket per name
     near = df.select(head.alias(_BUCKET), F.col(order).alias("__key")).join(F.broadcast(holding), _BUCKET)
     found = near.withColumn("__rn", F.row_number().over(Window.partitionBy("name", _BUCKET).orderBy("__key"))).where(
         F.col("__rn") == F.col("__at")
     )
-    inside = found.groupBy().agg(*[F.max(F.when(F.col("name") == k, F.col("__key"))).alias(k) for k in rank])
-    return inside.select(
-        *[F.coalesce(F.col(k), F.when(r < 1, F.lit("")).otherwise(F.lit("~"))).alias(k) for k, r in rank.items()]
+    # A rank that no row has: below all of them or above.
+    sizes = df.agg(F.count(F.lit(1)).alias("__all")).select(wanted.alias("o"))
+    beyond = sizes.select(F.col("o.name").alias("name"), F.when(F.col("o.rank") < 1, F.lit("")).otherwise(F.lit("~")).alias("__beyond"))
+    offered = found.select("name", "__key").unionByName(beyond, allowMissingColumns=True)
+    return offered.groupBy().agg(
+        *[F.coalesce(*[F.max(F.when(F.col("name") == k, F.col(c))) for c in ("__key", "__beyond")]).alias(k) for k in ranks]
     )
 
 
@@ -128,26 +151,23 @@ def first_n_per_class(
     """
     classes = list(limits)
     rows = df.where(F.col(class_col).isin(classes))
-    keyed = rows.select(
-        F.col(class_col).alias("__class"), even_bucket(rows, row_id, rows_per_bucket).alias(_BUCKET), F.col(row_id).alias("__id")
-    )
-    counts = keyed.groupBy("__class", _BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    per_class = [
-        F.coalesce(F.sum(F.when(F.col("__class") == c, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(classes)
-    ]
-    sizes = counts.agg(F.struct(*per_class)).scalar()
-    size = {c: sizes[f"c{i}"] for i, c in enumerate(classes)}
-    limit = {c: of(size).cast("bigint") for c, of in limits.items()}
-
-    def by_class(column: Column, values: dict[str, Column]) -> Column:
+
+    def by_class(values: list[Column], column: Column) -> Column:
         chosen = F.lit(None)
-        for c, v in values.items():
+        for c, v in zip(classes, values, strict=True):
             chosen = F.when(column == c, v).otherwise(chosen)
         return chosen
 
+    # One row of class sizes and limits, a subquery wherever it is needed.
+    n_of = {c: F.col(f"n{i}") for i, c in enumerate(classes)}
+    sizes = rows.agg(*[F.count_if(F.col(class_col) == c).alias(f"n{i}") for i, c in enumerate(classes)])
+    limited = sizes.select(F.struct(*n_of.values(), *[of(n_of).cast("bigint").alias(f"most{i}") for i, (_, of) in enumerate(limits.items())]))
+    keyed = with_part(rows.select(F.col(class_col).alias("__class"), F.col(row_id).alias("__id")), "__id", rows_per_bucket)
+    counts = keyed.groupBy("__class", _BUCKET).agg(F.count(F.lit(1)).alias("n")).withColumn("__limits", limited.scalar())
+    most = by_class([F.col(f"__limits.most{i}") for i in range(len(classes))], F.col("__class"))
     holding = (
         _starts(counts, ["__class"], [F.col(_BUCKET)], ["n"])
-        .withColumn("__at", by_class(F.col("__class"), limit) - F.col("n_before"))
+        .withColumn("__at", most - F.col("n_before"))
         .where(F.col("__at").between(F.lit(1), F.col("n")))
         .select("__class", _BUCKET, "__at")
     )  # at most one bucket per class
@@ -157,9 +177,11 @@ def first_n_per_class(
         .where(F.col("__rn") == F.col("__at"))
         .select(F.col("__class").alias(class_col), F.col("__id").alias("__last"))
     )  # at most one row per class
-    whole = by_class(F.col(class_col), {c: limit[c] >= size[c] for c in classes})
+    at = F.col("__limits")
+    whole = by_class([at[f"most{i}"] >= at[f"n{i}"] for i in range(len(classes))], F.col(class_col))
     return (
         rows.join(F.broadcast(found), class_col, "left")
+        .withColumn("__limits", limited.scalar())
         .where(whole | (F.col(row_id) <= F.col("__last")))
         .select(*df.columns)
     )

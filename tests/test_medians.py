@@ -113,7 +113,7 @@ def test_window_median_reads_each_table_twice_at_most(spark):
             walk(node.children().apply(i), above)
 
     walk(plan.initialPlan(), None)
-    assert len(found["l_suppkey"]) == 1 and len(found["o_custkey"]) == 2
+    assert len(found["l_suppkey"]) == 2 and len(found["o_custkey"]) == 2
 
 
 def test_only_the_middle_bucket_of_a_dense_place_is_looked_at(spark):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,3 +73,38 @@ def test_running_totals_both_ways(spark):
             total += v
             expected[k] = total
         assert out == expected
+
+
+@pytest.mark.parametrize("spread", ["far", "clustered", "powers", "ties"])
+def test_parts_are_even_however_ids_are_spread(spark, spread):
+    n, rows = 400_000, 50_000
+    ids = {
+        "far": F.when(F.col("id") == 0, F.lit(10**18)).otherwise(F.col("id")),
+        "clustered": F.col("id") % 7 * 10**12 + F.col("id"),
+        "powers": F.expr("shiftleft(1L, CAST(id % 60 AS INT)) + id div 60"),
+        "ties": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") - 1),
+    }[spread]
+    df = spark.range(n).select(ids.cast("bigint").alias("k"))
+    parts = R.with_part(df, "k", rows, "b").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("b").collect()
+    assert max(p["n"] for p in parts) <= 2 * rows and len(parts) >= n // rows // 2
+    assert all(a["high"] < b["low"] for a, b in zip(parts, parts[1:]))
+
+
+def test_few_scans_for_limits_per_class(spark):
+    from __spark_entry__ import queries
+
+    for name, most in (("balance_first", 20 * 3), ("split_60_20_20", 20 * 3)):  # three tables make the observations
+        df = queries()[name](spark, "/root/testdata/sf0.001")
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert 0 < text.count("FileScan") <= most, (name, text.count("FileScan"))
+        assert df.count() > 0
+
+
+def test_index_and_balance_with_null_and_extreme_ids(spark):
+    rows = [(k, "PRESENT" if k % 3 else "ABSENT") for k in [5, 1, 10**18, -(10**18), 0, 7, 8, 9]]
+    df = spark.createDataFrame(rows, "id BIGINT, c STRING").withColumn("d", F.lit("2020-01-01").cast("date"))
+    out = [r["id"] for r in R.global_index(df, "d", "id", rows_per_bucket=2).orderBy("index").collect()]
+    assert out == sorted(k for k, _ in rows)
+    kept = {r["id"] for r in S.balance_first(df, "id", "c").collect()}
+    few = min(sum(c == "PRESENT" for _, c in rows), sum(c == "ABSENT" for _, c in rows))
+    assert kept == {k for c in ("PRESENT", "ABSENT") for k in sorted(i for i, x in rows if x == c)[:few]}
