@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsforge.functions.hashing import coin
 from obsforge.functions.values import binarise, finite_or_zero
-from obsforge.operators.skew import fan_out, splittable_join
+from obsforge.operators.skew import gather
 
 TARGET = 41  # fixed values: side of a sample tile and number of input bands (the label band follows them)
 INPUT_BANDS = 59
@@ -27,27 +27,56 @@ def clean_pixels(pixels: DataFrame, value: str = "value") -> DataFrame:
     return pixels.withColumn(value, finite_or_zero(F.col(value)))
 
 
-def dimensions(pixels: DataFrame) -> DataFrame:
-    """Height and width of each file."""
-    return pixels.groupBy("file_key").agg(
-        (F.max("row") + 1).cast("int").alias("h"), (F.max("col") + 1).cast("int").alias("w")
-    )
+def with_dimensions(pixels: DataFrame) -> DataFrame:
+    """Each pixel with the height and width of its file. One shuffle brings a file together; all that follows by file needs none."""
+    file = Window.partitionBy("file_key")
+    return gather(pixels, "file_key").withColumns({"h": (F.max("row").over(file) + 1).cast("int"), "w": (F.max("col").over(file) + 1).cast("int")})
+
+
+def filled(cells: Column, size: int | Column) -> Column:
+    """Values of structs (k, v) in the order of k, 0 for each k below `size` that has none; of several one of them."""
+    n, shift = F.lit(size), 1 << 32
+    places = F.sequence(F.lit(0), n - 1)
+    kinds = "array<bigint>"
+    # Whole numbers sort faster than structs: k first, then where the struct stands; behind the last for k that have none.
+    found = F.transform(cells, lambda c, i: c["k"].cast("bigint") * shift + i)
+    lacking = F.array_except(places, F.transform(cells, lambda c: c["k"]))
+    absent = F.when(F.size(cells) >= n, F.array().cast(kinds)).otherwise(F.transform(lacking, lambda k: k.cast("bigint") * shift + F.size(cells)))
+    every = F.sort_array(F.concat(found, absent))
+    at = F.transform(every, lambda e: F.coalesce(F.get(cells, (e % shift).cast("int"))["v"], F.lit(0.0)))
+    # Pixels that repeat, or lie where others are absent: place by place.
+    one_each = (F.size(every) == n) & (F.size(F.array_distinct(F.transform(cells, lambda c: c["k"]))) == F.size(cells))
+    slow = F.transform(places, lambda k: F.coalesce(F.get(F.filter(cells, lambda c: c["k"] == k), 0)["v"], F.lit(0.0)))
+    return F.when(one_each, at).otherwise(slow)
+
+
+def _cell(place: Column) -> Column:
+    return F.struct(place.cast("int").alias("k"), F.col("value").cast("double").alias("v"))
+
+
+def _as_pixels(tiles: DataFrame, width: int) -> DataFrame:
+    """(file_key, band, row, col, value) of tiles whose `values` are row by row."""
+    long = tiles.select("file_key", "band", F.posexplode("values").alias("k", "value"))
+    return long.select("file_key", "band", F.floor(F.col("k") / width).cast("int").alias("row"), (F.col("k") % width).cast("int").alias("col"), "value")
 
 
 def crop_pad(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
     """Every (file, band) as a full height x width tile: cut at the bottom right, zeros where it is short.
 
-    The empty frame and the pixels are stacked and summed per pixel, which takes
-    one shuffle on the pixel key.
+    One shuffle brings the pixels of a (file, band) into one array; absent places are added there. Of pixels that repeat
+    one is kept.
     """
-    frame = (
-        fan_out(pixels.select("file_key", "band").distinct(), "file_key", "band")
-        .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-        .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .withColumn("value", F.lit(0.0))
-    )
-    inside = clean_pixels(pixels.where((F.col("row") < height) & (F.col("col") < width))).select(*frame.columns)
-    return inside.unionByName(frame).groupBy("file_key", "band", "row", "col").agg(F.sum("value").alias("value"))
+    inside = (F.col("row") < height) & (F.col("col") < width)
+    cell = F.when(inside, _cell(F.col("row") * width + F.col("col")))  # collecting leaves out NULL
+    tiles = gather(clean_pixels(pixels), "file_key", "band").groupBy("file_key", "band").agg(F.collect_list(cell).alias("cells"))
+    there = F.transform("cells", lambda c: c["k"])
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(height * width - 1)), there)
+    empty = F.transform(absent, lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("v")))
+    repeats = F.size(F.array_distinct(there)) < F.size("cells")
+    one_each = F.transform(filled(F.col("cells"), height * width), lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+    placed = tiles.select("file_key", "band", F.explode(F.when(repeats, one_each).otherwise(F.concat("cells", empty))).alias("c"))
+    k = F.col("c.k")
+    return placed.select("file_key", "band", F.floor(k / width).cast("int").alias("row"), (k % width).alias("col"), F.col("c.v").alias("value"))
 
 
 def binary_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
@@ -59,10 +88,8 @@ def binary_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
 
 def centre_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
     """The 0/1 label of each file from the middle pixel (h // 2, w // 2) of its label band."""
-    band = pixels.where(F.col("band") == label_band)
-    centred = splittable_join(band, dimensions(band), ["file_key"], "inner").where(
-        (F.col("row") == F.floor(F.col("h") / 2)) & (F.col("col") == F.floor(F.col("w") / 2))
-    )
+    sized = with_dimensions(pixels.where(F.col("band") == label_band))
+    centred = sized.where((F.col("row") == F.floor(F.col("h") / 2)) & (F.col("col") == F.floor(F.col("w") / 2)))
     return centred.select("file_key", "h", "w", binarise(F.col("value")).alias("label"))
 
 
@@ -80,58 +107,55 @@ def _axis(target: Column, source_size: Column, size: int) -> Column:
 def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
     """Every (file, band) resampled to height x width.
 
-    A target pixel names the four source pixels it mixes; an equality join on
-    the pixel key fetches them and a weighted sum folds them.
+    One shuffle brings the pixels of a (file, band) into one sorted array; a target pixel mixes four of its entries. Absent
+    source pixels count as 0.
     """
-    bands = pixels.groupBy("file_key", "band").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-    wanted = (
-        fan_out(bands, "file_key", "band")
-        .withColumn("t_row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-        .withColumn("t_col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .withColumn("r", F.explode(_axis(F.col("t_row"), F.col("h"), height)))
-        .withColumn("c", F.explode(_axis(F.col("t_col"), F.col("w"), width)))
-        .select(
-            "file_key", "band", "t_row", "t_col", F.col("r.i").alias("row"), F.col("c.i").alias("col"),
-            (F.col("r.w") * F.col("c.w")).alias("weight"),
-        )
-        .where(F.col("weight") > 0)
-    )
-    return (
-        wanted.join(pixels, ["file_key", "band", "row", "col"])
-        .groupBy("file_key", "band", F.col("t_row").alias("row"), F.col("t_col").alias("col"))
-        .agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    cell = F.struct("row", "col", F.col("value").cast("double").alias("value"))
+    tiles = gather(pixels, "file_key", "band").groupBy("file_key", "band").agg(
+        (F.max("row") + 1).cast("int").alias("h"), (F.max("col") + 1).cast("int").alias("w"), F.collect_list(cell).alias("cells")
     )
+    flat = F.transform("cells", lambda c: F.struct((c["row"] * F.col("w") + c["col"]).cast("int").alias("k"), c["value"].alias("v")))
+    # Exploding a single array keeps the sorting from being planned into the function of each target pixel.
+    sorted_ = tiles.select("file_key", "band", "h", "w", F.explode(F.array(filled(flat, F.col("h") * F.col("w")))).alias("source"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda t: _axis(t, F.col("h"), height))
+    cols = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: _axis(t, F.col("w"), width))
+    placed = sorted_.select("file_key", "band", "w", "source", F.explode(F.array(rows)).alias("rows"), cols.alias("cols"))
+    placed = placed.select("file_key", "band", "w", "source", "rows", F.explode(F.array("cols")).alias("cols"))
+
+    def mixed(k: Column) -> Column:
+        r, c = F.get("rows", F.floor(k / width).cast("int")), F.get("cols", (k % width).cast("int"))
+
+        def part(i: int, j: int) -> Column:
+            return r[i]["w"] * c[j]["w"] * F.coalesce(F.get("source", r[i]["i"] * F.col("w") + c[j]["i"]), F.lit(0.0))
+
+        return part(0, 0) + part(0, 1) + part(1, 0) + part(1, 1)
+
+    values = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), mixed)
+    return _as_pixels(placed.select("file_key", "band", values.alias("values")), width)
 
 
 def patchify(pixels: DataFrame, size: int) -> DataFrame:
     """Each pixel with its patch number (row-major) and its place in the patch."""
-    wide = splittable_join(pixels, dimensions(pixels).select("file_key", "w"), ["file_key"], "inner")
     across = F.ceil(F.col("w") / size)
-    return wide.withColumns(
+    return with_dimensions(pixels).withColumns(
         {
             "patch": (F.floor(F.col("row") / size) * across + F.floor(F.col("col") / size)).cast("int"),
             "in_row": (F.col("row") % size).cast("int"),
             "in_col": (F.col("col") % size).cast("int"),
         }
-    ).drop("w")
+    ).drop("h", "w")
 
 
 def patch_vectors(pixels: DataFrame, size: int) -> DataFrame:
     """One row per (file, patch) with its values ordered by band, row and column; short patches get zeros.
 
-    A patch holds bands x size x size values, a number that does not grow with the table.
+    A patch holds bands x size x size values, a number that does not grow with the table. The shuffle by file that finds
+    the widths serves the grouping by band and by patch too.
     """
-    placed = patchify(pixels, size).select("file_key", "patch", "band", "in_row", "in_col", "value")
-    frame = (
-        fan_out(placed.select("file_key", "patch", "band").distinct(), "file_key", "patch", "band")
-        .withColumn("in_row", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        .withColumn("in_col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        .withColumn("value", F.lit(0.0))
-    )
-    full = placed.unionByName(frame).groupBy("file_key", "patch", "band", "in_row", "in_col").agg(F.sum("value").alias("value"))
-    cell = F.struct("band", "in_row", "in_col", "value")
-    return full.groupBy("file_key", "patch").agg(
-        F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["value"]).alias("values")
+    cells = F.collect_list(_cell(F.col("in_row") * size + F.col("in_col")))
+    bands = patchify(pixels, size).groupBy("file_key", "patch", "band").agg(filled(cells, size * size).alias("values"))
+    return bands.groupBy("file_key", "patch").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("band", "values"))), lambda c: c["values"])).alias("values")
     )
 
 
@@ -146,9 +170,8 @@ def patch_means(pixels: DataFrame, size: int) -> DataFrame:
 
 def flip(pixels: DataFrame, seed: int = 42) -> DataFrame:
     """Mirror each file left-right and top-bottom, each by a coin the file key decides; all bands alike."""
-    sized = splittable_join(pixels, dimensions(pixels), ["file_key"], "inner")
     across, down = coin(F.col("file_key"), seed), coin(F.col("file_key"), seed + 1)
-    return sized.withColumns(
+    return with_dimensions(pixels).withColumns(
         {
             "col": F.when(across, F.col("w") - 1 - F.col("col")).otherwise(F.col("col")),
             "row": F.when(down, F.col("h") - 1 - F.col("row")).otherwise(F.col("row")),

@@ -97,7 +97,18 @@ def fan_out(df: DataFrame, *columns: str) -> DataFrame:
     that each row is about to become many. Only for tables already reduced to
     distinct keys, so that no key is hot.
     """
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # on a hash of the keys: repartitioning on the keys themselves is dropped right after grouping by them
-    return df.repartition(parts, F.xxhash64(*columns))
+    return df.repartition(_parts(df), F.xxhash64(*columns))
+
+
+def gather(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring rows of a key together for grouping, over all cores: the one shuffle that grouping by it, or by more, then needs.
+
+    Adaptive execution would put small keys into few tasks, however much work each of them is.
+    """
+    return df.repartition(_parts(df), *columns)
+
+
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -213,3 +213,22 @@ def test_exports_are_registered_by_name(spark, tmp_path):
     ingest_exports(spark, str(folder), str(tmp_path / "reg"), str(tmp_path / "ck"))
     out = {r["id"]: (r["label"], r["country"]) for r in ingested(spark, str(tmp_path / "reg")).collect()}
     assert out == {7: (1, "Kenya"), 8: (0, None)}
+
+
+def test_tiles_with_repeated_absent_and_null_pixels(spark):
+    rows = [("a", 0, 0, 0, 1.0), ("a", 0, 0, 0, 1.0), ("a", 0, 1, 2, 5.0), ("a", 0, 9, 9, 7.0), ("b", 1, 0, 1, None), ("b", 1, 2, 0, float("nan")), ("c", 0, 8, 8, 3.0)]
+    df = spark.createDataFrame(rows, "file_key STRING, band INT, row INT, col INT, value DOUBLE")
+    out = {(r["file_key"], r["band"], r["row"], r["col"]): r["value"] for r in P.crop_pad(df, 2, 3).collect()}
+    assert len(out) == 3 * 6 and {k: v for k, v in out.items() if v} == {("a", 0, 0, 0): 1.0, ("a", 0, 1, 2): 5.0}
+    assert P.crop_pad(df.where("false"), 2, 3).count() == 0
+    small = P.bilinear_resize(df.where("file_key = 'a'"), 1, 1).collect()
+    assert [(r["row"], r["col"]) for r in small] == [(0, 0)] and small[0]["value"] == 0.0
+    vectors = {(r["file_key"], r["patch"]): r["values"] for r in P.patch_vectors(P.clean_pixels(df.where("file_key = 'a'")), 5).collect()}
+    assert vectors["a", 0][0] == 1.0 and vectors["a", 0][7] == 5.0 and len(vectors["a", 0]) == 25 and vectors["a", 3][24] == 7.0
+
+
+@pytest.mark.parametrize("name", ["crop_pad", "bilinear_resize", "centre_label", "patchify", "patch_vectors", "patch_means", "flip"])
+def test_tile_operators_shuffle_once(spark, tile, name):
+    df = table(spark, {"t": {0: tile, 59: tile}})
+    out = getattr(P, name)(df, *([3] if name.startswith("patch") else []))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

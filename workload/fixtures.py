@@ -282,6 +282,26 @@ pix AS (
          CASE WHEN label > 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, label FROM raw)"""
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per supplier, of uneven sides around the usual 41, with three input bands and a label band."""
+    k, band, row, col = F.col("s_suppkey"), F.col("band"), F.col("row"), F.col("col")
+    files = table(spark, sf_dir, "supplier").select(k, F.explode(F.array(*[F.lit(b) for b in (0, 1, 2, LABEL_BAND)])).alias("band"))
+    rows = files.withColumn("row", F.explode(F.sequence(F.lit(0), (F.lit(29) + k % 23).cast("int"))))
+    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), (F.lit(32) + k % 17).cast("int"))))
+    dirty = (row == 3) & (col == 4)
+    value = ((k * 31 + band * 17 + row * 7 + col * 3 + row * col % 13) % 101) / F.lit(10.0)
+    mask = ((k + F.floor(row / 5) + F.floor(col / 7)) % 2).cast("double")
+    kept = F.when(band == LABEL_BAND, mask).when(dirty, F.lit(float("nan"))).otherwise(value)
+    return cells.select(k.alias("file_key"), "band", "row", "col", kept.alias("value"))
+
+
+TILES = """files AS (SELECT s_suppkey AS k, 30 + s_suppkey % 23 AS h, 33 + s_suppkey % 17 AS w FROM supplier),
+tile AS MATERIALIZED (
+  SELECT k AS file_key, h, w, band, r AS y, c AS x,
+         CASE WHEN r = 3 AND c = 4 THEN 0.0::DOUBLE ELSE ((k * 31 + band * 17 + r * 7 + c * 3 + r * c % 13) % 101) / 10.0::DOUBLE END AS value
+  FROM (SELECT *, unnest(range(w)) AS c FROM (SELECT *, unnest(range(h)) AS r FROM (SELECT *, unnest([0, 1, 2]) AS band FROM files))))"""
+
+
 def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with their date as free text; every seventh text is broken in one of five ways."""
     obs = observations(spark, sf_dir)

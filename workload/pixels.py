@@ -144,17 +144,82 @@ def feature_groups(spark, sf):
 
 @query(
     "prepared_tiles",
-    f"""WITH {X.PIX}, f AS (SELECT DISTINCT file_key FROM pix), g AS (SELECT file_key, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM f, range(9) a(r), range(9) b(c)),
-        v AS (SELECT g.file_key, g."row", g.col, coalesce(value, 0.0::DOUBLE) AS value FROM g LEFT JOIN (SELECT * FROM pix WHERE band = 0) pix
-          ON pix.file_key = g.file_key AND pix."row" = g."row" AND pix.col = g.col),
-        m AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM v)
-        SELECT file_key, "row", col, {s6("(value - m) / (s + 1e-8)")} AS value FROM v, m""",
+    f"""WITH {X.PIX}, keys AS MATERIALIZED (SELECT DISTINCT file_key FROM pix),
+        frame AS MATERIALIZED (SELECT file_key, y, unnest(range(9)) AS x FROM (SELECT file_key, unnest(range(9)) AS y FROM keys)),
+        input AS MATERIALIZED (SELECT file_key, "row" AS y, col AS x, value AS v FROM pix WHERE band = 0),
+        tile AS MATERIALIZED (SELECT file_key, y, x, coalesce(v, 0.0::DOUBLE) AS v FROM frame LEFT JOIN input USING (file_key, y, x))
+        SELECT file_key, CAST(y AS INTEGER) AS "row", CAST(x AS INTEGER) AS col,
+               {s6("(v - (SELECT avg(v) FROM tile)) / ((SELECT stddev_samp(v) FROM tile) + 1e-8)")} AS value FROM tile""",
 )
 def prepared_tiles(spark, sf):
     out = scoring.prepare_tiles(X.pixels(spark, sf), 9)
     return out.select("file_key", "row", "col", r6("value").alias("value"))
 
 
+def _row_sums(tiles):
+    """Whole thousandths per row of a tile: exact, whatever the order of addition."""
+    milli = F.round(F.col("value") * 1000).cast("bigint")
+    top = F.max_by("col", F.struct(milli.alias("v"), F.col("col").alias("x")))
+    return tiles.groupBy("file_key", "band", "row").agg(F.sum(milli).alias("total"), F.count("value").alias("n"), top.alias("top"))
+
+
+def _standard_rows(values: str) -> str:
+    """Row sums of a table (file_key, band, y, x, v), standardised over all of it."""
+    return f"""values_of AS MATERIALIZED ({values}),
+        m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM values_of),
+        milli AS (SELECT file_key, band, y, x, CAST(round((v - m) / (s + 1e-8) * 1000) AS BIGINT) AS v FROM values_of, m)
+        SELECT file_key, band, CAST(y AS INTEGER) AS "row", CAST(sum(v) AS BIGINT) AS total, count(*) AS n,
+               CAST(arg_max(x, v * 100 + x) AS INTEGER) AS top FROM milli GROUP BY file_key, band, y"""
+
+
+CROPPED = """SELECT f.file_key, f.band, f.y, f.x, coalesce(value, 0.0::DOUBLE) AS v FROM frame f
+            LEFT JOIN tile t ON t.file_key = f.file_key AND t.band = f.band AND t.y = f.y AND t.x = f.x"""
+RESAMPLED = """SELECT file_key, band, r.t AS y, c.t AS x, sum(r.share * c.share * value) AS v FROM tile
+            JOIN axis r ON r.n = h AND r.i = tile.y JOIN axis c ON c.n = w AND c.i = tile.x GROUP BY file_key, band, r.t, c.t"""
+
+
+@query(
+    "tiles_41_crop",
+    f"""WITH {X.TILES}, frame AS MATERIALIZED (SELECT file_key, band, y, unnest(range(41)) AS x
+            FROM (SELECT file_key, band, unnest(range(41)) AS y FROM (SELECT DISTINCT file_key, band FROM tile))),
+        {_standard_rows(CROPPED)}""",
+)
+def tiles_41_crop(spark, sf):
+    """Tiles of 41 x 41 with three bands, from files of uneven sides, cut and padded."""
+    return _row_sums(scoring.prepare_tiles(X.tiles(spark, sf), 41))
+
+
+@query(
+    "tiles_41_bilinear",
+    f"""WITH {X.TILES}, sizes AS (SELECT DISTINCT unnest([h, w]) AS n FROM files),
+        places AS (SELECT n, t, greatest((t + 0.5::DOUBLE) * n / 41.0::DOUBLE - 0.5::DOUBLE, 0.0::DOUBLE) AS p FROM (SELECT n, unnest(range(41)) AS t FROM sizes)),
+        ends AS (SELECT n, t, least(floor(p), n - 1) AS low, p - least(floor(p), n - 1) AS part FROM places),
+        axis AS MATERIALIZED (SELECT n, t, CAST(low AS BIGINT) AS i, 1 - part AS share FROM ends UNION ALL SELECT n, t, CAST(least(low + 1, n - 1) AS BIGINT), part FROM ends),
+        {_standard_rows(RESAMPLED)}""",
+)
+def tiles_41_bilinear(spark, sf):
+    """The same files resampled to 41 x 41."""
+    return _row_sums(scoring.prepare_tiles(X.tiles(spark, sf), 41, "bilinear"))
+
+
+@query(
+    "tiles_patches",
+    f"""WITH {X.TILES}, p AS (SELECT file_key, band, y, x, value, (y // 16) * CAST(ceil(w / 16.0) AS BIGINT) + x // 16 AS patch FROM tile)
+        SELECT file_key, CAST(patch AS INTEGER) AS patch, CAST(3 * 256 AS INTEGER) AS n, CAST(sum(round(value * 10)) AS BIGINT) AS total,
+               CAST(sum(round(value * 10) * (band * 256 + (y % 16) * 16 + x % 16)) AS BIGINT) AS placed FROM p GROUP BY file_key, patch""",
+)
+def tiles_patches(spark, sf):
+    """Patches of 16 x 16 over three bands, the short ones at the rim filled with zeros."""
+    inputs = X.tiles(spark, sf).where(F.col("band") < X.LABEL_BAND)
+    out = P.patch_vectors(P.clean_pixels(inputs), 16)
+    tenth = F.transform("values", lambda v: F.round(v * 10).cast("bigint"))
+
+    def total(a):
+        return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
+
+    return out.select("file_key", "patch", F.size("values").alias("n"), total(tenth).alias("total"), total(F.transform(tenth, lambda v, i: v * i)).alias("placed"))
+
+
 @query(
     "labelled_tiles",
     """WITH r AS (SELECT vec_id AS file_key, CASE WHEN label > 4 THEN 1 ELSE 0 END AS label, row_number() OVER (ORDER BY md5('42:' || vec_id)) AS k, count(*) OVER () AS n FROM embeddings)
