@@ -52,6 +52,18 @@ def read_measurements(
     return df.where(F.col("band").isin(*bands)) if bands else df
 
 
+def near_samples(measured: DataFrame, samples: DataFrame, day: str, frame: tuple[int, int]) -> DataFrame:
+    """Measurements of the months that the frames around the samples' days reach; folders of other months are not read.
+
+    `measured` is a table in the layout of writers.write_measurements. The months come from the samples when the query runs, as a
+    subquery with one entry per calendar month at most. A sample without a day reaches none.
+    """
+    first, last = (F.trunc(F.date_add(utc_date(F.col(day)), n), "month") for n in frame)
+    months = samples.where(F.col(day).isNotNull()).select(F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    reached = months.agg(F.collect_set(F.date_format("m", "yyyy-MM"))).scalar()
+    return measured.where(F.array_contains(reached, F.col("month").cast("string")))
+
+
 def read_static(spark: SparkSession, path: str, layers: Iterable[str]) -> DataFrame:
     """Long layer rows (layer, cell_x, cell_y, value) as one row per cell."""
     return widen_layers(spark.read.parquet(path), layers)
@@ -78,6 +90,6 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") ->
 
 
 def hash_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") -> DataFrame:
-    """Name and md5 of the content; for files of up to 2 GB, such as sample tiles."""
+    """Name, path and md5 of the content; for files of up to 2 GB, such as sample tiles."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_key"), F.md5("content").alias("md5"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_key"), "path", F.md5("content").alias("md5"))

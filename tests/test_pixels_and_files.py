@@ -11,7 +11,7 @@ from obsforge.functions.indices import relative_humidity, scale_weights
 from obsforge.operators import manifest as M
 from obsforge.operators import pixels as P
 from obsforge.sources import readers, writers
-from obsforge.streaming.ingest import ingest_exports, ingest_new_files, ingested
+from obsforge.streaming.ingest import ingest_exports, ingest_new_files, ingested, merge_batches
 
 PIX = "file_key STRING, band INT, row INT, col INT, value DOUBLE"
 
@@ -232,3 +232,55 @@ def test_tile_operators_shuffle_once(spark, tile, name):
     df = table(spark, {"t": {0: tile, 59: tile}})
     out = getattr(P, name)(df, *([3] if name.startswith("patch") else []))
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_ingest_in_bounded_batches_and_merging(spark, tmp_path):
+    folder, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def add(numbers, files):
+        spark.createDataFrame([(n,) for n in numbers], "v BIGINT").repartition(files).write.mode("append").parquet(folder)
+        ingest_new_files(spark, folder, target, checkpoint, "v BIGINT", max_files=2)
+
+    def taken():
+        return sorted(r["v"] for r in ingested(spark, target).collect())
+
+    add(range(50), 7)
+    batches = {int(p.name.removeprefix("batch=")) for p in (tmp_path / "out").glob("batch=*")}
+    assert len(batches) == 4 and taken() == list(range(50))
+    assert merge_batches(spark, target) == max(batches) and taken() == list(range(50))
+    assert len(list((tmp_path / f"out-merged/{max(batches)}").glob("part-*"))) <= 2
+    assert merge_batches(spark, target) == max(batches)
+    add(range(50, 70), 3)
+    assert taken() == list(range(70))
+    # a merge that broke off before its row was written changes nothing
+    spark.createDataFrame([(999,)], "v BIGINT").write.parquet(f"{target}-merged/99")
+    assert taken() == list(range(70))
+    assert merge_batches(spark, target) == max(batches) + 2 and taken() == list(range(70))
+    with pytest.raises(Exception, match="maxFilesPerTrigger|positive"):
+        ingest_new_files(spark, folder, target, checkpoint, "v BIGINT", max_files=0)
+
+
+def test_only_folders_of_the_samples_own_months_are_read(spark, tmp_path):
+    path = str(tmp_path / "measured")
+    days = spark.range(730).select(F.expr("date_add(DATE'2020-01-01', CAST(id AS INT))").alias("ts"), F.lit("s").alias("source"), F.col("id").alias("value"))
+    writers.write_measurements(days, path)
+    samples = spark.createDataFrame([(1, dt.date(2020, 6, 20)), (2, dt.date(2021, 1, 5)), (3, None)], "id INT, day DATE")
+    near = readers.near_samples(spark.read.parquet(path), samples, "day", (-30, -1))
+    assert {r["month"] for r in near.select(F.col("month").cast("string").alias("month")).distinct().collect()} == {"2020-05", "2020-06", "2020-12", "2021-01"}
+    near.collect()
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" in text[text.index("PartitionFilters") :].split("]")[0]
+    scan = next(n for n in nodes(near) if n.nodeName().startswith("Scan"))
+    assert scan.metrics().apply("numPartitions").value() == 4
+    assert readers.near_samples(spark.read.parquet(path), samples.where("false"), "day", (-30, -1)).count() == 0
+
+
+def nodes(df):
+    def walk(node):
+        yield node
+        name = node.nodeName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        for child in below:
+            yield from walk(child)
+
+    return walk(df._jdf.queryExecution().executedPlan())

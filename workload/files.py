@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from obsforge.operators import lags as L
 from obsforge.operators import manifest as M
 from obsforge.session import shared_dir
 from obsforge.sources import readers, writers
@@ -139,3 +140,37 @@ def listed_files(spark, sf):
     names.withColumn("value", F.col("name")).write.partitionBy("name").text(path)
     found = readers.list_files(spark, path, "part-*").select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("file_key"))
     return found.select(F.url_decode("file_key").alias("file_key"))
+
+
+@query(
+    "hashed_months",
+    """WITH l AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderkey || ' ' || o_orderstatus AS line FROM orders)
+       SELECT month, md5(string_agg(line, chr(10) ORDER BY o_orderkey) || chr(10)) AS md5 FROM l GROUP BY month""",
+)
+def hashed_months(spark, sf):
+    """One file per month of orders, listed and told apart by the hash of its content."""
+    path = shared_dir(spark, "months")
+    orders = X.table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("value")
+    )
+    sorted_ = orders.repartition("month").sortWithinPartitions("month", "o_orderkey")
+    sorted_.select("month", "value").write.partitionBy("month").text(path)
+    found = readers.hash_files(spark, path, "part-*").join(readers.list_files(spark, path, "part-*").select("path", "length"), "path")
+    return found.where("length > 0").select(F.regexp_extract("path", "month=([^/]*)/", 1).alias("month"), "md5")
+
+
+@query(
+    "lag_of_own_months",
+    f"""WITH {X.OBS}, {X.MEAS}, s AS (SELECT * FROM obs WHERE obs_date >= DATE '1995-03-01' AND obs_date < DATE '1995-06-01')
+        SELECT s.object_id, coalesce(sum(m.value), 0.0::DOUBLE) AS quantity_30 FROM s LEFT JOIN meas m
+          ON m.site = s.site AND m.ts >= s.obs_date - 30 AND m.ts < s.obs_date GROUP BY s.object_id""",
+)
+def lag_of_own_months(spark, sf):
+    """A season's samples read the folders of the months that their own windows reach, and no others."""
+    path = shared_dir(spark, "measurements")
+    writers.write_measurements(X.measurements(spark, sf), path)
+    season = (F.col("obs_date") >= "1995-03-01") & (F.col("obs_date") < "1995-06-01")
+    samples = X.observations(spark, sf).where(season).drop("price")
+    near = readers.near_samples(spark.read.parquet(path), samples, "obs_date", (-30, -1))
+    out = L.lag_features(samples, near, ["site"], "obs_date", "ts", [L.Band("quantity", F.lit(True), F.col("value"), "sum")], (30,))
+    return out.select("object_id", "quantity_30")

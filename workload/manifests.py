@@ -8,7 +8,7 @@ from obsforge.functions.names import build_name, flag_from_name, index_from_name
 from obsforge.functions.values import class_label
 from obsforge.operators import manifest as M
 from obsforge.session import shared_dir
-from obsforge.streaming.ingest import ingest_new_files, ingested
+from obsforge.streaming.ingest import ingest_new_files, ingested, merge_batches
 from workload import fixtures as X
 from workload.registry import query, r6, s6
 
@@ -157,3 +157,20 @@ def ingest(spark, sf):
     return ingested(spark, target).groupBy("event_type", "user_id").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total")
     )
+
+
+@query(
+    "ingest_in_batches",
+    """SELECT event_type, user_id, count(*) AS n, CAST(sum(event_id) AS HUGEINT)::BIGINT AS ids FROM events GROUP BY ALL""",
+)
+def ingest_in_batches(spark, sf):
+    """Files taken in few at a time, merged half way, and the rest taken in behind the merged folder."""
+    folder, target, checkpoint = (shared_dir(spark, f"ingest-{x}") for x in ("files", "target", "checkpoint"))
+    events = X.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for part in (0, 1):
+        events.where(half == part).repartition(7).write.mode("append").parquet(folder)
+        ingest_new_files(spark, folder, target, checkpoint, "event_id BIGINT, event_type STRING, user_id BIGINT", max_files=3)
+        if part == 0:
+            merge_batches(spark, target)
+    return ingested(spark, target).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
