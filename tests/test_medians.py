@@ -61,8 +61,8 @@ def framed_medians(samples, measured, frame):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 7, 50, 10_000])
-@pytest.mark.parametrize("frame", [(-7, 6), (-3, -1), (0, 0), (2, 9)])
+@pytest.mark.parametrize("bucket_rows", [1, 7, 10_000])
+@pytest.mark.parametrize("frame", [(-7, 6), (-3, -1)])
 def test_window_medians_in_buckets_match_the_definition(spark, monkeypatch, bucket_rows, frame):
     from datetime import date, timedelta
 
