@@ -7,6 +7,7 @@ is left over is packed greedily, a document being cut where a window ends.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import slices, written
 
 END = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 800_000  # of a worker process
 OUT_TOKENS = 500_000  # of the pieces that are handed on at once
 #: Characters that composing leaves alone and that Python and the tokenizer lower-case and split alike.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
@@ -92,6 +93,12 @@ class WordTokens:
         return b"".join(map(known.__getitem__, words)) + end
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process: words that a task has encoded are known to the next."""
+    return WordTokens(path)
+
+
 def _narrow(raw: bytes) -> bytes:
     """Ids in two bytes each where all fit, and a byte that says so."""
     ids = np.frombuffer(raw, "<u4")
@@ -203,7 +210,7 @@ def pack_documents(
     source = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, press = WordTokens(tokenizer), zstandard.ZstdCompressor()
+        tokens, press = word_tokens(tokenizer), zstandard.ZstdCompressor()
         for batch in slices(batches):
             found = [tokens(x) for x in batch.column(1).to_pylist()]
             sizes = pa.array([len(x) // 4 for x in found], pa.int64())
