@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsforge.operators.pixels import filled
+from obsforge.operators.skew import gather
+
 LANDSCAPE_RADIUS_M = 2000.0  # fixed value: radius of the circle whose area patch density refers to
 
 
@@ -111,19 +114,69 @@ def glcm(df: DataFrame, keys: list[str], row: str, col: str, level: str) -> Data
 def glcm_pixels(df: DataFrame, keys: list[str], row: str, col: str, level: str, size: int = 3) -> DataFrame:
     """Texture of the size x size window around each pixel, as `glcm` defines it; windows are cut off at the tile's edge.
 
-    Each pixel goes to the size * size windows it is part of, so no window is larger than that and one shuffle by window
-    brings it together. A window of one level has NULL correlation.
+    One shuffle brings a tile together as an array of levels, row by row. Each pixel then looks at the pairs of its own window
+    there; pairs are put in order, so that equal ones are counted as they pass. A window of one level has NULL
+    correlation, one without a pair has no row.
     """
-    half = size // 2
-    offsets = F.sequence(F.lit(-half), F.lit(half))
-    centres = df.select(*keys, row, col, level, F.explode(offsets).alias("__dy")).withColumn("__dx", F.explode(offsets))
-    windows = centres.select(
-        *keys, (F.col(row) + F.col("__dy")).alias("__row"), (F.col(col) + F.col("__dx")).alias("__col"), row, col, level
+    shift, half = 1 << 32, size // 2
+    cell = F.struct(F.col(row).cast("int").alias("r"), F.col(col).cast("int").alias("c"), F.col(level).cast("int").alias("v"))
+    tiles = gather(df, *keys).groupBy(*keys).agg(
+        F.min(row).cast("int").alias("__top"), F.max(row).cast("int").alias("__bottom"), F.min(col).cast("int").alias("__left"), F.max(col).cast("int").alias("__right"),
+        F.collect_list(cell).alias("__cells"),
+    )
+    height, width = F.col("__bottom") - F.col("__top") + 1, F.col("__right") - F.col("__left") + 1
+    placed = F.transform("__cells", lambda x: F.struct(((x["r"] - F.col("__top")) * width + x["c"] - F.col("__left")).cast("int").alias("k"), x["v"].cast("double").alias("v")))
+    # Exploding a single array keeps the levels from being put in order again for each pixel.
+    levels = F.explode(F.array(filled(placed, height * width, None))).alias("__levels")
+    pixels = tiles.select(*keys, "__top", "__left", height.alias("__h"), width.alias("__w"), "__cells", levels)
+    each = pixels.select(*keys, "__top", "__left", "__h", "__w", "__levels", F.explode("__cells").alias("__x"))
+
+    def at(dy: int, dx: int) -> Column:
+        r, c = F.col("__x.r") - F.col("__top") + dy, F.col("__x.c") - F.col("__left") + dx
+        inside = (r >= 0) & (r < F.col("__h")) & (c >= 0) & (c < F.col("__w"))
+        return F.when(inside, F.get("__levels", r * F.col("__w") + c)).cast("bigint")
+
+    reach = range(-half, half + 1)
+    seen = each.select(*keys, F.col("__x.r").alias(row), F.col("__x.c").alias(col), F.array(*[at(dy, dx) for dy in reach for dx in reach]).alias("__window"))
+    pairs = [
+        (y * size + x, (y + dy) * size + x + dx)
+        for y in range(size) for x in range(size) for dx, dy in TEXTURE_OFFSETS.values() if y + dy < size and 0 <= x + dx < size
+    ]
+
+    def code(i: int, j: int) -> Column:
+        one, two = F.get("__window", F.lit(i)), F.get("__window", F.lit(j))
+        return F.when(one.isNotNull() & two.isNotNull(), F.least(one, two) * shift + (F.greatest(one, two) + (1 << 31)))
+
+    codes = seen.select(*keys, row, col, F.explode(F.array(F.sort_array(F.array_compact(F.array(*[code(i, j) for i, j in pairs]))))).alias("__codes"))
+
+    def spread(n: Column, same: Column) -> Column:
+        """n ln n of both orders of a pair, or of the one of a pair of equal levels, that has come n times."""
+        times = F.when(same, 2.0 * n).otherwise(n)
+        return F.when(n > 0, 2.0 * n * F.ln(times)).otherwise(F.lit(0.0))
+
+    kind = "struct<last: bigint, run: double, n: double, i: double, ii: double, ij: double, d: double, e: double>"
+    start = F.struct(F.lit(-1), *[F.lit(0.0)] * 7).cast(kind)
+
+    def add(seen: Column, pair: Column) -> Column:
+        i, j = F.shiftright(pair, 32).cast("double"), (pair.bitwiseAND(F.lit(shift - 1)) - (1 << 31)).cast("double")
+        before = F.when(pair == seen["last"], seen["run"]).otherwise(F.lit(0.0))
+        return F.struct(
+            pair, before + 1.0, seen["n"] + 2.0, seen["i"] + i + j, seen["ii"] + i * i + j * j, seen["ij"] + 2.0 * i * j,
+            seen["d"] + 2.0 * (i - j) * (i - j), seen["e"] + spread(before + 1.0, i == j) - spread(before, i == j),
+        ).cast(kind)
+
+    sums = codes.where(F.size("__codes") > 0).select(*keys, row, col, F.explode(F.array(F.aggregate("__codes", start, add))).alias("__s"))
+    total, mean = F.col("__s.n"), F.col("__s.i") / F.col("__s.n")
+    variance = F.col("__s.ii") / total - mean * mean
+    return sums.select(
+        *keys,
+        row,
+        col,
+        (F.col("__s.d") / total).alias("texture_contrast"),
+        F.when(variance > 1e-12, (F.col("__s.ij") / total - mean * mean) / variance).alias("texture_correlation"),
+        (F.ln(total) - F.col("__s.e") / total).alias("texture_entropy"),
+        variance.alias("texture_variance"),
     )
-    found = glcm(windows, [*keys, "__row", "__col"], row, col, level)
-    own = df.select(*keys, F.col(row).alias("__row"), F.col(col).alias("__col"))
-    return own.join(found, [*keys, "__row", "__col"]).withColumnsRenamed({"__row": row, "__col": col})
-
 
 
 def terrain(df: DataFrame, keys: list[str], x: str, y: str, elevation: str, cell_m: float) -> DataFrame:

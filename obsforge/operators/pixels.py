@@ -33,8 +33,9 @@ def with_dimensions(pixels: DataFrame) -> DataFrame:
     return gather(pixels, "file_key").withColumns({"h": (F.max("row").over(file) + 1).cast("int"), "w": (F.max("col").over(file) + 1).cast("int")})
 
 
-def filled(cells: Column, size: int | Column) -> Column:
-    """Values of structs (k, v) in the order of k, 0 for each k below `size` that has none; of several one of them."""
+def filled(cells: Column, size: int | Column, absent_value: float | None = 0.0) -> Column:
+    """Values of structs (k, v) in the order of k, absent_value for each k below `size` that has none; of several one of them."""
+    nothing = F.lit(absent_value).cast("double")
     n, shift = F.lit(size), 1 << 32
     places = F.sequence(F.lit(0), n - 1)
     kinds = "array<bigint>"
@@ -43,10 +44,10 @@ def filled(cells: Column, size: int | Column) -> Column:
     lacking = F.array_except(places, F.transform(cells, lambda c: c["k"]))
     absent = F.when(F.size(cells) >= n, F.array().cast(kinds)).otherwise(F.transform(lacking, lambda k: k.cast("bigint") * shift + F.size(cells)))
     every = F.sort_array(F.concat(found, absent))
-    at = F.transform(every, lambda e: F.coalesce(F.get(cells, (e % shift).cast("int"))["v"], F.lit(0.0)))
+    at = F.transform(every, lambda e: F.coalesce(F.get(cells, (e % shift).cast("int"))["v"], nothing))
     # Pixels that repeat, or lie where others are absent: place by place.
     one_each = (F.size(every) == n) & (F.size(F.array_distinct(F.transform(cells, lambda c: c["k"]))) == F.size(cells))
-    slow = F.transform(places, lambda k: F.coalesce(F.get(F.filter(cells, lambda c: c["k"] == k), 0)["v"], F.lit(0.0)))
+    slow = F.transform(places, lambda k: F.coalesce(F.get(F.filter(cells, lambda c: c["k"] == k), 0)["v"], nothing))
     return F.when(one_each, at).otherwise(slow)
 
 

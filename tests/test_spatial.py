@@ -172,3 +172,26 @@ def test_sample_cells_drops_points_with_a_missing_band(spark):
     args = (pts, cells, F.col("lon"), F.col("lat"), 1.0, ["a", "b"])
     assert [r["id"] for r in P.sample_cells(*args).collect()] == [1]
     assert sorted(r["id"] for r in P.sample_cells(*args, drop_null=False).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("size", [3, 5])
+def test_texture_around_each_pixel_against_counting(spark, size):
+    rng = random.Random(size)
+    cells = {("t", r, c): rng.choice([-2, 0, 1, 7, 100_000, None]) for r in range(3, 9) for c in range(-2, 5) if rng.random() < 0.9}
+    cells |= {("flat", r, c): 4 for r in range(4) for c in range(4)} | {("one", 0, 0): 5, ("none", 0, 0): None, ("none", 0, 1): 3}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "tile STRING, r INT, c INT, g INT")
+    out = S.glcm_pixels(df, ["tile"], "r", "c", "g", size)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = {(x["tile"], x["r"], x["c"]): tuple(x[f"texture_{n}"] for n in ("contrast", "correlation", "entropy", "variance")) for x in out.collect()}
+    want = {}
+    for tile, r, c in cells:
+        inside = {(y, x): v for (t, y, x), v in cells.items() if t == tile and v is not None and abs(y - r) <= size // 2 and abs(x - c) <= size // 2}
+        pairs = [p for (y, x), v in inside.items() for dx, dy in S.TEXTURE_OFFSETS.values() if (y + dy, x + dx) in inside for p in ((v, inside[y + dy, x + dx]), (inside[y + dy, x + dx], v))]
+        if pairs:
+            i, j = (np.array([p[k] for p in pairs], float) for k in (0, 1))
+            share = np.unique([f"{a},{b}" for a, b in pairs], return_counts=True)[1] / len(pairs)
+            variance = (i * i).mean() - i.mean() ** 2
+            want[tile, r, c] = (((i - j) ** 2).mean(), ((i * j).mean() - i.mean() ** 2) / variance if variance > 1e-12 else None, -(share * np.log(share)).sum(), variance)
+    assert found.keys() == want.keys() and len(want) > 30
+    for k, values in want.items():
+        assert all(a is b is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(found[k], values)), (k, found[k], values)
