@@ -17,6 +17,7 @@ ROWS_PER_BUCKET = 50_000
 SAMPLED = 65_536  # values from which cuts are taken
 MOST_PARTS = 4_096
 BLOCK = 64  # cuts that are compared at once
+FOLDED = 256  # rows of a block of a running fold
 
 _BUCKET = "__bucket"
 
@@ -78,6 +79,56 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
     )
 
 
+def running_fold(
+    df: DataFrame, order: str, state: Column, kind: str, merge: Callable[[Column, Column], Column], name: str = "folded",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Append the states of all rows up to this one in the order of `order`, merged from left to right.
+
+    `state` is a row's own state of the SQL type `kind`, never NULL, and `merge` any associative function of two states; it need not commute.
+    `order` is a unique number. A scan in three levels: rows inside blocks of FOLDED, blocks inside buckets, buckets among
+    each other, so no list is longer than a block, the blocks of a bucket or MOST_PARTS.
+    """
+    nothing = F.lit(None).cast(kind)
+
+    def both(a: Column, b: Column) -> Column:
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge(a, b).cast(kind))
+
+    def prefixes(states: Column) -> Column:
+        """Of each entry, what stands before it and with it, merged."""
+        start = F.struct(nothing.alias("all"), F.array().cast(f"array<struct<before: {kind}, with: {kind}>>").alias("out"))
+
+        def add(done: Column, one: Column) -> Column:
+            now = both(done["all"], one)
+            return F.struct(now.alias("all"), F.concat(done["out"], F.array(F.struct(done["all"].alias("before"), now.alias("with")))).alias("out"))
+
+        return F.aggregate(states, start, add)
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    numbered = with_part(df.select(F.col(order).alias("__at"), whole, state.cast(kind).alias("state")), "__at", rows_per_bucket)
+    placed = numbered.withColumn("__block", F.floor((F.row_number().over(Window.partitionBy(_BUCKET).orderBy("__at")) - 1) / FOLDED))
+
+    def folded(parts: DataFrame, keys: list[str], entry: Column, state_of: Callable[[Column], Column]) -> DataFrame:
+        lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__list"))
+        return lists.withColumn("__scan", prefixes(F.transform("__list", state_of)))
+
+    blocks = folded(placed, [_BUCKET, "__block"], F.struct("__at", "row", "state"), lambda x: x["state"])
+    totals = blocks.select(_BUCKET, F.struct("__block", F.col("__scan.all").alias("state")).alias("b"))
+    buckets = folded(totals, [_BUCKET], F.col("b"), lambda x: x["state"])
+    tops = buckets.select(F.lit(0).alias("__one"), F.struct(_BUCKET, F.col("__scan.all").alias("state")).alias("b"))
+    top = folded(tops, ["__one"], F.col("b"), lambda x: x["state"])
+
+    def spread(scan: DataFrame, keys: list[str], of: str) -> DataFrame:
+        """What stands before each entry of a scan."""
+        each = scan.select(*keys, F.explode(F.arrays_zip("__list", F.col("__scan.out").alias("out"))).alias("e"))
+        return each.select(*keys, F.col(f"e.__list.{of}").alias(of), F.col("e.out.before").alias(f"{of}_before"))
+
+    offsets = spread(buckets, [_BUCKET], "__block").join(spread(top, [], _BUCKET), _BUCKET)
+    before = offsets.select(_BUCKET, "__block", both(F.col(f"{_BUCKET}_before"), F.col("__block_before")).alias("__before"))
+    rows = blocks.join(before, [_BUCKET, "__block"]).select("__before", F.explode(F.arrays_zip("__list", F.col("__scan.out").alias("out"))).alias("e"))
+    return rows.select("e.__list.row.*", both(F.col("__before"), F.col("e.out.with")).alias(name))
+
+
 def global_index(df: DataFrame, day: str, row_id: str, name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET, descending: bool = False) -> DataFrame:
     """0-based position of each row in the order (day with NULL last, row_id); `descending` turns the days round.
 

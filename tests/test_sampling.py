@@ -108,3 +108,13 @@ def test_index_and_balance_with_null_and_extreme_ids(spark):
     kept = {r["id"] for r in S.balance_first(df, "id", "c").collect()}
     few = min(sum(c == "PRESENT" for _, c in rows), sum(c == "ABSENT" for _, c in rows))
     assert kept == {k for c in ("PRESENT", "ABSENT") for k in sorted(i for i, x in rows if x == c)[:few]}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50_000])
+def test_running_fold_of_a_merge_that_does_not_commute(spark, monkeypatch, rows):
+    monkeypatch.setattr(R, "FOLDED", 3)
+    ids = [5, -1, 10**15, 3, 8, 0, 77, 12, 13, 14, 15, 16, 99, 40]
+    df = spark.createDataFrame([(k, f"<{k}>", "x") for k in ids], "id BIGINT, text STRING, row STRING").repartition(3)
+    out = {r["id"]: r["all"] for r in R.running_fold(df, "id", F.col("text"), "string", lambda a, b: F.concat(a, b), "all", rows).collect()}
+    assert out == {k: "".join(f"<{i}>" for i in sorted(ids) if i <= k) for k in ids}
+    assert R.running_fold(df.where("false"), "id", F.col("text"), "string", lambda a, b: F.concat(a, b)).count() == 0

@@ -49,6 +49,36 @@ def index_descending_years(spark, sf):
     return global_index(rows, "d", "object_id", descending=True).select("object_id", "index")
 
 
+STREAK = "struct<n: bigint, head: bigint, tail: bigint, best: bigint>"
+
+
+def _joined_streaks(a, b):
+    """Lengths of two parts one after the other: all, the streaks at either end, and the longest one."""
+    return F.struct(
+        a["n"] + b["n"],
+        F.when(a["head"] == a["n"], a["n"] + b["head"]).otherwise(a["head"]),
+        F.when(b["tail"] == b["n"], b["n"] + a["tail"]).otherwise(b["tail"]),
+        F.greatest(a["best"], b["best"], a["tail"] + b["head"]),
+    )
+
+
+@query(
+    "longest_streak_so_far",
+    f"""WITH {X.OBS}, g AS (SELECT object_id, presence = 'PRESENT' AS there, sum(CASE WHEN presence = 'PRESENT' THEN 0 ELSE 1 END) OVER (ORDER BY object_id) AS run FROM obs),
+        s AS (SELECT object_id, CASE WHEN there THEN sum(CASE WHEN there THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY object_id) ELSE 0 END AS streak FROM g)
+        SELECT object_id, CAST(streak AS BIGINT) AS streak, CAST(max(streak) OVER (ORDER BY object_id) AS BIGINT) AS best FROM s""",
+)
+def longest_streak_so_far(spark, sf):
+    """A running fold whose state is no sum: presences in sequence, now and at most, in the order of ids."""
+    from obsforge.operators.ranking import running_fold
+
+    obs = X.observations(spark, sf).select("object_id", "presence")
+    there = F.when(F.col("presence") == "PRESENT", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    own = F.struct(F.lit(1).cast("bigint"), there, there, there)
+    folded = running_fold(obs, "object_id", own, STREAK, _joined_streaks, "streaks")
+    return folded.select("object_id", F.col("streaks.tail").alias("streak"), "streaks.best")
+
+
 @query("sample_n", f"WITH {X.OBS} SELECT object_id, country FROM obs ORDER BY {_key(42)} LIMIT 500")
 def sample_n(spark, sf):
     return S.sample_n(X.observations(spark, sf), "object_id", 500).select("object_id", "country")
