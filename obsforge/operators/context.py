@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsforge.functions.dates import day_number
-from obsforge.operators.skew import HOT_SHARE, fan_out, hot_keys, salted_join
+from obsforge.operators.skew import gather
 
 GRID_SIZE = 7  # fixed values: cells per side, and (name, first day back, last day back) of the periods
 PERIODS = (("30", 1, 30), ("60", 31, 60), ("90", 61, 90))
-HOME_SHARE = 512  # a bin with more than 1/512 of the samples is divided; fewer than 512 bins can be
+GROUP_ROWS = 1 << 16  # samples of a bin that one task takes at most
+BIN_REACHES = 2  # days of a bin, in lengths of all periods together
+TABLE_CELLS = 1 << 22  # running sums, and about as many reports, that a task holds at a time
+FEW_SAMPLES = 4  # fewer samples than this at a position on average are counted one by one
 COUNT_CLASSES = {"presence": "PRESENT", "absence": "ABSENT"}
 
+_BINS = ["bx", "by", "bt"]
+
 
 def grid_cells(samples: DataFrame, lon: str, lat: str, step: float, size: int = GRID_SIZE) -> DataFrame:
     """Each sample with its size x size cells: row and col from 0, centre and corners.
@@ -54,104 +61,175 @@ def context_counts(
     """Presence and absence counts per grid cell and period: one row per cell with any report.
 
     Cells are half open, so a report on a shared edge counts once. The sample's
-    own day is outside every period. Reports at one position and day are counted
-    into a single row, and samples at one position and day are looked up once,
-    so copies on either side do not multiply. Positions and days
-    are then binned, in bins as wide as the grid and as long as the periods
-    together; a sample reads two bins per axis. Counting is partial on the
-    join's own task, so matches are never written out. The samples of a bin that
-    holds a large part of them are divided over tasks.
+    own day is outside every period. See sample_grids for how they are counted.
     """
-    reach = max(last for _, _, last in periods)
-    span, side, half = float(size * step), float(step), size / 2.0
-    low = F.lit(half * step)
-    known = list(COUNT_CLASSES.values())
-    place = {"bx": F.floor(F.col("lon") / span), "by": F.floor(F.col("lat") / span), "bt": F.floor(F.col("day") / reach)}
+    cells = _cells_of(sample_grids(samples, reports, sample_id, lon, lat, day, presence, step, size, periods), sample_id, size, periods)
+    return cells.where(F.greatest(*count_columns(periods), F.lit(0)) > 0)
 
-    def located(df: DataFrame, *more: str) -> DataFrame:
-        return df.select(
-            F.col(lon).alias("lon"), F.col(lat).alias("lat"), day_number(F.col(day)).alias("day"), *more
-        )
 
-    packed = (
-        located(reports.where(F.col(presence).isin(known)), presence)
-        .groupBy("lon", "lat", "day")
-        .agg(*[F.count_if(F.col(presence) == c).alias(f"r_{k}") for k, c in COUNT_CLASSES.items()])
-        .withColumns(place)
-        .withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "day": "r_day"})
-    )
-    copies = located(samples).groupBy("lon", "lat", "day").agg(F.count(F.lit(1)).alias("__rows"))
-    spots = copies.drop("__rows").withColumns(place)
-    homes, touched = _hot_homes(spots)
+def dense_counts(
+    samples: DataFrame,
+    reports: DataFrame,
+    sample_id: str,
+    lon: str,
+    lat: str,
+    day: str,
+    presence: str,
+    step: float,
+    size: int = GRID_SIZE,
+    periods=PERIODS,
+) -> DataFrame:
+    """Every cell of every sample's grid, with zeros where context_counts has no row."""
+    return _cells_of(sample_grids(samples, reports, sample_id, lon, lat, day, presence, step, size, periods), sample_id, size, periods)
+
+
+def _cells_of(grids: DataFrame, sample_id: str, size: int, periods) -> DataFrame:
+    names = count_columns(periods)
+    each = grids.select(sample_id, "counts", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("__cell"))
+    counts = [F.get("counts", F.col("__cell") * len(names) + k).alias(name) for k, name in enumerate(names)]
+    return each.select(sample_id, F.floor(F.col("__cell") / size).cast("int").alias("row"), (F.col("__cell") % size).alias("col"), *counts)
+
+
+def sample_grids(
+    samples: DataFrame,
+    reports: DataFrame,
+    sample_id: str,
+    lon: str,
+    lat: str,
+    day: str,
+    presence: str,
+    step: float,
+    size: int = GRID_SIZE,
+    periods=PERIODS,
+) -> DataFrame:
+    """(sample_id, counts): one row per sample with the counts of its cells, row by row, each as count_columns lists them.
+
+    Positions and days are binned. Reports at one position and day become a
+    single row, sent to every bin from which a sample can see it; a bin's samples
+    and reports then meet in one task, where reports are added up per position
+    of samples, cell and day, and each sample takes differences of running sums.
+    So a report is looked at once per position of samples near it, however many
+    samples that has. A bin of more than GROUP_ROWS samples is divided over tasks.
+    """
+    reach = max(last for _, _, last in periods)
+    half = size / 2.0
+    span = float(step) * GRID_SIZE * -(-size // GRID_SIZE)
+    length = reach * BIN_REACHES
+    slack = F.lit((half + 0.001) * step)  # the exact cell decides; bins only have to offer enough
+    names = list(COUNT_CLASSES.values())
+
+    def place(x: Column, y: Column, t: Column) -> dict[str, Column]:
+        return {"bx": F.floor(x / span), "by": F.floor(y / span), "bt": F.floor(t / length)}
+
+    def located(df: DataFrame, *more: str | Column) -> DataFrame:
+        at = [F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), day_number(F.col(day)).cast("int").alias("day")]
+        return df.select(*more, *at)
+
+    complete = F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("day").isNotNull()
+    spots = located(samples, F.col(sample_id).alias("id")).withColumns(place(F.col("lon"), F.col("lat"), F.col("day")))
+    # A sample without a place or day sees no report; any bin will do for it.
+    anywhere = F.pmod(F.xxhash64("id"), F.lit(1024))
+    spots = spots.withColumns(
+        {b: F.when(complete, F.col(b)).otherwise(anywhere if b == "bx" else F.lit(0)) for b in _BINS}
+        | {"lon": F.when(complete, F.col("lon")).otherwise(F.lit(float("nan"))), "lat": F.when(complete, F.col("lat")).otherwise(F.lit(float("nan"))), "day": F.coalesce("day", F.lit(0))}
+    )
+    rows = spots.groupBy(*_BINS).agg(F.count(F.lit(1)).alias("__rows"))
+    large = rows.where(F.col("__rows") > GROUP_ROWS).select(*_BINS, F.ceil(F.col("__rows") / GROUP_ROWS).alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+    dealt = spots.join(F.broadcast(large), _BINS, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("__parts")
 
     def touches(first: Column, last: Column, width: float) -> Column:
         return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
 
-    targets = (
-        fan_out(spots, "lon", "lat", "day")
-        .join(F.broadcast(homes), ["bx", "by", "bt"], "left")
-        .withColumn("bx", touches(F.col("lon") - low, F.col("lon") + low, span))
-        .withColumn("by", touches(F.col("lat") - low, F.col("lat") + low, span))
-        .withColumn("bt", touches(F.col("day") - reach, F.col("day") - 1, reach))
-        .withColumnsRenamed({"lon": "s_lon", "lat": "s_lat", "day": "s_day"})
-    )
-
-    def grid(axis: str, s: str = "", r: str = "") -> Column:
-        return F.floor((F.col(f"{r}r_{axis}") - F.col(f"{s}s_{axis}")) / F.lit(side) + half)
-
-    def apart(axis: str) -> Column:
-        return F.abs(F.col(f"r.r_{axis}") - F.col(f"l.s_{axis}"))
-
-    ago = F.col("l.s_day") - F.col("r.r_day")
-    # cheap comparisons first; the exact cell decides
-    near = (ago >= 1) & (ago <= reach) & (apart("lat") <= low + side) & (apart("lon") <= low + side)
-    exact = grid("lat", "l.", "r.").between(0, size - 1) & grid("lon", "l.", "r.").between(0, size - 1)
-    met = salted_join(
-        targets,
-        packed,
-        ["bx", "by", "bt"],
-        "inner",
-        near & exact,
-        hot=touched,
-        hot_left="__home",
-        spread=["s_lon", "s_lat", "s_day"],
-        strategy="merge",
-    )
-    back = F.col("s_day") - F.col("r_day")
-    counts = [
-        F.sum(F.when(back.between(first, last), F.col(f"r_{k}")).otherwise(F.lit(0))).alias(f"{k}_{name}")
-        for name, first, last in periods
-        for k in COUNT_CLASSES
-    ]
-    found = met.groupBy(
-        F.col("s_lon").alias("lon"),
-        F.col("s_lat").alias("lat"),
-        F.col("s_day").alias("day"),
-        grid("lat").cast("int").alias("row"),
-        grid("lon").cast("int").alias("col"),
-    ).agg(*counts)
-    total = copies.agg(F.sum("__rows")).scalar()
-    crowded = copies.where(F.col("__rows") * HOT_SHARE > total).select("lon", "lat", "day", F.lit(True).alias("__hot"))
-    joined = salted_join(located(samples, sample_id), found, ["lon", "lat", "day"], "inner", hot=crowded)
-    return joined.select(sample_id, "row", "col", *count_columns(periods))
-
-
-def _hot_homes(homes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bins that many samples lie in, and the bins those samples read: both lists are short by construction."""
-    hot = hot_keys(homes, ["bx", "by", "bt"], HOME_SHARE).withColumnRenamed("__hot", "__home")
-
-    def around(column: str, first: int, last: int) -> Column:
-        return F.explode(F.sequence(F.col(column) + first, F.col(column) + last))
-
-    touched = (
-        hot.withColumn("bx", around("bx", -1, 1))
-        .withColumn("by", around("by", -1, 1))
-        .withColumn("bt", around("bt", -1, 0))
-        .select("bx", "by", "bt")
-        .distinct()
-        .withColumn("__hot", F.lit(True))
+    packed = (
+        located(reports.where(F.col(presence).isin(names)), presence)
+        .where(complete)
+        .groupBy("lon", "lat", "day")
+        .agg(*[F.count_if(F.col(presence) == c).alias(f"r_{k}") for k, c in COUNT_CLASSES.items()])
+        .withColumn("bx", touches(F.col("lon") - slack, F.col("lon") + slack, span))
+        .withColumn("by", touches(F.col("lat") - slack, F.col("lat") + slack, span))
+        .withColumn("bt", touches(F.col("day") + 1, F.col("day") + reach, length))
+        .join(F.broadcast(large), _BINS, "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        .drop("__parts")
     )
-    return hot, touched
+    group = [*_BINS, "part"]
+    left, right = (gather(df, *group).groupBy(*group) for df in (dealt, packed))
+    kind = samples.schema[sample_id].dataType.simpleString()
+    met = left.cogroup(right).applyInArrow(_counter(float(step), size, tuple(periods), len(COUNT_CLASSES)), f"id {kind}, counts array<bigint>")
+    return met.withColumnRenamed("id", sample_id)
+
+
+def _counter(step: float, size: int, periods: tuple, classes: int):
+    """The function that counts the reports of one bin for the samples of that bin."""
+    half, cells = size / 2.0, size * size
+
+    def numbers(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy()
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = pa.schema([("id", left.schema.field("id").type), ("counts", pa.list_(pa.int64()))])
+        # distinct positions of either side, by latitude; samples in the order of their positions
+        s_at, s_place = np.unique(np.stack([numbers(left, "lat"), numbers(left, "lon")], 1), axis=0, return_inverse=True)
+        r_at, r_place = np.unique(np.stack([numbers(right, "lat"), numbers(right, "lon")], 1), axis=0, return_inverse=True)
+        s_order = np.argsort(s_place.ravel(), kind="stable")
+        s_day = numbers(left, "day").astype(np.int64)[s_order]
+        s_first = np.searchsorted(s_place.ravel()[s_order], np.arange(len(s_at) + 1))
+        ids = left.column("id").take(pa.array(s_order))
+        r_order = np.argsort(r_place.ravel(), kind="stable")
+        r_day = numbers(right, "day").astype(np.int64)[r_order]
+        r_first = np.searchsorted(r_place.ravel()[r_order], np.arange(len(r_at) + 1))
+        r_count = np.stack([numbers(right, c) for c in right.column_names if c.startswith("r_")], 1)[r_order].astype(np.float64)
+        start = int(r_day.min()) if len(r_day) else 0
+        days = int(r_day.max()) - start + 1 if len(r_day) else 0
+        # Where positions have few samples each, reports are put into the periods of every sample at once.
+        single = len(s_day) < FEW_SAMPLES * len(s_at)
+        if single:
+            s_at, s_first = s_at[s_place.ravel()[s_order]], np.arange(len(s_day) + 1)
+        width = len(periods) if single else days + 1
+        block = max(1, min(64, TABLE_CELLS // (cells * classes * width), TABLE_CELLS // max(1, len(r_day))))
+        batches = []
+        for begin in range(0, len(s_at), block):
+            at = s_at[begin : begin + block]
+            n = len(at)
+            mine = slice(s_first[begin], s_first[begin + n])
+            low, high = (np.searchsorted(r_at[:, 0], x) for x in (at[0, 0] - (half + 1) * step, at[-1, 0] + (half + 1) * step))
+            row = np.floor((r_at[None, low:high, 0] - at[:, None, 0]) / step + half)
+            col = np.floor((r_at[None, low:high, 1] - at[:, None, 1]) / step + half)
+            who, seen = np.nonzero((row >= 0) & (row < size) & (col >= 0) & (col < size))
+            cell = who * cells + row[who, seen].astype(np.int64) * size + col[who, seen].astype(np.int64)
+            seen += low
+            times = r_first[seen + 1] - r_first[seen]
+            ends = np.cumsum(times)
+            report = np.arange(ends[-1] if len(ends) else 0) + np.repeat(r_first[seen] - ends + times, times)
+            if single:
+                ago = np.repeat(s_day[mine][who], times) - r_day[report]
+                period = np.full(len(ago), -1)
+                for k, (first, last) in enumerate((f, t) for _, f, t in periods):
+                    period[(ago >= first) & (ago <= last)] = k
+                inside = period >= 0
+                slot = (np.repeat(cell, times)[inside] * width + period[inside]) * classes
+                report = report[inside]
+                stride, shape = 1, (n, cells, width, classes)
+            else:
+                slot = np.repeat(cell * classes * width, times) + r_day[report] - start + 1
+                stride, shape = width, (n, cells, classes, width)
+            slots = np.concatenate([slot + k * stride for k in range(classes)])
+            table = np.bincount(slots, r_count[report].T.ravel(), n * cells * classes * width).reshape(shape)
+            found = table
+            if not single:
+                # running sums by day; before the first day there is nothing
+                np.cumsum(table, axis=3, out=table)
+                whose = np.repeat(np.arange(n), np.diff(s_first[begin : begin + n + 1]))
+                until = [table[whose, :, :, np.clip(s_day[mine] - back - start + 1, 0, days)] for _, f, t in periods for back in (f, t + 1)]
+                found = np.stack([x - y for x, y in zip(until[::2], until[1::2])], 2)
+            flat = pa.array(found.astype(np.int64).ravel())
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (cells * classes * len(periods)))
+            mine_ids = ids.slice(mine.start, mine.stop - mine.start).combine_chunks()
+            batches.append(pa.record_batch([mine_ids, pa.ListArray.from_arrays(offsets, flat)], schema=kind))
+        return pa.Table.from_batches(batches, kind)
+
+    return count
 
 
 def count_columns(periods=PERIODS) -> list[str]:
@@ -172,11 +250,3 @@ def centre_counts(
     """The counts of the grid cell the sample itself lies in, one row per sample that has any."""
     one = context_counts(samples, reports, sample_id, lon, lat, day, presence, step, 1, periods)
     return one.select(sample_id, *count_columns(periods))
-
-
-def dense_counts(samples: DataFrame, sparse: DataFrame, sample_id: str, size: int = GRID_SIZE, periods=PERIODS) -> DataFrame:
-    """Every cell of every sample's grid, with zeros where `sparse` (see context_counts) has no row."""
-    axis = F.sequence(F.lit(0), F.lit(size - 1))
-    grid = samples.select(sample_id, F.explode(axis).alias("row")).select(sample_id, "row", F.explode(axis).alias("col"))
-    names = count_columns(periods)
-    return grid.join(sparse, [sample_id, "row", "col"], "left").fillna(0, names)

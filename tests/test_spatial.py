@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -136,6 +137,35 @@ def test_context_counts_against_brute_force_with_a_hot_bin(spark):
     assert ours == {k: tuple(v) for k, v in brute.items()}
 
 
+@pytest.mark.parametrize("few, rows", [(0, 1 << 16), (1 << 30, 1 << 16), (0, 7), (4, 7)])
+def test_context_grids_with_many_samples_of_few_places(spark, monkeypatch, few, rows):
+    """Both ways of counting, in bins that are divided; a report is never paired with every sample near it."""
+    import datetime as dt
+
+    monkeypatch.setattr(K, "FEW_SAMPLES", few)
+    monkeypatch.setattr(K, "GROUP_ROWS", rows)
+    rng = random.Random(7)
+    places = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(12)]
+    base = dt.date(2020, 1, 1)
+    rows_ = [(i, *rng.choice(places), base + dt.timedelta(days=rng.randrange(250)), rng.choice(["PRESENT", "ABSENT", "UNKNOWN"])) for i in range(250)]
+    lost = [(900, None, 5, base, "PRESENT"), (901, 5, 5, None, "ABSENT")]
+    df = spark.createDataFrame(rows_ + lost, "id INT, lon INT, lat INT, day DATE, presence STRING")
+    for size in (7, 1):
+        args = (df, df, "id", "lon", "lat", "day", "presence", 40.0, size)
+        brute = {}
+        for i, x, y, d, _ in rows_:
+            for _, x2, y2, d2, p in rows_:
+                row, col, ago = math.floor((y2 - y) / 40 + size / 2), math.floor((x2 - x) / 40 + size / 2), (d - d2).days
+                if p != "UNKNOWN" and 0 <= row < size and 0 <= col < size and 1 <= ago <= 90:
+                    brute.setdefault((i, row, col), [0] * 6)[(ago - 1) // 30 * 2 + (p == "ABSENT")] += 1
+        sparse = K.context_counts(*args)
+        assert "Join" not in re.sub("BroadcastHashJoin", "", sparse._jdf.queryExecution().executedPlan().toString())
+        assert {(r["id"], r["row"], r["col"]): [r[c] for c in K.count_columns()] for r in sparse.collect()} == brute
+        dense = K.dense_counts(*args).collect()
+        assert len(dense) == len({(r["id"], r["row"], r["col"]) for r in dense}) == (len(rows_) + 2) * size * size
+        assert all([r[c] for c in K.count_columns()] == brute.get((r["id"], r["row"], r["col"]), [0] * 6) for r in dense)
+
+
 def test_terrain_of_planes(spark):
     rows = [(x, y, 3.0 * x) for x in range(4) for y in range(4)]
     df = spark.createDataFrame(rows, "x INT, y INT, z DOUBLE")

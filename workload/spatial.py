@@ -46,8 +46,7 @@ def context_counts(spark, sf):
 def context_grid_dense(spark, sf):
     """All 49 cells of every sample, with zeros where nothing was reported."""
     obs = X.observations(spark, sf)
-    sparse = K.context_counts(obs, obs, "object_id", "lon_m", "lat_m", "obs_date", "presence", X.GRID_STEP)
-    return K.dense_counts(obs, sparse, "object_id")
+    return K.dense_counts(obs, obs, "object_id", "lon_m", "lat_m", "obs_date", "presence", X.GRID_STEP)
 
 
 DISTANCE = "2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
