@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsforge.functions.geo import cell_centre, cell_index, haversine, reach_lat, reach_lon
 from obsforge.functions.hashing import uniform
-from obsforge.operators.skew import salted_join, splittable_join
+from obsforge.operators.skew import fan_out, salted_join, splittable_join
 
 
 def bounding_box(df: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -51,8 +51,22 @@ def within_distance(
     """Pairs of a centre and a point at most `metres` apart, with `distance_m`.
 
     The column names of the two tables must differ. Circles may cross the 180th
-    meridian and hold a pole.
+    meridian and hold a pole. Distances are taken between positions, once each; rows
+    at one position share them.
     """
+    one, other = {"__c_lon": F.col(centre_lon), "__c_lat": F.col(centre_lat)}, {"__p_lon": F.col(lon), "__p_lat": F.col(lat)}
+    places, spots = (df.select(*[c.alias(k) for k, c in at.items()]).distinct() for df, at in ((centres, one), (points, other)))
+    near = near_places(places, spots, metres, *one, *other)
+    met = splittable_join(centres.withColumns(one), near, list(one), "inner").drop(*one)
+    # each row is about to become as many as the position has points
+    pairs = splittable_join(fan_out(met, *met.columns), points.withColumns(other), list(other), "inner").drop(*other)
+    return pairs.select(*centres.columns, *points.columns, "distance_m")
+
+
+def near_places(
+    centres: DataFrame, points: DataFrame, metres: float, centre_lon: str, centre_lat: str, lon: str, lat: str
+) -> DataFrame:
+    """within_distance for tables whose positions hardly repeat: a distance for every pair of rows that share a bin."""
     size = reach_lat(metres) * 2
     distance = haversine(F.col(f"l.{centre_lon}"), F.col(f"l.{centre_lat}"), F.col(f"r.{lon}"), F.col(f"r.{lat}"))
     met = salted_join(

@@ -14,7 +14,7 @@ from obsforge.operators.context import centre_counts, count_columns
 from obsforge.operators.lags import Band, critical_gate, frame_features, window_median
 from obsforge.operators.landscape import LANDSCAPE_RADIUS_M, landscape_metrics
 from obsforge.operators.skew import splittable_join
-from obsforge.operators.spatial import polygon_attribute, within_distance
+from obsforge.operators.spatial import near_places, polygon_attribute
 from obsforge.plans.training import Columns, environment
 from obsforge.sources.catalogue import MULTISCALE_CRITICAL, MULTISCALE_MOST_MISSING, STATIC
 
@@ -109,7 +109,7 @@ def landscape_around(
     Coordinates are degrees. The cell columns must have names that the samples lack.
     """
     places = samples.select(F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct()
-    inside = within_distance(places, cells.select(cell_lon, cell_lat, landcover), metres, "__lon", "__lat", cell_lon, cell_lat)
+    inside = near_places(places, cells.select(cell_lon, cell_lat, landcover), metres, "__lon", "__lat", cell_lon, cell_lat)
     found = landscape_metrics(inside, ["__lon", "__lat"], landcover, metres)
     renamed = found.withColumnsRenamed({"__lon": lon, "__lat": lat})
     return attach_cells(samples, renamed, [lon, lat], ["patch_density", "shannon_diversity"], samples)

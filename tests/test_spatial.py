@@ -35,6 +35,25 @@ def test_within_distance_at_high_latitude(spark, points):
     assert ours == brute
 
 
+def test_distances_are_taken_once_per_pair_of_positions(spark, monkeypatch):
+    """Rows of one position share its distances; the copies come back in full."""
+    asked = []
+    real = P.near_places
+
+    def seen(centres, points, *more):
+        asked.append((centres.count(), points.count()))
+        return real(centres, points, *more)
+
+    monkeypatch.setattr(P, "near_places", seen)
+    centres = spark.range(60).selectExpr("id AS c", "179.99 + id % 3 * 0.004 AS c_lon", "0.01D * (id % 2) AS c_lat")
+    points = spark.range(50).selectExpr("id AS p", "-179.99D - id % 2 * 0.5 AS lon", "0.0D AS lat")
+    out = P.within_distance(centres, points, 2400.0, "c_lon", "c_lat", "lon", "lat")
+    assert asked == [(6, 2)] and out.columns == ["c", "c_lon", "c_lat", "p", "lon", "lat", "distance_m"]
+    assert {r["p"] % 2 for r in out.collect()} == {0}
+    brute = centres.crossJoin(points).where(f"2 * {EARTH_RADIUS_M}D * asin(sqrt(pow(sin(radians(lat - c_lat) / 2), 2) + cos(radians(c_lat)) * cos(radians(lat)) * pow(sin(radians(lon - c_lon) / 2), 2))) <= 2400")
+    assert sorted((r["c"], r["p"]) for r in out.collect()) == sorted((r["c"], r["p"]) for r in brute.collect()) and out.count() == 1250
+
+
 def test_drop_near_with_a_hot_position(spark, points):
     obstacles = [(100 + i, 0.0, 60.0) for i in range(500)] + [(i, x + 0.5, y) for i, x, y in points[:40]]
     a = spark.createDataFrame(points, "id INT, lon DOUBLE, lat DOUBLE")
