@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsforge.operators.pixels import filled
+from obsforge.operators.pixels import filled, kept
 from obsforge.operators.skew import gather
 
 LANDSCAPE_RADIUS_M = 2000.0  # fixed value: radius of the circle whose area patch density refers to
@@ -126,9 +126,7 @@ def glcm_pixels(df: DataFrame, keys: list[str], row: str, col: str, level: str,
     )
     height, width = F.col("__bottom") - F.col("__top") + 1, F.col("__right") - F.col("__left") + 1
     placed = F.transform("__cells", lambda x: F.struct(((x["r"] - F.col("__top")) * width + x["c"] - F.col("__left")).cast("int").alias("k"), x["v"].cast("double").alias("v")))
-    # Exploding a single array keeps the levels from being put in order again for each pixel.
-    levels = F.explode(F.array(filled(placed, height * width, None))).alias("__levels")
-    pixels = tiles.select(*keys, "__top", "__left", height.alias("__h"), width.alias("__w"), "__cells", levels)
+    pixels = filled(kept(tiles.withColumns({"__h": height, "__w": width}), "__placed", placed), "__levels", "__placed", F.col("__h") * F.col("__w"), None)
     each = pixels.select(*keys, "__top", "__left", "__h", "__w", "__levels", F.explode("__cells").alias("__x"))
 
     def at(dy: int, dx: int) -> Column:

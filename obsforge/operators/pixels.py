@@ -33,32 +33,35 @@ def with_dimensions(pixels: DataFrame) -> DataFrame:
     return gather(pixels, "file_key").withColumns({"h": (F.max("row").over(file) + 1).cast("int"), "w": (F.max("col").over(file) + 1).cast("int")})
 
 
-def filled(cells: Column, size: int | Column, absent_value: float | None = 0.0) -> Column:
-    """Values of structs (k, v) in the order of k, absent_value for each k below `size` that has none; of several one of them."""
+def kept(tiles: DataFrame, name: str, value: Column) -> DataFrame:
+    """tiles with one more column that is computed once per row.
+
+    Exploding a single array keeps it from being planned into the functions that look at it, which would work it out for
+    each of their elements again.
+    """
+    return tiles.select("*", F.explode(F.array(value)).alias(name))
+
+
+def filled(tiles: DataFrame, name: str, cells: str, size: int | Column, absent_value: float | None = 0.0) -> DataFrame:
+    """tiles with the values of the structs (k, v) of `cells` in the order of k, absent_value for each k below `size` that has none.
+
+    Of several one is taken; a v that is NULL stays.
+    """
+    places = F.sequence(F.lit(0), F.lit(size) - 1)
     nothing = F.lit(absent_value).cast("double")
-    n, shift = F.lit(size), 1 << 32
-    places = F.sequence(F.lit(0), n - 1)
-    kinds = "array<bigint>"
-    # Whole numbers sort faster than structs: k first, then where the struct stands; behind the last for k that have none.
-    found = F.transform(cells, lambda c, i: c["k"].cast("bigint") * shift + i)
-    lacking = F.array_except(places, F.transform(cells, lambda c: c["k"]))
-    absent = F.when(F.size(cells) >= n, F.array().cast(kinds)).otherwise(F.transform(lacking, lambda k: k.cast("bigint") * shift + F.size(cells)))
-    every = F.sort_array(F.concat(found, absent))
-    at = F.transform(every, lambda e: F.coalesce(F.get(cells, (e % shift).cast("int"))["v"], nothing))
-    # Pixels that repeat, or lie where others are absent: place by place.
-    one_each = (F.size(every) == n) & (F.size(F.array_distinct(F.transform(cells, lambda c: c["k"]))) == F.size(cells))
-    slow = F.transform(places, lambda k: F.coalesce(F.get(F.filter(cells, lambda c: c["k"] == k), 0)["v"], nothing))
-    return F.when(one_each, at).otherwise(slow)
+    lacking = F.transform(F.array_except(places, F.col(cells)["k"]), lambda k: F.struct(k.alias("k"), nothing.alias("v")))
+    every = kept(tiles, "__every", F.sort_array(F.concat(cells, lacking)))
+    # Pixels that repeat, or lie at no place: place by place.
+    slow = F.transform(places, lambda k: F.coalesce(F.get(F.filter("__every", lambda c: c["k"] == k), 0)["v"], nothing))
+    return kept(every, name, F.when(F.col("__every")["k"] == places, F.col("__every")["v"]).otherwise(slow)).drop("__every")
 
 
 def _cell(place: Column) -> Column:
     return F.struct(place.cast("int").alias("k"), F.col("value").cast("double").alias("v"))
 
 
-def _as_pixels(tiles: DataFrame, width: int) -> DataFrame:
-    """(file_key, band, row, col, value) of tiles whose `values` are row by row."""
-    long = tiles.select("file_key", "band", F.posexplode("values").alias("k", "value"))
-    return long.select("file_key", "band", F.floor(F.col("k") / width).cast("int").alias("row"), (F.col("k") % width).cast("int").alias("col"), "value")
+def _places(tiles: DataFrame, name: str, size: int) -> DataFrame:
+    return tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name))
 
 
 def crop_pad(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
@@ -70,14 +73,9 @@ def crop_pad(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> Da
     inside = (F.col("row") < height) & (F.col("col") < width)
     cell = F.when(inside, _cell(F.col("row") * width + F.col("col")))  # collecting leaves out NULL
     tiles = gather(clean_pixels(pixels), "file_key", "band").groupBy("file_key", "band").agg(F.collect_list(cell).alias("cells"))
-    there = F.transform("cells", lambda c: c["k"])
-    absent = F.array_except(F.sequence(F.lit(0), F.lit(height * width - 1)), there)
-    empty = F.transform(absent, lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("v")))
-    repeats = F.size(F.array_distinct(there)) < F.size("cells")
-    one_each = F.transform(filled(F.col("cells"), height * width), lambda v, k: F.struct(k.alias("k"), v.alias("v")))
-    placed = tiles.select("file_key", "band", F.explode(F.when(repeats, one_each).otherwise(F.concat("cells", empty))).alias("c"))
-    k = F.col("c.k")
-    return placed.select("file_key", "band", F.floor(k / width).cast("int").alias("row"), (k % width).alias("col"), F.col("c.v").alias("value"))
+    values = filled(tiles, "values", "cells", height * width).drop("cells")
+    placed = _places(_places(values, "row", height), "col", width)
+    return placed.select("file_key", "band", "row", "col", F.get("values", F.col("row") * width + F.col("col")).alias("value"))
 
 
 def binary_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
@@ -94,15 +92,12 @@ def centre_label(pixels: DataFrame, label_band: int = INPUT_BANDS) -> DataFrame:
     return centred.select("file_key", "h", "w", binarise(F.col("value")).alias("label"))
 
 
-def _axis(target: Column, source_size: Column, size: int) -> Column:
-    """Two (index, weight) structs of a half-pixel-centred linear interpolation, clamped at the rim."""
-    at = F.greatest((target + 0.5) * source_size / F.lit(float(size)) - 0.5, F.lit(0.0))
-    low = F.least(F.floor(at), source_size - 1).cast("int")
-    high = F.least(low + 1, source_size - 1).cast("int")
-    part = at - low
-    return F.array(
-        F.struct(low.alias("i"), (F.lit(1.0) - part).alias("w")), F.struct(high.alias("i"), part.alias("w"))
-    )
+def _axis(target: str, source_size: str, size: int) -> dict[str, Column]:
+    """Lower and higher index, and the higher one's weight, of a half-pixel-centred linear interpolation, clamped at the rim."""
+    n = F.col(source_size)
+    at = F.greatest((F.col(target) + 0.5) * n / F.lit(float(size)) - 0.5, F.lit(0.0))
+    low = F.least(F.floor(at), n - 1).cast("int")
+    return {f"{target}_low": low, f"{target}_high": F.least(low + 1, n - 1).cast("int"), f"{target}_part": at - low}
 
 
 def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET) -> DataFrame:
@@ -116,23 +111,17 @@ def bilinear_resize(pixels: DataFrame, height: int = TARGET, width: int = TARGET
         (F.max("row") + 1).cast("int").alias("h"), (F.max("col") + 1).cast("int").alias("w"), F.collect_list(cell).alias("cells")
     )
     flat = F.transform("cells", lambda c: F.struct((c["row"] * F.col("w") + c["col"]).cast("int").alias("k"), c["value"].alias("v")))
-    # Exploding a single array keeps the sorting from being planned into the function of each target pixel.
-    sorted_ = tiles.select("file_key", "band", "h", "w", F.explode(F.array(filled(flat, F.col("h") * F.col("w")))).alias("source"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda t: _axis(t, F.col("h"), height))
-    cols = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: _axis(t, F.col("w"), width))
-    placed = sorted_.select("file_key", "band", "w", "source", F.explode(F.array(rows)).alias("rows"), cols.alias("cols"))
-    placed = placed.select("file_key", "band", "w", "source", "rows", F.explode(F.array("cols")).alias("cols"))
-
-    def mixed(k: Column) -> Column:
-        r, c = F.get("rows", F.floor(k / width).cast("int")), F.get("cols", (k % width).cast("int"))
-
-        def part(i: int, j: int) -> Column:
-            return r[i]["w"] * c[j]["w"] * F.coalesce(F.get("source", r[i]["i"] * F.col("w") + c[j]["i"]), F.lit(0.0))
+    sorted_ = filled(kept(tiles, "flat", flat).drop("cells"), "source", "flat", F.col("h") * F.col("w")).drop("flat")
+    rows = _places(sorted_, "row", height).withColumns(_axis("row", "h", height))
+    cells = _places(rows, "col", width).withColumns(_axis("col", "w", width))
 
-        return part(0, 0) + part(0, 1) + part(1, 0) + part(1, 1)
+    def part(r: str, c: str) -> Column:
+        weight = {"low": lambda axis: 1.0 - F.col(f"{axis}_part"), "high": lambda axis: F.col(f"{axis}_part")}
+        value = F.coalesce(F.get("source", F.col(f"row_{r}") * F.col("w") + F.col(f"col_{c}")), F.lit(0.0))
+        return weight[r]("row") * weight[c]("col") * value
 
-    values = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), mixed)
-    return _as_pixels(placed.select("file_key", "band", values.alias("values")), width)
+    mixed = part("low", "low") + part("low", "high") + part("high", "low") + part("high", "high")
+    return cells.select("file_key", "band", "row", "col", mixed.alias("value"))
 
 
 def patchify(pixels: DataFrame, size: int) -> DataFrame:
@@ -153,8 +142,9 @@ def patch_vectors(pixels: DataFrame, size: int) -> DataFrame:
     A patch holds bands x size x size values, a number that does not grow with the table. The shuffle by file that finds
     the widths serves the grouping by band and by patch too.
     """
-    cells = F.collect_list(_cell(F.col("in_row") * size + F.col("in_col")))
-    bands = patchify(pixels, size).groupBy("file_key", "patch", "band").agg(filled(cells, size * size).alias("values"))
+    cells = F.collect_list(_cell(F.col("in_row") * size + F.col("in_col"))).alias("cells")
+    present = pixels.withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
+    bands = filled(patchify(present, size).groupBy("file_key", "patch", "band").agg(cells), "values", "cells", size * size)
     return bands.groupBy("file_key", "patch").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("band", "values"))), lambda c: c["values"])).alias("values")
     )

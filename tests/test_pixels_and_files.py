@@ -56,6 +56,17 @@ def test_bilinear_with_half_pixel_centres(spark, tile):
     assert np.allclose(out, top * (1 - fr)[:, None] + low * fr[:, None], atol=1e-12)
 
 
+def test_time_to_resample_grows_with_the_pixels_not_their_square(spark):
+    import time
+
+    side = 200
+    pixels = spark.range(side * side).selectExpr("'t' AS file_key", "0 AS band", f"CAST(id DIV {side} AS INT) AS row", f"CAST(id % {side} AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    start = time.time()
+    out = array(P.bilinear_resize(pixels, 2, 2), "t", 0, 2, 2)
+    assert time.time() - start < 20
+    assert np.allclose(out, [[49.5 * 201, 49.5 * 200 + 149.5], [149.5 * 200 + 49.5, 149.5 * 201]])
+
+
 def test_patches_are_padded_with_zeros(spark, tile):
     out = {r["patch"]: r["values"] for r in P.patch_vectors(table(spark, {"t": {0: tile}}), 4).collect()}
     padded = np.zeros((8, 12))
