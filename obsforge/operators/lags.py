@@ -1,8 +1,8 @@
 """Measurements before (or around) each sample's day.
 
 The table of measurements is reduced to one row per (place, day) first. Samples
-are reduced to distinct (place, day) too, so the rows a window partition holds
-are bounded by the calendar, however many samples or measurements share a place.
+are reduced to distinct (place, day) too, so the rows that meet at a place
+are bounded by the calendar, however many samples or measurements share it.
 """
 
 from __future__ import annotations
@@ -85,6 +85,26 @@ def _finished(band: Band, suffix: str, pieces: list[int], on_missing: str) -> di
     return {f"{band.name}_{suffix}": value, f"n_{band.name}_{suffix}": n}
 
 
+def _meetings(wanted: DataFrame, daily: DataFrame, place: list[str], parts: Mapping[tuple[int, int], list[str]]) -> DataFrame:
+    """(place, __day, __piece, daily columns): each wanted day with the measured days of every piece around it, and once alone.
+
+    Both sides are binned by days, in bins as long as all pieces together, so that a wanted day meets two of them. Only wanted
+    days are worked out: a window over the days of both would do so for each measured day too, and most days are those.
+    """
+    first, last = min(low for low, _ in parts), max(high for _, high in parts)
+    width = last - first + 1
+    reach = F.sequence(F.floor((F.col("__day") + first) / width), F.floor((F.col("__day") + last) / width))
+    measured = daily.withColumnRenamed("__day", "__at").withColumn("__bin", F.floor(F.col("__at") / width))
+    ahead = F.col("r.__at") - F.col("l.__day")
+    asked = wanted.select(*place, "__day").withColumn("__bin", F.explode(reach))
+    met = splittable_join(asked, measured, [*place, "__bin"], "inner", (ahead >= first) & (ahead <= last))
+    piece = F.lit(None).cast("int")
+    for i, (low, high) in enumerate(parts):
+        piece = F.when((F.col("__at") - F.col("__day")).between(low, high), F.lit(i)).otherwise(piece)
+    pieces = met.withColumn("__piece", piece).where(F.col("__piece").isNotNull()).drop("__bin", "__at")
+    return pieces.unionByName(wanted.select(*place, "__day"), allowMissingColumns=True)
+
+
 def _wanted(samples: DataFrame, place: list[str], day: str) -> DataFrame:
     """Distinct (place, day) of the samples, marked."""
     return samples.select(*place, day_number(F.col(day)).alias("__day")).distinct().withColumn("__rows", F.lit(True))
@@ -121,27 +141,22 @@ def frame_features(
     used = measurements.where(reduce(lambda a, b: a | b, [b.rows for b in bands]))  # reaches the scan
     partial = used.groupBy(*place, day_number(F.col(measured_day)).alias("__day")).agg(*_daily(bands))
     wanted = _wanted(samples if base is None else base, place, sample_day)
-    line = wanted.unionByName(partial, allowMissingColumns=True)
-    order = Window.partitionBy(*place).orderBy("__day")
     parts = _pieces(frames)
-    summed: dict[str, Column] = {}
-    for i, ends in enumerate(parts):
-        frame = order.rangeBetween(*ends)
+    met = _meetings(wanted, partial, place, parts)
+    summed: list[Column] = []
+    for i in range(len(parts)):
         for band in bands:
-            summed[f"{band.name}__n{i}"] = F.sum(f"{band.name}__n").over(frame)
-            if band.reducer != "count":
+            kept = {c: F.when(F.col("__piece") == i, F.col(f"{band.name}__{c}")) for c in ("n", "v") if c == "n" or band.reducer != "count"}
+            summed.append(F.sum(kept["n"]).alias(f"{band.name}__n{i}"))
+            if "v" in kept:
                 fold = getattr(F, band.reducer if band.reducer in ("min", "max") else "sum")
-                summed[f"{band.name}__v{i}"] = fold(f"{band.name}__v").over(frame)
+                summed.append(fold(kept["v"]).alias(f"{band.name}__v{i}"))
     added: dict[str, Column] = {}
     for suffix in frames:
         pieces = [i for i, members in enumerate(parts.values()) if suffix in members]
         for band in bands:
             added.update(_finished(band, suffix, pieces, on_missing))
-    values = (
-        line.withColumns(summed)
-        .where(F.col("__rows").isNotNull())
-        .select(*place, "__day", *[c.alias(k) for k, c in added.items()])
-    )
+    values = met.groupBy(*place, "__day").agg(*summed).select(*place, "__day", *[c.alias(k) for k, c in added.items()])
     counts = [f"n_{band.name}_{suffix}" for suffix in frames for band in bands]
     if on_missing == "drop":
         for c in counts:

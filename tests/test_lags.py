@@ -113,3 +113,9 @@ def test_exact_median_of_a_hot_group(spark):
     ours = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
     plain = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert ours == plain
+
+
+def test_windows_are_worked_out_for_wanted_days_only(spark, samples, measured):
+    out = L.lag_features(samples, measured, ["place"], "day", "ts", bands())
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # a window would add a frame for each measured day
+    assert rows(out)[1]["v_90"] == 126.0
