@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 64  # a key is hot when it holds more than 1/64 of the rows: at most 64 keys can
 SALTS = 32
+SIEVE = 1 << 16  # buckets of wanted keys
 
 _SALT = "__salt"
 _HOT = "__hot"
@@ -90,6 +91,17 @@ def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return _join(left.withColumn(_SALT, zero), right.withColumn(_SALT, zero), [*keys, _SALT], how, condition).drop(_SALT)
 
 
+def sieved(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose integer keys may be among those of `wanted`: all that are, and few others.
+
+    Keys are hashed into SIEVE buckets, so what is broadcast is bounded however many keys are wanted; most rows of
+    other keys go before they are shuffled. A later join decides.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("bigint") for k in keys]), F.lit(SIEVE))
+    held = wanted.select(bucket.alias("__bucket")).distinct()
+    return df.join(F.broadcast(held), bucket == F.col("__bucket"), "left_semi")
+
+
 def fan_out(df: DataFrame, *columns: str) -> DataFrame:
     """Spread a table over all cores before its rows multiply.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsforge.functions.indices import evi, lst_celsius, normalised_difference, relative_humidity
 from obsforge.operators.cleaning import in_days
 from obsforge.operators.quantiles import exact_median
+from obsforge.operators.skew import sieved
 from obsforge.operators.spatial import pixel_coordinates, rasterise, sample_cells
 from obsforge.sources.catalogue import TRAINING_CSV
 
@@ -55,12 +56,15 @@ def humidity_rows(measurements: DataFrame, mode: str = "literal") -> DataFrame:
 
 
 def composite_cells(
-    scenes: DataFrame, measurements: DataFrame, elevation: DataFrame, start: str, end: str, humidity: str = "literal"
+    scenes: DataFrame, measurements: DataFrame, elevation: DataFrame, start: str, end: str, humidity: str = "literal", wanted: DataFrame | None = None
 ) -> DataFrame:
     """One row per cell with every composite band; NULL where a band was never measured.
 
-    All median bands go through one exact median keyed by cell and band.
+    All median bands go through one exact median keyed by cell and band. `wanted` is a table with the cells that will be
+    looked up: all of these have their row, and most others none.
     """
+    if wanted is not None:
+        scenes, measurements, elevation = (sieved(df, wanted, CELL) for df in (scenes, measurements, elevation))
     seen, measured = (df.where(in_days(F.col("ts"), start, end)) for df in (scenes, measurements))
     stored = measured.where(F.col("band").isin(*MEDIAN_BANDS)).select(
         *CELL,

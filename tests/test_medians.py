@@ -130,3 +130,14 @@ def test_only_the_middle_bucket_of_a_dense_place_is_looked_at(spark):
     whole = 20 * 20_000 * 14 // 40
     made = [n.metrics().apply("numOutputRows").value() for n in ran(df) if n.nodeName().endswith("Join") and n.metrics().contains("numOutputRows")]
     assert made and max(made) < max(25_000, whole / 5), made
+
+
+def test_composites_of_wanted_cells_are_the_same_and_others_are_left_out(spark):
+    from obsforge.operators.skew import sieved
+
+    df = spark.range(20000).select((F.col("id") % 500).alias("cell_x"), (F.col("id") % 7).cast("int").alias("cell_y"), "id")
+    wanted = spark.createDataFrame([(3, 3), (3, 3), (499, 1), (9999, 0), (None, 2)], "cell_x BIGINT, cell_y BIGINT")
+    kept = sieved(df, wanted, ["cell_x", "cell_y"])
+    named = (F.col("cell_x") == 3) & (F.col("cell_y") == 3) | (F.col("cell_x") == 499) & (F.col("cell_y") == 1)
+    assert kept.where(named).count() == df.where(named).count() > 0
+    assert kept.count() < df.count() / 100  # of 3,500 cells a few share a bucket at most

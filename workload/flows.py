@@ -167,7 +167,7 @@ START, END = "1996-01-01", "2024-02-01"
 def composite_table(spark, sf):
     obs = X.observations(spark, sf)
     rows = composite.composite_cells(
-        composite_scenes(spark, sf), composite_measurements(spark, sf), X.cells(spark, sf), START, END, humidity="approx"
+        composite_scenes(spark, sf), composite_measurements(spark, sf), X.cells(spark, sf), START, END, humidity="approx", wanted=_cells_of(obs)
     )
     present = obs.where(F.col("presence") == "PRESENT")
     out = composite.composite_table(rows, present, obs, F.col("lon_m"), F.col("lat_m"), 250.0, ["object_id"])
