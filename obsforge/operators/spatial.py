@@ -170,8 +170,15 @@ def polygon_cells(edges: DataFrame, poly_id: str, cell: float) -> DataFrame:
     return inner.join(cut, [poly_id, "cx", "cy"], "left_anti").withColumn("cut", F.lit(False)).unionByName(cut.withColumn("cut", F.lit(True)))
 
 
-def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, cell: float) -> DataFrame:
-    """Distinct (lon, lat, poly_id) for points inside polygons.
+def first_cells(cells: DataFrame, poly_id: str) -> DataFrame:
+    """The cells of polygon_cells that can tell the smallest polygon around a point: none of a polygon with a larger id than one that holds the whole cell."""
+    whole = cells.where(~F.col("cut")).groupBy("cx", "cy").agg(F.min(poly_id).alias("__first"))
+    known = splittable_join(cells, whole, ["cx", "cy"])
+    return known.where(F.col("__first").isNull() | (F.col(poly_id) <= F.col("__first"))).drop("__first")
+
+
+def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str, poly_id: str, cell: float, first: bool = False) -> DataFrame:
+    """Distinct (lon, lat, poly_id) for points inside polygons; with `first`, the smallest poly_id and perhaps some others.
 
     A position meets the polygons whose cells it shares. In a cell that lies wholly inside, no edge is looked at. In one that an edge
     cuts, the parity of a ray to the east decides, over the edges of that polygon that pass through the row of cells.
@@ -179,7 +186,8 @@ def point_polygon_hits(points: DataFrame, edges: DataFrame, lon: str, lat: str,
     polygon has thousands of them at most.
     """
     spots = points.select(lon, lat).distinct().withColumns({"cx": F.floor(F.col(lon) / cell), "cy": F.floor(F.col(lat) / cell)})
-    near = splittable_join(spots, polygon_cells(edges, poly_id, cell), ["cx", "cy"], "inner")
+    cells = polygon_cells(edges, poly_id, cell)
+    near = splittable_join(spots, first_cells(cells, poly_id) if first else cells, ["cx", "cy"], "inner")
     rows = _touched_rows(edges.where(F.col("y1") != F.col("y2")).select(poly_id, "x1", "y1", "x2", "y2"), cell, cell * 1e-9)
     px, py = F.col(f"l.{lon}"), F.col(f"l.{lat}")
     x1, y1, x2, y2 = (F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2"))
@@ -205,7 +213,7 @@ def polygon_attribute(
     `base` is a table with the positions of all points, for points that already went through costly steps.
     """
     source = points if base is None else base
-    inside = point_polygon_hits(source, edges, lon, lat, poly_id, cell)
+    inside = point_polygon_hits(source, edges, lon, lat, poly_id, cell, first=True)
     known = edges.groupBy(poly_id).agg(F.min(attribute).alias(attribute))
     first = inside.join(known, poly_id).groupBy(lon, lat).agg(F.min_by(attribute, poly_id).alias(attribute))
     return splittable_join(points, first, [lon, lat])

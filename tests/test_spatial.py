@@ -244,3 +244,17 @@ def test_texture_around_each_pixel_against_counting(spark, size):
     assert found.keys() == want.keys() and len(want) > 30
     for k, values in want.items():
         assert all(a is b is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(found[k], values)), (k, found[k], values)
+
+
+def test_first_polygon_needs_no_polygon_behind_one_that_holds_the_cell(spark):
+    from obsforge.operators.spatial import point_polygon_hits, polygon_attribute
+
+    boxes = [(k, k * 10, 0.0 - k, 10.0 + k) for k in range(1, 40)]  # each lies inside the next
+    edges = spark.createDataFrame(
+        [(k, v, *a, *b) for k, v, lo, hi in boxes for a, b in (((lo, lo), (hi, lo)), ((hi, lo), (hi, hi)), ((hi, hi), (lo, hi)), ((lo, hi), (lo, lo)))],
+        "poly_id INT, v INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE",
+    )
+    points = spark.createDataFrame([(1, 5.5, 5.5), (2, -3.5, 2.0), (3, 90.0, 0.0)], "id INT, lon DOUBLE, lat DOUBLE")
+    out = polygon_attribute(points, edges, "lon", "lat", "poly_id", "v", 1.0)
+    assert {r["id"]: r["v"] for r in out.collect()} == {1: 10, 2: 40, 3: None}
+    assert point_polygon_hits(points, edges, "lon", "lat", "poly_id", 1.0, first=True).where("lon = 5.5").count() == 1
