@@ -141,3 +141,16 @@ def test_composites_of_wanted_cells_are_the_same_and_others_are_left_out(spark):
     named = (F.col("cell_x") == 3) & (F.col("cell_y") == 3) | (F.col("cell_x") == 499) & (F.col("cell_y") == 1)
     assert kept.where(named).count() == df.where(named).count() > 0
     assert kept.count() < df.count() / 100  # of 3,500 cells a few share a bucket at most
+
+
+def test_values_of_a_dense_place_are_not_compared_with_every_cut(spark):
+    """Each value was compared with all of up to 255 cuts, one by one, twice; now eight of them, once."""
+    from obsforge.operators import window_median
+
+    rows = [("x", "2020-01-%02d" % (k % 30 + 1), float(k * 7919 % 4999 // 2)) for k in range(5000)]
+    wanted = spark.createDataFrame([("x", 18_270)], "place STRING, __day INT")  # 2020-01-09
+    measured = spark.createDataFrame(rows, "place STRING, ts STRING, v DOUBLE").withColumn("ts", F.to_date("ts"))
+    df = window_median.window_medians(wanted, measured, ["place"], "ts", ["v"], (-7, 6), 10)
+    inside = [v for _, d, v in rows if "2020-01-02" <= d <= "2020-01-15"]
+    assert [r["v_median"] for r in df.collect()] == [statistics.median(inside)]
+    assert not re.search(r"lambda[^\n]*<= __value", df._jdf.queryExecution().executedPlan().toString())
