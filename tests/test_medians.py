@@ -154,3 +154,15 @@ def test_values_of_a_dense_place_are_not_compared_with_every_cut(spark):
     inside = [v for _, d, v in rows if "2020-01-02" <= d <= "2020-01-15"]
     assert [r["v_median"] for r in df.collect()] == [statistics.median(inside)]
     assert not re.search(r"lambda[^\n]*<= __value", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("query, rows_read", [("window_median", ("orders", "lineitem"))])
+def test_medians_at_sparse_places_send_each_row_through_few_shuffles(spark, query, rows_read):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    df = entry.queries()[query](spark, sf)
+    df.collect()
+    sent = sum(n.metrics().apply("shuffleRecordsWritten").value() for n in ran(df) if n.nodeName() == "Exchange" and n.metrics().contains("shuffleRecordsWritten"))
+    read = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in rows_read)
+    assert 0 < sent < 3 * read
