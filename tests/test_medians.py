@@ -156,7 +156,7 @@ def test_values_of_a_dense_place_are_not_compared_with_every_cut(spark):
     assert not re.search(r"lambda[^\n]*<= __value", df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("query, rows_read", [("window_median", ("orders", "lineitem"))])
+@pytest.mark.parametrize("query, rows_read", [("window_median", ("orders", "lineitem")), ("fine_indices", ("orders", "events", "events", "events"))])
 def test_medians_at_sparse_places_send_each_row_through_few_shuffles(spark, query, rows_read):
     import __spark_entry__ as entry
 
